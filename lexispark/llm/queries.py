@@ -8,8 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, chat, media, packing, simhash
-from lexispark.llm.common import prepare, saved, table
+from lexispark.llm import bpe, chat, langid, media, packing, quality, simhash, toxicity
+from lexispark.llm.common import prepare, remainder, saved, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fitted(docs, held_out=(3, 1)))
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.DEFAULT_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels"), held_out=(3, 1)), held_out=(3, 1))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN)
 
@@ -40,8 +51,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(strings).withColumnRenamed("tree", "conv_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fitted(docs, table(spark, sf_dir, "labels"), held_out=(4, 2)), held_out=(4, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op6_packing, op7_simhash, op8_media, op9_chat)}
+    return {f.__name__: f for f in (op1_langid, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
