@@ -14,6 +14,7 @@ on its own; an empty table gives an empty table; columns other than those named
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -144,11 +145,12 @@ class Packer:
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One encoder for each worker process, kept between tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return ChunkEncoder(pattern, lambda chunks: [x.ids for x in t.encode_batch(chunks, add_special_tokens=False)] if chunks else [])
+    return ChunkEncoder(pattern, lambda chunks: [x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else [])
 
 
 COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"

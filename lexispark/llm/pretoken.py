@@ -7,19 +7,36 @@ it; such texts are split by the pattern itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 import regex
 
 
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.data, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        end = self.n + len(more)
+        if end > len(self.data):
+            grown = np.zeros(max(end, 2 * len(self.data)), self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : end] = more
+        self.n = end
+
+
 class ChunkEncoder:
     """Encodes whole texts as token ids; encode_many sees every distinct chunk once while it is remembered.
 
     The memory is bounded: beyond max_chunks chunks or max_units characters and ids it is emptied between batches.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], Iterable[Sequence[int]]], max_chunks: int = 600_000, max_units: int = 12_000_000):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[Sequence[int]]], max_chunks: int = 1_000_000, max_units: int = 24_000_000):
         self.pattern = regex.compile(pattern)
         self.encode_many = encode_many
         self.max_chunks, self.max_units = max_chunks, max_units
@@ -28,11 +45,11 @@ class ChunkEncoder:
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.heads: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
-        self.opens = np.zeros(0, bool)
-        self.closes = np.zeros(0, bool)
+        self.flat = _Growing(np.uint32)
+        self.start = _Growing(np.int64)
+        self.length = _Growing(np.int64)
+        self.opens = _Growing(bool)
+        self.closes = _Growing(bool)
         self.units = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -47,29 +64,34 @@ class ChunkEncoder:
         tails, heads = sorted(tails - self.rows.keys()), sorted(heads - self.heads.keys())
         if not tails and not heads:
             return
-        n = len(self.start)
+        n, edge = self.start.n, tails + heads
         self.rows.update(zip(tails, range(n, n + len(tails))))
-        self.heads.update(zip(heads, range(n + len(tails), n + len(tails) + len(heads))))
-        ids = [np.asarray(x, np.uint32) for x in self.encode_many([" " + p for p in tails] + heads)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, *ids])
-        edge = tails + heads
-        self.opens = np.concatenate([self.opens, np.fromiter((not p or p[0].isspace() for p in edge), bool, len(edge))])
-        self.closes = np.concatenate([self.closes, np.fromiter((not p or p[-1].isspace() for p in edge), bool, len(edge))])
-        self.units += sum(map(len, edge)) + int(lengths.sum())
+        self.heads.update(zip(heads, range(n + len(tails), n + len(edge))))
+        ids = self.encode_many([" " + p for p in tails] + heads)
+        lengths = np.fromiter(map(len, ids), np.int64, len(edge))
+        self.start.extend(self.flat.n + np.cumsum(lengths) - lengths)
+        self.length.extend(lengths)
+        self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        size = np.fromiter(map(len, edge), np.int64, len(edge))
+        spaced = (np.fromiter(map(len, map(str.strip, edge)), np.int64, len(edge)) < size) | (size == 0)
+        opens, closes = np.zeros(len(edge), bool), np.zeros(len(edge), bool)
+        for i in np.flatnonzero(spaced).tolist():
+            p = edge[i]
+            opens[i], closes[i] = not p or p[0].isspace(), not p or p[-1].isspace()
+        self.opens.extend(opens)
+        self.closes.extend(closes)
+        self.units += int(size.sum() + lengths.sum())
 
     def _one(self, text: str, parts: list[str]) -> np.ndarray:
         rows = np.fromiter(map(self.rows.__getitem__, parts[1:]), np.int64, len(parts) - 1)
         rows = np.concatenate([[self.heads[parts[0]]], rows])
-        closed = self.closes[rows[:-1]].copy()
+        closed = self.closes.data[rows[:-1]]
         if len(closed) and parts[0] == "":
             closed[0] = False  # nothing stands before the first space
-        if (closed & self.opens[rows[1:]]).any():
+        if (closed & self.opens.data[rows[1:]]).any():
             pieces = self.pattern.findall(text)
             return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in self.encode_many(pieces))])
-        lengths = self.length[rows]
+        lengths = self.length.data[rows]
         ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(self.start[rows] - ends + lengths, lengths)
-        return self.flat[at]
+        at = np.arange(ends[-1]) + np.repeat(self.start.data[rows] - ends + lengths, lengths)
+        return self.flat.data[at]
