@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import prepare, text_or_empty
-from lexispark.llm.pretoken import ChunkEncoder
+from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -159,14 +159,14 @@ class Codec:
         self.length, self.start = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.replay.bytes_of), np.uint8)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces = [self.pattern.findall(c) for c in chunks]
         if len(self.words) > self.max_words:
             self.words.clear()
         new = sorted({p for x in pieces for p in x} - self.words.keys())
         self.words.update(zip(new, self.replay.encode_words([p.encode("utf-8", "surrogatepass") for p in new])))
         words = self.words
-        return [words[x[0]] if len(x) == 1 else [i for p in x for i in words[p]] for x in pieces]
+        return flattened([words[x[0]] if len(x) == 1 else [i for p in x for i in words[p]] for x in pieces])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.chunks.encode(texts)

@@ -14,6 +14,7 @@ on its own; an empty table gives an empty table; columns other than those named
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import prepare, text_or_empty
-from lexispark.llm.pretoken import ChunkEncoder
+from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 
@@ -142,15 +143,52 @@ class Packer:
         yield from self.drain()
 
 
+def ranks_of(path: str) -> tuple[dict[bytes, int] | None, str, int]:
+    """(ranks, a special token's string, its id) of a tokenizer file of byte-level merges; no ranks where the file says more than ranks can.
+
+    Encoding by rank gives the same ids where every merge's token has an id in the order of the merges.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, special = whole["model"], [t for t in whole.get("added_tokens", []) if t.get("special")]
+    steps = [x.get("type") for x in (whole.get("pre_tokenizer") or {}).get("pretokenizers", [whole.get("pre_tokenizer") or {}])]
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")) and not whole.get("normalizer")
+    if not plain or steps != ["ByteLevel"] or (whole["pre_tokenizer"].get("add_prefix_space")) or not special:
+        return None, "", 0
+    # byte-level alphabets write bytes that are no visible character as code points from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    names = {t["content"] for t in special}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in names}
+    order = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    return (ranks if order == sorted(order) and len(ranks) == len(order) + 256 else None), special[0]["content"], special[0]["id"]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One encoder for each worker process, kept between tasks."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return ChunkEncoder(pattern, lambda chunks: [x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else [])
+    ranks, mark, end = ranks_of(path)
+    if ranks is None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return ChunkEncoder(pattern, lambda chunks: flattened([x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []))
+    import tiktoken
+
+    e = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={mark: end})
+
+    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(mark in c for c in chunks):
+            return flattened([e.encode_ordinary(c) for c in chunks])
+        # one call for many chunks: the special token's string keeps them apart, and its id tells where they end
+        joined = (mark.join([*chunks[i : i + 256], ""]) for i in range(0, len(chunks), 256))
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.encode(x, allowed_special="all"), np.uint32) for x in joined)])
+        ends = np.flatnonzero(flat == end)
+        return flat[flat != end], np.diff(ends, prepend=-1) - 1
+
+    return ChunkEncoder(pattern, encode)
 
 
 COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"

@@ -14,6 +14,12 @@ import numpy as np
 import regex
 
 
+def flattened(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids one after another, how many each chunk has)."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
 class _Growing:
     """An array that grows at its end."""
 
@@ -33,10 +39,12 @@ class _Growing:
 class ChunkEncoder:
     """Encodes whole texts as token ids; encode_many sees every distinct chunk once while it is remembered.
 
+    encode_many returns the ids of all its chunks one after another, and how many each chunk has.
+
     The memory is bounded: beyond max_chunks chunks or max_units characters and ids it is emptied between batches.
     """
 
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[Sequence[int]]], max_chunks: int = 1_000_000, max_units: int = 24_000_000):
+    def __init__(self, pattern: str, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_chunks: int = 1_000_000, max_units: int = 24_000_000):
         self.pattern = regex.compile(pattern)
         self.encode_many = encode_many
         self.max_chunks, self.max_units = max_chunks, max_units
@@ -67,11 +75,10 @@ class ChunkEncoder:
         n, edge = self.start.n, tails + heads
         self.rows.update(zip(tails, range(n, n + len(tails))))
         self.heads.update(zip(heads, range(n + len(tails), n + len(edge))))
-        ids = self.encode_many([" " + p for p in tails] + heads)
-        lengths = np.fromiter(map(len, ids), np.int64, len(edge))
+        flat, lengths = self.encode_many([" " + p for p in tails] + heads)
         self.start.extend(self.flat.n + np.cumsum(lengths) - lengths)
         self.length.extend(lengths)
-        self.flat.extend(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())))
+        self.flat.extend(flat)
         size = np.fromiter(map(len, edge), np.int64, len(edge))
         spaced = (np.fromiter(map(len, map(str.strip, edge)), np.int64, len(edge)) < size) | (size == 0)
         opens, closes = np.zeros(len(edge), bool), np.zeros(len(edge), bool)
@@ -89,8 +96,7 @@ class ChunkEncoder:
         if len(closed) and parts[0] == "":
             closed[0] = False  # nothing stands before the first space
         if (closed & self.opens.data[rows[1:]]).any():
-            pieces = self.pattern.findall(text)
-            return np.concatenate([np.zeros(0, np.uint32), *(np.asarray(x, np.uint32) for x in self.encode_many(pieces))])
+            return self.encode_many(self.pattern.findall(text))[0]
         lengths = self.length.data[rows]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1]) + np.repeat(self.start.data[rows] - ends + lengths, lengths)
