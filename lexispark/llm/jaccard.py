@@ -5,20 +5,23 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
 
 1. Sketch. For a band of sizes that bound is D. The shingles fall by hash into K = D + 1 + extra blocks, and each
    block is the XOR of its shingles' hashes: a folded parity sketch, in which one differing shingle changes one
-   block. Two linked sets therefore agree in at least extra + 1 blocks (pigeonhole). Blocks of fewer than two
-   shingles say little and are left out where a document has fewer than `extra` of them; agreeing blocks are
-   light in both, so at least two of the agreeing ones are always sent. A document a little larger than a band
-   is sketched for that band too, as the smaller side of a pair names the band.
-2. Join. Documents that share a block's key are candidates, but pairs are not made within a key: each document
-   meets the key's smallest id, so a key adds no more pairs than it has documents. A second, one-bit parity
-   sketch gives a Hamming distance that never exceeds the symmetric difference, which drops most false candidates
-   before shingles are fetched and the similarity is verified exactly.
+   block. Two linked sets therefore agree in at least extra + 1 blocks (pigeonhole). Blocks of few shingles (none,
+   or at strict thresholds one) say little and are left out where a document has fewer than `extra` of them;
+   agreeing blocks are light in both, so at least two of the agreeing ones are always sent. A document a little
+   larger than a band is sketched for that band too, as the smaller side of a pair names the band.
+2. Join. A task sorts the blocks' keys and sends them, compressed, to buckets of the key's hash; there documents
+   that share a key meet. Many keys bring the same documents together, and each such group is kept once. Pairs are
+   not made within a group: each document meets the group's smallest id. A second, one-bit parity sketch gives a
+   Hamming distance that never exceeds the symmetric difference, which drops most false candidates before
+   shingles are fetched and the similarity is verified exactly. A key that very many documents of a task share is
+   sent once by that task, and its documents stay where they are, as a group beside it.
 3. Rest. Links give components. A key whose documents lie in one component is settled. The others are tried again
-   with other leaders; what remains unsettled in keys of at most `small` documents is tested pair by pair
-   across components, and larger keys are first split by a second key, which linked documents also share.
+   with other leaders; what remains unsettled is compared by sketches across components within the key, and only
+   pairs that may link are emitted and verified. Keys of more than `small` documents are first split by a second
+   key, which linked documents also share.
 
-Equal documents in one task are sent once. The shingle sets of candidates come from a second pass over the texts,
-filtered by a bitmap of the candidates' ids whose size is bounded; its false hits cost work and no rows.
+Equal documents of one task are sent once. Shingles of candidates come from a further pass over the texts, filtered
+by a bitmap of the candidates' ids whose size is bounded; its false hits cost work and no rows.
 
 Ids are integers and name one text each; of rows that repeat an id with other texts, one text stands for all.
 
@@ -37,6 +40,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,10 +61,23 @@ class Params:
     den: int = 100
     #: Sizes of a band's largest set over its smallest.
     ratio: float = 1.5
-    #: Keys of so many unsettled documents are tested pair by pair.
-    small: int = 40
+    #: Unsettled keys of so many documents are compared whole; larger ones are split first.
+    small: int = 512
     #: Rounds with other leaders before that.
-    leaders: int = 3
+    leaders: int = 2
+    #: Documents that a task sketches at a time; a key that more than `hot` of them share is sent once.
+    flush: int = 4096
+    hot: int = 64
+
+    @property
+    def light(self) -> int:
+        """Blocks of fewer shingles say little: a block has about num / (den - num) of them."""
+        return 2 if self.num >= 8 * (self.den - self.num) else 1
+
+    @property
+    def spare(self) -> int:
+        """Hundredths of a sketch's blocks that are added for light ones."""
+        return 6 if self.light == 2 else 12
 
     def most_apart(self, smaller: int) -> int:
         """The largest symmetric difference of a linked pair whose smaller set has this size."""
@@ -131,7 +148,7 @@ def bands(p: Params, most: int = 1 << 26) -> list[Band]:
         edges.append(max(edges[-1] + 1, int(edges[-1] * p.ratio)))
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         apart = p.most_apart(b - 1)
-        extra = 0 if apart == 0 else 2 + -(-(apart + 1) * 6 // 100)
+        extra = 0 if apart == 0 else 2 + -(-(apart + 1) * p.spare // 100)
         out.append(Band(i, a, b, apart, extra, (b - 1) * p.den // p.num))
     return out
 
@@ -151,7 +168,7 @@ def keys_of(s: np.ndarray, p: Params) -> np.ndarray:
         some = np.flatnonzero(size)
         value = np.zeros(b.blocks, np.uint64)
         value[some] = np.bitwise_xor.reduceat(_mix(s[order], 5), (np.cumsum(size) - size)[some])
-        light = size < 2
+        light = size < p.light
         keep = np.ones(b.blocks, bool) if b.extra == 0 or light.sum() >= b.extra else ~light
         out.append(_mix(value[keep] ^ _mix(np.arange(b.blocks, dtype=np.uint64)[keep] + np.uint64(b.number << 32), 6), 7))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
@@ -167,31 +184,134 @@ def _shingler(words: int) -> Shingler:
     return Shingler(words)
 
 
-def _prints(docs: DataFrame, p: Params) -> DataFrame:
-    """id, n, same (the id of an equal document of the task that was sent instead), keys, sketch."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits, compressed by bytes of equal place."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
+
+
+_PRINTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64()))])
+_PRINTS_DDL = "id bigint, n bigint, same bigint, sketch binary, bucket int, keys binary, ids binary, key bigint, group array<bigint>"
+
+
+def _sent(keys: np.ndarray, ids: np.ndarray, bucket_bits: int, hot: int) -> Iterator[dict]:
+    """Rows of one flush: for each bucket its keys and ids, and the groups of hot keys."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(keys)))
+    keep = np.ones(len(keys), bool)
+    for b, n in zip(begins[sizes > hot].tolist(), sizes[sizes > hot].tolist()):
+        keep[b + 1 : b + n] = False
+        yield {"key": int(keys[b].view(np.int64)), "group": np.unique(ids[b : b + n]).tolist()}
+    keys, ids = keys[keep], ids[keep]
+    bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(keys)] if len(keys) else [0]
+    for a, b in zip(edges, edges[1:]):
+        yield {"bucket": int(bucket[a]), "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0))), "ids": _planes(ids[a:b])}
+
+
+def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
+    """Rows of documents (id, n, sketch, or same: the id of an equal document sent instead), of buckets and of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, first = _shingler(p.words), {}
+        keys: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if keys:
+                rows = list(_sent(np.concatenate(keys), np.concatenate(ids), bucket_bits, p.hot))
+                keys.clear()
+                ids.clear()
+                yield pa.RecordBatch.from_pylist(rows, _PRINTS)
+
         for b in batches:
-            ids, sizes, same, keys, sketches = b.column(0).to_pylist(), [], [], [], []
-            for i, s in zip(ids, shingler.sets(b.column(1).to_pylist())):
-                sizes.append(len(s))
-                other, send = None, i is not None and len(s) > 0
-                if send:
+            rows = []
+            for i, s in zip(b.column(0).to_pylist(), shingler.sets(b.column(1).to_pylist())):
+                row = {"id": i, "n": len(s)}
+                if i is not None and len(s):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if len(first) >= REMEMBERED:
                         first.clear()
                     if digest in first:
-                        other, send = first[digest], False
+                        row["same"] = first[digest]
                     else:
                         first[digest] = i
-                same.append(other)
-                keys.append(keys_of(s, p).view(np.int64) if send else None)
-                sketches.append(sketch_of(s) if send else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(same, b.schema.field(0).type), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "n", "same", "keys", "sketch"])
+                        row["sketch"] = sketch_of(s)
+                        keys.append(keys_of(s, p))
+                        ids.append(np.full(len(keys[-1]), i, np.int64))
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, _PRINTS)
+            if len(keys) >= p.flush or sum(map(len, keys)) > 2_000_000:
+                yield from flush()
+        yield from flush()
+
+    return docs.mapInArrow(run, _PRINTS_DDL)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (key, ids) of the keys of whole buckets that two or more documents share, equal groups once."""
+    parts: dict[int, list[tuple[bytes, bytes]]] = {}
+    for b in batches:
+        for bucket, keys, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+            parts.setdefault(bucket, []).append((keys, ids))
+    for bucket in sorted(parts):
+        some = parts.pop(bucket)
+        keys = np.concatenate([np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k, _ in some])
+        ids = np.concatenate([_unplanes(i, np.int64) for _, i in some])
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        keep = new | np.concatenate([[True], ids[1:] != ids[:-1]])  # an id once for each key
+        keys, ids, new = keys[keep], ids[keep], new[keep]
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(keys)))
+        mark = np.add.reduceat(_mix(ids.view(np.uint64), 9), begins)
+        begins, sizes, mark = begins[sizes > 1], sizes[sizes > 1], mark[sizes > 1]
+        _, at = np.unique(mark, return_index=True)
+        for k in range(0, len(at), 4096):
+            chosen = at[k : k + 4096]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[begins[chosen]].view(np.int64)), pa.array([ids[x : x + n] for x, n in zip(begins[chosen].tolist(), sizes[chosen].tolist())], pa.list_(pa.int64()))],
+                names=["key", "group"],
+            )
+
+
+def _compared(num: int, den: int):
+    """Pairs within a key, across components, whose sizes and sketches allow a link. Rows come sorted by key."""
+
+    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+        ids, comps, n = (np.array([r[i] for r in group], np.int64) for i in (1, 2, 3))
+        bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
+        ones = bits.sum(axis=1)
+        apart = (ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
+        total = n[:, None] + n[None, :]
+        may = (den * (total - apart) >= num * (total + apart)) & (den * np.minimum(n[:, None], n) >= num * np.maximum(n[:, None], n)) & (comps[:, None] != comps) & (ids[:, None] > ids)
+        return list(zip(*(ids[x].tolist() for x in np.nonzero(may)))) if may.any() else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if group and group[0][0] != row[0]:
+                    out += pairs(group)
+                    group = []
+                group.append(row)
+            yield _pair_batch(out)
+        yield _pair_batch(pairs(group) if group else [])
+
+    return run
 
-    return docs.mapInArrow(run, f"id {kind}, n bigint, same {kind}, keys array<bigint>, sketch binary")
+
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 class Bitmap:
@@ -247,15 +367,21 @@ class _Join:
     def __init__(self, docs: DataFrame, p: Params):
         self.docs, self.p = docs, p
         self.num, self.den = F.lit(p.num), F.lit(p.den)
-        self.prints = saved(_prints(docs, p), "prints")
-        self.info = self.prints.where("keys is not null").select("id", "n", "sketch")
-
-    def members(self) -> DataFrame:
-        """(key, id) of all keys that two or more documents have."""
-        every = self.prints.where("keys is not null").select("id", F.explode("keys").alias("key"))
-        groups = saved(every.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key"), "keys")
-        maybe = every.where(Bitmap(groups, "key").maybe("key"))
-        return saved(maybe.join(groups, "key"), "members")
+        # about a million keys to a bucket, at a hundred or so for each document
+        self.bucket_bits = max(4, min(22, (docs.count() // 8192).bit_length()))
+        self.prints = saved(_prints(docs, p, self.bucket_bits), "prints")
+        self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
+
+    def groups(self) -> DataFrame:
+        """(key, group): documents that share a key; a hot key has several groups."""
+        sent = self.prints.where("keys is not null").select("bucket", "keys", "ids")
+        met = saved(sent.repartition(1 << min(self.bucket_bits, 14), "bucket").mapInArrow(_met, "key bigint, group array<bigint>"), "met")
+        hot = self.prints.where("group is not null").select("key", "group")
+        once = met.groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
+        # a group of first documents of a hot key must keep that key, so it is not merged with equal ones
+        hot_keys = hot.select("key").distinct()
+        kept = met.join(hot_keys, "key", "left_semi")
+        return saved(once.unionByName(kept).unionByName(hot), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -265,28 +391,31 @@ class _Join:
         if close.isEmpty():
             return close
         ids = saved(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct(), "ids")
-        chosen = self.docs.where(Bitmap(ids, "id").maybe("id"))
-        words = self.p.words
+        sets = self.per_document(ids, "shingles binary", lambda s: s.tobytes(), pa.binary()).groupBy("id").agg(F.min("shingles").alias("shingles"))
+        sets = saved(sets, "shingles")
+        sa, sb = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
+        return saved(close.join(sa, "a").join(sb, "b").where(F.pandas_udf(_linked, "boolean")("xa", "xb", self.num, self.den)).select("a", "b"), "verified")
+
+    def per_document(self, ids: DataFrame, ddl: str, value, kind: pa.DataType) -> DataFrame:
+        """value(shingle set) of every document with one of the ids."""
+        words, name = self.p.words, ddl.split()[0]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 sets = _shingler(words).sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([value(s) for s in sets], kind)], names=["id", name])
 
-        kind = self.docs.schema["id"].dataType.simpleString()
-        sets = chosen.mapInArrow(run, f"id {kind}, shingles binary").join(ids, "id", "left_semi")
-        sets = saved(sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
-        sa, sb = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
-        return saved(close.join(sa, "a").join(sb, "b").where(F.pandas_udf(_linked, "boolean")("xa", "xb", self.num, self.den)).select("a", "b"), "verified")
+        return self.docs.where(Bitmap(ids, "id").maybe("id")).mapInArrow(run, f"id bigint, {ddl}").join(ids, "id", "left_semi")
 
     def run(self) -> DataFrame:
-        members = self.members()
+        groups = self.groups()
         same = self.prints.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))
-        leaders = members.groupBy("key").agg(F.min("id").alias("b"))
-        pairs = members.join(leaders, "key").where("id <> b").select(F.col("id").alias("a"), "b")
-        links = self.verified(pairs).unionByName(same)
+        leaders = groups.groupBy("key").agg(F.min(F.array_min("group")).alias("b"))
+        pairs = groups.join(leaders, "key").select(F.explode("group").alias("a"), "b").where("a <> b").distinct()
+        tried = saved(pairs, "pairs")
+        links = self.verified(tried).unionByName(same)
         found = components(links)
-        tried = pairs.distinct()
+        members = groups.select("key", F.explode("group").alias("id"))
         for turn in range(self.p.leaders):
             left = self.unsettled(members, found)
             if left is None:
@@ -296,10 +425,9 @@ class _Join:
             met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             tried = tried.unionByName(met)
             links, found = self.more(links, met, found)
+            members = left.select("key", "id")
         left = self.unsettled(members, found)
-        if left is None:
-            return found
-        return self.rest(left, links, tried, found)
+        return found if left is None else self.rest(left, links, tried, found)
 
     def more(self, links: DataFrame, pairs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = self.verified(pairs)
@@ -310,37 +438,39 @@ class _Join:
 
     def unsettled(self, members: DataFrame, found: DataFrame) -> DataFrame | None:
         """(key, id, component) of the keys whose documents lie in two components or more; None without any."""
-        placed = members.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = saved(placed.select("key", "id", "component"), "placed")
+        placed = members.distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        placed = saved(placed, "placed")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        left = saved(placed.join(saved(keys, "keys"), "key"), "left")
+        left = saved(placed.join(keys, "key"), "left")
         return None if left.isEmpty() else left
 
     def rest(self, left: DataFrame, links: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs across components, within the keys; keys of many documents are split by further keys first."""
+        p = self.p
         for depth in range(4):
-            sizes = saved(left.groupBy("key").agg(F.count("*").alias("size")), "sizes")
-            sized = left.join(sizes, "key")
-            large = sized.where(F.col("size") > self.p.small)
-            met = self.across(sized.where(F.col("size") <= self.p.small), tried)
+            sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+            sized = saved(left.join(sizes, "key"), "sized")
+            large = sized.where(F.col("size") > p.small)
+            # after three splits, documents share four keys and still differ: they are compared whatever their number
+            met = self.across(sized.where(F.col("size") <= p.small) if depth < 3 else sized, tried)
             links, found = self.more(links, met, found)
-            if depth == 3:
-                # documents that share four keys and still differ: every pair has to be tested
-                links, found = self.more(links, self.across(large, tried), found)
+            if depth == 3 or large.isEmpty():
                 break
             # linked documents share at least two keys, so they also share a pair of keys
-            further = self.prints.where("keys is not null").select("id", F.explode("keys").alias("other"))
-            split = large.select("key", "id").join(further, "id").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "id")
-            keys = saved(split.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key"), "keys")
-            next_left = self.unsettled(split.join(keys, "key"), found)
+            ids = saved(large.select("id").distinct(), "ids")
+            further = self.per_document(ids, "others array<bigint>", lambda s: keys_of(s, p).view(np.int64), pa.list_(pa.int64()))
+            split = large.select("key", "id").join(further, "id").select("key", "id", F.explode("others").alias("other")).where("key <> other").select(F.xxhash64("key", "other").alias("key"), "id")
+            shared = split.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
+            next_left = self.unsettled(split.join(shared, "key"), found)
             if next_left is None:
                 break
             left = next_left
         return found
 
     def across(self, sized: DataFrame, tried: DataFrame) -> DataFrame:
-        a, b = sized.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), sized.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        return saved(a.join(b, "key").where("a > b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        rows = sized.join(self.info, "id").select("key", "id", "component", "n", "sketch")
+        met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(self.p.num, self.p.den), "a bigint, b bigint")
+        return saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
 
 
 def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,5 +479,28 @@ def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     j = _Join(docs, p)
     found = j.run()
-    sizes = j.prints.select("id", F.col("n").alias("n_shingles"))
+    sizes = j.prints.where("n is not null").select("id", F.col("n").alias("n_shingles"))
     return sizes.join(found, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def representatives(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay when one document of each component does, with all their columns.
+
+    The smallest id of a component stays; rows that repeat an id stay as one row. Rows with a null id and rows
+    without shingles link with nothing and stay.
+    """
+    found = join(df, p, id_col, text_col)
+    # only removed ids are matched, and only documents that have one are shuffled
+    gone = saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("bigint").alias("__gone")).distinct(), "gone")
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).cast("bigint").alias("__gone"))
+    repeated = saved(repeated, "repeated")
+    ids = F.col(id_col).cast("bigint")
+    here = df.withColumn("__id", ids)
+    maybe = Bitmap(gone, "__gone").maybe("__id")
+    rest = here.where(~F.coalesce(maybe, F.lit(False)))
+    sure = here.where(F.coalesce(maybe, F.lit(False))).join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    kept = rest.unionByName(sure)
+    if not repeated.isEmpty():
+        twice = kept.join(repeated, F.col("__id") == F.col("__gone"), "left_semi").dropDuplicates(["__id"])
+        kept = kept.join(repeated, F.col("__id") == F.col("__gone"), "left_anti").unionByName(twice)
+    return kept.drop("__id")
