@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, chat, jaccard, langid, media, packing, quality, simhash, toxicity
+from lexispark.llm import bpe, chat, jaccard, langid, media, packing, quality, sharding, simhash, toxicity
 from lexispark.llm.common import prepare, remainder, saved, table
 
 
@@ -18,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -61,8 +65,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": sharding.oracle()}
