@@ -16,9 +16,8 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
    shingles are fetched and the similarity is verified exactly. A key that very many documents of a task share is
    sent once by that task, and its documents stay where they are, as a group beside it.
 3. Rest. Links give components. A key whose documents lie in one component is settled. The others are tried again
-   with other leaders; what remains unsettled is compared by sketches across components within the key, and only
-   pairs that may link are emitted and verified. Keys of more than `small` documents are first split by a second
-   key, which linked documents also share.
+   with other leaders; what remains unsettled is compared by sketches across components within the key, in tasks of
+   one or two chunks of bounded size, and only pairs that may link are emitted and verified. No pair is left out.
 
 Equal documents of one task are sent once. Shingles of candidates come from a further pass over the texts, filtered
 by a bitmap of the candidates' ids whose size is bounded; its false hits cost work and no rows.
@@ -61,8 +60,8 @@ class Params:
     den: int = 100
     #: Sizes of a band's largest set over its smallest.
     ratio: float = 1.5
-    #: Unsettled keys of so many documents are compared whole; larger ones are split first.
-    small: int = 512
+    #: Documents of an unsettled key that are compared at a time; a larger key is compared by pairs of chunks.
+    chunk: int = 2048
     #: Rounds with other leaders before that.
     leaders: int = 2
     #: Documents that a task sketches at a time; a key that more than `hot` of them share is sent once.
@@ -282,23 +281,32 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _compared(num: int, den: int):
-    """Pairs within a key, across components, whose sizes and sketches allow a link. Rows come sorted by key."""
+def _compared(num: int, den: int, block: int = 256):
+    """Pairs of one task, across components, whose sizes and sketches allow a link. Rows come sorted by task.
+
+    A row's own chunk and whether the task holds two chunks say which pairs are the task's.
+    """
 
     def pairs(group: list[tuple]) -> list[tuple[int, int]]:
-        ids, comps, n = (np.array([r[i] for r in group], np.int64) for i in (1, 2, 3))
+        ids, comps, n, own = (np.array([r[i] for r in group], np.int64) for i in (1, 2, 3, 5))
         bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
-        ones = bits.sum(axis=1)
-        apart = (ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
-        total = n[:, None] + n[None, :]
-        may = (den * (total - apart) >= num * (total + apart)) & (den * np.minimum(n[:, None], n) >= num * np.maximum(n[:, None], n)) & (comps[:, None] != comps) & (ids[:, None] > ids)
-        return list(zip(*(ids[x].tolist() for x in np.nonzero(may)))) if may.any() else []
+        ones, out = bits.sum(axis=1), []
+        for k in range(0, len(group), block):
+            x = slice(k, k + block)
+            apart = (ones[x, None] + ones - 2 * (bits[x] @ bits.T)).astype(np.int64)
+            total = n[x, None] + n
+            may = (den * (total - apart) >= num * (total + apart)) & (den * np.minimum(n[x, None], n) >= num * np.maximum(n[x, None], n)) & (comps[x, None] != comps) & (ids[x, None] > ids)
+            if group[0][6]:
+                may &= own[x, None] != own
+            a, b = np.nonzero(may)
+            out += zip(ids[x][a].tolist(), ids[b].tolist())
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for b in batches:
             out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
                 if group and group[0][0] != row[0]:
                     out += pairs(group)
                     group = []
@@ -370,6 +378,7 @@ class _Join:
         # about a million keys to a bucket, at a hundred or so for each document
         self.bucket_bits = max(4, min(22, (docs.count() // 8192).bit_length()))
         self.prints = saved(_prints(docs, p, self.bucket_bits), "prints")
+        #: n and sketch of each document that was sent
         self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
 
     def groups(self) -> DataFrame:
@@ -424,8 +433,10 @@ class _Join:
             met = left.join(leader, "key").where("component <> l.component").select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b"))
             met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             tried = tried.unionByName(met)
+            members, before = left.select("key", "id"), found
             links, found = self.more(links, met, found)
-            members = left.select("key", "id")
+            if found is before:
+                return self.rest(left, links, tried, found)
         left = self.unsettled(members, found)
         return found if left is None else self.rest(left, links, tried, found)
 
@@ -445,32 +456,16 @@ class _Join:
         return None if left.isEmpty() else left
 
     def rest(self, left: DataFrame, links: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs across components, within the keys; keys of many documents are split by further keys first."""
-        p = self.p
-        for depth in range(4):
-            sizes = left.groupBy("key").agg(F.count("*").alias("size"))
-            sized = saved(left.join(sizes, "key"), "sized")
-            large = sized.where(F.col("size") > p.small)
-            # after three splits, documents share four keys and still differ: they are compared whatever their number
-            met = self.across(sized.where(F.col("size") <= p.small) if depth < 3 else sized, tried)
-            links, found = self.more(links, met, found)
-            if depth == 3 or large.isEmpty():
-                break
-            # linked documents share at least two keys, so they also share a pair of keys
-            ids = saved(large.select("id").distinct(), "ids")
-            further = self.per_document(ids, "others array<bigint>", lambda s: keys_of(s, p).view(np.int64), pa.list_(pa.int64()))
-            split = large.select("key", "id").join(further, "id").select("key", "id", F.explode("others").alias("other")).where("key <> other").select(F.xxhash64("key", "other").alias("key"), "id")
-            shared = split.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
-            next_left = self.unsettled(split.join(shared, "key"), found)
-            if next_left is None:
-                break
-            left = next_left
-        return found
-
-    def across(self, sized: DataFrame, tried: DataFrame) -> DataFrame:
-        rows = sized.join(self.info, "id").select("key", "id", "component", "n", "sketch")
-        met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_compared(self.p.num, self.p.den), "a bigint, b bigint")
-        return saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        """Every pair across components within a key; a key of many documents is compared chunk by chunk."""
+        sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+        chunks = F.ceil(F.col("size") / self.p.chunk).cast("int")
+        rows = left.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), chunks).cast("int"))
+        rows = rows.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "component", "own", (F.col("own") != F.col("other")).alias("two"))
+        whole = rows.join(self.info, "id").select("task", "id", "component", "n", "sketch", "own", "two")
+        met = whole.repartition("task").sortWithinPartitions("task").mapInArrow(_compared(self.p.num, self.p.den), "a bigint, b bigint")
+        met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        return self.more(links, met, found)[1]
 
 
 def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
