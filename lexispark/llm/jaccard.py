@@ -63,7 +63,7 @@ class Params:
     #: Documents of an unsettled key that are compared at a time; a larger key is compared by pairs of chunks.
     chunk: int = 2048
     #: Rounds with other leaders before that.
-    leaders: int = 2
+    leaders: int = 1
     #: Documents that a task sketches at a time; a key that more than `hot` of them share is sent once.
     flush: int = 4096
     hot: int = 64
@@ -203,15 +203,20 @@ def _sent(keys: np.ndarray, ids: np.ndarray, bucket_bits: int, hot: int) -> Iter
     keys, ids = keys[order], ids[order]
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begins, len(keys)))
-    keep = np.ones(len(keys), bool)
+    keep, first = np.ones(len(keys), bool), np.zeros(len(keys), bool)
     for b, n in zip(begins[sizes > hot].tolist(), sizes[sizes > hot].tolist()):
-        keep[b + 1 : b + n] = False
+        keep[b : b + n], first[b] = False, True
         yield {"key": int(keys[b].view(np.int64)), "group": np.unique(ids[b : b + n]).tolist()}
-    keys, ids = keys[keep], ids[keep]
+    yield from _buckets(keys[keep], ids[keep], bucket_bits, None)
+    yield from _buckets(keys[first], ids[first], bucket_bits, 1)
+
+
+def _buckets(keys: np.ndarray, ids: np.ndarray, bucket_bits: int, hot: int | None) -> Iterator[dict]:
+    """Rows of sorted keys, cut at the buckets' edges; hot: 1 where other documents of these keys stayed behind."""
     bucket = (keys >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(keys), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() + [len(keys)] if len(keys) else [0]
     for a, b in zip(edges, edges[1:]):
-        yield {"bucket": int(bucket[a]), "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0))), "ids": _planes(ids[a:b])}
+        yield {"bucket": int(bucket[a]), "same": hot, "keys": _planes(np.diff(keys[a:b], prepend=np.uint64(0))), "ids": _planes(ids[a:b])}
 
 
 def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
@@ -254,31 +259,47 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (key, ids) of the keys of whole buckets that two or more documents share, equal groups once."""
-    parts: dict[int, list[tuple[bytes, bytes]]] = {}
+    """Groups (key, ids, hot) of the keys of whole buckets that two or more documents share.
+
+    A group within another one of its bucket says nothing new and goes; a hot key's group stays, as its key matters.
+    """
+    parts: dict[int, list[tuple[bytes, bytes, int | None]]] = {}
     for b in batches:
-        for bucket, keys, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
-            parts.setdefault(bucket, []).append((keys, ids))
+        for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
+            parts.setdefault(bucket, []).append(tuple(row))
     for bucket in sorted(parts):
         some = parts.pop(bucket)
-        keys = np.concatenate([np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k, _ in some])
-        ids = np.concatenate([_unplanes(i, np.int64) for _, i in some])
+        each = [np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k, _, _ in some]
+        keys, ids = np.concatenate(each), np.concatenate([_unplanes(i, np.int64) for _, i, _ in some])
+        warm = np.concatenate([np.full(len(k), h == 1) for k, (_, _, h) in zip(each, some)])
         order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        keep = new | np.concatenate([[True], ids[1:] != ids[:-1]])  # an id once for each key
-        keys, ids, new = keys[keep], ids[keep], new[keep]
-        begins = np.flatnonzero(new)
+        keys, ids, warm = keys[order], ids[order], warm[order]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        hot = np.logical_or.reduceat(warm, begins)
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])  # an id once for each key
+        keys, ids = keys[new], ids[new]
+        begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(begins, len(keys)))
         mark = np.add.reduceat(_mix(ids.view(np.uint64), 9), begins)
-        begins, sizes, mark = begins[sizes > 1], sizes[sizes > 1], mark[sizes > 1]
-        _, at = np.unique(mark, return_index=True)
-        for k in range(0, len(at), 4096):
-            chosen = at[k : k + 4096]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[begins[chosen]].view(np.int64)), pa.array([ids[x : x + n] for x, n in zip(begins[chosen].tolist(), sizes[chosen].tolist())], pa.list_(pa.int64()))],
-                names=["key", "group"],
-            )
+        shared = sizes > 1
+        _, one = np.unique(mark[shared & ~hot], return_index=True)
+        plain = np.flatnonzero(shared & ~hot)[one]
+        rows = [(int(keys[begins[g]].view(np.int64)), ids[begins[g] : begins[g] + sizes[g]], True) for g in np.flatnonzero(shared & hot).tolist()]
+        holders: dict[int, set[int]] = {}  # an id -> the groups kept so far that hold it
+        for g in plain[np.argsort(-sizes[plain], kind="stable")].tolist():
+            own = ids[begins[g] : begins[g] + sizes[g]].tolist()
+            within = holders.get(own[0], set())
+            for i in own[1:]:
+                if not within:
+                    break
+                within = within & holders.get(i, set())
+            if not within:
+                for i in own:
+                    holders.setdefault(i, set()).add(g)
+                rows.append((int(keys[begins[g]].view(np.int64)), own, False))
+        for k in range(0, len(rows), 4096):
+            key, group, is_hot = zip(*rows[k : k + 4096])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(group, pa.list_(pa.int64())), pa.array(is_hot, pa.bool_())], names=["key", "group", "hot"])
 
 
 def _compared(num: int, den: int, block: int = 256):
@@ -383,14 +404,13 @@ class _Join:
 
     def groups(self) -> DataFrame:
         """(key, group): documents that share a key; a hot key has several groups."""
-        sent = self.prints.where("keys is not null").select("bucket", "keys", "ids")
-        met = saved(sent.repartition(1 << min(self.bucket_bits, 14), "bucket").mapInArrow(_met, "key bigint, group array<bigint>"), "met")
-        hot = self.prints.where("group is not null").select("key", "group")
-        once = met.groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
-        # a group of first documents of a hot key must keep that key, so it is not merged with equal ones
-        hot_keys = hot.select("key").distinct()
-        kept = met.join(hot_keys, "key", "left_semi")
-        return saved(once.unionByName(kept).unionByName(hot), "groups")
+        sent = self.prints.where("keys is not null").select("bucket", "keys", "ids", "same")
+        met = sent.repartition(1 << min(self.bucket_bits, 14), "bucket").mapInArrow(_met, "key bigint, group array<bigint>, hot boolean")
+        met = saved(met, "met")
+        once = met.where("not hot").groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
+        # a group of first documents of a hot key keeps that key, which its other documents have too
+        behind = self.prints.where("group is not null").select("key", "group")
+        return saved(once.unionByName(met.where("hot").select("key", "group")).unionByName(behind), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
