@@ -43,44 +43,48 @@ def paragraphs(text: Column, separators: Sequence[str] = ("\n\n", ";\n")) -> Col
     return F.flatten(F.transform(outer, lambda p: trimmed(F.split(p, second))))
 
 
-def children(text: Column, c: Chunking) -> Column:
-    """array<struct<child_idx, child_text>>: paragraphs within the limits, and slices of longer ones.
+def paragraph_words(text: Column, c: Chunking) -> Column:
+    """array<struct<text, ws>>: paragraphs with their words, so that words are split once."""
+    return F.transform(paragraphs(text, c.separators), lambda p: F.struct(p.alias("text"), words(p).alias("ws")))
 
-    A paragraph's child_idx is its place among the paragraphs; a slice's is its place among the children.
+
+def children(paras: Column, c: Chunking) -> Column:
+    """array<struct<child_idx, child_text, n>> of paragraph_words(): paragraphs within the limits, and slices of longer ones.
+
+    A paragraph's child_idx is its place among the paragraphs; a slice's is its place among the children. n: words.
     """
 
     def pieces(p: Column, i: Column) -> Column:
-        w = words(p)
-        n = F.size(w)
-        slices = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(c.child_max)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(c.child_max)), " "))
-        kept = F.filter(slices, lambda s: word_count(s) >= c.child_min)
-        own = lambda t, k: F.struct(k.alias("para"), t.alias("text"))
+        n = F.size(p["ws"])
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(c.child_max)), lambda s: F.least(n - s, F.lit(c.child_max)) >= c.child_min)
+        own = lambda t, k, m: F.struct(k.cast("int").alias("para"), t.alias("text"), m.cast("int").alias("n"))
         return (
-            F.when((n >= c.child_min) & (n <= c.child_max), F.array(own(p, i)))
-            .when(n > c.child_max, F.transform(kept, lambda s: own(s, F.lit(None).cast("int"))))
-            .otherwise(F.array().cast("array<struct<para:int,text:string>>"))
+            F.when((n >= c.child_min) & (n <= c.child_max), F.array(own(p["text"], i, n)))
+            .when(n > c.child_max, F.transform(starts, lambda s: own(F.array_join(F.slice(p["ws"], s + 1, F.lit(c.child_max)), " "), F.lit(None), F.least(n - s, F.lit(c.child_max)))))
+            .otherwise(F.array().cast("array<struct<para:int,text:string,n:int>>"))
         )
 
-    flat = F.flatten(F.transform(paragraphs(text, c.separators), pieces))
-    return F.transform(flat, lambda x, i: F.struct(F.coalesce(x["para"], i).alias("child_idx"), x["text"].alias("child_text")))
+    return F.transform(F.flatten(F.transform(paras, pieces)), lambda x, i: F.struct(F.coalesce(x["para"], i).alias("child_idx"), x["text"].alias("child_text"), x["n"].alias("n")))
 
 
-def parents(text: Column, article_id: Column, c: Chunking) -> Column:
-    """array<struct<parent_id, parent_text, children>>: groups of children; a text without any is one parent and child."""
-    kids = children(text, c)
+def parents(kids: Column, text: Column, article_id: Column, c: Chunking) -> Column:
+    """array<struct<parent_id, parent_text, children>> of a children() column; a text without any is one parent and child."""
     step = c.children_per_parent - (1 if c.parent_overlap else 0)
     joined = lambda g: F.array_join(F.transform(g, lambda x: x["child_text"]), "\n\n")
+    name = lambda number: F.concat(article_id.cast("string"), F.lit("_p"), number.cast("string"))
+
+    def size(i: Column) -> Column:
+        """Children of the group that begins at i: two where all would be too many words."""
+        total = F.aggregate(F.slice(kids, i + 1, F.lit(c.children_per_parent)), F.lit(0), lambda s, x: s + x["n"])
+        return F.when(total > c.parent_max, 2).otherwise(c.children_per_parent)
 
     def group(i: Column, number: Column) -> Column:
-        full = F.slice(kids, i + 1, F.lit(c.children_per_parent))
-        # a parent that is too long keeps its first two children
-        g = F.when(word_count(joined(full)) > c.parent_max, F.slice(full, 1, 2)).otherwise(full)
-        return F.struct(F.concat(article_id.cast("string"), F.lit("_p"), number.cast("string")).alias("parent_id"), joined(g).alias("parent_text"), g.alias("children"))
+        g = F.slice(kids, i + 1, size(i))
+        return F.struct(name(number).alias("parent_id"), joined(g).alias("parent_text"), g.alias("children"))
 
-    starts = F.sequence(F.lit(0), F.size(kids) - 1, F.lit(step))
     whole = F.coalesce(text, F.lit(""))
-    fallback = F.array(F.struct(F.concat(article_id.cast("string"), F.lit("_p0")).alias("parent_id"), whole.alias("parent_text"), F.array(F.struct(F.lit(0).alias("child_idx"), whole.alias("child_text"))).alias("children")))
-    return F.when(F.size(kids) == 0, fallback).otherwise(F.transform(starts, group))
+    alone = F.array(F.struct(name(F.lit(0)).alias("parent_id"), whole.alias("parent_text"), F.array(F.struct(F.lit(0).alias("child_idx"), whole.alias("child_text"), F.lit(0).alias("n"))).alias("children")))
+    return F.when(F.size(kids) == 0, alone).otherwise(F.transform(F.sequence(F.lit(0), F.size(kids) - 1, F.lit(step)), group))
 
 
 def tokens(text: Column, stop_words: Sequence[str] = (), min_length: int = 2) -> Column:

@@ -129,7 +129,7 @@ def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_children(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(T.children(F.col("text"), LINES)).alias("pos", "c")).select("doc_id", "pos", F.col("c.child_idx").alias("child_idx"), F.col("c.child_text").alias("child_text"))
+    return d.select("doc_id", F.posexplode(T.children(T.paragraph_words(F.col("text"), LINES), LINES)).alias("pos", "c")).select("doc_id", "pos", F.col("c.child_idx").alias("child_idx"), F.col("c.child_text").alias("child_text"))
 
 
 def _parents(c: Chunking) -> Callable[[SparkSession, str], DataFrame]:
