@@ -21,7 +21,7 @@ def similarity(a: Column, b: Column, distance: str = "Cosine") -> Column:
         return dot(a, b)
     if distance == "Euclid":
         square = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-        return -F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
+        return F.lit(0.0) - F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x))
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-12))
 
 

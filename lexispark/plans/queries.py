@@ -232,7 +232,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # SQL. Words are runs of characters other than white space.
 
-_WORDS = r"list_filter(regexp_split_to_array({0}, '[\s\x{{00a0}}]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\s\x{{00a0}}]+'), lambda w: w <> '')"
 
 
 def _tf(source: str, key: str, text: str, least: int = 2, stops: tuple[str, ...] = ()) -> str:
@@ -253,7 +253,7 @@ sparse_hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY scor
 
 
 def _dense_sql(distance: str, k: int, points: str = "(SELECT vec_id AS point_id, embedding FROM embeddings)", least: bool = True, name: str = "dense_hits") -> str:
-    expression = {"Cosine": "list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])", "Dot": "list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])", "Euclid": "-list_distance(q.embedding::DOUBLE[], p.embedding::DOUBLE[])"}[distance]
+    expression = {"Cosine": "list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])", "Dot": "list_inner_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[])", "Euclid": "0.0 - list_distance(q.embedding::DOUBLE[], p.embedding::DOUBLE[])"}[distance]
     cut = "WHERE score >= 0" if least and distance != "Euclid" else ""
     return f"""{name}_all AS (SELECT q.point_id AS query_id, p.point_id, {expression} AS score FROM {points} q, {points} p WHERE q.point_id % 100 = 0),
 {name} AS (SELECT query_id, point_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM {name}_all {cut} QUALIFY rank <= {k})"""
@@ -279,7 +279,7 @@ def _children_sql() -> str:
     """CTEs: paras(id, para, text), kids(id, pos, child_idx, child_text)."""
     w = lambda t: _WORDS.format(t)
     trim = r"regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')".replace("{{", "{").replace("}}", "}")
-    return f"""split AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), x -> {trim.replace("{0}", "x")}), x -> x <> '') AS ps FROM documents),
+    return f"""split AS (SELECT doc_id AS id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim.replace("{0}", "x")}), lambda x: x <> '') AS ps FROM documents),
 paras AS (SELECT id, unnest(range(len(ps))) AS para, unnest(ps) AS text FROM split),
 counted AS (SELECT *, {w("text")} AS ws FROM paras),
 pieces AS (
@@ -321,7 +321,7 @@ good AS (SELECT query_id, rank FROM h JOIN q USING (query_id, item_id)),
 m AS (SELECT query_id, CAST(k AS INTEGER) AS k,
   round(coalesce(sum(CASE WHEN rank <= k THEN 1.0 END), 0)::DOUBLE / any_value(n), 6) AS recall,
   round(coalesce(1.0::DOUBLE / min(CASE WHEN rank <= k THEN rank END), 0), 6) AS mrr,
-  round(coalesce(sum(CASE WHEN rank <= k THEN 1 / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(n), k) + 1), i -> 1 / log2(i + 1))), 6) AS ndcg
+  round(coalesce(sum(CASE WHEN rank <= k THEN 1 / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(any_value(n), k) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg
   FROM sizes CROSS JOIN ks LEFT JOIN good USING (query_id) GROUP BY query_id, k)"""
 
 _ART = "(SELECT doc_id AS article_id, CAST(doc_id AS VARCHAR) AS article_num, string_split(text, chr(10))[1] AS article_title, text AS article_text, source AS codex FROM documents)"
