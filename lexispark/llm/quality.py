@@ -120,7 +120,7 @@ def _rows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float = 4.0, batch: int = 32, seed: int = 7) -> Model:
+def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float = 4.0, batch: int = 32, min_steps: int = 400, seed: int = 7) -> Model:
     """A model of (text, label) pairs; both classes weigh alike."""
     y = np.array([label for _, label in data], np.int64)
     if not len(y) or y.min() == y.max():
@@ -131,6 +131,8 @@ def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float
     out = rng.uniform(-0.1, 0.1, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (len(y) - y.sum())).astype(np.float32)
+    # a small sample is passed over more often, for enough steps
+    epochs = max(epochs, -(-min_steps // -(-len(y) // batch)))
     steps, step = epochs * -(-len(y) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
