@@ -22,7 +22,8 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
 Equal documents of one task are sent once. Shingles of candidates come from a further pass over the texts, filtered
 by a bitmap of the candidates' ids whose size is bounded; its false hits cost work and no rows.
 
-Ids are integers and name one text each; of rows that repeat an id with other texts, one text stands for all.
+Ids are integers. Rows that repeat an id with other texts are documents of their own, under keys that are no ids; a
+component is still named by its smallest id, so two components have one name where that id has unlinked texts.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; fewer words than the
 shingle's are one shingle; rows with a null id are left out of links and get their size and a null component;
@@ -488,34 +489,76 @@ class _Join:
         return self.more(links, met, found)[1]
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(df with __key, further, repeated): a key names one id and one text, null for a null id.
+
+    The key of an id's first text, by digest, is the id. further (key, id) has the other texts' keys, which lie outside
+    the ids; None where every id has one text. repeated: the ids of two rows or more; None without any.
+    """
+    ids, text = F.col(id_col).cast("bigint"), text_or_empty(text_col)
+    here = df.withColumn("__key", ids)
+    repeated = saved(here.where("__key is not null").groupBy("__key").count().where("count > 1").select(F.col("__key").alias("id")), "repeated")
+    if repeated.isEmpty():
+        return here, None, None
+    many = here.where(F.coalesce(Bitmap(repeated, "id").maybe("__key"), F.lit(False)))
+    texts = saved(many.where("__key is not null").select(F.col("__key").alias("id"), F.sha2(text, 256).alias("digest")).distinct(), "texts")
+    first = texts.groupBy("id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1")
+    others = saved(texts.join(first, "id").where("digest <> first").select("id", "digest"), "texts")
+    n = others.count()
+    if not n:
+        return here, None, repeated
+    low, high = here.agg(F.min("__key"), F.max("__key")).first()
+    begin = high + 1 if high + n < 1 << 63 else low - n
+    if begin < -(1 << 63):
+        raise ValueError("the ids leave no room for the keys of repeated ids with other texts")
+    numbered = others.orderBy("id", "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], begin + x[1]))
+    further = saved(df.sparkSession.createDataFrame(numbered, "id bigint, digest string, key bigint"), "further")
+    maybe = F.coalesce(Bitmap(further, "id").maybe("__key"), F.lit(False))
+    moved = here.where(maybe).withColumn("__digest", F.sha2(text, 256)).join(further, (F.col("__key") == further["id"]) & (F.col("__digest") == further["digest"]), "left")
+    moved = moved.select(*df.columns, F.coalesce(further["key"], F.col("__key")).alias("__key"))
+    return here.where(~maybe).unionByName(saved(moved, "moved")), further.select("key", "id"), repeated
+
+
+def _found(rows: DataFrame, further: DataFrame | None, p: Params, text_col: str) -> tuple[_Join, DataFrame]:
+    """The join of the rows of _keyed(), and (key, component, name): the key and the id of the component's smallest id."""
+    j = _Join(rows.select(F.col("__key").alias("id"), text_or_empty(text_col).alias("text")), p)
+    found = j.run()
+    if further is None:
+        return j, found.select(F.col("id").alias("key"), "component", F.col("component").alias("name"))
+    members = found.withColumnRenamed("id", "key").join(further, "key", "left").select("key", "component", F.coalesce("id", "key").alias("id"))
+    first = members.groupBy("component").agg(F.min(F.struct("id", "key")).alias("m"))
+    return j, saved(members.join(first, "component").select("key", F.col("m.key").alias("component"), F.col("m.id").alias("name")), "found")
+
+
 def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; ids are integers."""
     prepare(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    j = _Join(docs, p)
-    found = j.run()
-    sizes = j.prints.where("n is not null").select("id", F.col("n").alias("n_shingles"))
-    return sizes.join(found, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    rows, further, _ = _keyed(df.select(id_col, text_col), id_col, text_col)
+    j, found = _found(rows, further, p, text_col)
+    sizes = j.prints.where("n is not null").select(F.col("id").alias("key"), F.col("n").alias("n_shingles"))
+    sizes = sizes.withColumn("id", F.col("key")) if further is None else sizes.join(further, "key", "left").withColumn("id", F.coalesce("id", "key"))
+    return sizes.join(found, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("name", "id").alias("component_id"))
 
 
 def representatives(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay when one document of each component does, with all their columns.
 
-    The smallest id of a component stays; rows that repeat an id stay as one row. Rows with a null id and rows
-    without shingles link with nothing and stay.
+    A row with the smallest id of a component stays; rows that repeat an id and its text stay as one row, and rows that
+    repeat an id with another text are documents of their own. Rows with a null id and rows without shingles link with
+    nothing and stay.
     """
-    found = join(df, p, id_col, text_col)
-    # only removed ids are matched, and only documents that have one are shuffled
-    gone = saved(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("bigint").alias("__gone")).distinct(), "gone")
-    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).cast("bigint").alias("__gone"))
-    repeated = saved(repeated, "repeated")
-    ids = F.col(id_col).cast("bigint")
-    here = df.withColumn("__id", ids)
-    maybe = Bitmap(gone, "__gone").maybe("__id")
+    prepare(df.sparkSession)
+    here, further, twice = _keyed(df, id_col, text_col)
+    _, found = _found(here, further, p, text_col)
+    # only removed keys are matched, and only documents that have one are shuffled
+    gone = saved(found.where("component <> key").select(F.col("key").alias("__gone")).distinct(), "gone")
+    maybe = Bitmap(gone, "__gone").maybe("__key")
     rest = here.where(~F.coalesce(maybe, F.lit(False)))
-    sure = here.where(F.coalesce(maybe, F.lit(False))).join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    sure = here.where(F.coalesce(maybe, F.lit(False))).join(gone, F.col("__key") == F.col("__gone"), "left_anti")
     kept = rest.unionByName(sure)
-    if not repeated.isEmpty():
-        twice = kept.join(repeated, F.col("__id") == F.col("__gone"), "left_semi").dropDuplicates(["__id"])
-        kept = kept.join(repeated, F.col("__id") == F.col("__gone"), "left_anti").unionByName(twice)
-    return kept.drop("__id")
+    if twice is not None:
+        repeated = here.where("__key is not null").groupBy("__key").count().where("count > 1").select(F.col("__key").alias("__gone"))
+        repeated = saved(repeated, "repeated")
+        once = kept.join(repeated, F.col("__key") == F.col("__gone"), "left_semi").dropDuplicates(["__key"])
+        kept = kept.join(repeated, F.col("__key") == F.col("__gone"), "left_anti").unionByName(once)
+    return kept.drop("__key")

@@ -183,6 +183,20 @@ def test_jaccard_equals_brute_force(spark, p):
     assert stay.columns == df.columns and {r["doc_id"] for r in stay.collect()} == {i for i in range(len(texts)) if root(i) == i}
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, a), (9, a + " z"), (10, b + " z"), (4, c), (7, c + " z"), (7, d), (8, d + " z"), (6, d), (1, ""), (1, None), (1, "one"), (2, d + " z"), (None, a), (None, a), (2**63 - 1, "last")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, n string").repartition(3)
+    stay = jaccard.representatives(df)
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in stay.collect())
+    assert stay.columns == df.columns
+    assert texts == sorted((str(i), t) for i, t in [(5, a), (5, b), (4, c), (2, d + " z"), (1, ""), (1, "one"), (None, a), (None, a), (2**63 - 1, "last")])
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.join(df).collect())
+    names = [5, 5, 5, 5, 5, 4, 4, 2, 2, 2, 1, 1, 1, 2, None, None, 2**63 - 1]
+    sizes = [max(0, len((t or "").split()) - 2) or int(bool(t)) for _, t in rows]
+    assert got == sorted((str(i), n, str(m)) for (i, _), n, m in zip(rows, sizes, names))
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.join(empty).count() == 0
 
