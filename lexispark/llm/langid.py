@@ -6,7 +6,8 @@ found by spherical k-means over its training vectors. A text gets the language o
 cosine. A text that lies further from every centroid than nearly all training texts do from theirs is rejected:
 `rejected` is true, and with reject=True the prediction is `und`.
 
-Training rows are a bounded sample (per_language, chosen by a hash of the id); prediction covers every row.
+Training rows are a bounded sample (per_language, chosen by a hash of the id) of every language, however many there
+are; prediction covers every row. The sample of all languages and the model are held by the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every text is `und`;
 repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
@@ -26,8 +27,8 @@ from lexispark.llm.common import prepare, remainder, text_or_empty
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
-#: Training rows of each language, and languages, at most.
-PER_LANGUAGE, MOST_LANGUAGES = 300, 400
+#: Training rows of each language at most.
+PER_LANGUAGE = 300
 
 
 @lru_cache(maxsize=1)
@@ -109,8 +110,11 @@ def fit(data: list[tuple[str, str]], clusters: int = 4, reject_share: float = 0.
         present += counts(t) > 0
     idf = np.log((1 + len(data)) / (1 + present)) + 1
     rng, owner, centroids, least = np.random.default_rng(seed), [], [], []
+    texts: dict[str, list[str]] = {}
+    for t, y in data:
+        texts.setdefault(y, []).append(t)
     for i, lang in enumerate(languages):
-        x, _ = _vectors([t for t, y in data if y == lang], idf)
+        x, _ = _vectors(texts[lang], idf)
         c = _clusters(x, clusters, rng)
         owner += [i] * len(c)
         centroids.append(c)
@@ -128,7 +132,7 @@ def fitted(docs: DataFrame, held_out: tuple[int, int] | None = None, per_languag
     if held_out:
         rows = rows.where(remainder("id", held_out[0]) != held_out[1])
     rows = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit(23)), F.lit(1_000_000)))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    sizes = rows.groupBy("lang").count()
     bound = sizes.select("lang", (F.lit(2_000_000.0 * per_language) / F.col("count") + 50_000.0 / F.sqrt("count")).alias("bound"))
     few = rows.join(F.broadcast(bound), "lang").where("h <= bound")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))

@@ -221,6 +221,13 @@ def test_languages(spark, odd, empty):
     assert langid.identify(odd, langid.fitted(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, chr(0x4E00 + i % 405) * 9, f"l{i % 405:03}") for i in range(405)] + [(405 + i, "common", "l000") for i in range(5)]
+    model = langid.fitted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == tuple(f"l{i:03}" for i in range(405))
+    assert model.predict([rows[404][1]])[0] == ["l404"]
+
+
 def labelled(spark, bad, good, label):
     rng = random.Random(4)
     fill = [f"{a}{b}" for a in "bcdfglmnpr" for b in ("ala", "oro", "ini", "ume", "ete")]
