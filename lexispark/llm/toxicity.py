@@ -27,21 +27,76 @@ from pyspark.sql import functions as F
 from lexispark.llm.common import prepare, remainder, text_or_empty
 from lexispark.llm.labelled import sample
 
-#: Neutral names of groups, by language; terms of one line may stand for one another.
+#: Neutral names of groups (sex, religion, orientation, origin, migration), by language; terms of one line may stand for
+#: one another. A term of several lines is swapped by the first of them.
 IDENTITY_TERMS = (
+    # English
     ("women", "men", "girls", "boys"),
+    ("woman", "man", "girl", "boy"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("gay", "lesbian", "straight", "bisexual", "transgender"),
-    ("black", "white", "asian", "latino", "african", "european"),
-    ("immigrants", "refugees", "foreigners", "locals"),
+    ("muslim", "christian", "jewish", "jew", "hindu", "buddhist", "atheist"),
+    ("gay", "lesbian", "straight", "bisexual", "transgender", "homosexual", "heterosexual"),
+    ("gays", "lesbians", "bisexuals", "homosexuals", "heterosexuals"),
+    ("black", "white", "asian", "latino", "latina", "african", "european", "arab"),
+    ("blacks", "whites", "asians", "latinos", "latinas", "africans", "europeans", "arabs"),
+    ("immigrants", "refugees", "foreigners", "locals", "migrants"),
+    ("immigrant", "refugee", "foreigner", "local", "migrant"),
+    # German
     ("frauen", "männer", "mädchen", "jungen"),
-    ("muslime", "christen", "juden", "hindus"),
+    ("frau", "mann", "mädchen", "junge"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("moslem", "christ", "jude", "hindu", "buddhist", "atheist"),
+    ("muslimin", "christin", "jüdin", "buddhistin", "atheistin"),
+    ("muslimisch", "christlich", "jüdisch", "hinduistisch", "buddhistisch", "atheistisch"),
+    ("muslimische", "christliche", "jüdische", "hinduistische", "buddhistische", "atheistische"),
+    ("muslimischen", "christlichen", "jüdischen", "hinduistischen", "buddhistischen", "atheistischen"),
+    ("schwul", "lesbisch", "heterosexuell", "bisexuell", "homosexuell"),
+    ("schwule", "lesbische", "heterosexuelle", "bisexuelle", "homosexuelle"),
+    ("schwulen", "lesben", "heterosexuellen", "bisexuellen", "homosexuellen"),
+    ("schwarz", "weiß", "asiatisch", "afrikanisch", "europäisch", "arabisch"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische", "arabische"),
+    ("schwarzen", "weißen", "asiatischen", "afrikanischen", "europäischen", "arabischen"),
+    ("asiaten", "afrikaner", "europäer", "araber"),
+    ("migranten", "einwanderer", "flüchtlinge", "ausländer", "einheimische"),
+    ("migrantin", "einwanderin", "ausländerin", "einheimischer", "flüchtling"),
+    # French
     ("femmes", "hommes", "filles", "garçons"),
-    ("musulmans", "chrétiens", "juifs", "hindous"),
+    ("femme", "homme", "fille", "garçon"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("musulmane", "chrétienne", "juive", "hindoue"),
+    ("chrétiennes", "juives", "hindoues"),
+    ("homosexuel", "hétérosexuel", "bisexuel", "transgenre"),
+    ("homosexuels", "hétérosexuels", "bisexuels", "transgenres"),
+    ("homosexuelle", "hétérosexuelle", "bisexuelle", "lesbienne"),
+    ("homosexuelles", "hétérosexuelles", "bisexuelles", "lesbiennes"),
+    ("noir", "blanc", "asiatique", "africain", "européen", "arabe"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+    ("noire", "blanche", "africaine", "européenne"),
+    ("noires", "blanches", "africaines", "européennes"),
+    ("immigrés", "réfugiés", "étrangers", "migrants"),
+    ("immigré", "réfugié", "étranger", "migrant"),
+    ("immigrée", "réfugiée", "étrangère", "migrante"),
+    ("immigrées", "réfugiées", "étrangères", "migrantes"),
+    # Spanish
     ("mujeres", "hombres", "niñas", "niños"),
-    ("musulmanes", "cristianos", "judíos", "hindúes"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "ateo"),
+    ("musulmana", "cristiana", "judía", "atea"),
+    ("musulmanas", "cristianas", "judías", "ateas"),
+    ("homosexual", "heterosexual", "bisexual", "lesbiana", "transgénero"),
+    ("homosexuales", "heterosexuales", "bisexuales", "lesbianas"),
+    ("negro", "blanco", "asiático", "africano", "europeo", "árabe"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+    ("negra", "blanca", "asiática", "africana", "europea"),
+    ("negras", "blancas", "asiáticas", "africanas", "europeas"),
+    ("inmigrantes", "refugiados", "extranjeros", "migrantes"),
+    ("inmigrante", "refugiado", "extranjero", "migrante"),
+    ("refugiada", "extranjera", "inmigrante"),
+    ("refugiadas", "extranjeras", "inmigrantes"),
 )
+Terms = tuple[tuple[str, ...], ...]
 PREFIXES = (4, 5, 6, 7)
 LEVELS = 3
 _CORE = re.compile(r"\w+")
@@ -86,19 +141,26 @@ def counts_of(text: str, cache: _Cache) -> Counter:
     return out
 
 
-def counterfactuals(text: str) -> list[tuple[str, str]]:
+@lru_cache(maxsize=8)
+def swaps(terms: Terms = IDENTITY_TERMS) -> dict[str, str]:
+    """Each term and the next of its line."""
+    out: dict[str, str] = {}
+    for line in terms:
+        for i, t in enumerate(line):
+            out.setdefault(t, line[(i + 1) % len(line)])
+    return out
+
+
+def counterfactuals(text: str, terms: Terms = IDENTITY_TERMS) -> list[tuple[str, str]]:
     """(sentence, sentence with its identity terms swapped), for each sentence that has any."""
-    out = []
+    out, swap = [], swaps(terms)
     for sentence in _SENTENCE.findall(text.lower()):
-        swapped = _CORE.sub(lambda m: SWAP.get(m[0], m[0]), sentence)
+        swapped = _CORE.sub(lambda m: swap.get(m[0], m[0]), sentence)
         if swapped != sentence:
             out.append((sentence, swapped))
     return out
 
 
-SWAP = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
-
-
 @dataclass(frozen=True)
 class Model:
     """Score = sigmoid(bias + length * log(1 + tokens) + sum of a feature's weights up to its count)."""
@@ -122,7 +184,7 @@ class Model:
 NOTHING = Model(-30.0, 0.0, {}, "nothing")
 
 
-def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0, most_features: int = 6000, penalty: float = 4.0, ridge: float = 0.004, rounds: int = 500) -> Model:
+def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0, most_features: int = 6000, penalty: float = 4.0, ridge: float = 0.004, rounds: int = 500, terms: Terms = IDENTITY_TERMS) -> Model:
     """A model of (text, label) pairs. penalty: of score changes under swapped identity terms."""
     y = np.array([label for _, label in data], np.float64)
     if not len(y) or y.min() == y.max():
@@ -164,7 +226,7 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0,
 
     length = np.array([np.log1p(len(t.split())) for t, _ in data])
     at, col = matrix(kept_counts)
-    pairs = [p for t, _ in data for p in counterfactuals(t)]
+    pairs = [p for t, _ in data for p in counterfactuals(t, terms)]
     before, after = ([counts_of(p[i], cache) for p in pairs] for i in (0, 1))
     (pa_, pc), (qa, qc) = matrix(before), matrix(after)
     w, bias, slope = np.zeros(len(chosen)), 0.0, 0.0
@@ -212,8 +274,8 @@ def score_column(model: Model, text: Column) -> Column:
 PER_CLASS = 4000
 
 
-def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(sample(docs, labels, "toxic", held_out, per_class, id_col, text_col))
+def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", terms: Terms = IDENTITY_TERMS) -> Model:
+    return fit(sample(docs, labels, "toxic", held_out, per_class, id_col, text_col), terms=terms)
 
 
 def score(docs: DataFrame, model: Model, held_out: tuple[int, int], threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

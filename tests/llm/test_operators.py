@@ -268,6 +268,19 @@ def test_swapped_identity_terms_change_little():
     assert fair(neutral) < plain(neutral) and fair(neutral) < 0.7 and fair("lamp scumbag tree") > 0.7
 
 
+@pytest.mark.parametrize("text", ["one woman spoke", "the jew and the immigrant", "der migrant", "viele migranten", "eine schwarze katze", "homosexuelle paare", "des personnes noires", "les immigrés", "una mujer", "los extranjeros", "las homosexuales"])
+def test_every_group_has_counterfactuals(text):
+    assert [a for a, _ in toxicity.counterfactuals(text)] == [text]
+
+
+def test_identity_terms_are_a_parameter():
+    terms = (("elf", "orc"),)
+    assert toxicity.counterfactuals("An elf. Women.", terms) == [("an elf", "an orc")]
+    data = [("lamp elf stone" if i % 2 else "lamp tree stone", i % 2) for i in range(400)]
+    plain, fair = (toxicity.fit(data, penalty=50.0, terms=t).scorer() for t in ((), terms))
+    assert fair("lamp elf stone") < plain("lamp elf stone")
+
+
 def test_quality(spark, odd, empty):
     docs, labels = labelled(spark, 0, 1, "quality")
     model = quality.fitted(docs, labels, held_out=(4, 2))
