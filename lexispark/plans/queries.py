@@ -149,8 +149,9 @@ def chunk_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def index_upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents").select(F.col("doc_id").alias("point_id"), F.col("lang").alias("value"))
-    new = d.where("point_id % 3 = 0").withColumn("value", F.lit("new")).withColumn("batch", F.lit(1))
-    newer = d.where("point_id % 6 = 0").withColumn("point_id", F.col("point_id") + 1_000_000_000).withColumn("value", F.lit("newer")).withColumn("batch", F.lit(2))
+    again = d.withColumn("point_id", F.col("point_id") + 1_000_000_000)
+    new = d.unionByName(again).withColumn("value", F.lit("new")).withColumn("batch", F.lit(1))
+    newer = d.withColumn("value", F.lit("newer")).withColumn("batch", F.lit(2))
     return upsert(d, new.unionByName(newer))
 
 
