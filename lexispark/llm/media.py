@@ -151,15 +151,16 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_b
 
 def _ranges(rows: DataFrame, folder: str, take: int | None, compute, columns: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
     """rows with compute(bytes of the range); take: only so many of its first bytes."""
-    names = ["id", *(c for c, _ in _PLACE)]
-    kind = rows.schema["id"].dataType.simpleString()
+    names = rows.columns
+    place = [names.index(c) for c in ("shard", "offset", "length")]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         name, file, known = None, None, {}
         for b in batches:
             out = []
-            for shard, offset, length in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
+            for shard, offset, length in zip(*(b.column(i).to_pylist() for i in place)):
                 if (shard, offset) not in known:
                     if shard != name:
                         name, file = shard, fs.open_input_file(f"{root}/{shard}")
@@ -169,7 +170,7 @@ def _ranges(rows: DataFrame, folder: str, take: int | None, compute, columns: li
                 out.append(known[shard, offset])
             yield _batch([b.column(i) for i in range(len(names))], columns, names, out)
 
-    return rows.select(*names).mapInArrow(run, f"id {kind}, {_PLACE_DDL}, {ddl}")
+    return rows.mapInArrow(run, f"{kinds}, {ddl}")
 
 
 def headers(rows: DataFrame, folder: str) -> DataFrame:
@@ -191,18 +192,18 @@ def feature(payload: bytes) -> str:
 
 
 def read(rows: DataFrame, folder: str) -> DataFrame:
-    """rows of store() with what the stored bytes say: sizes, digests, the last samples' checksum, the picture's shape and a feature."""
+    """rows of store() with what the stored bytes say: sizes, digests, the last samples' checksum and a feature."""
 
     def compute(data: bytes) -> tuple:
-        payload, h = from_png(data), png_header(data)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), h["width"], h["height"], h["bit_depth"], feature(payload)
+        payload = from_png(data)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)
 
-    columns = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("bit_depth", pa.int32()), ("feature", pa.string())]
+    columns = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     prepare(rows.sparkSession)
-    return _ranges(rows, folder, None, compute, columns, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, width int, height int, bit_depth int, feature string")
+    return _ranges(rows, folder, None, compute, columns, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its stored payload's place and what read() found there."""
+    """Every row with its stored payload's place and what headers() and read() found there."""
     rows, folder = store(df, id_col, text_col)
-    return read(rows, folder).withColumnRenamed("id", id_col)
+    return read(headers(rows, folder), folder).withColumnRenamed("id", id_col)

@@ -109,6 +109,17 @@ def test_media_round_trip(odd, empty):
     assert media.media_rows(empty).count() == 0
 
 
+def test_media_shapes_come_from_headers(odd, monkeypatch):
+    ranges, plain = [], media._ranges
+    monkeypatch.setattr(media, "_ranges", lambda rows, folder, take, *a: (ranges.append(take), plain(rows, folder, take, *a))[1])
+    got = {r["doc_id"]: r for r in media.media_rows(odd).collect()}
+    assert ranges == [media.HEADER_BYTES, None]
+    for i, t in enumerate(ODD):
+        payload = media.payload_of((t or "").encode())
+        assert (got[i]["width"], got[i]["height"], got[i]["bit_depth"]) == (64, len(payload) // 64, 8)
+        assert got[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and got[i]["feature"] == media.feature(payload)
+
+
 def test_chat_round_trip(spark):
     texts = [None, "", "</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "a\\b\\\\n <\\|", "plain\nlines"]
     rows = [(c, t, ("user", "assistant")[t % 2], texts[(c + t) % len(texts)]) for c in range(4) for t in range(c * 3 + 1)] + [(2, 0, "user", "tie")]
