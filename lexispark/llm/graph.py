@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import saved
+from lexispark.llm.common import forget, saved
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -25,7 +25,9 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = saved(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = saved(small, "links")
+        old, edges = edges, saved(small, "links")
+        forget(old)
+        forget(large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -33,4 +35,6 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return saved(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    out = saved(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots), "components")
+    forget(edges)
+    return out

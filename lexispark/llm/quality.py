@@ -3,7 +3,7 @@
 A word (a run of non-space characters, case kept) is the mean of the learned vectors of its hash bucket and of the
 buckets of its character n-grams (3 to 5, with marks at its ends); a word that repeats the one before it adds a
 marker of its own. A text is the mean of its words, and a softmax over two classes gives the score. Vectors and
-output weights are trained together by numpy stochastic gradient descent on a bounded sample.
+output weights are trained together by numpy stochastic gradient descent on a bounded sample, in one executor task.
 
 Prediction uses that everything up to the softmax is linear: a bucket's vector times the difference of the two
 output rows is one number, a word's share is the mean of such numbers, and words seen before are remembered.
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import prepare, remainder, text_or_empty
-from lexispark.llm.labelled import sample
+from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 BUCKETS = 1 << 16
 N_GRAMS = (3, 4, 5)
@@ -101,22 +101,23 @@ class Model:
 NOTHING = Model(np.zeros(BUCKETS, np.float32), 30.0, "nothing")
 
 
-def _rows(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, shares) of each text; the shares sum to 1."""
-    counts = [words_of(t) for t in texts]
-    words = sorted(set().union(*counts))
-    flat, sizes = buckets_of(words)
-    start = np.cumsum(sizes) - sizes
-    row = {w: i for i, w in enumerate(words)}
+def _rows(texts: list[str], block: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each text; the shares sum to 1. Words are held for a block of texts at a time."""
     out = []
-    for c in counts:
-        at = np.fromiter(map(row.__getitem__, c), np.int64, len(c))
-        n = sizes[at]
-        share = np.fromiter(c.values(), np.float64, len(c)) / sum(c.values()) / n
-        ends = np.cumsum(n)
-        places = np.arange(ends[-1]) + np.repeat(start[at] - ends + n, n)
-        found, inverse = np.unique(flat[places], return_inverse=True)
-        out.append((found, np.bincount(inverse, np.repeat(share, n)).astype(np.float32)))
+    for k in range(0, len(texts), block):
+        counts = [words_of(t) for t in texts[k : k + block]]
+        words = sorted(set().union(*counts))
+        flat, sizes = buckets_of(words)
+        start = np.cumsum(sizes) - sizes
+        row = {w: i for i, w in enumerate(words)}
+        for c in counts:
+            at = np.fromiter(map(row.__getitem__, c), np.int64, len(c))
+            n = sizes[at]
+            share = np.fromiter(c.values(), np.float64, len(c)) / sum(c.values()) / n
+            ends = np.cumsum(n)
+            places = np.arange(ends[-1]) + np.repeat(start[at] - ends + n, n)
+            found, inverse = np.unique(flat[places], return_inverse=True)
+            out.append((found, np.bincount(inverse, np.repeat(share, n)).astype(np.float32)))
     return out
 
 
@@ -179,8 +180,9 @@ def score_column(model: Model, text: Column) -> Column:
 PER_CLASS = 2500
 
 
-def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit(sample(docs, labels, "quality", held_out, per_class, id_col, text_col))
+def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+    """A model of a bounded sample, fitted by one task."""
+    return fit_in_task(sample(docs, labels, "quality", held_out, per_class, id_col, text_col, most_bytes), fit)
 
 
 def score(docs: DataFrame, model: Model, held_out: tuple[int, int], threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

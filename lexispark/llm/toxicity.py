@@ -2,22 +2,35 @@
 
 Features are how often a word, or any word with a given beginning of 4 to 7 letters, occurs in a text: at least
 once, twice, three times. Only features that labelled toxic texts have significantly more often are kept, with
-weights of zero or more, so a long harmless text gathers no evidence from chance words. For every labelled sentence with an
-identity term (a neutral name of a group) a counterfactual is made by swapping the term for another; the loss adds
-the squared change of the score between the two, so that no group's name itself counts as evidence.
+weights of zero or more, so a long harmless text gathers no evidence from chance words. For labelled sentences with
+identity terms counterfactuals are made by swapping each term for every other of its group; the loss adds the squared
+change of the score between the two, so that no group's name itself counts as evidence.
+
+Identity terms come from two places. IDENTITY_TERMS is a list of neutral names of groups, and a parameter. As a corpus
+may name its groups otherwise, neutral_terms() finds further ones in the training texts: words that many harmless texts
+use, though toxic texts use them more often, each grouped with equally common words that toxic texts do not use more
+often. The model says how many pairs of either kind served, and fitted() warns where there was none.
+
+The fit sees a bounded sample of texts (labelled.py) and at most MOST_PAIRS pairs of each kind, in one executor task.
 
 Defined results: null and empty texts get the score of a text without evidence; without labels of both classes
-every score is 0; repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
+every score is 0; of one id's labels 1 wins, and of its texts the smallest serves; repeated rows give repeated results;
+equal scores are equal whatever the row order; texts of any length are scored whole; an empty table gives an empty
+table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 from hashlib import blake2b
+from itertools import islice
 from uuid import uuid4
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -25,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import prepare, remainder, text_or_empty
-from lexispark.llm.labelled import sample
+from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 #: Neutral names of groups (sex, religion, orientation, origin, migration), by language; terms of one line may stand for
-#: one another. A term of several lines is swapped by the first of them.
+#: one another. A term of several lines may stand for the others of all of them.
 IDENTITY_TERMS = (
     # English
     ("women", "men", "girls", "boys"),
@@ -142,23 +155,70 @@ def counts_of(text: str, cache: _Cache) -> Counter:
 
 
 @lru_cache(maxsize=8)
-def swaps(terms: Terms = IDENTITY_TERMS) -> dict[str, str]:
-    """Each term and the next of its line."""
-    out: dict[str, str] = {}
+def swaps(terms: Terms = IDENTITY_TERMS) -> dict[str, tuple[str, ...]]:
+    """Each term and the others of its lines, from its own place on."""
+    out: dict[str, tuple[str, ...]] = {}
     for line in terms:
         for i, t in enumerate(line):
-            out.setdefault(t, line[(i + 1) % len(line)])
-    return out
+            out[t] = tuple(dict.fromkeys((*out.get(t, ()), *(x for x in (*line[i + 1 :], *line[:i]) if x != t))))
+    return {t: others for t, others in out.items() if others}
 
 
-def counterfactuals(text: str, terms: Terms = IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """(sentence, sentence with its identity terms swapped), for each sentence that has any."""
-    out, swap = [], swaps(terms)
-    for sentence in _SENTENCE.findall(text.lower()):
-        swapped = _CORE.sub(lambda m: swap.get(m[0], m[0]), sentence)
-        if swapped != sentence:
-            out.append((sentence, swapped))
-    return out
+def counterfactuals(text: str, terms: Terms = IDENTITY_TERMS, turn: int = 0) -> list[tuple[str, str]]:
+    """(sentence, sentence with its identity terms swapped), for each sentence that has any.
+
+    turn: which of a term's others stands in, from 0 on; beyond the last it begins again.
+    """
+    swap = swaps(terms)
+    return [(s, _swapped(s, swap, turn)) for s in _sentences(text, swap)]
+
+
+def _sentences(text: str, swap: dict[str, tuple[str, ...]]) -> Iterator[str]:
+    for s in _SENTENCE.findall(text.lower()):
+        if not swap.keys().isdisjoint(_CORE.findall(s)):
+            yield s
+
+
+def _swapped(sentence: str, swap: dict[str, tuple[str, ...]], turn: int) -> str:
+    return _CORE.sub(lambda m: x[turn % len(x)] if (x := swap.get(m[0])) else m[0], sentence)
+
+
+#: Counterfactual pairs of each kind (by the list, by neutral_terms) that fit() uses at most.
+MOST_PAIRS = 20_000
+
+
+def _pairs(texts: list[str], swap: dict[str, tuple[str, ...]]) -> Iterator[tuple[str, str]]:
+    """Every sentence with a term and each of its swaps; texts in the order of a hash, so that a bound takes no special ones."""
+    for text in sorted(texts, key=lambda t: (crc32(t.encode("utf-8", "surrogatepass")), t)):
+        for s in _sentences(text, swap):
+            for turn in range(max(len(swap.get(w, ())) for w in _CORE.findall(s))):
+                yield s, _swapped(s, swap, turn)
+
+
+def neutral_terms(data: list[tuple[str, int]], least_share: float = 0.01, most_lift: float = 4.0, most: int = 400, partners: int = 3) -> Terms:
+    """Groups of a neutral term and `partners` words to swap it for, from (text, label) pairs.
+
+    A neutral term is a word that at least least_share of the harmless texts use and that toxic texts use more often,
+    though not most_lift times as often (as a real insult is). Its partners are the words of the most similar share of
+    harmless texts that toxic texts do not use more often. `most` terms serve, those of the largest lift.
+    """
+    n1 = sum(y for _, y in data)
+    n0 = len(data) - n1
+    have: tuple[Counter, Counter] = (Counter(), Counter())
+    for text, label in data:
+        have[label].update({w for w in _CORE.findall(text.lower()) if w.isalpha()})
+    if not n0 or not n1:
+        return ()
+    wide = {w: b / n0 for w, b in have[0].items() if b >= max(5, least_share * n0)}
+    lift = {w: have[1][w] / n1 / p for w, p in wide.items()}
+    calm = sorted((p, w) for w, p in wide.items() if lift[w] <= 1)
+    shares = np.array([p for p, _ in calm])
+    out = []
+    for w in sorted((w for w in wide if 1 < lift[w] < most_lift), key=lambda w: (-lift[w], w))[:most]:
+        near = np.argsort(np.abs(shares - wide[w]), kind="stable")[:partners]
+        if len(near):
+            out.append((w, *(calm[i][1] for i in near)))
+    return tuple(out)
 
 
 @dataclass(frozen=True)
@@ -169,6 +229,8 @@ class Model:
     length: float
     weights: dict[int, tuple[float, ...]]
     name: str = ""
+    #: Counterfactual pairs that the fit saw: by the list of identity terms, by neutral_terms().
+    pairs: tuple[int, int] = (0, 0)
 
     def raw(self, text: str, cache: _Cache) -> float:
         z = self.bias + self.length * np.log1p(len(text.split()))
@@ -184,8 +246,8 @@ class Model:
 NOTHING = Model(-30.0, 0.0, {}, "nothing")
 
 
-def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0, most_features: int = 6000, penalty: float = 4.0, ridge: float = 0.004, rounds: int = 500, terms: Terms = IDENTITY_TERMS) -> Model:
-    """A model of (text, label) pairs. penalty: of score changes under swapped identity terms."""
+def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 5.0, most_features: int = 6000, penalty: float = 4.0, ridge: float = 0.004, rounds: int = 500, terms: Terms = IDENTITY_TERMS, find_terms: bool = True, most_pairs: int = MOST_PAIRS) -> Model:
+    """A model of (text, label) pairs. penalty: of score changes under swapped identity terms; find_terms: neutral_terms() too."""
     y = np.array([label for _, label in data], np.float64)
     if not len(y) or y.min() == y.max():
         return NOTHING
@@ -226,7 +288,12 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0,
 
     length = np.array([np.log1p(len(t.split())) for t, _ in data])
     at, col = matrix(kept_counts)
-    pairs = [p for t, _ in data for p in counterfactuals(t, terms)]
+    listed = list(islice(_pairs([t for t, _ in data], swaps(terms)), most_pairs))
+    # a term is swapped for its partners, not the other way round
+    found = {t: tuple(others) for t, *others in neutral_terms(data)} if find_terms else {}
+    mined = list(islice(_pairs([t for t, _ in data], found), most_pairs))
+    pairs = listed + mined
+    share = np.concatenate([np.full(n, 1 / max(n, 1)) for n in (len(listed), len(mined))])  # either kind weighs alike
     before, after = ([counts_of(p[i], cache) for p in pairs] for i in (0, 1))
     (pa_, pc), (qa, qc) = matrix(before), matrix(after)
     w, bias, slope = np.zeros(len(chosen)), 0.0, 0.0
@@ -239,8 +306,8 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0,
         g = (1 / (1 + np.exp(-z)) - y) * weight
         grad = np.bincount(col, g[at], len(chosen)) + ridge * w / len(y) ** 0.5
         if pairs:
-            change = np.bincount(pa_, w[pc], len(pairs)) - np.bincount(qa, w[qc], len(pairs))
-            grad += 2 * penalty / len(pairs) * (np.bincount(pc, change[pa_], len(chosen)) - np.bincount(qc, change[qa], len(chosen)))
+            change = share * (np.bincount(pa_, w[pc], len(pairs)) - np.bincount(qa, w[qc], len(pairs)))
+            grad += 2 * penalty * (np.bincount(pc, change[pa_], len(chosen)) - np.bincount(qc, change[qa], len(chosen)))
         full = np.concatenate([grad, [g.sum(), (g * (length - center)).sum()]])
         m, v = 0.9 * m + 0.1 * full, 0.99 * v + 0.01 * full**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -250,7 +317,7 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 14.0,
     for (f, level), i in column.items():
         if w[i] > 1e-3:
             weights.setdefault(f, [0.0] * LEVELS)[level] = float(w[i])
-    return Model(float(bias - slope * center), float(slope), {f: tuple(x) for f, x in weights.items()}, uuid4().hex)
+    return Model(float(bias - slope * center), float(slope), {f: tuple(x) for f, x in weights.items()}, uuid4().hex, (len(listed), len(mined)))
 
 
 @lru_cache(maxsize=1)
@@ -274,8 +341,12 @@ def score_column(model: Model, text: Column) -> Column:
 PER_CLASS = 4000
 
 
-def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", terms: Terms = IDENTITY_TERMS) -> Model:
-    return fit(sample(docs, labels, "toxic", held_out, per_class, id_col, text_col), terms=terms)
+def fitted(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", terms: Terms = IDENTITY_TERMS, most_bytes: int = MOST_BYTES, penalty: float = 4.0) -> Model:
+    """A model of a bounded sample, fitted by one task; warns where no counterfactual could be made."""
+    model = fit_in_task(sample(docs, labels, "toxic", held_out, per_class, id_col, text_col, most_bytes), partial(fit, terms=terms, penalty=penalty))
+    if model.weights and not sum(model.pairs):
+        warnings.warn("no labelled text has an identity term: the classifier is not regularised by counterfactuals", stacklevel=2)
+    return model
 
 
 def score(docs: DataFrame, model: Model, held_out: tuple[int, int], threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
