@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, text_or_empty
+from lexispark.llm.common import memo, prepare, text_or_empty
 from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -180,10 +179,9 @@ class Codec:
         return self.flat[at].tobytes()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each worker process, kept between tasks."""
-    return Codec(path, pattern)
+    return memo(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

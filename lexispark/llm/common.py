@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
+import ctypes
+import gc
 import os
-import re
-import shutil
 import tempfile
-import uuid
 import zipfile
+from collections import OrderedDict
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.storage import discard, forget, saved, shared_folder
+
+__all__ = ["discard", "forget", "memo", "prepare", "release", "remainder", "saved", "shared_folder", "table", "text_or_empty"]
+
+M = TypeVar("M")
 #: Rows in one Arrow batch: whole texts can be long, so a batch must stay small whatever the row count.
 BATCH_ROWS = "256"
 
@@ -50,61 +56,23 @@ def remainder(id_col: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % k, F.lit(0))
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below the cluster's checkpoint folder, deleted by discard() or when the driver ends.
-
-    Without that setting only a local master (as in tests) gets one, below a temporary folder; a cluster's executors
-    would not see such a folder, so there the setting is required.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _own_base()
-    path = f"{base.rstrip('/')}/lexispark-{kind}-{uuid.uuid4().hex[:12]}"
-    _folders[path] = spark
-    return path
-
-
-_base: list[str] = []
-#: Shared folders that were handed out and not deleted.
-_folders: dict[str, SparkSession] = {}
-
-
-def _own_base() -> str:
-    if not _base:
-        _base.append("file://" + tempfile.mkdtemp(prefix="lexispark-shared-"))
-    return _base[0]
-
-
-def discard(*paths: str) -> None:
-    """Delete shared folders that nothing reads any more: those named, or all of them."""
-    for path in paths or tuple(_folders):
-        if (spark := _folders.pop(path, None)) is not None:
-            sc = spark.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration() if sc._jsc else sc._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-
-
-@atexit.register
-def _end() -> None:
-    with contextlib.suppress(Exception):  # the session may have ended before
-        discard()
-    for base in _base:
-        shutil.rmtree(base.removeprefix("file://"), ignore_errors=True)
+_memos: OrderedDict[object, object] = OrderedDict()
 
 
-def saved(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark, kind)
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.saved_at = path
-    return out
+def memo(key: object, make: Callable[[], M]) -> M:
+    """make(), kept by this worker process between batches and tasks; the two used last stay, so that operators which
+    run one after another do not add up their memories."""
+    if key not in _memos:
+        while len(_memos) > 1:
+            _memos.popitem(last=False)
+        _memos[key] = make()
+    _memos.move_to_end(key)
+    return _memos[key]
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the folder of a saved() table that nothing reads any more."""
-    discard(df.saved_at)
+def release() -> None:
+    """Forget all memos and give free memory back to the system, where it can be."""
+    _memos.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, saved, text_or_empty
+from lexispark.llm.common import memo, prepare, saved, text_or_empty
 from lexispark.llm.graph import components
 
 SKETCH_BITS = 1024
@@ -179,9 +179,8 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((_mix(s, 8) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-@lru_cache(maxsize=2)
 def _shingler(words: int) -> Shingler:
-    return Shingler(words)
+    return memo(("shingler", words), lambda: Shingler(words))
 
 
 def _planes(x: np.ndarray) -> bytes:

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, remainder, text_or_empty
+from lexispark.llm.common import prepare, release, remainder, text_or_empty
 
 M = TypeVar("M")
 #: Bytes of text that serve for each label at most.
-MOST_BYTES = 16 << 20
+MOST_BYTES = 12 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, held_out: tuple[int, int] | None, per_class: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = MOST_BYTES) -> DataFrame:
@@ -50,12 +50,16 @@ def fit_in_task(rows: DataFrame, fit: Callable[[list[tuple[str, int]]], M]) -> M
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         got = [r for b in batches for r in zip(*(b.column(names.index(c)).to_pylist() for c in ("id", "label", "text")))]
         once: dict[str, int] = {}
         for _, y, t in sorted(got, key=lambda r: (str(type(r[0])), r[0], r[1], r[2])):
             once.setdefault(t, y)
         got.clear()
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(list(once.items())))], pa.binary())], names=["model"])
+        model = pickle.dumps(fit(list(once.items())))
+        once.clear()
+        release()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     found = rows.coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else fit([])

@@ -20,7 +20,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, text_or_empty
+from lexispark.llm.common import memo, prepare, text_or_empty
 from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -164,9 +163,12 @@ def ranks_of(path: str) -> tuple[dict[bytes, int] | None, str, int]:
     return (ranks if order == sorted(order) and len(ranks) == len(order) + 256 else None), special[0]["content"], special[0]["id"]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One encoder for each worker process, kept between tasks."""
+    return memo(("encoder", path, pattern), lambda: _encoder(path, pattern))
+
+
+def _encoder(path: str, pattern: str) -> ChunkEncoder:
     ranks, mark, end = ranks_of(path)
     if ranks is None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already

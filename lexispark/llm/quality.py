@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 from uuid import uuid4
 from zlib import crc32
 
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, remainder, text_or_empty
+from lexispark.llm.common import memo, prepare, remainder, text_or_empty
 from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 BUCKETS = 1 << 16
@@ -79,7 +78,7 @@ class Model:
     bias: float
     name: str = ""
 
-    def scorer(self, bound: int = 600_000):
+    def scorer(self, bound: int = 300_000):
         """Scores of a list of texts; words seen before are remembered."""
         known: dict[str, float] = {}
 
@@ -101,8 +100,8 @@ class Model:
 NOTHING = Model(np.zeros(BUCKETS, np.float32), 30.0, "nothing")
 
 
-def _rows(texts: list[str], block: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, shares) of each text; the shares sum to 1. Words are held for a block of texts at a time."""
+def _rows(texts: list[str], block: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, shares) of each text, in 6 bytes each; the shares sum to 1. Words are held for a block of texts at a time."""
     out = []
     for k in range(0, len(texts), block):
         counts = [words_of(t) for t in texts[k : k + block]]
@@ -117,7 +116,7 @@ def _rows(texts: list[str], block: int = 256) -> list[tuple[np.ndarray, np.ndarr
             ends = np.cumsum(n)
             places = np.arange(ends[-1]) + np.repeat(start[at] - ends + n, n)
             found, inverse = np.unique(flat[places], return_inverse=True)
-            out.append((found, np.bincount(inverse, np.repeat(share, n)).astype(np.float32)))
+            out.append((found.astype(np.uint16), np.bincount(inverse, np.repeat(share, n)).astype(np.float32)))
     return out
 
 
@@ -140,7 +139,7 @@ def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float
         for k in range(0, len(y), batch):
             chosen = order[k : k + batch]
             sizes = np.array([len(rows[i][0]) for i in chosen])
-            at = np.concatenate([rows[i][0] for i in chosen])
+            at = np.concatenate([rows[i][0] for i in chosen]).astype(np.int64)
             share = np.concatenate([rows[i][1] for i in chosen])
             starts = np.cumsum(sizes) - sizes
             hidden = np.add.reduceat(vectors[at] * share[:, None], starts, axis=0)
@@ -159,19 +158,10 @@ def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), uuid4().hex)
 
 
-@lru_cache(maxsize=1)
-def _kept(name: str) -> list:
-    """A place for the scorer of the model so named, kept between a worker's tasks."""
-    return []
-
-
 def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        place = _kept(model.name)
-        if not place:
-            place.append(model.scorer())
-        return pd.Series(place[0](texts.tolist()), dtype="float64")
+        return pd.Series(memo(("quality", model.name), model.scorer)(texts.tolist()), dtype="float64")
 
     return of(text)
 

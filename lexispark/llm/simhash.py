@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, text_or_empty
+from lexispark.llm.common import memo, prepare, text_or_empty
 
 BITS = 128
 LONGEST = 16
@@ -68,9 +67,8 @@ class SimHasher:
         return np.packbits(out, axis=1)
 
 
-@lru_cache(maxsize=1)
 def hasher() -> SimHasher:
-    return SimHasher()
+    return memo("simhash", SimHasher)
 
 
 def fingerprint_column(text: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import warnings
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 from hashlib import blake2b
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, remainder, text_or_empty
+from lexispark.llm.common import memo, prepare, remainder, text_or_empty
 from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 #: Neutral names of groups (sex, religion, orientation, origin, migration), by language; terms of one line may stand for
@@ -132,7 +132,7 @@ def features_of(word: str) -> tuple[int, ...]:
 class _Cache(dict):
     """token -> features, those in `wanted` only where it is given; bounded."""
 
-    def __init__(self, wanted: set[int] | dict | None, bound: int = 500_000):
+    def __init__(self, wanted: set[int] | dict | None, bound: int = 300_000):
         super().__init__()
         self.wanted, self.bound = wanted, bound
 
@@ -251,51 +251,57 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 5.0,
     y = np.array([label for _, label in data], np.float64)
     if not len(y) or y.min() == y.max():
         return NOTHING
-    cache = _Cache(None, 300_000)
+    cache = _Cache(None, 50_000)
     seen: Counter = Counter()
     for text, label in data:
         if label:
             seen.update(counts_of(text, cache).keys())
-    seen = Counter({f: n for f, n in seen.items() if n >= min_toxic})
+    place = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= min_toxic))}
+    del seen
     n1, n0 = y.sum(), len(y) - y.sum()
-    have = {1: Counter(), 0: Counter()}
-    kept_counts = []
-    for text, label in data:
-        c = {f: min(n, LEVELS) for f, n in counts_of(text, cache).items() if f in seen}
-        kept_counts.append(c)
-        have[label].update((f, level) for f, n in c.items() for level in range(n))
-    gain = {}
-    for key, a in have[1].items():
-        b = have[0][key]
-        if a >= min_toxic and a / n1 > b / n0:
-            total = (a + b) / (n1 + n0)
-            part = lambda k, n, p: k * np.log(max(k, 0.5) / n / p) + (n - k) * np.log(max(n - k, 0.5) / n / (1 - p))
-            g = 2 * (part(a, n1, total) + part(b, n0, total)) if total < 1 else 0
-            if g >= min_gain:
-                gain[key] = g
-    chosen = sorted(sorted(gain, key=lambda k: (-gain[k], k))[:most_features])
-    column = {k: i for i, k in enumerate(chosen)}
-
-    def matrix(rows: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-        at, col = [], []
-        for i, c in enumerate(rows):
-            for f, n in c.items():
-                for level in range(min(n, LEVELS)):
-                    if (f, level) in column:
-                        at.append(i)
-                        col.append(column[f, level])
-        return np.array(at, np.int64), np.array(col, np.int64)
+
+    def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text's features among those that toxic texts have, and how often it has them, up to LEVELS."""
+        c = {place[f]: min(n, LEVELS) for f, n in counts_of(text, cache).items() if f in place}
+        return np.fromiter(c, np.int32, len(c)), np.fromiter(c.values(), np.int8, len(c))
+
+    kept_counts = [counted(text) for text, _ in data]
+    have = np.zeros((2, LEVELS, len(place)))
+    for (at, n), (_, label) in zip(kept_counts, data):
+        for level in range(LEVELS):
+            have[label, level, at[n > level]] += 1
+    b, a = have
+    total = (a + b) / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        part = lambda k, n: k * np.log(np.maximum(k, 0.5) / n / total) + (n - k) * np.log(np.maximum(n - k, 0.5) / n / (1 - total))
+        gain = np.where((a >= min_toxic) & (a / n1 > b / n0) & (total < 1), 2 * (part(a, n1) + part(b, n0)), 0.0)
+    level, feature = np.nonzero(gain >= min_gain)
+    # the largest gains, ties in a fixed order
+    best = np.lexsort((level, feature, -gain[level, feature]))[:most_features]
+    order = best[np.lexsort((level[best], feature[best]))]
+    chosen = list(zip(feature[order].tolist(), level[order].tolist()))
+    column = np.full((LEVELS, len(place)), -1, np.int64)
+    column[level[order], feature[order]] = np.arange(len(chosen))
+
+    def matrix(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        at, col = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, (f, n) in enumerate(rows):
+            found = np.concatenate([column[level, f[n > level]] for level in range(LEVELS)])
+            found = found[found >= 0]
+            at.append(np.full(len(found), i))
+            col.append(found)
+        return np.concatenate(at), np.concatenate(col)
 
     length = np.array([np.log1p(len(t.split())) for t, _ in data])
     at, col = matrix(kept_counts)
+    del kept_counts, have, a, b, total, gain
     listed = list(islice(_pairs([t for t, _ in data], swaps(terms)), most_pairs))
     # a term is swapped for its partners, not the other way round
     found = {t: tuple(others) for t, *others in neutral_terms(data)} if find_terms else {}
     mined = list(islice(_pairs([t for t, _ in data], found), most_pairs))
     pairs = listed + mined
     share = np.concatenate([np.full(n, 1 / max(n, 1)) for n in (len(listed), len(mined))])  # either kind weighs alike
-    before, after = ([counts_of(p[i], cache) for p in pairs] for i in (0, 1))
-    (pa_, pc), (qa, qc) = matrix(before), matrix(after)
+    (pa_, pc), (qa, qc) = (matrix(counted(p[i]) for p in pairs) for i in (0, 1))
     w, bias, slope = np.zeros(len(chosen)), 0.0, 0.0
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     center = length.mean()
@@ -314,25 +320,18 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 5.0,
         w = np.maximum(0, w - move[:-2])
         bias, slope = bias - move[-2], slope - move[-1]
     weights: dict[int, list[float]] = {}
-    for (f, level), i in column.items():
+    name_of = list(place)
+    for i, (f, level) in enumerate(chosen):
         if w[i] > 1e-3:
-            weights.setdefault(f, [0.0] * LEVELS)[level] = float(w[i])
+            weights.setdefault(name_of[f], [0.0] * LEVELS)[level] = float(w[i])
     return Model(float(bias - slope * center), float(slope), {f: tuple(x) for f, x in weights.items()}, uuid4().hex, (len(listed), len(mined)))
 
 
-@lru_cache(maxsize=1)
-def _kept(name: str) -> list:
-    """A place for the scorer of the model so named, kept between a worker's tasks."""
-    return []
-
-
 def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        place = _kept(model.name)
-        if not place:
-            place.append(model.scorer())
-        return pd.Series([place[0](t) for t in texts], dtype="float64")
+        scorer = memo(("toxicity", model.name), model.scorer)
+        return pd.Series([scorer(t) for t in texts], dtype="float64")
 
     return of(text)
 
