@@ -8,11 +8,11 @@ import gc
 import os
 import tempfile
 import zipfile
-from collections import OrderedDict
 from collections.abc import Callable
 from pathlib import Path
 from typing import TypeVar
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,18 +56,25 @@ def remainder(id_col: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % k, F.lit(0))
 
 
-_memos: OrderedDict[object, object] = OrderedDict()
+#: key -> (the task that used it last, what it is)
+_memos: dict[object, tuple[object, object]] = {}
 
 
 def memo(key: object, make: Callable[[], M]) -> M:
-    """make(), kept by this worker process between batches and tasks; the two used last stay, so that operators which
-    run one after another do not add up their memories."""
-    if key not in _memos:
-        while len(_memos) > 1:
-            _memos.popitem(last=False)
-        _memos[key] = make()
-    _memos.move_to_end(key)
-    return _memos[key]
+    """make(), kept by this worker process between batches and tasks.
+
+    Making one forgets those that the running task has not used, so that operators which run one after another do not
+    add up their memories in a worker.
+    """
+    task = t.taskAttemptId() if (t := TaskContext.get()) else None
+    if key in _memos:
+        made = _memos[key][1]
+    else:
+        for old in [k for k, (user, _) in _memos.items() if user != task]:
+            del _memos[old]
+        made = make()
+    _memos[key] = (task, made)
+    return made
 
 
 def release() -> None:

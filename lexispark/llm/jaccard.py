@@ -49,7 +49,7 @@ from lexispark.llm.graph import components
 
 SKETCH_BITS = 1024
 #: Documents that a task remembers to send equal ones once.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Bits of the bitmap that preselects keys or ids, at most.
 BITMAP_BITS = 1 << 28
 
@@ -94,7 +94,7 @@ def _mix(h: np.ndarray, seed: int) -> np.ndarray:
 class Shingler:
     """Sorted distinct shingle hashes of texts; words seen before are remembered, up to a bound."""
 
-    def __init__(self, words: int, bound: int = 400_000):
+    def __init__(self, words: int, bound: int = 120_000):
         self.words, self.bound = words, bound
         self.row: dict[bytes, int] = {}
         self.hashes = np.zeros(0, np.uint64)

@@ -31,6 +31,8 @@ from lexispark.llm.common import memo, prepare, text_or_empty
 from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
+#: Chunks, and characters and ids, that a worker remembers; the encoder is fast enough for more to be no gain.
+REMEMBERED = (120_000, 6_000_000)
 
 
 @dataclass(frozen=True)
@@ -176,7 +178,7 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        return ChunkEncoder(pattern, lambda chunks: flattened([x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []))
+        return ChunkEncoder(pattern, lambda chunks: flattened([x.ids for x in t.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []), *REMEMBERED)
     import tiktoken
 
     e = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={mark: end})
@@ -190,7 +192,7 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
         ends = np.flatnonzero(flat == end)
         return flat[flat != end], np.diff(ends, prepend=-1) - 1
 
-    return ChunkEncoder(pattern, encode)
+    return ChunkEncoder(pattern, encode, *REMEMBERED)
 
 
 COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"

@@ -78,7 +78,7 @@ class Model:
     bias: float
     name: str = ""
 
-    def scorer(self, bound: int = 300_000):
+    def scorer(self, bound: int = 120_000):
         """Scores of a list of texts; words seen before are remembered."""
         known: dict[str, float] = {}
 

@@ -33,10 +33,10 @@ LONGEST = 16
 class SimHasher:
     """Fingerprints of texts; the votes of words seen before are remembered, up to a bound."""
 
-    def __init__(self, max_words: int = 400_000):
+    def __init__(self, max_words: int = 100_000):
         self.max_words = max_words
         self.row: dict[str, int] = {}
-        self.votes = np.zeros((0, BITS), np.int8)
+        self.votes = np.zeros((0, BITS), np.float32)
         self.weight = np.zeros(0, np.float32)
 
     def learn(self, words: set[str]) -> None:
@@ -50,7 +50,7 @@ class SimHasher:
         self.row.update(zip(new, range(n, n + len(new))))
         digests = b"".join(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest() for w in new)
         bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, BITS)
-        self.votes = np.concatenate([self.votes, bits.astype(np.int8) * 2 - 1])
+        self.votes = np.concatenate([self.votes, bits.astype(np.float32) * 2 - 1])
         self.weight = np.concatenate([self.weight, np.array([min(len(w), LONGEST) ** 2 for w in new], np.float32)])
 
     def fingerprints(self, texts: list[str]) -> np.ndarray:
@@ -63,7 +63,7 @@ class SimHasher:
                 at = np.fromiter(map(self.row.__getitem__, c), np.int64, len(c))
                 weight = self.weight[at] * (1 + np.log(np.fromiter(c.values(), np.float32, len(c))))
                 # whole numbers, so that the sum does not depend on the order of the words
-                out[i] = np.rint(weight * 16) @ self.votes[at].astype(np.float32) > 0
+                out[i] = np.rint(weight * 16) @ self.votes[at] > 0
         return np.packbits(out, axis=1)
 
 

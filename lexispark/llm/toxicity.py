@@ -132,7 +132,7 @@ def features_of(word: str) -> tuple[int, ...]:
 class _Cache(dict):
     """token -> features, those in `wanted` only where it is given; bounded."""
 
-    def __init__(self, wanted: set[int] | dict | None, bound: int = 300_000):
+    def __init__(self, wanted: set[int] | dict | None, bound: int = 200_000):
         super().__init__()
         self.wanted, self.bound = wanted, bound
 
