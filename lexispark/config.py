@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+import re
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, fields, replace
 
 SYSTEM_PROMPT = """Ты — юридический помощник по российскому законодательству.
 
@@ -16,6 +19,7 @@ SYSTEM_PROMPT = """Ты — юридический помощник по рос
 """  # fixed value: the prompt must equal the known one
 
 
+# The defaults below are fixed values: they equal those that users of such collections know.
 @dataclass(frozen=True)
 class Chunking:
     enabled: bool = True
@@ -80,6 +84,8 @@ class Search:
 
 @dataclass(frozen=True)
 class Generator:
+    """What a generator's model gets: see context.chat()."""
+
     model: str = "qwen3-vl-8b"
     max_tokens: int = 512
     temperature: float = 0.7
@@ -93,3 +99,39 @@ class Config:
     sparse: Sparse = field(default_factory=Sparse)
     search: Search = field(default_factory=Search)
     generator: Generator = field(default_factory=Generator)
+
+    def with_overrides(self, overrides: Sequence[str] | Mapping[str, str], env: Mapping[str, str] = os.environ) -> Config:
+        """This configuration with settings such as "search.limit=5" or {"search.limit": "5"}.
+
+        A value becomes what its setting's default is (a number, true or false, text, a list by commas). ${NAME} in a
+        value is taken from env, ${NAME:other} too, with a default; an unknown setting or name is an error.
+        """
+        pairs = overrides.items() if isinstance(overrides, Mapping) else (o.split("=", 1) for o in overrides)
+        out = self
+        for pair in pairs:
+            if len(pair) != 2 or pair[0].count(".") != 1:
+                raise ValueError(f"an override reads part.setting=value: {'='.join(pair)}")
+            part, name = pair[0].strip().split(".")
+            known = {f.name for f in fields(getattr(out, part))} if part in {f.name for f in fields(out)} else set()
+            if name not in known:
+                raise ValueError(f"unknown setting: {part}.{name}")
+            old = getattr(out, part)
+            out = replace(out, **{part: replace(old, **{name: _value(str(pair[1]), getattr(old, name), env)})})
+        return out
+
+
+def _value(text: str, like: object, env: Mapping[str, str]) -> object:
+    def named(m: re.Match) -> str:
+        found = env.get(m[1], m[2])
+        if found is None:
+            raise ValueError(f"no value for ${{{m[1]}}}")
+        return found
+
+    text = re.sub(r"\$\{(\w+)(?::([^}]*))?\}", named, text)
+    if isinstance(like, bool):
+        if text.lower() not in ("true", "false"):
+            raise ValueError(f"true or false expected: {text}")
+        return text.lower() == "true"
+    if isinstance(like, tuple):
+        return tuple(text.split(","))
+    return type(like)(text) if isinstance(like, (int, float)) else text

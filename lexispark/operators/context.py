@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.config import Generator
+from lexispark.package import ship
 
 
 def passage(parent: str = "parent_text", article: str = "article_text") -> Column:
@@ -41,25 +42,53 @@ def messages(query: Column, context: Column, g: Generator = Generator()) -> Colu
 
 
 def extractive(prompt: str) -> str:
-    """A stand-in for a language model: the first source's text."""
+    """A stand-in for a language model: the first source's whole text."""
     body = prompt.partition("\nТекст: ")[2]
-    return body.partition("\nРелевантность:")[0][:500]
+    return body.partition("\nРелевантность:")[0]
 
 
 def generate(asked: DataFrame, llm: Callable[[str], str] = extractive, query_col: str = "query_text") -> DataFrame:
-    """asked with an answer column; llm gets the user's prompt. Nulls and errors of the model stay visible as an empty answer."""
+    """asked with answer and answer_error; llm gets the user's prompt.
 
-    @F.pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        return prompts.map(llm)
+    Where the model raises, the answer is empty and answer_error says what it raised; where it returns None, the answer
+    is empty too. Other rows are not affected.
+    """
 
-    return asked.withColumn("answer", run(user_prompt(F.col(query_col), F.coalesce("context_text", F.lit("")))))
+    ship(asked.sparkSession)
+
+    @F.pandas_udf("answer string, answer_error string")
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in prompts:
+            try:
+                rows.append((llm(p) or "", None))
+            except Exception as e:  # any error of a foreign model is that row's own
+                rows.append(("", f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["answer", "answer_error"])
+
+    prompt = user_prompt(F.coalesce(F.col(query_col), F.lit("")), F.coalesce("context_text", F.lit("")))
+    made = asked.withColumn("__made", run(prompt))
+    return made.select(*asked.columns, F.col("__made.answer").alias("answer"), F.col("__made.answer_error").alias("answer_error"))
+
+
+def chat(complete: Callable[..., str], g: Generator = Generator()) -> Callable[[str], str]:
+    """A model for generate() from a chat function: complete(model=, messages=, max_tokens=, temperature=) -> text."""
+
+    def ask(prompt: str) -> str:
+        return complete(model=g.model, messages=[{"role": "system", "content": g.system_prompt}, {"role": "user", "content": prompt}], max_tokens=g.max_tokens, temperature=g.temperature)
+
+    return ask
 
 
 def score_percent(score: Column) -> Column:
     return F.format_string("%.1f", score * 100)
 
 
+def source_title(codex: Column, number: Column) -> Column:
+    """A source's heading: a fixed format."""
+    return F.concat(F.coalesce(codex, F.lit("")), F.lit(" - Статья "), number.cast("string"))
+
+
 def query_generation_prompts(articles: DataFrame, template: str, most: int = 8000) -> DataFrame:
     """(article_id, prompt) for articles without a query; {text} is the text cut to `most` characters."""
     before, _, after = template.partition("{text}")

@@ -44,6 +44,8 @@ def summary(metrics: DataFrame) -> DataFrame:
     return long.groupBy("metric", "k").agg(r(F.avg("value")).alias("mean"), r(F.stddev_pop("value")).alias("std"), r(F.min("value")).alias("low"), r(F.max("value")).alias("high"))
 
 
-def log_run(summary_rows: DataFrame, path: str, run_id: str) -> None:
-    """Append a run's summary to a metrics table."""
-    summary_rows.withColumn("run_id", F.lit(run_id)).write.mode("append").parquet(path)
+def log_run(summary_rows: DataFrame, path: str, run_id: str, parameters: dict[str, str] | None = None) -> None:
+    """Append a run's summary and its parameters to a metrics table."""
+    pairs = [F.lit(x) for kv in sorted((parameters or {}).items()) for x in map(str, kv)]
+    kept = (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
+    summary_rows.withColumn("run_id", F.lit(run_id)).withColumn("parameters", kept).write.mode("append").parquet(path)

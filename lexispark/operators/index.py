@@ -1,29 +1,41 @@
-"""A collection: tables of points and postings below one folder, in numbered versions."""
+"""A collection: tables of points and their terms below one folder, in numbered versions that share unchanged parts."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lexispark.operators.sparse import postings
+from lexispark.operators.sparse import terms
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
-    """old with new rows in place of those with an equal key; of repeated new keys the one of the largest batch stays."""
-    latest = Window.partitionBy(key).orderBy(F.desc("batch"))
-    both = old.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(new.withColumn("batch", F.coalesce(F.col("batch"), F.lit(0)).cast("bigint") if "batch" in new.columns else F.lit(0).cast("bigint")), allowMissingColumns=True)
+    """old with new rows in place of those with an equal key; of repeated new keys the one of the largest batch stays.
+
+    Rows of one key and batch are ordered by a hash of the row, so that a run repeated gives the same row.
+    """
+    batch = F.coalesce(F.col("batch"), F.lit(0)).cast("bigint") if "batch" in new.columns else F.lit(0).cast("bigint")
+    both = old.withColumn("batch", F.lit(-1).cast("bigint")).unionByName(new.withColumn("batch", batch), allowMissingColumns=True)
+    latest = Window.partitionBy(key).orderBy(F.desc("batch"), F.xxhash64(*both.columns))
     return both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "batch")
 
 
 @dataclass
 class Collection:
-    """Points and postings at base/name/v=N; the newest version with a _READY table is current."""
+    """Points and terms in `parts` parts by a hash of article_id; a version lists the folder of each of its parts.
+
+    An update writes the parts it touches into a new version and takes the others over. A version is current once its
+    list is written, so a failed write leaves the one before it in place. One writer at a time.
+    """
 
     spark: SparkSession
     base: str
     name: str
+    parts: int = 64
+    _kept: list[DataFrame] = field(default_factory=list, repr=False)
 
     @property
     def root(self) -> str:
@@ -32,57 +44,129 @@ class Collection:
     def _fs(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path, jvm
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        fs, path, jvm = self._fs()
-        if not fs.exists(path):
+    def _folders(self) -> list[int]:
+        fs, path = self._fs()
+        if not fs.exists(path(self.root)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        ready = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}/postings/_SUCCESS"))]
-        return sorted(ready)
+        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
+        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+    def versions(self) -> list[int]:
+        """The complete versions."""
+        fs, path = self._fs()
+        return [n for n in self._folders() if fs.exists(path(f"{self.root}/v={n}/parts/_SUCCESS"))]
 
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def create(self, points: DataFrame, recreate: bool = False, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2) -> None:
-        """Write the first version; an existing collection stays unless recreate."""
-        if self.exists() and not recreate:
-            return
-        if recreate:
-            self.drop()
-        self._write(points, text_col, stops, min_length)
+    def _listed(self) -> dict[int, int]:
+        """part -> the version whose folder holds it; `parts` entries at most."""
+        rows = self.spark.read.schema("part int, version int").json(f"{self.root}/v={self.versions()[-1]}/parts").collect()
+        return {r["part"]: r["version"] for r in rows if r["part"] >= 0}
 
-    def _write(self, points: DataFrame, text_col: str, stops: tuple[str, ...], min_length: int) -> None:
-        n = (self.versions() or [0])[-1] + 1
-        at = f"{self.root}/v={n}"
-        points.write.mode("overwrite").parquet(f"{at}/points")
-        written = self.spark.read.parquet(f"{at}/points")
-        postings(written, "point_id", text_col, stops, min_length).write.mode("overwrite").parquet(f"{at}/postings")
+    def _schema(self, table: str) -> StructType:
+        got = self.spark.read.schema("part int, points string, terms string").json(f"{self.root}/v={self.versions()[-1]}/parts")
+        return StructType.fromJson(json.loads(got.where("part = -1").first()[table]))
+
+    def _read(self, table: str, only: set[int] | None = None) -> DataFrame:
+        schema = self._schema(table)
+        paths = [f"{self.root}/v={v}/{table}/part={p}" for p, v in sorted(self._listed().items()) if only is None or p in only]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.versions()[-1]}/points")
+        return self._read("points")
+
+    def terms(self) -> DataFrame:
+        """(point_id, terms array<struct<token, tf>>)."""
+        return self._read("terms")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/v={self.versions()[-1]}/postings")
+        """(point_id, token, tf)."""
+        return self.terms().select("point_id", F.inline("terms"))
 
-    def upsert(self, new: DataFrame, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2) -> None:
-        """A new version with the rows of new in place of equal point ids; nothing happens for an empty table."""
+    def create(self, points: DataFrame, recreate: bool = False, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2) -> None:
+        """Write the first version; an existing collection stays unless recreate, and then until the new one is complete."""
+        if self.exists() and not recreate:
+            return
+        self._write(points, {}, text_col, stops, min_length)
+        self.vacuum()
+
+    def _part(self, df: DataFrame) -> DataFrame:
+        key = "article_id" if "article_id" in df.columns else "point_id"
+        return df.withColumn("part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.parts)).cast("int"))
+
+    def _write(self, points: DataFrame, others: dict[int, int], text_col: str, stops: tuple[str, ...], min_length: int) -> None:
+        """A new version of these points and, unchanged, the other parts."""
+        n = (self._folders() or [0])[-1] + 1
+        at = f"{self.root}/v={n}"
+        # rebalancing splits a large part among tasks and joins small ones
+        self._part(points).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{at}/points")
+        written = self.spark.read.schema(StructType([*points.schema.fields, StructField("part", IntegerType())])).parquet(f"{at}/points")
+        found = terms(written, "point_id", text_col, stops, min_length, ("part",))
+        found.write.mode("overwrite").partitionBy("part").parquet(f"{at}/terms")
+        here = {r["part"]: n for r in written.select("part").distinct().collect()}
+        rows = [(p, v, None, None) for p, v in sorted({**others, **here}.items())]
+        rows.append((-1, n, points.schema.json(), found.drop("part").schema.json()))
+        self.spark.createDataFrame(rows, "part int, version int, points string, terms string").coalesce(1).write.mode("overwrite").json(f"{at}/parts")
+
+    def upsert(self, new: DataFrame, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2, whole_articles: bool = True) -> None:
+        """A new version with the rows of new in place of equal point ids; nothing happens for an empty table.
+
+        whole_articles: the points of an article in new that new does not have go, so no chunk of an old text stays.
+        Only the parts that new touches are read and written.
+        """
         if new.isEmpty():
             return
-        self._write(upsert(self.points(), new), text_col, stops, min_length) if self.exists() else self.create(new.drop("batch"), False, text_col, stops, min_length)
+        if not self.exists():
+            empty = new.drop("batch").limit(0)
+            self.create(upsert(empty, new), False, text_col, stops, min_length)
+            return
+        new = self._part(new)
+        touched = {r["part"] for r in new.select("part").distinct().collect()}  # self.parts rows at most
+        listed, old = self._listed(), self._read("points", touched)
+        if whole_articles and "article_id" in old.columns and "article_id" in new.columns:
+            old = old.join(new.select("article_id").distinct(), "article_id", "left_anti").select(*old.columns)
+        merged = upsert(old, new.drop("part"))
+        self._write(merged, {p: v for p, v in listed.items() if p not in touched}, text_col, stops, min_length)
+
+    def vacuum(self) -> None:
+        """Delete what the current version does not list."""
+        if not self.exists():
+            return
+        fs, path = self._fs()
+        current, used = self.versions()[-1], {(v, p) for p, v in self._listed().items()}
+        for v in self._folders():
+            mine = {p for w, p in used if w == v}
+            if v != current and not mine:
+                fs.delete(path(f"{self.root}/v={v}"), True)
+            elif v != current:
+                for table in ("points", "terms"):
+                    for s in fs.listStatus(path(f"{self.root}/v={v}/{table}")):
+                        name = s.getPath().getName()
+                        if name.startswith("part=") and int(name[5:]) not in mine:
+                            fs.delete(s.getPath(), True)
 
     def info(self, vector_col: str = "embedding") -> DataFrame:
         """One row: name, vector_size, points_count, status."""
+        kind = "name string, vector_size int, points_count bigint, status string"
         if not self.exists():
-            return self.spark.createDataFrame([(self.name, None, 0, "missing")], "name string, vector_size int, points_count bigint, status string")
+            return self.spark.createDataFrame([(self.name, None, 0, "missing")], kind)
         p = self.points()
         size = F.max(F.size(vector_col)) if vector_col in p.columns else F.lit(None).cast("int")
         return p.agg(size.alias("vector_size"), F.count("*").alias("points_count")).select(F.lit(self.name).alias("name"), "vector_size", "points_count", F.lit("green").alias("status"))
 
+    def cache(self) -> tuple[DataFrame, DataFrame]:
+        """Points and terms, kept in memory until close()."""
+        self._kept += [self.points().persist(), self.terms().persist()]
+        return self._kept[-2], self._kept[-1]
+
     def drop(self) -> None:
-        fs, path, _ = self._fs()
-        fs.delete(path, True)
+        fs, path = self._fs()
+        fs.delete(path(self.root), True)
 
     def close(self) -> None:
-        self.spark.catalog.clearCache()
+        """Free what cache() kept; other tables of the session stay."""
+        while self._kept:
+            self._kept.pop().unpersist()

@@ -34,32 +34,36 @@ def classify_code(name: Column, content: Column) -> Column:
     return F.coalesce(by_number, by_content, by_name, F.lit(UNKNOWN_CODE))
 
 
-_HEAD = r"(?miuU)(?:^|\n)\s*(?:Статья)\s+(\d+(?:\.\d+)?)[\.:]?\s*"
-_CHAPTER = r"(?miuU)^(?:Глава|Раздел|Часть)\s+\d+[\.:]?\s*.*?\n"
-_HEADING_LIKE = r"^(?:Глава|Раздел|Часть|ЧАСТЬ|ГЛАВА|РАЗДЕЛ)\s+\d+"
+# What begins an article, what is a chapter's heading within one, and what no article's text begins with.
+_HEAD = r"(?mdiuU)(?:^|\n)\s*(?:Статья)\s+(\d+(?:\.\d+)?)[\.:]?\s*"
+_CHAPTER = r"(?mdiuU)^(?:Глава|Раздел|Часть)\s+\d+[\.:]?\s*.*?\n"
+_HEADING_LIKE = r"(?U)^(?:Глава|Раздел|Часть|ЧАСТЬ|ГЛАВА|РАЗДЕЛ)\s+\d+"
+_POINT = r"(?mdU)^\s*\d+\.\s+"
+_SENTENCE = r"(?U)^([^.]+\.\s+[А-Я])"
 
 
 def split_articles(files: DataFrame, text_col: str = "text", min_body: int = 30) -> DataFrame:
     """One row per article: the columns of files but the text, pos, article_num, article_title, article_text.
 
-    Headings are marked by control characters and split at them; what stands before the first heading goes. Bodies of
-    at most min_body characters, and bodies that are headings themselves, go too.
+    Headings are marked by control characters and split at them; what stands before the first heading goes. An
+    article's text, without chapter headings and outer white space, is title and body: the title is what stands before
+    the first numbered point, else the first line if it is no longer than 199 characters and others follow, else the
+    first line of a sentence that another one follows, with that one's first letter. Bodies of at most min_body
+    characters, and bodies that are headings themselves, go.
     """
     text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|\r", "\n"), r"[ \t]+", " ")
     text = F.translate(text, "\u0001\u0002", "")
-    marked = F.regexp_replace(text, _HEAD, "\u0001$1\u0002")
-    pieces = F.slice(F.split(marked, "\u0001"), 2, 1_000_000_000)
+    pieces = F.slice(F.split(F.regexp_replace(text, _HEAD, "\u0001$1\u0002"), "\u0001"), 2, 1_000_000_000)
     rest = [c for c in files.columns if c != text_col]
     rows = files.select(*rest, F.posexplode(pieces).alias("pos", "piece"))
-    rows = rows.withColumn("article_num", F.substring_index("piece", "\u0002", 1)).withColumn("raw", F.regexp_replace(F.expr("substring(piece, instr(piece, '\u0002') + 1)"), _CHAPTER, ""))
-    at = F.regexp_instr("raw", F.lit(r"(?m)^\s*\d+\.\s+"))
-    line = F.substring_index("raw", "\n", 1)
-    sentence = F.regexp_extract("raw", r"^([^.]+\.[\s\n]+[А-Я])", 1)
-    first_line = (F.instr("raw", "\n") > 0) & (F.length(strip(line)) > 0) & (F.length(strip(line)) < 200)
-    title = F.when(at > 0, F.expr("substring(raw, 1, at - 1)")).when(first_line, line).when(sentence != "", F.substring_index(sentence, "\n", 1)).otherwise("")
-    body = F.when(at > 0, F.expr("substring(raw, at)")).when(first_line, F.expr("substring(raw, length(substring_index(raw, '\n', 1)) + 1)")).when(sentence != "", F.expr("substring(raw, length(title) + 1)")).otherwise(F.col("raw"))
-    rows = rows.withColumn("at", at).withColumn("title", title).withColumn("body", body)
-    out = rows.select(*rest, "pos", "article_num", strip(F.regexp_replace("title", r"\n", " ")).alias("article_title"), strip(F.regexp_replace("body", r"\n\s*\n+", "\n")).alias("article_text"))
+    # columns in steps: each is used more than once by the next
+    rows = rows.withColumn("article_num", F.substring_index("piece", "\u0002", 1)).withColumn("raw", strip(F.regexp_replace(F.expr("substring(piece, instr(piece, '\u0002') + 1)"), _CHAPTER, "")))
+    rows = rows.withColumn("at", F.regexp_instr("raw", F.lit(_POINT))).withColumn("line", F.substring_index("raw", "\n", 1)).withColumn("sentence", F.regexp_extract("raw", _SENTENCE, 1))
+    first_line = (F.instr("raw", "\n") > 0) & (F.length("line") < 200)
+    rows = rows.withColumn("title", F.when(F.col("at") > 0, F.expr("substring(raw, 1, at - 1)")).when(first_line, F.col("line")).when(F.col("sentence") != "", strip(F.substring_index("sentence", "\n", 1))).otherwise(""))
+    body = F.when(F.col("at") > 0, F.expr("substring(raw, at)")).otherwise(F.expr("substring(raw, length(title) + 1)"))
+    one_line = strip(F.regexp_replace("title", r"\n+", " "))
+    out = rows.select(*rest, "pos", "article_num", one_line.alias("article_title"), strip(F.regexp_replace(strip(body), r"(?U)\n\s*\n+", "\n")).alias("article_text"))
     return out.where((F.length("article_text") > min_body) & ~F.col("article_text").rlike(_HEADING_LIKE))
 
 
@@ -103,9 +107,9 @@ def pairs(articles: DataFrame, min_length: int = 10) -> DataFrame:
     return once.select(F.col("article_id").alias("query_id"), "query_text", "article_id", "article_num", F.coalesce("article_title", F.lit("")).alias("article_title"), "article_text", "codex")
 
 
-def split_key(id_col: str, seed: int = 42) -> Column:
-    """A portable pseudo-random key."""
-    return F.pmod(F.col(id_col) * 7919 + seed * 104729, F.lit(10007))
+def split_key(id_col: str, seed: int = 42, of: int = 10007) -> Column:
+    """A portable pseudo-random key from 0 to of - 1."""
+    return F.pmod(F.pmod(F.col(id_col).cast("bigint"), F.lit(of)) * 7919 + seed * 104729, F.lit(of))
 
 
 def stratified_split(df: DataFrame, id_col: str = "query_id", stratum: str = "codex", share: float = 0.15, seed: int = 42) -> DataFrame:
@@ -116,24 +120,39 @@ def stratified_split(df: DataFrame, id_col: str = "query_id", stratum: str = "co
     return df.withColumn("is_test", rank <= F.floor(n * share + 0.5))
 
 
-def negatives(pairs_: DataFrame, articles: DataFrame, per_positive: int = 4, seed: int = 42) -> DataFrame:
-    """(query_id, article_id, negative_id): other articles of the same code, per_positive each.
+def negatives(pairs_: DataFrame, articles: DataFrame, per_positive: int = 4, seed: int = 42, how: str = "same_codex", ring: int = 1000) -> DataFrame:
+    """(query_id, article_id, negative_id): other articles, per_positive each where there are enough.
 
-    Articles of a code stand on a ring in a pseudo-random order; a query takes the next ones after its own, so no
-    pairs of a whole code are made.
+    how: "same_codex" takes articles of the same code, "random" any, and "in_batch" the articles of other pairs. The
+    candidates stand on rings in a pseudo-random order, one for each code or of about `ring` candidates; a query takes
+    the next ones after its own, so no pairs of a whole ring are made.
     """
-    w = Window.partitionBy("codex")
-    ring = articles.select("article_id", "codex", (F.row_number().over(w.orderBy(split_key("article_id", seed), "article_id")) - 1).alias("place"), F.count("*").over(w).alias("n"))
-    mine = pairs_.select("query_id", "article_id").join(ring, "article_id")
+    if how not in ("same_codex", "random", "in_batch"):
+        raise ValueError(f"unknown negatives: {how}")
+    every = pairs_.select("article_id").where("article_id is not null").distinct() if how == "in_batch" else articles
+    if how == "same_codex":
+        every = every.select("article_id", F.col("codex").alias("ring"))
+    else:
+        rings = max(1, every.count() // ring)
+        every = every.select("article_id", F.pmod(split_key("article_id", seed, 1000003), F.lit(rings)).alias("ring"))
+    w = Window.partitionBy("ring")
+    placed = every.select("article_id", "ring", (F.row_number().over(w.orderBy(split_key("article_id", seed), "article_id")) - 1).alias("place"), F.count("*").over(w).alias("n"))
+    mine = pairs_.select("query_id", "article_id").join(placed, "article_id")
     wanted = mine.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))).where("step < n")
-    wanted = wanted.select("query_id", "article_id", "codex", F.pmod(F.col("place") + F.col("step"), F.col("n")).alias("place"))
-    return wanted.join(ring.select(F.col("article_id").alias("negative_id"), "codex", "place"), ["codex", "place"]).select("query_id", "article_id", "negative_id")
+    wanted = wanted.select("query_id", "article_id", "ring", F.pmod(F.col("place") + F.col("step"), F.col("n")).alias("place"))
+    return wanted.join(placed.select(F.col("article_id").alias("negative_id"), "ring", "place"), ["ring", "place"]).select("query_id", "article_id", "negative_id")
 
 
 def category_counts(df: DataFrame, col: str = "codex") -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col)
 
 
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(n_before, n_after, n_removed)."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(before, "n_before").crossJoin(n(after, "n_after")).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
+
+
 def profile(articles: DataFrame, sample: int = 5) -> dict[str, DataFrame]:
     """Counts, counts by code, and the first articles."""
     return {"total": articles.agg(F.count("*").alias("n")), "by_code": category_counts(articles), "head": articles.orderBy("article_id").limit(sample)}

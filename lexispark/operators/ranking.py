@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +20,30 @@ def top_k(scored: DataFrame, k: int, query_col: str = "query_id", point_col: str
     return scored.withColumn("score", F.round("score", DIGITS)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Rounded to the digits by which scores are ranked, halves away from zero; no negative zero."""
+    unit = 10.0**DIGITS
+    return np.copysign(np.floor(np.abs(scores) * unit + 0.5), scores) / unit + 0.0
+
+
+def best_rows(scores: np.ndarray, points: pa.Array, queries: pa.Array, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """(query, point, score) of the best k points of each query among a batch's, by rounded score, ties by point.
+
+    scores: queries x points; those of minus infinity are none.
+    """
+    s = rounded(scores)
+    if s.shape[1] > k:
+        order = pc.sort_indices(points).to_numpy()  # ties go to the smaller point, so the columns stand in their order
+        s, points = s[:, order], points.take(pa.array(order))
+        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        above, level = s > edge, s == edge
+        keep = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    else:
+        keep = np.ones(s.shape, bool)
+    q, p = np.nonzero(keep & np.isfinite(s))
+    yield pa.RecordBatch.from_arrays([queries.take(pa.array(q)), points.take(pa.array(p)), pa.array(s[q, p])], names=names)
+
+
 def minmax(hits: DataFrame, query_col: str = "query_id", out: str = "norm") -> DataFrame:
     """Scores of each query scaled to 0..1; all equal: 1."""
     w = Window.partitionBy(query_col)

@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import tokens
-from lexispark.operators.ranking import top_k
+from lexispark.operators.ranking import best_rows, top_k
+from lexispark.package import ship
+from lexispark.storage import saved
 
 
 def stop_words(language: str = "russian") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def postings(df: DataFrame, id_col: str, text_col: str, stops: Sequence[str] = (), min_length: int = 2) -> DataFrame:
-    """(id, token, tf): a text without tokens has no rows. Keyed by the token, so no vocabulary has to be agreed on."""
-    each = df.select(F.col(id_col), F.explode(tokens(F.col(text_col), stops, min_length)).alias("token"))
-    return each.groupBy(id_col, "token").agg(F.count("*").cast("double").alias("tf"))
+def token_counts(tokens_: Column) -> Column:
+    """array<struct<token, tf>> of an array of tokens, by sorting it: all tokens of a text are in one row already."""
+
+    def runs(s: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+    def counted(s: Column, at: Column) -> Column:
+        return F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("double").alias("tf")))
+
+    # one-element arrays hand a value to a lambda, so that it is computed once
+    held = F.transform(F.array(F.array_sort(tokens_)), lambda s: F.struct(s.alias("s"), runs(s).alias("at")))
+    none = F.array().cast("array<struct<token:string,tf:double>>")
+    return F.when(F.size(tokens_) > 0, F.get(F.transform(held, lambda x: counted(x["s"], x["at"])), F.lit(0))).otherwise(none)
+
+
+def terms(df: DataFrame, id_col: str, text_col: str, stops: Sequence[str] = (), min_length: int = 2, keep: Sequence[str] = ()) -> DataFrame:
+    """(id, *keep, terms array<struct<token, tf>>) of every row, row by row: nothing is shuffled."""
+    held = df.select(id_col, *keep, tokens(F.col(text_col), stops, min_length).alias("ts"))
+    return held.select(id_col, *keep, token_counts(F.col("ts")).alias("terms"))
+
+
+def postings(df: DataFrame, id_col: str, text_col: str, stops: Sequence[str] = (), min_length: int = 2, unique: bool = False) -> DataFrame:
+    """(id, token, tf): a text without tokens has no rows. Keyed by the token, so no vocabulary has to be agreed on.
+
+    unique: no id has two rows; then a text's tokens are counted within its row and nothing is shuffled. Otherwise the
+    counts of an id's rows are added up.
+    """
+    each = terms(df, id_col, text_col, stops, min_length).select(id_col, F.inline("terms"))
+    return each if unique else each.groupBy(id_col, "token").agg(F.sum("tf").alias("tf"))
 
 
 def vocabulary(post: DataFrame) -> DataFrame:
@@ -36,7 +66,8 @@ def token_ids(post: DataFrame, known: DataFrame | None = None) -> DataFrame:
     fresh = post.select("token").distinct()
     start = 0
     if known is not None:
-        start = (known.agg(F.max("token_id")).first()[0] or -1) + 1
+        last = known.agg(F.max("token_id")).first()[0]
+        start = 0 if last is None else last + 1
         fresh = fresh.join(known, "token", "left_anti")
     placed = fresh.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(4096)))
     sizes = placed.groupBy("bucket").count().orderBy("bucket").collect()  # 4096 rows at most
@@ -44,8 +75,6 @@ def token_ids(post: DataFrame, known: DataFrame | None = None) -> DataFrame:
     for r in sizes:
         offsets.append((int(r["bucket"]), at))
         at += r["count"]
-    from pyspark.sql import Window
-
     base = spark.createDataFrame(offsets, "bucket bigint, base bigint")
     number = F.row_number().over(Window.partitionBy("bucket").orderBy("token")) - 1
     out = placed.join(F.broadcast(base), "bucket").withColumn("number", number).select("token", (F.col("base") + F.col("number")).alias("token_id"))
@@ -57,8 +86,89 @@ def with_idf(freq: DataFrame, n: int) -> DataFrame:
     return freq.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-def sparse_leg(query_post: DataFrame, post: DataFrame, idf: DataFrame, k: int, query_col: str = "query_id", point_col: str = "point_id") -> DataFrame:
-    """(query, point, score, rank): tf-idf products over shared tokens. Points that share none are no candidates."""
-    asked = query_post.select(query_col, "token", F.col("tf").alias("q_tf")).join(idf.select("token", "idf"), "token")
-    scored = post.join(asked, "token").groupBy(query_col, point_col).agg(F.sum(F.col("q_tf") * F.col("idf") * F.col("tf")).alias("score"))
+#: Numbers of query weights (tokens x queries) that one pass over the points carries along.
+PASS_WEIGHTS = 8 << 20
+#: Products (tokens of points x queries) that are held at a time.
+HELD = 4 << 20
+
+
+def sparse_leg(query_post: DataFrame, point_tokens: DataFrame, n: int, k: int, kept: DataFrame | None = None, query_col: str = "query_id", point_col: str = "point_id", pass_weights: int = PASS_WEIGHTS) -> DataFrame:
+    """(query, point, score, rank): tf-idf products over shared tokens. Points that share none are no candidates.
+
+    query_post: query, token, tf. point_tokens: point, ts (its tokens, with repeats), or point, terms. n: points in all.
+    kept: the points that may be found (all where None); frequencies are of all points.
+
+    The stated queries' tokens are gathered by the driver and go along with the points. One pass keeps what each point
+    has of these tokens, as numbers in a saved table; their frequencies come from that table, and a second pass over it
+    multiplies a batch's counts by the queries' weights and lets the batch's best k of each query leave it. A token
+    that every point has is a row of weights like any other: no key is shuffled, and no point meets a query twice.
+    """
+    spark = point_tokens.sparkSession
+    ship(spark)
+    asked = query_post.select(F.col(query_col).alias("q"), "token", F.col("tf").cast("double").alias("tf")).where("tf > 0")
+    q_kind, p_kind = asked.schema["q"].dataType.simpleString(), point_tokens.schema[point_col].dataType.simpleString()
+    ddl = f"`{query_col}` {q_kind}, `{point_col}` {p_kind}, score double"
+    got = asked.toArrow().combine_chunks()
+    if not got.num_rows:
+        return top_k(spark.createDataFrame([], ddl), k, query_col, point_col)
+    words, q_ids = pc.unique(got.column("token")), pc.unique(got.column("q"))
+    row = pc.index_in(got.column("token"), value_set=words).to_numpy()
+    of = pc.index_in(got.column("q"), value_set=q_ids).to_numpy()
+    counted = "terms" in point_tokens.columns
+    source = point_tokens.select(F.col(point_col).alias("p"), *((F.col("terms.token"), F.col("terms.tf")) if counted else ("ts",)))
+    found = saved(source.mapInArrow(_numbered(spark.sparkContext.broadcast(words), counted), f"p {p_kind}, at array<int>, tf array<double>"), "matching")
+    df = np.zeros(len(words))
+    for r in found.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # a row for each of the queries' tokens
+        df[r["at"]] = r["df"]
+    weight = got.column("tf").to_numpy() * np.log((n - df + 0.5) / (df + 0.5) + 1)[row]
+    mine = found if kept is None else found.join(kept.select(F.col(point_col).alias("p")), "p", "left_semi")
+    each, scored = max(1, pass_weights // len(words)), None
+    for begin in range(0, len(q_ids), each):
+        here = (of >= begin) & (of < begin + each)
+        shared = spark.sparkContext.broadcast((q_ids.slice(begin, each), row[here], of[here] - begin, weight[here], len(words)))
+        part = mine.mapInArrow(_scored(shared, k, query_col, point_col), ddl)
+        scored = part if scored is None else scored.unionByName(part)
     return top_k(scored, k, query_col, point_col)
+
+
+def _numbered(shared, counted: bool):
+    """Points with the numbers of their tokens among the queries', each once, and how often they have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for b in batches:
+            lists = b.column(1)
+            at = pc.index_in(lists.flatten(), value_set=words)
+            owner = pc.list_parent_indices(lists).to_numpy()
+            known = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            code = owner[known] * len(words) + at.drop_null().to_numpy()
+            # a point's tokens, each once
+            code, inverse = np.unique(code, return_inverse=True)
+            tf = np.bincount(inverse, b.column(2).flatten().to_numpy()[known] if counted else None, len(code)).astype(np.float64)
+            ids, sizes = np.unique(code // len(words), return_counts=True)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            numbers = pa.ListArray.from_arrays(offsets, pa.array(code % len(words), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), numbers, pa.ListArray.from_arrays(offsets, pa.array(tf))], names=["p", "at", "tf"])
+
+    return run
+
+
+def _scored(shared, k: int, query_col: str, point_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, row, of, weight, n_words = shared.value
+        table = np.zeros((n_words, len(asked)))
+        table[row, of] = weight
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes = pc.list_value_length(b.column(1)).to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            at, tf = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy()
+            s = np.empty((len(asked), b.num_rows))
+            step = max(1, HELD // max(len(at), 1))
+            for i in range(0, len(asked), step):
+                s[i : i + step] = np.add.reduceat(table[at, i : i + step] * tf[:, None], starts, axis=0).T
+            s[s <= 0] = -np.inf
+            yield from best_rows(s, b.column(0), asked, k, [query_col, point_col, "score"])
+
+    return run

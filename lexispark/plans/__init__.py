@@ -18,6 +18,23 @@ from lexispark.operators.ranking import dedup_by_article, dedup_by_parent
 from lexispark.operators.search import dense_search, hybrid_search, with_payload
 from lexispark.operators.sparse import stop_words
 
+#: The sample questions and their subjects.
+SAMPLE_QUERIES = (
+    ("Трудовое право", "Какие права есть у работника при увольнении?"),
+    ("Недвижимость", "Как проверить квартиру перед покупкой?"),
+    ("Семейное право", "Как рассчитываются алименты?"),
+    ("Защита прав", "Как вернуть товар ненадлежащего качества?"),
+    ("ДТП и авто", "Что делать после ДТП?"),
+    ("Налоги", "Как получить налоговый вычет?"),
+    ("Документы", "Как составить исковое заявление?"),
+    ("Наследство", "Как вступить в наследство?"),
+)
+
+
+def sample_queries(spark: SparkSession) -> DataFrame:
+    """(query_id, subject, query_text) of SAMPLE_QUERIES."""
+    return spark.createDataFrame([(i, *q) for i, q in enumerate(SAMPLE_QUERIES)], "query_id bigint, subject string, query_text string")
+
 
 @dataclass
 class Engine:
@@ -36,10 +53,19 @@ class Engine:
         v = self.encoder(text)
         return l2_normalize(v) if self.config.embedding.normalize else v
 
+    def points(self, articles: DataFrame) -> DataFrame:
+        c = self.config.chunking
+        # an article that is not cut is its own point
+        whole = not c.enabled or c.strategy == "none"
+        points = chunk(articles, c).withColumn("point_id", F.col("article_id").cast("bigint") if whole else F.xxhash64("point_key"))
+        return points.withColumn("embedding", self._vector(F.col("chunk_text")))
+
     def build(self, articles: DataFrame, recreate: bool = True) -> None:
-        points = chunk(articles, self.config.chunking).withColumn("point_id", F.xxhash64("point_key"))
-        points = points.withColumn("embedding", self._vector(F.col("chunk_text")))
-        self.collection.create(points, recreate, "chunk_text", self._stops, self.config.sparse.min_token_length)
+        self.collection.create(self.points(articles), recreate, "chunk_text", self._stops, self.config.sparse.min_token_length)
+
+    def update(self, articles: DataFrame) -> None:
+        """Put articles into the collection; all chunks of their earlier texts go."""
+        self.collection.upsert(self.points(articles), "chunk_text", self._stops, self.config.sparse.min_token_length)
 
     def embed(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         return df.withColumn("embedding", self._vector(F.col(text_col))).withColumn("dimension", F.size("embedding"))
@@ -48,7 +74,7 @@ class Engine:
         asked = queries.where(F.trim("query_text") != "").withColumn("embedding", self._vector(F.col("query_text")))
         points, s = self.collection.points(), self.config.search
         if s.hybrid:
-            hits = hybrid_search(asked, points, s, limit, threshold, where, self.collection.postings(), self._stops, self.config.sparse.min_token_length)
+            hits = hybrid_search(asked, points, s, limit, threshold, where, self.collection.terms(), self._stops, self.config.sparse.min_token_length)
         else:
             hits = dense_search(asked, points, s, limit, threshold, where)
         return with_payload(hits, points)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from lexispark.config import Chunking, Search
 from lexispark.functions import text as T
 from lexispark.operators import context, evaluate, prepare
-from lexispark.operators.chunking import chunk
+from lexispark.operators.chunking import chunk, parents
 from lexispark.operators.dense import dense_leg
 from lexispark.operators.index import upsert
 from lexispark.operators.ranking import dedup_by_article, dedup_by_parent, minmax
 from lexispark.operators.search import dense_search, hybrid_search
 from lexispark.operators.sparse import postings, sparse_leg, vocabulary, with_idf
+from lexispark.storage import saved
 
 STOPS = ("the", "and", "of", "to", "in", "is", "de", "la", "der", "die")
 LINES = Chunking(separators=("\n", "\n"))
@@ -33,23 +34,25 @@ def _articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return postings(_table(spark, sf, "documents"), "doc_id", "text", (), 1)
+    return postings(_table(spark, sf, "documents"), "doc_id", "text", (), 1, unique=True)
 
 
 def stopword_filtered_tf(spark: SparkSession, sf: str) -> DataFrame:
-    return postings(_table(spark, sf, "documents"), "doc_id", "text", STOPS, 2)
+    return postings(_table(spark, sf, "documents"), "doc_id", "text", STOPS, 2, unique=True)
 
 
 def token_df_idf(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
-    return with_idf(vocabulary(postings(docs, "doc_id", "text", (), 2)), docs.count()).withColumn("idf", F.round("idf", 6))
+    return with_idf(vocabulary(postings(docs, "doc_id", "text", (), 2, unique=True)), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 def sparse_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
-    post = postings(docs.withColumnRenamed("doc_id", "point_id"), "point_id", "text")
-    asked = postings(_table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    return sparse_leg(asked, post, with_idf(vocabulary(post), docs.count()), 30)
+    return sparse_leg(_asked(spark, sf), docs.select(F.col("doc_id").alias("point_id"), T.tokens(F.col("text")).alias("ts")), docs.count(), 30)
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return postings(_table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text", unique=True)
 
 
 def _dense(distance: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -68,7 +71,7 @@ def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     d, e = _table(spark, sf, "documents"), _table(spark, sf, "embeddings")
-    points = d.join(e, d["doc_id"] == e["vec_id"]).select(F.col("doc_id").alias("point_id"), F.col("text").alias("chunk_text"), "embedding", "lang", "source")
+    points = d.join(e, d["doc_id"] == e["vec_id"], "left").select(F.col("doc_id").alias("point_id"), F.col("text").alias("chunk_text"), "embedding", "lang", "source")
     asked = points.where("point_id % 100 = 0").select(F.col("point_id").alias("query_id"), F.col("chunk_text").alias("query_text"), "embedding")
     return asked, points
 
@@ -93,9 +96,8 @@ def dense_only_search(spark: SparkSession, sf: str) -> DataFrame:
 def _chunk_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse hits over parent-child chunks, with their payload."""
     points = chunk(_articles(spark, sf), LINES).withColumnRenamed("point_key", "point_id")
-    post = postings(points, "point_id", "chunk_text")
-    asked = postings(_table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
-    hits = sparse_leg(asked, post, with_idf(vocabulary(post), points.count()), 15)
+    tokens = saved(points.select("point_id", T.tokens(F.col("chunk_text")).alias("ts")), "tokens")
+    hits = sparse_leg(_asked(spark, sf), tokens, tokens.count(), 15)
     return hits.join(points, "point_id")
 
 
@@ -108,7 +110,7 @@ def answer_dedup_parent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_context(spark: SparkSession, sf: str) -> DataFrame:
-    hits = dedup_by_parent(_chunk_hits(spark, sf).where("rank <= 5")).withColumn("score", F.lit(0.5))
+    hits = dedup_by_parent(_chunk_hits(spark, sf).where("rank <= 5"))
     return context.contexts(hits).select("query_id", "context_text", F.size("relevant_articles").alias("n_sources"))
 
 
@@ -134,7 +136,7 @@ def chunk_children(spark: SparkSession, sf: str) -> DataFrame:
 
 def _parents(c: Chunking) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        return chunk(_articles(spark, sf), c).groupBy("article_id", "parent_id", "parent_text").agg(F.count("*").alias("n_children"))
+        return parents(_articles(spark, sf), c).select("article_id", "p.parent_id", "p.parent_text", F.size("p.children").cast("bigint").alias("n_children"))
 
     return query
 
@@ -213,10 +215,30 @@ def codex_classify(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", prepare.classify_code(name, F.col("html")).alias("codex"))
 
 
+#: Articles around a document's text: a first-line title, points, a chapter's heading, one line, none worth keeping.
+_LAW = ("preamble\nСтатья 1. Общие  положения\n\n", "\nГлава 2. Иное\nСТАТЬЯ 2.1\nНазвание  второе\n 1. Первый пункт этого закона\n2. ", "\n  статья 3: ", "\nСтатья 4\nЧасть 1 короткая\nстатья 5 коротко\nСтатья 6 " + "одна строка, " * 4 + "\n")
+
+
 def article_split(spark: SparkSession, sf: str) -> DataFrame:
-    d = _table(spark, sf, "documents").where(F.col("doc_id").isNotNull())
-    body = F.concat(F.lit("preamble\nСтатья 1. Общие\n"), F.col("text"), F.lit("\nСТАТЬЯ 2.1\n"), F.col("text"), F.lit("\nстатья 3: коротко"))
-    return prepare.split_articles(d.select("doc_id", body.alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n_articles"), F.min("article_num").alias("first_num"), F.max("article_num").alias("last_num"))
+    d = _table(spark, sf, "documents")
+    text = F.concat(F.lit(_LAW[0]), "text", F.lit(_LAW[1]), "text", F.lit(_LAW[2]), "text", F.lit(_LAW[3]))
+    return prepare.split_articles(d.select("doc_id", F.col("source").alias("codex"), text.alias("text"))).select("doc_id", "codex", F.col("pos").cast("int").alias("pos"), "article_num", "article_title", "article_text")
+
+
+def _split_sql() -> str:
+    lit = lambda t: "'" + t.replace("\n", "' || chr(10) || '") + "'"
+    whole = " || text || ".join(lit(t) for t in _LAW)
+    space, ends = r"[\s\x{00a0}]", lambda t: rf"regexp_replace(regexp_replace({t}, '^[\s\x{{00a0}}]+', ''), '[\s\x{{00a0}}]+$', '')"
+    head = r"(?im)(?:^|\n)\s*(?:Статья)\s+(\d+(?:\.\d+)?)[\.:]?\s*"
+    chapter = r"(?im)^(?:Глава|Раздел|Часть)\s+\d+[\.:]?\s*.*?\n"
+    return rf"""WITH m AS (SELECT doc_id, source AS codex, string_split(regexp_replace(regexp_replace({whole}, '[ \t]+', ' ', 'g'), '{head}', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps FROM documents),
+p AS (SELECT doc_id, codex, unnest(range(len(ps) - 1)) AS pos, unnest(ps[2:]) AS piece FROM m),
+r AS (SELECT doc_id, codex, pos, string_split(piece, chr(2))[1] AS num, {ends(f"regexp_replace(substr(piece, instr(piece, chr(2)) + 1), '{chapter}', '', 'g')")} AS raw FROM p),
+t AS (SELECT *, regexp_matches(raw, '(?m)^\s*\d+\.\s+') AS points, regexp_extract(raw, '(?sm)\A(.*?)^\s*\d+\.\s+', 1) AS before, string_split(raw, chr(10))[1] AS line, regexp_extract(raw, '^([^.]+\.{space}+[А-Я])', 1) AS sentence FROM r),
+u AS (SELECT *, CASE WHEN points THEN before WHEN instr(raw, chr(10)) > 0 AND length(line) < 200 THEN line WHEN sentence <> '' THEN {ends("string_split(sentence, chr(10))[1]")} ELSE '' END AS title FROM t),
+b AS (SELECT *, {ends(rf"regexp_replace({ends('substr(raw, length(title) + 1)')}, '\n{space}*\n+', chr(10), 'g')")} AS body FROM u)
+SELECT doc_id, codex, CAST(pos AS INTEGER) AS pos, num AS article_num, {ends("regexp_replace(title, '[\n]+', ' ', 'g')")} AS article_title, body AS article_text FROM b
+WHERE length(body) > 30 AND NOT regexp_matches(body, '^(?:Глава|Раздел|Часть|ЧАСТЬ|ГЛАВА|РАЗДЕЛ){space}+\d+')"""
 
 
 def category_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -260,7 +282,7 @@ def _dense_sql(distance: str, k: int, points: str = "(SELECT vec_id AS point_id,
 {name} AS (SELECT query_id, point_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, point_id) AS rank FROM {name}_all {cut} QUALIFY rank <= {k})"""
 
 
-_CORPUS = "(SELECT d.doc_id AS point_id, d.text AS chunk_text, e.embedding, d.lang FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"
+_CORPUS = "(SELECT d.doc_id AS point_id, d.text AS chunk_text, e.embedding, d.lang FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
 
 
 def _hybrid_sql(where: str = "TRUE") -> str:
@@ -310,7 +332,7 @@ hits AS (SELECT * FROM sparse_hits JOIN points USING (point_id))"""
 _CONTEXT = f"""{_POINTS},
 first5 AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS n FROM hits WHERE rank <= 5 QUALIFY n = 1),
 ptext AS (SELECT article_id, parent_id, parent_text FROM ({_parents_sql(False, "SELECT * FROM grouped")})),
-parts AS (SELECT f.query_id, f.rank, 'Статья ' || f.article_id || ' (' || d.source || '):' || chr(10) || 'Название: ' || string_split(d.text, chr(10))[1] || chr(10) || 'Текст: ' || coalesce(nullif(t.parent_text, ''), d.text, '') || chr(10) || 'Релевантность: 0.5000' || chr(10) AS part
+parts AS (SELECT f.query_id, f.rank, 'Статья ' || f.article_id || ' (' || d.source || '):' || chr(10) || 'Название: ' || string_split(d.text, chr(10))[1] || chr(10) || 'Текст: ' || coalesce(nullif(t.parent_text, ''), d.text, '') || chr(10) || 'Релевантность: ' || CAST(CAST(round(CAST(f.score AS DECIMAL(18, 6)), 4) AS DECIMAL(18, 4)) AS VARCHAR) || chr(10) AS part
   FROM first5 f JOIN documents d ON d.doc_id = f.article_id JOIN ptext t ON t.parent_id = f.parent_id),
 context AS (SELECT query_id, string_agg(part, chr(10) || '---' || chr(10) ORDER BY rank) AS context_text, CAST(count(*) AS INTEGER) AS n_sources FROM parts GROUP BY query_id)"""
 
@@ -351,12 +373,12 @@ def oracle_sql() -> dict[str, str]:
         "chunk_parents_overlap": _parents_sql(True, "SELECT * FROM grouped"),
         "chunk_none": "SELECT doc_id AS article_id, doc_id || ':0:0' AS point_key, string_split(text, chr(10))[1] || ' ' || text AS chunk_text FROM documents",
         "chunk_stats": _parents_sql(False, "SELECT d.source AS codex, CAST(sum(n_children) AS BIGINT) AS n_chunks, count(DISTINCT parent_id) AS n_parents, count(DISTINCT article_id) AS n_articles FROM grouped g JOIN documents d ON d.doc_id = g.article_id GROUP BY 1"),
-        "index_upsert_latest": "SELECT doc_id AS point_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS value FROM documents UNION ALL SELECT doc_id + 1000000000, 'newer' FROM documents WHERE doc_id % 6 = 0",
+        "index_upsert_latest": "SELECT doc_id AS point_id, 'newer' AS value FROM documents UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents",
         "eval_recall": f"WITH {_METRICS} SELECT query_id, k, recall FROM m",
         "eval_mrr": f"WITH {_METRICS} SELECT query_id, k, mrr FROM m",
         "eval_ndcg": f"WITH {_METRICS} SELECT query_id, k, round(ndcg, 5) AS ndcg FROM m",
         "eval_summary": f"WITH {_METRICS}, l AS (SELECT 'recall' AS metric, k, recall AS v FROM m UNION ALL SELECT 'mrr', k, mrr FROM m UNION ALL SELECT 'ndcg', k, ndcg FROM m) SELECT metric, k, round(round(avg(v), 6), 4) AS mean, round(round(stddev_pop(v), 6), 4) AS std, round(min(v), 4) AS low, round(max(v), 4) AS high FROM l GROUP BY 1, 2",
-        "prepare_pairs": f"WITH a AS (SELECT *, CASE WHEN article_id % 7 <> 0 THEN substr(article_text, 1, 12) END AS query_text FROM {_ART}) SELECT article_id AS query_id, query_text, coalesce(article_title, '') AS article_title, codex FROM a WHERE length(query_text) >= 10 QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY article_id) = 1",
+        "prepare_pairs": f"WITH a AS (SELECT *, article_text AS query_text FROM {_ART}) SELECT article_id AS query_id, query_text, coalesce(article_title, '') AS article_title, codex FROM a WHERE length(query_text) >= 10 QUALIFY row_number() OVER (PARTITION BY query_text ORDER BY article_id) = 1",
         "dedup_keep_first": f"SELECT CAST(article_id % 10 AS VARCHAR) AS article_num, codex, min(article_id) AS article_id FROM {_ART} GROUP BY 1, 2",
         "sort_codex_number": f"SELECT article_id, codex, (article_id % 97) || '.1' AS article_num, CAST(row_number() OVER (PARTITION BY codex ORDER BY article_id % 97, article_id) AS INTEGER) AS place FROM {_ART}",
         "stratified_split_sizes": f"WITH r AS (SELECT article_id, codex, row_number() OVER (PARTITION BY codex ORDER BY {split_key.format('article_id')}, article_id) AS r, count(*) OVER (PARTITION BY codex) AS n FROM {_ART}) SELECT codex, count(*) AS n, CAST(sum(CASE WHEN r <= floor(n * 0.15::DOUBLE + 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS n_test, CAST(sum(CASE WHEN r <= floor(n * 0.15::DOUBLE + 0.5) THEN article_id END) AS BIGINT) AS test_ids FROM r GROUP BY codex",
@@ -366,6 +388,7 @@ def oracle_sql() -> dict[str, str]:
         + " ELSE CASE "
         + " ".join(f"WHEN 'doc N ' || (page_id % 200) || '-x' LIKE '%{n}%' THEN '{prepare.CODE_NUMBERS[n]}'" for _, n in prepare.NAME_STEMS)
         + f" ELSE '{prepare.UNKNOWN_CODE}' END END AS codex FROM pages",
+        "article_split": _split_sql(),
         "category_counts": "SELECT source AS codex, count(*) AS n FROM documents GROUP BY 1",
     }
     for name, distance in (("cosine", "Cosine"), ("dot", "Dot"), ("euclid", "Euclid")):

@@ -10,7 +10,7 @@ from lexispark.operators import evaluate, prepare
 from lexispark.operators.chunking import chunk
 from lexispark.operators.index import Collection
 from lexispark.operators.ranking import dedup_by_article, dedup_by_parent, fuse, minmax
-from lexispark.operators.sparse import postings, sparse_leg, vocabulary, with_idf
+from lexispark.operators.sparse import postings, sparse_leg, terms, vocabulary, with_idf
 from lexispark.plans import Engine
 
 
@@ -65,9 +65,10 @@ def test_tokens(spark):
 
 def test_sparse_scores(spark):
     docs = spark.createDataFrame([(1, "aa aa bb"), (2, "bb cc")], "point_id int, t string")
-    post = postings(docs, "point_id", "t")
+    idf = with_idf(vocabulary(postings(docs, "point_id", "t")), 2)
+    assert {r["token"]: round(r["idf"], 6) for r in idf.collect()} == {"aa": 0.693147, "bb": 0.182322, "cc": 0.693147}
     asked = postings(spark.createDataFrame([(9, "aa bb")], "query_id int, t string"), "query_id", "t")
-    got = {r["point_id"]: r["score"] for r in sparse_leg(asked, post, with_idf(vocabulary(post), 2), 5).collect()}
+    got = {r["point_id"]: r["score"] for r in sparse_leg(asked, terms(docs, "point_id", "t"), 2, 5).collect()}
     assert got == {1: pytest.approx(1.568616, abs=1e-5), 2: pytest.approx(0.182322, abs=1e-5)}
 
 
