@@ -5,42 +5,31 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 from typing import TypeVar
 
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexispark.package import ship
 from lexispark.storage import discard, forget, saved, shared_folder
 
-__all__ = ["discard", "forget", "memo", "prepare", "release", "remainder", "saved", "shared_folder", "table", "text_or_empty"]
+__all__ = ["discard", "forget", "memo", "prepare", "release", "remainder", "saved", "shared_folder", "table", "text_or_empty", "trim"]
 
 M = TypeVar("M")
 #: Rows in one Arrow batch: whole texts can be long, so a batch must stay small whatever the row count.
 BATCH_ROWS = "256"
 
-_shipped: set[str] = set()
+#: Bytes of one, for rows that are long all the same.
+BATCH_BYTES = str(8 << 20)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the executors once per application and bound the Arrow batches."""
+    """Ship the package to the executors once per application and bound the session's Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = tempfile.mkdtemp(prefix="lexispark-")
-    archive = os.path.join(folder, "lexispark_pkg.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted((root / "lexispark").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +66,14 @@ def memo(key: object, make: Callable[[], M]) -> M:
     return made
 
 
+def trim() -> None:
+    """Give free memory back to the system, where it can be; for the end of a task that held much."""
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def release() -> None:
-    """Forget all memos and give free memory back to the system, where it can be."""
+    """Forget all memos."""
     _memos.clear()
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    trim()

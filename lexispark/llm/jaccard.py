@@ -10,11 +10,11 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
    agreeing blocks are light in both, so at least two of the agreeing ones are always sent. A document a little
    larger than a band is sketched for that band too, as the smaller side of a pair names the band.
 2. Join. A task sorts the blocks' keys and sends them, compressed, to buckets of the key's hash; there documents
-   that share a key meet. Many keys bring the same documents together, and each such group is kept once. Pairs are
-   not made within a group: each document meets the group's smallest id. A second, one-bit parity sketch gives a
+   that share a key meet, one bucket of bounded size after another. Many keys bring the same documents together, and
+   each such group is kept once. Pairs are not made within a group: each document meets the group's smallest id. A second, one-bit parity sketch gives a
    Hamming distance that never exceeds the symmetric difference, which drops most false candidates before
    shingles are fetched and the similarity is verified exactly. A key that very many documents of a task share is
-   sent once by that task, and its documents stay where they are, as a group beside it.
+   sent once by that task, for the smallest of its documents, and they stay where they are, as a group beside it.
 3. Rest. Links give components. A key whose documents lie in one component is settled. The others are tried again
    with other leaders; what remains unsettled is compared by sketches across components within the key, in tasks of
    one or two chunks of bounded size, and only pairs that may link are emitted and verified. No pair is left out.
@@ -36,6 +36,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count, groupby
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import memo, prepare, saved, text_or_empty
+from lexispark.llm.common import forget, memo, prepare, saved, text_or_empty, trim
 from lexispark.llm.graph import components
 
 SKETCH_BITS = 1024
@@ -69,6 +70,10 @@ class Params:
     flush: int = 4096
     hot: int = 64
 
+    def __post_init__(self) -> None:
+        if not 0 < self.num < self.den or self.words < 1:
+            raise ValueError("0 < num < den and words of 1 or more are needed")
+
     @property
     def light(self) -> int:
         """Blocks of fewer shingles say little: a block has about num / (den - num) of them."""
@@ -139,24 +144,29 @@ class Band:
 
 
 @lru_cache(maxsize=8)
-def bands(p: Params, most: int = 1 << 26) -> list[Band]:
-    out, low = [], 1
-    while p.most_apart(low) == 0:
-        low += 1
-    edges = [1, low]
-    while edges[-1] < most:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * p.ratio)))
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+def _known(p: Params) -> list[Band]:
+    return []
+
+
+def bands(p: Params, size: int) -> list[Band]:
+    """The bands up to the one in which a set of this size lies, and perhaps more; there is no last one."""
+    out = _known(p)
+    while not out or out[-1].high <= size:
+        a = out[-1].high if out else 1
+        if out:
+            b = max(a + 1, int(a * p.ratio))
+        else:  # the first band: sizes at which linked sets are equal
+            b = next(n for n in count(1) if p.most_apart(n))
         apart = p.most_apart(b - 1)
         extra = 0 if apart == 0 else 2 + -(-(apart + 1) * p.spare // 100)
-        out.append(Band(i, a, b, apart, extra, (b - 1) * p.den // p.num))
+        out.append(Band(len(out), a, b, apart, extra, (b - 1) * p.den // p.num))
     return out
 
 
 def keys_of(s: np.ndarray, p: Params) -> np.ndarray:
     """Distinct keys of a shingle set, for every band that it belongs to or lies just above."""
     out, n = [], len(s)
-    for b in bands(p):
+    for b in bands(p, n):
         if b.low > n:
             break
         if n >= b.high and n > b.reach:
@@ -254,21 +264,19 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
             if len(keys) >= p.flush or sum(map(len, keys)) > 2_000_000:
                 yield from flush()
         yield from flush()
+        trim()
 
     return docs.mapInArrow(run, _PRINTS_DDL)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (key, ids, hot) of the keys of whole buckets that two or more documents share.
+    """Groups (key, ids, hot) of the keys that two or more documents share; rows come sorted by bucket.
 
     A group within another one of its bucket says nothing new and goes; a hot key's group stays, as its key matters.
     """
-    parts: dict[int, list[tuple[bytes, bytes, int | None]]] = {}
-    for b in batches:
-        for bucket, *row in zip(*(b.column(i).to_pylist() for i in range(4))):
-            parts.setdefault(bucket, []).append(tuple(row))
-    for bucket in sorted(parts):
-        some = parts.pop(bucket)
+    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
+    for _, of_bucket in groupby(rows, key=lambda r: r[0]):  # one bucket is held at a time
+        some = [r[1:] for r in of_bucket]
         each = [np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k, _, _ in some]
         keys, ids = np.concatenate(each), np.concatenate([_unplanes(i, np.int64) for _, i, _ in some])
         warm = np.concatenate([np.full(len(k), h == 1) for k, (_, _, h) in zip(each, some)])
@@ -300,6 +308,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(rows), 4096):
             key, group, is_hot = zip(*rows[k : k + 4096])
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(group, pa.list_(pa.int64())), pa.array(is_hot, pa.bool_())], names=["key", "group", "hot"])
+        del some, each, keys, ids, warm, rows, holders
+    trim()
 
 
 def _compared(num: int, den: int, block: int = 256):
@@ -392,12 +402,17 @@ def _linked(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Se
     return pd.Series(out, dtype=bool)
 
 
+#: Documents for each bucket of keys, and the bits of how many buckets one pass takes.
+BUCKET_DOCS = 2048
+PASS_BITS = 14
+
+
 class _Join:
     def __init__(self, docs: DataFrame, p: Params):
         self.docs, self.p = docs, p
         self.num, self.den = F.lit(p.num), F.lit(p.den)
-        # about a million keys to a bucket, at a hundred or so for each document
-        self.bucket_bits = max(4, min(22, (docs.count() // 8192).bit_length()))
+        # a few hundred thousand keys to a bucket, at a hundred or so for each document
+        self.bucket_bits = max(4, (docs.count() // BUCKET_DOCS).bit_length())
         self.prints = saved(_prints(docs, p, self.bucket_bits), "prints")
         #: n and sketch of each document that was sent
         self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
@@ -405,12 +420,19 @@ class _Join:
     def groups(self) -> DataFrame:
         """(key, group): documents that share a key; a hot key has several groups."""
         sent = self.prints.where("keys is not null").select("bucket", "keys", "ids", "same")
-        met = sent.repartition(1 << min(self.bucket_bits, 14), "bucket").mapInArrow(_met, "key bigint, group array<bigint>, hot boolean")
+        # one pass for every 2^PASS_BITS buckets, so that a shuffle's partitions stay few however many buckets there are
+        met = None
+        for first in range(0, 1 << self.bucket_bits, 1 << PASS_BITS):
+            part = sent if self.bucket_bits <= PASS_BITS else sent.where((F.col("bucket") >= first) & (F.col("bucket") < first + (1 << PASS_BITS)))
+            part = part.repartition(1 << min(self.bucket_bits, PASS_BITS), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key bigint, group array<bigint>, hot boolean")
+            met = part if met is None else met.unionByName(part)
         met = saved(met, "met")
         once = met.where("not hot").groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
         # a group of first documents of a hot key keeps that key, which its other documents have too
         behind = self.prints.where("group is not null").select("key", "group")
-        return saved(once.unionByName(met.where("hot").select("key", "group")).unionByName(behind), "groups")
+        groups = saved(once.unionByName(met.where("hot").select("key", "group")).unionByName(behind), "groups")
+        forget(met)
+        return groups
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b)."""
@@ -423,7 +445,10 @@ class _Join:
         sets = self.per_document(ids, "shingles binary", lambda s: s.tobytes(), pa.binary()).groupBy("id").agg(F.min("shingles").alias("shingles"))
         sets = saved(sets, "shingles")
         sa, sb = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
-        return saved(close.join(sa, "a").join(sb, "b").where(F.pandas_udf(_linked, "boolean")("xa", "xb", self.num, self.den)).select("a", "b"), "verified")
+        found = saved(close.join(sa, "a").join(sb, "b").where(F.pandas_udf(_linked, "boolean")("xa", "xb", self.num, self.den)).select("a", "b"), "verified")
+        for t in (close, ids, sets):
+            forget(t)
+        return found
 
     def per_document(self, ids: DataFrame, ddl: str, value, kind: pa.DataType) -> DataFrame:
         """value(shingle set) of every document with one of the ids."""
@@ -439,8 +464,9 @@ class _Join:
     def run(self) -> DataFrame:
         groups = self.groups()
         same = self.prints.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))
-        leaders = groups.groupBy("key").agg(F.min(F.array_min("group")).alias("b"))
-        pairs = groups.join(leaders, "key").select(F.explode("group").alias("a"), "b").where("a <> b").distinct()
+        # a hot key's group that stayed behind has sent its smallest id, which meets the other groups' ones, so groups
+        # need not be brought together by key
+        pairs = groups.select(F.explode("group").alias("a"), F.array_min("group").alias("b")).where("a <> b").distinct()
         tried = saved(pairs, "pairs")
         links = self.verified(tried).unionByName(same)
         found = components(links)
@@ -473,6 +499,7 @@ class _Join:
         placed = saved(placed, "placed")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
         left = saved(placed.join(keys, "key"), "left")
+        forget(placed)
         return None if left.isEmpty() else left
 
     def rest(self, left: DataFrame, links: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
@@ -544,11 +571,13 @@ def representatives(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
 
     A row with the smallest id of a component stays; rows that repeat an id and its text stay as one row, and rows that
     repeat an id with another text are documents of their own. Rows with a null id and rows without shingles link with
-    nothing and stay.
+    nothing and stay. Other columns may have any names, also those that the join uses.
     """
     prepare(df.sparkSession)
-    here, further, twice = _keyed(df, id_col, text_col)
-    _, found = _found(here, further, p, text_col)
+    names = df.columns
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    here, further, twice = _keyed(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
+    _, found = _found(here, further, p, f"c{names.index(text_col)}")
     # only removed keys are matched, and only documents that have one are shuffled
     gone = saved(found.where("component <> key").select(F.col("key").alias("__gone")).distinct(), "gone")
     maybe = Bitmap(gone, "__gone").maybe("__key")
@@ -560,4 +589,4 @@ def representatives(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
         repeated = saved(repeated, "repeated")
         once = kept.join(repeated, F.col("__key") == F.col("__gone"), "left_semi").dropDuplicates(["__key"])
         kept = kept.join(repeated, F.col("__key") == F.col("__gone"), "left_anti").unionByName(once)
-    return kept.drop("__key")
+    return kept.drop("__key").toDF(*names)
