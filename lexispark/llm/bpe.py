@@ -37,11 +37,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class MergeReplay:
     """Ranks of a vocabulary, replayed over blocks of distinct byte strings."""
 
-    SHIFT = 20
+    SHIFT = 24
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        missing = [b for b in range(256) if bytes([b]) not in ranks]
+        if missing:
+            raise ValueError(f"the vocabulary has no token for byte {missing[0]}: {len(missing)} of 256 are missing")
+        if max(ranks.values()) >> self.SHIFT or min(ranks.values()) < 0:
+            raise ValueError(f"ranks must lie from 0 to {(1 << self.SHIFT) - 1}")
+        self.single = [ranks[bytes([b])] for b in range(256)]
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token

@@ -6,11 +6,13 @@ found by spherical k-means over its training vectors. A text gets the language o
 cosine. A text that lies further from every centroid than nearly all training texts do from theirs is rejected:
 `rejected` is true, and with reject=True the prediction is `und`.
 
-Training rows are a bounded sample (per_language, chosen by a hash of the id) of every language, however many there
-are; prediction covers every row. The sample of all languages and the model are held by the driver.
+Training rows are a bounded sample (per_language and most_bytes, chosen by a hash of the id) of every language, however
+many there are; prediction covers every row and whole texts of any length.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every text is `und`;
-repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
+of centroids at the same cosine the first serves, by the order of the languages' names; a null id counts as hash
+remainder 0; repeated rows give repeated results, and equal texts train once; an empty table gives an empty table; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm.common import prepare, remainder, text_or_empty
+from lexispark.llm.labelled import fit_in_task
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
 #: Training rows of each language at most.
 PER_LANGUAGE = 300
+#: Bytes of their texts at most.
+LANGUAGE_BYTES = 2 << 20
 
 
 @lru_cache(maxsize=1)
@@ -122,11 +127,12 @@ def fit(data: list[tuple[str, str]], clusters: int = 4, reject_share: float = 0.
     return Model(languages, np.array(owner, np.int64), np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), idf, np.array(least))
 
 
-def fitted(docs: DataFrame, held_out: tuple[int, int] | None = None, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fitted(docs: DataFrame, held_out: tuple[int, int] | None = None, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_bytes: int = LANGUAGE_BYTES) -> Model:
     """A model of the rows with a language; held_out (k, r): rows whose crc32(id as text) mod k is r do not serve.
 
-    The rows of each language with the smallest hashes of their ids serve, per_language at most. A first pass over
-    ids alone counts the languages, so that a bound on the hash leaves only about twice as many rows to rank.
+    The rows of each language with the smallest hashes of their ids serve, per_language and most_bytes at most. A first
+    pass over ids alone counts the languages, so that a bound on the hash leaves only about twice as many rows to rank.
+    One executor task fits; only the model comes to the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out:
@@ -136,8 +142,9 @@ def fitted(docs: DataFrame, held_out: tuple[int, int] | None = None, per_languag
     bound = sizes.select("lang", (F.lit(2_000_000.0 * per_language) / F.col("count") + 50_000.0 / F.sqrt("count")).alias("bound"))
     few = rows.join(F.broadcast(bound), "lang").where("h <= bound")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "text"))
-    picked = few.withColumn("rank", rank).where(F.col("rank") <= per_language).select("id", "lang", "text").collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(picked, key=lambda r: (r["lang"], str(r["id"]), r["text"]))])
+    picked = few.where(F.octet_length("text") <= most_bytes).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    total = F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("rank"))
+    return fit_in_task(picked.withColumn("total", total).where(F.col("total") <= most_bytes).select("id", F.col("lang").alias("label"), "text"), fit)
 
 
 def language_column(model: Model, text: Column, reject: bool = False) -> Column:

@@ -11,11 +11,13 @@ encoding and computes features.
 Shards are reached through pyarrow's file systems by URI, so the shared folder may be local or in a store.
 
 Defined results: a null text is the empty text, whose payload is one block of zeros; equal texts have equal digests
-and values, and one stored payload per task; an empty table gives an empty table; columns other than the id and the text are ignored.
+and values, and one stored payload per task; rows that repeat an id and null ids are rows of their own; texts of any
+length are stored whole; a damaged picture ends the job by its checksum; an empty table gives an empty table; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import struct
 import tarfile
@@ -157,18 +159,20 @@ def _ranges(rows: DataFrame, folder: str, take: int | None, compute, columns: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
-        name, file, known = None, None, {}
-        for b in batches:
-            out = []
-            for shard, offset, length in zip(*(b.column(i).to_pylist() for i in place)):
-                if (shard, offset) not in known:
-                    if shard != name:
-                        name, file = shard, fs.open_input_file(f"{root}/{shard}")
-                    if len(known) >= REMEMBERED // 10:
-                        known.clear()
-                    known[shard, offset] = compute(file.read_at(length if take is None else min(take, length), offset))
-                out.append(known[shard, offset])
-            yield _batch([b.column(i) for i in range(len(names))], columns, names, out)
+        name, known = None, {}
+        with contextlib.ExitStack() as opened:
+            for b in batches:
+                out = []
+                for shard, offset, length in zip(*(b.column(i).to_pylist() for i in place)):
+                    if (shard, offset) not in known:
+                        if shard != name:
+                            opened.close()  # one shard is open at a time
+                            name, file = shard, opened.enter_context(fs.open_input_file(f"{root}/{shard}"))
+                        if len(known) >= REMEMBERED // 10:
+                            known.clear()
+                        known[shard, offset] = compute(file.read_at(length if take is None else min(take, length), offset))
+                    out.append(known[shard, offset])
+                yield _batch([b.column(i) for i in range(len(names))], columns, names, out)
 
     return rows.mapInArrow(run, f"{kinds}, {ddl}")
 
@@ -203,7 +207,7 @@ def read(rows: DataFrame, folder: str) -> DataFrame:
     return _ranges(rows, folder, None, compute, columns, "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
-def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every row with its stored payload's place and what headers() and read() found there."""
-    rows, folder = store(df, id_col, text_col)
+    rows, folder = store(df, id_col, text_col, shard_bytes)
     return read(headers(rows, folder), folder).withColumnRenamed("id", id_col)

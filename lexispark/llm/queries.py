@@ -12,6 +12,10 @@ from lexispark.llm import bpe, chat, jaccard, langid, media, packing, quality, s
 from lexispark.llm.common import prepare, remainder, saved, table
 
 
+#: Bytes of a shard of sharding_small.
+SMALL_LIMIT = 100_000
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fitted(docs, held_out=(3, 1)))
@@ -22,6 +26,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def sharding_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_sharding at a limit that splits small tables too."""
+    return sharding.shards(table(spark, sf_dir, "documents"), SMALL_LIMIT)
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -65,8 +74,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality)}
+    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, sharding_small)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle()}
+    return {"op2_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_LIMIT)}

@@ -6,11 +6,12 @@ buckets alone, so its size follows from the bytes and the limit: at most two for
 each depth that was needed. A row finds its shard by the place of its key among the buckets' first keys.
 
 Histograms are summed by the cluster, a few bits at a time and over the rows of oversized buckets only. Rows that
-no bit of the key can part (an id that very many rows repeat) are parted by the bits of a second key,
-the row's position in the table, in the same way. A single row above the limit is a shard of its own.
+no bit of the key can part (ids that very many rows repeat) are parted by the bits of a second key, the row's position
+in the table, in the same way and all of them in the same passes; their positions are saved first, so that a lost
+executor cannot change them. A single row above the limit, however long, is a shard of its own.
 
-Defined results: null texts count as empty, null ids share a key; repeated rows are rows of their own; an empty
-table gives an empty table; other columns are ignored.
+Defined results: null texts count as empty, null ids share a key; repeated rows are rows of their own; which of equal
+rows goes to which page follows from their positions; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import prepare, text_or_empty
+from lexispark.llm.common import prepare, saved, text_or_empty
 
 BITS = 60
 #: Bytes of a row besides its text.
@@ -128,14 +129,57 @@ def shards(df: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col:
     placed = rows.withColumn("p", _lookup(whole, spark, "key"))
     columns = lambda part, prefix: part.select(F.col("id").alias(id_col), F.col("size").alias("n_bytes"), F.concat(prefix, F.col("p.shard")).alias("shard"), F.col("p.depth").alias("depth"), F.col("p.bytes").alias("shard_bytes"), F.col("p.n_rows").alias("shard_rows"))
     out = columns(placed.where("not p.oversized"), F.lit(""))
-    for first in whole.first[whole.oversized].tolist():
-        # one bucket for each id that repeats beyond the limit
-        same = rows.where(F.col("key") == first)
-        pages = directory(same.select(F.col("position").alias("key"), "size"), limit)
-        paged = same.withColumn("p", _lookup(pages, spark, "position"))
-        name = format(first, "b").zfill(BITS)
-        out = out.unionByName(columns(paged, F.lit(name + ".")).withColumn("depth", F.col("depth") + BITS))
-    return out
+    if not whole.oversized.any():
+        return out
+    # the rows of ids that repeat beyond the limit, with their positions fixed: one table for all of them
+    same = saved(placed.where("p.oversized").select("id", "size", F.col("key").alias("bucket"), "position"), "same-ids")
+    paged = same.withColumn("p", _lookup_page(pages(same, limit), spark, "bucket", "position"))
+    prefix = F.concat(F.lpad(F.bin("bucket"), BITS, "0"), F.lit("."))
+    return out.unionByName(columns(paged, prefix).withColumn("depth", F.col("depth") + BITS))
+
+
+def pages(rows: DataFrame, limit: int) -> dict[int, Directory]:
+    """bucket -> its directory by position, of rows (bucket, position, size); all buckets are split in the same passes.
+
+    The driver holds about two entries for each limit's worth of bytes.
+    """
+    sums = {r["bucket"]: (r["size"], r["rows"]) for r in rows.groupBy("bucket").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()}
+    depth = min(BITS, max((max(1, (size // max(limit, 1)).bit_length() + 1) for size, _ in sums.values()), default=1))
+    leaves: dict[int, list[tuple]] = {b: [] for b in sums}
+    base, open_ = 0, {b: np.zeros(1, np.int64) for b in sums}
+    while open_:
+        part = rows
+        if base:
+            # the open prefixes are parts of the directories; their buckets hold more than the limit each
+            some = [(b, int(p)) for b, ps in open_.items() for p in ps]
+            part = rows.join(F.broadcast(rows.sparkSession.createDataFrame(some, "bucket bigint, p bigint")), ["bucket"]).where(F.shiftright("position", BITS - base) == F.col("p"))
+        hist = part.groupBy("bucket", F.shiftright("position", BITS - depth).alias("prefix")).agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas()
+        left = {}
+        for bucket, h in hist.groupby("bucket"):
+            found, still = _leaves(h["prefix"].to_numpy(np.int64), h["size"].to_numpy(np.int64), h["rows"].to_numpy(np.int64), base, depth, limit)
+            leaves[bucket] += found
+            if len(still):
+                left[bucket] = still
+        base, depth, open_ = depth, min(BITS, depth + STEP), left
+        if base == BITS and open_:
+            raise RuntimeError("positions of different rows are equal")
+    return {b: Directory(*(np.array(sorted(x), np.int64).reshape(-1, 4)[:, i] for i in range(4))) for b, x in leaves.items()}
+
+
+def _lookup_page(directories: dict[int, Directory], spark, bucket: str, position: str) -> Column:
+    shared = spark.sparkContext.broadcast(directories)
+
+    @F.pandas_udf("shard string, depth int, bytes bigint, n_rows bigint")
+    def of(buckets: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        out = []
+        for b, k in zip(buckets.tolist(), keys.tolist()):
+            d = shared.value[b]
+            i = int(np.searchsorted(d.first, k, side="right")) - 1
+            n = int(d.depth[i])
+            out.append((format(int(d.first[i]) >> (BITS - n), "b").zfill(n) if n else "", n, int(d.bytes[i]), int(d.rows[i])))
+        return pd.DataFrame(out, columns=["shard", "depth", "bytes", "n_rows"])
+
+    return of(F.col(bucket), F.col(position))
 
 
 def oracle(limit: int = LIMIT, depths: int = 24) -> str:
