@@ -6,10 +6,13 @@ term's 128 hash bits vote with that weight, for a one and against a zero; the fi
 
 near() finds all pairs of distinct fingerprints within a radius r by permuted block tables: the bits are cut
 into r + extra blocks, any pair within r agrees on some `extra` of them, and each choice of `extra` blocks is
-one table in which fingerprints meet by an equi-join. Copies count once: equal fingerprints are one row.
+one table, in which fingerprints with equal blocks meet. A pair is told by the first table in which it agrees.
+Copies count once: equal fingerprints are one row. edited_likeness() says of each fingerprint how many others lie
+within the radius, and the class that near pairs join.
 
-Defined results: a null text is the empty text; a text without words has the fingerprint zero; repeated rows give
-repeated results; an empty table gives an empty table; other columns are ignored.
+Defined results: a null text is the empty text; a text without words has the fingerprint zero; ids are integers, and null
+ids come first, as one id; rows that repeat an id follow one another by their texts' hashes; equal rows stand in for one
+another; texts of any length are taken whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,14 +20,19 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lexispark.llm.common import memo, prepare, text_or_empty
+from lexispark.llm.bitmap import Bitmap
+from lexispark.llm.common import memo, prepare, saved, text_or_empty
+from lexispark.llm.graph import components
 
 BITS = 128
 LONGEST = 16
@@ -104,57 +112,219 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(F.col(id_col), fingerprint_column(text_or_empty(text_col)).alias("fingerprint"))
 
 
-def near(prints: DataFrame, radius: int = 3, extra: int = 2, col: str = "fingerprint") -> DataFrame:
-    """(a, b, distance), a < b: all pairs of distinct fingerprints within the radius."""
-    blocks = radius + extra
-    width = BITS // 4
-    edges = [width * i // blocks for i in range(blocks + 1)]
-    tables = F.array(*[F.concat(F.lit(f"{n}:"), *[F.substring("f", edges[i] + 1, edges[i + 1] - edges[i]) for i in chosen]) for n, chosen in enumerate(combinations(range(blocks), extra))])
-    keyed = prints.select(F.col(col).alias("f")).where(F.col("f").isNotNull()).distinct().select("f", F.explode(tables).alias("key"))
-    bits = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("bigint")
-    pairs = keyed.select(F.col("f").alias("a"), "key").join(keyed.select(F.col("f").alias("b"), "key"), "key").where("a < b")
-    distance = sum((F.bit_count(bits("a", i).bitwiseXOR(bits("b", i))) for i in range(BITS // 32)), F.lit(0))
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+@dataclass(frozen=True)
+class Search:
+    """Fingerprints within `radius` bits, by tables of `extra` of radius + extra blocks each."""
+
+    radius: int = 3
+    extra: int = 2
+    #: Fingerprints under a key that are compared at a time; more are compared chunk by chunk.
+    chunk: int = 2048
+
+    def __post_init__(self) -> None:
+        if self.radius < 0 or self.extra < 1 or self.radius + self.extra > BITS:
+            raise ValueError("radius of 0 or more, extra of 1 or more, and no more blocks than bits are needed")
+
+    @property
+    def masks(self) -> np.ndarray:
+        """For each table, which bits its blocks have: packed rows."""
+        n = self.radius + self.extra
+        block = np.arange(BITS) * n // BITS
+        return np.stack([np.packbits(np.isin(block, chosen)) for chosen in combinations(range(n), self.extra)])
+
+
+def _table_keys(s: Search):
+    """The keys of a fingerprint, one for each table: equal where the table's blocks are."""
+    masks = s.masks
+
+    @F.pandas_udf("array<bigint>")
+    def of(prints: pd.Series) -> pd.Series:
+        if not len(prints):
+            return pd.Series([], dtype=object)
+        x = np.frombuffer(bytes.fromhex("".join(prints)), np.uint8).reshape(-1, BITS // 8)
+        keys = np.empty((len(x), len(masks)), np.int64)
+        for t, m in enumerate(masks):
+            half = np.ascontiguousarray(x & m).view(np.uint64)
+            h = half[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ (half[:, 1] + np.uint64(t)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            keys[:, t] = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+        return pd.Series(list(keys), dtype=object)
+
+    return of
+
+
+def _adjacent(s: Search, table: int, x: np.ndarray, own: np.ndarray, two: bool) -> np.ndarray:
+    """Which rows of a task are a pair within the radius that this table tells, as a matrix."""
+    out = np.zeros((len(x), len(x)), bool)
+    for k in range(0, len(x), 256):
+        may = np.bitwise_count(x[k : k + 256, None] ^ x).sum(axis=2) <= s.radius
+        if two:
+            may &= own[k : k + 256, None] != own
+        i, j = np.nonzero(may)
+        apart = (x[k + i] ^ x[j]).view(np.uint8).reshape(-1, BITS // 8)
+        # a key's hash may bring others together, so the table's own blocks must agree; an earlier table tells others
+        first = (i + k != j) & ~(apart & s.masks[table]).any(axis=1)
+        for m in s.masks[:table]:
+            first &= (apart & m).any(axis=1)
+        out[k + i[first], j[first]] = True
+    return out
+
+
+def _met(s: Search, pairs: bool):
+    """Of each task's rows: the pairs (a, b, distance), a < b, or (f, n, root): how many it meets, and its group's smallest.
+
+    Rows: task, table, two (whether the task holds two chunks), print, own (its chunk), sorted by the first three.
+    """
+
+    def told(rows: list[tuple]) -> pa.RecordBatch | None:
+        names = sorted({r[3]: r[4] for r in rows}.items())
+        own = np.array([c for _, c in names])
+        x = np.frombuffer(bytes.fromhex("".join(f for f, _ in names)), np.uint64).reshape(-1, BITS // 64)
+        near = _adjacent(s, rows[0][1], x, own, rows[0][2])
+        if pairs:
+            i, j = np.nonzero(np.triu(near))
+            distance = np.bitwise_count(x[i] ^ x[j]).sum(axis=1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array([names[p][0] for p in i], pa.string()), pa.array([names[p][0] for p in j], pa.string()), pa.array(distance)], names=["a", "b", "distance"])
+        n, root = near.sum(axis=1), np.arange(len(names))
+        some = np.flatnonzero(n)
+        while len(some):
+            low = np.minimum(root[some], np.where(near[some], root, len(names)).min(axis=1))
+            low = np.minimum(low, root[low])
+            if (low == root[some]).all():
+                break
+            root[some] = low
+        return pa.RecordBatch.from_arrays([pa.array([names[p][0] for p in some], pa.string()), pa.array(n[some].astype(np.int64)), pa.array([names[p][0] for p in root[some]], pa.string())], names=["f", "n", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
+        for _, task in groupby(every, key=lambda r: r[:3]):
+            rows = list(task)  # two chunks at most
+            if len(rows) > 1:
+                yield told(rows)
+
+    return run
+
+
+def _tasks(prints: DataFrame, s: Search, col: str) -> DataFrame:
+    """Distinct fingerprints by the keys that two or more of them share, a key with many of them cut into chunks."""
+    prepare(prints.sparkSession)
+    distinct = prints.select(F.col(col).alias("f")).where("f is not null").distinct()
+    keyed = saved(distinct.select("f", F.posexplode(_table_keys(s)("f")).alias("table", "key")), "blocks")
+    sizes = saved(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    few = keyed.where(Bitmap(sizes, "key").maybe("key")).join(sizes, "key")
+    chunks = F.ceil(F.col("size") / s.chunk).cast("int")
+    rows = few.withColumn("own", F.pmod(F.xxhash64("f"), chunks).cast("int"))
+    rows = rows.select("key", "table", "f", "own", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "table", (F.col("own") != F.col("other")).alias("two"), "f", "own")
+    return rows.repartition("task").sortWithinPartitions("task", "table", "two")
+
+
+def near(prints: DataFrame, radius: int = 3, extra: int = 2, col: str = "fingerprint", chunk: int = 2048) -> DataFrame:
+    """(a, b, distance), a < b: all pairs of distinct fingerprints within the radius, each once.
+
+    Fingerprints are hexadecimal; nulls are left out, and an empty table gives no pairs. A key with many fingerprints is
+    cut into chunks, whose pairs are tasks of their own, so no task holds more than two chunks. There are as many rows
+    as near pairs; near_classes() has a row for each fingerprint only.
+    """
+    s = Search(radius, extra, chunk)
+    return _tasks(prints, s, col).mapInArrow(_met(s, True), "a string, b string, distance int")
+
+
+def near_classes(prints: DataFrame, radius: int = 3, extra: int = 2, col: str = "fingerprint", chunk: int = 2048) -> DataFrame:
+    """(fingerprint, n_near, near_class) of the distinct fingerprints that have another one within the radius.
+
+    n_near: how many such others there are; near_class: the smallest fingerprint that steps within the radius reach.
+    Pairs stay within their tasks: each tells how many its fingerprints meet and joins them to its groups' smallest.
+    """
+    s = Search(radius, extra, chunk)
+    told = saved(_tasks(prints, s, col).mapInArrow(_met(s, False), "f string, n bigint, root string"), "near")
+    # components() takes integers: a fingerprint's place among those that have neighbours
+    ranked = saved(numbered(told.groupBy("f").agg(F.sum("n").alias("n_near"))), "ranked")
+    id_of = lambda c, name: ranked.select(F.col("f").alias(c), F.col("number").alias(name))
+    links = told.select("f", "root").where("f <> root").distinct().join(id_of("f", "a"), "f").join(id_of("root", "b"), "root").select("a", "b")
+    found = components(links)
+    names = ranked.select(F.col("number").alias("component"), F.col("f").alias("near_class"))
+    return ranked.join(found, F.col("number") == F.col("id")).join(names, "component").select(F.col("f").alias(col), "n_near", "near_class")
+
+
+def numbered(df: DataFrame, col: str = "f") -> DataFrame:
+    """df with number: the place of its row by col, from 0 on; a sorted table is numbered partition by partition."""
+    schema = StructType([*df.schema.fields, StructField("number", LongType())])
+    return df.sparkSession.createDataFrame(df.orderBy(col).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+
+
+#: Bits of a text's hash by which the rows of one id are ordered.
+_HASH_BITS = 62
+#: Stands for a null id.
+_LOW = -(2**63)
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 1000) -> DataFrame:
-    """(id, text, next_text, bucket, guest), next_text by ascending (id, text); after the last row comes the first.
+    """(id, text, next_text, bucket, guest), next_text by ascending (id, text's hash, text); after the last comes the first.
 
-    Rows fall into ranges of ids (approximate quantiles, so that gaps do not matter). The first row of each range
-    is also sent, as a guest, to the range before it, so every range finds its successors alone.
+    Rows fall into ranges of ids (approximate quantiles, so that gaps do not matter); an id that rows_per_bucket rows or
+    more repeat has ranges of its own, by its texts' hashes. The first row of each range is also sent, as a guest, to
+    the range before it, so every range finds its successors alone. Equal rows share a range.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 64 - _HASH_BITS))
     n = rows.count()
-    k = max(1, min(20_000, -(-n // rows_per_bucket)))
-    cuts = rows.agg(F.percentile_approx("id", [i / k for i in range(1, k)], 100 * k).alias("q")).first()["q"] if k > 1 else None
-    cuts = sorted(set(cuts or []))
-    bucket = _bucket(cuts)(F.col("id")) if cuts else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("guest", F.lit(0))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "text")).alias("m"))
+    k = max(1, -(-n // rows_per_bucket))
+    step = min(k, MOST_CUTS)
+    # each pass asks for so many quantiles at a time
+    cuts: set[int] = set()
+    for first in range(1, k, step):
+        asked = [i / k for i in range(first, min(k, first + step))]
+        cuts.update(rows.agg(F.percentile_approx("id", asked, 100 * k).alias("q")).first()["q"] or [])
+    # at most n / rows_per_bucket ids
+    many = rows.groupBy("id").count().where(F.col("count") >= rows_per_bucket).collect() if n >= rows_per_bucket else []
+    parts = {r["id"]: -(-r["count"] // rows_per_bucket) for r in many}
+    rows = rows.withColumn("bucket", _bucket(sorted(cuts), parts)(F.coalesce("id", F.lit(_LOW)), "h")).withColumn("guest", F.lit(0))
+    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "h", "text")).alias("m"))
     order = Window.orderBy("bucket")  # one row for each range
     last = F.max("bucket").over(Window.partitionBy())
-    guests = firsts.select(F.col("m.id").alias("id"), F.col("m.text").alias("text"), F.coalesce(F.lag("bucket").over(order), last).alias("bucket"), F.lit(1).alias("guest"))
+    guests = firsts.select(F.col("m.id").alias("id"), F.col("m.text").alias("text"), F.col("m.h").alias("h"), F.coalesce(F.lag("bucket").over(order), last).alias("bucket"), F.lit(1).alias("guest"))
     everyone = rows.unionByName(guests)
-    w = Window.partitionBy("bucket").orderBy("guest", "id", "text")
+    w = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
     return everyone.withColumn("next_text", F.lead("text").over(w))
 
 
-def _bucket(cuts: list[int]):
-    """The range of an id; one that equals a cut belongs to the range which the cut ends, null to the first."""
-    edges = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.fillna(-(2**63)).astype(np.int64).to_numpy(), side="left").astype(np.int32))
+#: Quantiles that one pass over the ids asks for.
+MOST_CUTS = 20_000
+
+
+def _bucket(cuts: list[int], parts: dict[int | None, int]):
+    """The range of an (id, hash), as a number that grows with them; an id that equals a cut belongs to the range which
+    the cut ends, null to the first. parts: how many ranges the ids with very many rows have of their own."""
+    # the edges after which a new range begins: (id, hash); null is the smallest id
+    edges = {(c, (1 << _HASH_BITS) - 1) for c in cuts}
+    for i, m in parts.items():
+        at = _LOW if i is None else i
+        edges |= {(at, (1 << _HASH_BITS) * j // m - 1) for j in range(1, m + 1)}
+        if at > _LOW:
+            edges.add((at - 1, (1 << _HASH_BITS) - 1))
+    order = sorted(edges)
+    ids, hashes = (np.array([e[i] for e in order], np.int64) for i in (0, 1))
+
+    @F.pandas_udf("bigint")
+    def of(some: pd.Series, h: pd.Series) -> pd.Series:
+        x, y = some.to_numpy(np.int64), h.to_numpy(np.int64)
+        # a range's number: how many edges lie below (id, hash)
+        at = np.searchsorted(ids, x, side="left")
+        end = np.searchsorted(ids, x, side="right")
+        for i in np.flatnonzero(end > at):
+            at[i] += np.searchsorted(hashes[at[i] : end[i]], y[i], side="left")
+        return pd.Series(at.astype(np.int64))
 
     return of
 
 
-def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text against an edited copy of itself and against its successor.
+def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """Every text against an edited copy of itself, against its successor, and against all other fingerprints.
 
     The edited text keeps all but the last floor(n / 2) code points and continues with the first as many of the
-    next text. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    next text. Returns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and by the
+    block tables n_near (distinct other fingerprints within the search's radius) and near_class (the smallest
+    fingerprint that steps within the radius reach, its own without any).
     """
     prepare(df.sparkSession)
     rows = with_next(df, id_col, text_col)
@@ -167,17 +337,27 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         a, b = ([x.tobytes().hex() for x in h.fingerprints(s.tolist())] for s in (texts, others))
         return pd.DataFrame({"fingerprint": a, "edited_fingerprint": b, "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in others]})
 
-    w = Window.partitionBy("bucket").orderBy("guest", "id", "text")
+    w = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
     # the next fingerprint is taken in the order of the texts, so the key of that order stays: the text's place
     placed = rows.withColumn("place", F.row_number().over(w)).select("id", "bucket", "guest", "place", n.cast("bigint").alias("n_chars"), both(F.col("text"), edited).alias("p"))
     nxt = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
     out = placed.select("id", "bucket", "guest", "place", "n_chars", "p.*").withColumn("next_fingerprint", F.coalesce(nxt, F.col("fingerprint"))).where("guest = 0")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness_column(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness_column(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    out = saved(
+        out.select(
+            F.col("id").alias(id_col),
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
+            likeness_column(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+            likeness_column(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        ),
+        "fingerprints",
     )
+    classes = saved(near_classes(out, radius), "classes")
+    # only rows whose fingerprint may have neighbours are matched
+    maybe = Bitmap(classes, "fingerprint").maybe("fingerprint")
+    alone = lambda rows: rows.withColumn("n_near", F.coalesce("n_near", F.lit(0))).withColumn("near_class", F.coalesce("near_class", "fingerprint"))
+    none = out.where(~maybe).withColumn("n_near", F.lit(None).cast("bigint")).withColumn("near_class", F.lit(None).cast("string"))
+    some = out.where(maybe).join(classes, "fingerprint", "left").select(*none.columns)
+    return alone(none.unionByName(some)).withColumn("n_near", F.col("n_near").cast("bigint"))
