@@ -1,29 +1,42 @@
 """Byte-level BPE by corpus-level merge replay.
 
-The distinct pretokens of a block of texts form one small corpus. An inverted index leads from the rank of a
-mergeable token pair to the positions where that pair stands; merges are applied in rank order over the whole
-block at once, and after each merge only the two touched neighbours get new index entries. Words seen earlier
-by the same worker are remembered (bounded), so a merge is replayed only for new words. There is no shuffle:
-a block is bounded by the Arrow batch, and no table of all words of the corpus is joined back to the texts.
-
-Defined results: a null text is the empty text (no ids); repeated rows give repeated results; an empty table
-gives an empty table; columns other than the id and the text are ignored.
+The corpus's distinct pretokens meet in buckets of their hashes, and a bucket is replayed as one corpus: an inverted
+index leads from the rank of a mergeable token pair to the positions where that pair stands; merges are applied in rank
+order over the whole bucket at once, and after each merge only the two touched neighbours get new index entries.
+
+1. Each task sends the distinct words of each block of its texts (BLOCK_CHARS) to the buckets, compressed.
+2. Each bucket's words are replayed, once however many tasks sent them, and the ids are saved under the task and block.
+3. Each task reads its own words' ids, block by block, and puts its texts together. Should its rows have been dealt
+   otherwise than before, words that it does not find are replayed by the task itself, so the ids are the same.
+
+A frequent word is one entry of a block's list, so no word is a hot key, and no text is shuffled.
+
+Defined results: a null text is the empty text (no ids); null ids and repeated rows give rows of their own; texts of any
+length are encoded whole; a vocabulary without a token for each byte is refused; an empty table gives an empty table;
+columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from heapq import heappop, heappush
+from itertools import groupby
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexispark.llm.common import memo, prepare, text_or_empty
+from lexispark.llm.common import memo, prepare, shared_folder, text_or_empty, trim
 from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -156,18 +169,24 @@ class Codec:
     def __init__(self, path: str, pattern: str, max_words: int = 500_000):
         self.replay = MergeReplay(load_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, Sequence[int]] = {}
         self.max_words = max_words
         self.chunks = ChunkEncoder(pattern, self._encode_chunks)
+        self.missed = 0
         lengths = np.fromiter(map(len, self.replay.bytes_of), np.int64, len(self.replay.bytes_of))
         self.length, self.start = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.replay.bytes_of), np.uint8)
 
+    def know(self, words: dict[str, Sequence[int]]) -> None:
+        """Words whose ids are known already, in place of those known so far."""
+        self.words = words
+
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pieces = [self.pattern.findall(c) for c in chunks]
         if len(self.words) > self.max_words:
-            self.words.clear()
+            self.words = {}
         new = sorted({p for x in pieces for p in x} - self.words.keys())
+        self.missed += len(new)
         self.words.update(zip(new, self.replay.encode_words([p.encode("utf-8", "surrogatepass") for p in new])))
         words = self.words
         return flattened([words[x[0]] if len(x) == 1 else [i for p in x for i in words[p]] for x in pieces])
@@ -189,17 +208,152 @@ def codec(path: str, pattern: str) -> Codec:
     return memo(("codec", path, pattern), lambda: Codec(path, pattern))
 
 
+#: Characters of the texts whose distinct words are one block.
+BLOCK_CHARS = 4_000_000
+#: Characters of texts for each bucket of words that is replayed as one corpus.
+BUCKET_CHARS = 24_000_000
+_SPACED = regex.compile(r"\s (?:\s|$)")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(id, text) of a task's rows, cut into blocks by the texts' lengths alone, so that every pass cuts alike."""
+    rows, size = [], 0
+    for b in batches:
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rows.append(row)
+            size += len(row[1])
+            if size >= BLOCK_CHARS:
+                yield rows
+                rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _words_of(texts: list[str], pattern: regex.Pattern) -> set[str]:
+    """The distinct pretokens of texts."""
+    chunks: set[str] = set()
+    out: set[str] = set()
+    for t in texts:
+        if _SPACED.search(t):  # white space on both sides of a space: the pattern decides
+            out.update(pattern.findall(t))
+        else:
+            first, *rest = t.split(" ")
+            out.update(pattern.findall(first))
+            chunks.update(rest)
+    for c in chunks:
+        out.update(pattern.findall(" " + c))
+    return out
+
+
+def _pressed(parts: list[bytes]) -> tuple[bytes, bytes]:
+    """Byte strings one after another, and their lengths, compressed."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    return press(b"".join(parts)), press(np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes())
+
+
+def _split(data: bytes, lengths: bytes) -> list[bytes]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    whole, ends = unpress(data), np.cumsum(np.frombuffer(unpress(lengths), np.uint32), dtype=np.int64).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary())])
+
+
+def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> str:
+    """The folder of the corpus's words and their ids: Parquet under part=<task>, rows (block, words, sizes, ids, counts).
+
+    source: (id, text). Each task sends the distinct words of each of its blocks to buckets of the words' hashes. A
+    bucket's distinct words, from all tasks, are replayed as one corpus; the ids go back under the task that asked.
+    """
+    n_chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, -(-n_chars // BUCKET_CHARS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, part = regex.compile(pattern), TaskContext.get().partitionId()
+        for number, rows in enumerate(_blocks(batches)):
+            parts: list[list[bytes]] = [[] for _ in range(buckets)]
+            for w in _words_of([t for _, t in rows], split):
+                word = w.encode("utf-8", "surrogatepass")
+                parts[crc32(word) % buckets].append(word)
+            yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "bucket": i, "words": data, "sizes": sizes} for i, x in enumerate(parts) if x for data, sizes in [_pressed(x)]], _SENT)
+        trim()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = memo(("replay", path), lambda: MergeReplay(load_ranks(path)))
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
+        for _, of_bucket in groupby(rows, key=lambda r: r[2]):
+            asked = [(part, block, data, sizes, _split(data, sizes)) for part, block, _, data, sizes in of_bucket]
+            words = list(set().union(*(x[4] for x in asked)))
+            flat, counts = flattened(merges.encode_words(words))
+            starts = np.cumsum(counts) - counts
+            at = dict(zip(words, range(len(words))))
+            press = zstandard.ZstdCompressor(level=1).compress
+            for part, block, data, sizes, mine in asked:
+                i = np.fromiter(map(at.__getitem__, mine), np.int64, len(mine))
+                n = counts[i]
+                ends = np.cumsum(n)
+                ids = flat[np.arange(ends[-1]) + np.repeat(starts[i] - ends + n, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in (data, sizes, press(ids.tobytes()), press(n.astype(np.uint32).tobytes())))], names=["part", "block", "words", "sizes", "ids", "counts"])
+        trim()
+
+    sent = source.mapInArrow(send, "part int, block int, bucket int, words binary, sizes binary")
+    made = sent.repartition(min(buckets, 1 << 14), "bucket").sortWithinPartitions("bucket").mapInArrow(replay, "part int, block int, words binary, sizes binary, ids binary, counts binary")
+    folder = shared_folder(source.sparkSession, kind)
+    made.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def _known(folder: str) -> Iterator[tuple[int, dict[str, Sequence[int]]]]:
+    """(block, word -> ids) of the running task's part of a word_table(), block by block."""
+    fs, root = pafs.FileSystem.from_uri(folder)
+    at = f"{root}/part={TaskContext.get().partitionId()}"
+    if fs.get_file_info(at).type == pafs.FileType.NotFound:
+        return
+    unpress = zstandard.ZstdDecompressor().decompress
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
+    rows = (r for f in files for b in pq.ParquetFile(f, filesystem=fs).iter_batches(64) for r in zip(*(b.column(c).to_pylist() for c in ("block", "words", "sizes", "ids", "counts"))))
+    for block, some in groupby(rows, key=lambda r: r[0]):
+        words: dict[str, Sequence[int]] = {}
+        for _, data, sizes, ids, counts in some:
+            n = np.frombuffer(unpress(counts), np.uint32)
+            ends, flat = np.cumsum(n, dtype=np.int64).tolist(), np.frombuffer(unpress(ids), np.uint32).tolist()
+            words.update(zip((w.decode("utf-8", "surrogatepass") for w in _split(data, sizes)), (flat[a:b] for a, b in zip([0, *ends], ends))))
+        yield block, words
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, folder: str) -> Iterator[tuple[pa.Array, list[np.ndarray], Codec]]:
+    """(ids of documents, token ids of their texts, codec) of a task's rows.
+
+    Words come from the word table; one that is not there, should the rows have been dealt otherwise, is replayed here.
+    """
+    c = codec(path, pattern)
+    known = _known(folder)
+    table = next(known, None)
+    for number, rows in enumerate(_blocks(batches)):
+        while table is not None and table[0] < number:
+            table = next(known, None)
+        c.know(table[1] if table is not None and table[0] == number else {})
+        for k in range(0, len(rows), 256):
+            yield [i for i, _ in rows[k : k + 256]], c.encode([t for _, t in rows[k : k + 256]]), c
+    c.know({})
+    trim()
+
+
+def _source(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, pa.DataType]:
+    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return source, source.schema["id"].dataType.simpleString(), to_arrow_type(source.schema["id"].dataType)
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the token ids of every whole text."""
     prepare(df.sparkSession)
-    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    source, kind, arrow = _source(df, id_col, text_col)
+    folder = word_table(source, path, pattern, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in batches:
-            ids = [x.astype(np.int32) for x in c.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
+        for keys, ids, _ in _encoded(batches, path, pattern, folder):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
@@ -222,16 +376,14 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass, for texts whose ids need not leave the task."""
     prepare(df.sparkSession)
-    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    source, kind, arrow = _source(df, id_col, text_col)
+    folder = word_table(source, path, pattern, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, pattern)
-        for b in batches:
-            ids = c.encode(b.column(1).to_pylist())
+        for keys, ids, c in _encoded(batches, path, pattern, folder):
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0),
+                    pa.array(keys, arrow),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids], pa.string()),
