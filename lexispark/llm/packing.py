@@ -8,8 +8,10 @@ the gap (allow_cut). Each task packs its own rows with a bounded pool, so there
 has no effect; a sequence's id is the task's number and a running number, and a lost task is packed again
 alike, as its rows come in the same order.
 
-Defined results: a null text is empty and gives one piece, the closing id alone; repeated rows are packed each
-on its own; an empty table gives an empty table; columns other than those named are ignored.
+Defined results: a null text is empty and gives one piece, the closing id alone; null ids and repeated rows are packed
+each on its own; of pieces alike in all three measures the one that came last goes first; a text of any length is cut
+into sequences of its own and one shorter piece; an empty table gives an empty table; columns other than those named
+are ignored.
 """
 
 from __future__ import annotations
@@ -198,14 +200,16 @@ def _encoder(path: str, pattern: str) -> ChunkEncoder:
 COLUMNS = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
 
 
-def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits = Limits(), end_id: int = 0) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None, limits: Limits = Limits(), end_id: int = 0, response_col: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens.
 
     loss_col: how many of a document's last tokens bear loss, the closing id among them (all where absent or null).
+    response_col, for instruction data: the text that follows a document's own, encoded by itself; its tokens and the
+    closing id bear loss, and loss_col is not used. A null response is empty.
     """
     prepare(df.sparkSession)
     loss = F.col(loss_col).cast("bigint") if loss_col else F.lit(None).cast("bigint")
-    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), loss.alias("loss"))
+    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), loss.alias("loss"), *([text_or_empty(response_col).alias("response")] if response_col else []))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,10 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
             number = 0
             for b in batches:
                 id_type[0] = b.schema.field(0).type
-                for key, ids, n_loss in zip(b.column(0).to_pylist(), encode.encode(b.column(1).to_pylist()), b.column(2).to_pylist()):
+                answers = encode.encode(b.column(3).to_pylist()) if response_col else [None] * b.num_rows
+                for key, ids, n_loss, answer in zip(b.column(0).to_pylist(), encode.encode(b.column(1).to_pylist()), b.column(2).to_pylist(), answers):
+                    if answer is not None:
+                        ids, n_loss = np.concatenate([ids, answer]), len(answer) + 1
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     kept[number] = (key, ids, len(ids))
                     yield number, len(ids), len(ids) if n_loss is None else max(0, min(n_loss, len(ids)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, chat, jaccard, langid, media, packing, quality, sharding, simhash, toxicity
@@ -49,6 +49,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6_packing for answers and the turns before them, under three limits that differ."""
+    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    asked = turns.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.col("before").alias("text"), F.col("text").alias("response"))
+    limits = packing.Limits(tokens=1024, segments=8, loss_tokens=640)
+    return packing.pack(asked, public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, limits=limits, response_col="response")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -74,7 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, sharding_small)}
+    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, sharding_small, packing_instructions)}
 
 
 def oracle_sql() -> dict[str, str]:
