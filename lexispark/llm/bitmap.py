@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,12 +31,17 @@ class Bitmap:
     def position(self, col: str):
         return F.pmod(F.xxhash64(col), F.lit(self.bits))
 
-    def maybe(self, col: str):
+    @property
+    def has(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function that tells of positions, on executors, whether they are set."""
         shared = self.shared
+        return lambda at: (shared.value[at >> 3] >> (at & 7)) & 1 == 1
+
+    def maybe(self, col: str):
+        has = self.has
 
         @F.pandas_udf("boolean")
         def of(at: pd.Series) -> pd.Series:
-            x = at.to_numpy()
-            return pd.Series((shared.value[x >> 3] >> (x & 7)) & 1 == 1)
+            return pd.Series(has(at.to_numpy()))
 
         return of(self.position(col))

@@ -337,6 +337,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, folder:
         for k in range(0, len(rows), 256):
             yield [i for i, _ in rows[k : k + 256]], c.encode([t for _, t in rows[k : k + 256]]), c
     c.know({})
+    c.chunks.forget()
     trim()
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.bitmap import Bitmap
-from lexispark.llm.common import forget, memo, prepare, saved, text_or_empty, trim
+from lexispark.llm.common import forget, prepare, saved, text_or_empty, trim
 from lexispark.llm.graph import components
 
 SKETCH_BITS = 1024
@@ -188,10 +188,6 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount((_mix(s, 8) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _shingler(words: int) -> Shingler:
-    return memo(("shingler", words), lambda: Shingler(words))
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Numbers of 64 bits, compressed by bytes of equal place."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
@@ -232,7 +228,7 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
     """Rows of documents (id, n, sketch, or same: the id of an equal document sent instead), of buckets and of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, first = _shingler(p.words), {}
+        shingler, first = Shingler(p.words), {}
         keys: list[np.ndarray] = []
         ids: list[np.ndarray] = []
 
@@ -263,6 +259,7 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
             if len(keys) >= p.flush or sum(map(len, keys)) > 2_000_000:
                 yield from flush()
         yield from flush()
+        del shingler, first
         trim()
 
     return docs.mapInArrow(run, _PRINTS_DDL)
@@ -424,12 +421,21 @@ class _Join:
         """value(shingle set) of every document with one of the ids."""
         words, name = self.p.words, ddl.split()[0]
 
+        some = Bitmap(ids, "id")
+        has = some.has
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingler = Shingler(words)
             for b in batches:
-                sets = _shingler(words).sets(b.column(1).to_pylist())
+                b = b.filter(pa.array(has(b.column(2).to_numpy())))
+                sets = shingler.sets(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([value(s) for s in sets], kind)], names=["id", name])
+            del shingler
+            trim()
 
-        return self.docs.where(Bitmap(ids, "id").maybe("id")).mapInArrow(run, f"id bigint, {ddl}").join(ids, "id", "left_semi")
+        # the bitmap is asked where the texts are read, so that a task has one Python worker
+        near = self.docs.where("id is not null").select("id", "text", some.position("id").alias("at"))
+        return near.mapInArrow(run, f"id bigint, {ddl}").join(ids, "id", "left_semi")
 
     def run(self) -> DataFrame:
         groups = self.groups()

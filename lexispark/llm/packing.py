@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import memo, prepare, text_or_empty
+from lexispark.llm.common import memo, prepare, text_or_empty, trim
 from lexispark.llm.pretoken import ChunkEncoder, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -251,5 +251,7 @@ def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_co
             if len(rows) >= 4096:
                 yield batch()
         yield batch()
+        encode.forget()
+        trim()
 
     return source.mapInArrow(run, f"id {kind}, {COLUMNS}").withColumnRenamed("id", id_col)

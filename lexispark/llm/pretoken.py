@@ -48,9 +48,10 @@ class ChunkEncoder:
         self.pattern = regex.compile(pattern)
         self.encode_many = encode_many
         self.max_chunks, self.max_units = max_chunks, max_units
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
+        """Empty the memory."""
         self.rows: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.flat = _Growing(np.uint32)
@@ -62,7 +63,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.rows) + len(self.heads) > self.max_chunks or self.units > self.max_units:
-            self._clear()
+            self.forget()
         parts = [t.split(" ") for t in texts]
         self._learn({p for x in parts for p in x[1:]}, {x[0] for x in parts})
         return [self._one(t, x) for t, x in zip(texts, parts)]

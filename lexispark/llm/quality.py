@@ -15,6 +15,7 @@ score is 1 (nothing is rejected); repeated rows give repeated results; an empty
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 from zlib import crc32
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import memo, prepare, remainder, text_or_empty
+from lexispark.llm.common import prepare, remainder, text_or_empty, trim
 from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 BUCKETS = 1 << 16
@@ -159,9 +160,15 @@ def fit(data: list[tuple[str, int]], dim: int = 8, epochs: int = 6, rate: float
 
 
 def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column without nulls; what a task remembers of words goes with it."""
+
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(memo(("quality", model.name), model.scorer)(texts.tolist()), dtype="float64")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for texts in parts:
+            yield pd.Series(scorer(texts.tolist()), dtype="float64")
+        del scorer
+        trim()
 
     return of(text)
 

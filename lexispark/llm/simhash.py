@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexispark.llm.bitmap import Bitmap
-from lexispark.llm.common import memo, prepare, saved, text_or_empty
+from lexispark.llm.common import prepare, saved, text_or_empty
 from lexispark.llm.graph import components
 
 BITS = 128
@@ -75,17 +75,14 @@ class SimHasher:
         return np.packbits(out, axis=1)
 
 
-def hasher() -> SimHasher:
-    return memo("simhash", SimHasher)
-
-
 def fingerprint_column(text: Column) -> Column:
     """Hexadecimal fingerprint of a text column without nulls."""
 
     @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        packed = hasher().fingerprints(texts.tolist())
-        return pd.Series([x.tobytes().hex() for x in packed])
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        h = SimHasher()
+        for texts in parts:
+            yield pd.Series([x.tobytes().hex() for x in h.fingerprints(texts.tolist())], dtype=object)
 
     return of(text)
 
@@ -332,10 +329,11 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half.cast("int")))
 
     @F.pandas_udf("fingerprint string, edited_fingerprint string, edited_sha256 string")
-    def both(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
-        h = hasher()
-        a, b = ([x.tobytes().hex() for x in h.fingerprints(s.tolist())] for s in (texts, others))
-        return pd.DataFrame({"fingerprint": a, "edited_fingerprint": b, "edited_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in others]})
+    def both(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        h = SimHasher()
+        for texts, others in parts:
+            a, b = ([x.tobytes().hex() for x in h.fingerprints(s.tolist())] for s in (texts, others))
+            yield pd.DataFrame({"fingerprint": a, "edited_fingerprint": b, "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in others]})
 
     w = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
     # the next fingerprint is taken in the order of the texts, so the key of that order stays: the text's place

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexispark.llm.common import memo, prepare, remainder, text_or_empty
+from lexispark.llm.common import prepare, remainder, text_or_empty, trim
 from lexispark.llm.labelled import MOST_BYTES, fit_in_task, sample
 
 #: Neutral names of groups (sex, religion, orientation, origin, migration), by language; terms of one line may stand for
@@ -328,10 +328,15 @@ def fit(data: list[tuple[str, int]], min_toxic: int = 4, min_gain: float = 5.0,
 
 
 def score_column(model: Model, text: Column) -> Column:
+    """The score of a text column without nulls; what a task remembers of words goes with it."""
+
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        scorer = memo(("toxicity", model.name), model.scorer)
-        return pd.Series([scorer(t) for t in texts], dtype="float64")
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = model.scorer()
+        for texts in parts:
+            yield pd.Series([scorer(t) for t in texts], dtype="float64")
+        del scorer
+        trim()
 
     return of(text)
 
