@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.config import Generator
+from lexispark.functions.text import truncate
 from lexispark.package import ship
 
 
@@ -84,6 +85,11 @@ def score_percent(score: Column) -> Column:
     return F.format_string("%.1f", score * 100)
 
 
+def clock(time: Column) -> Column:
+    """A message's time of day, hours and minutes of two digits."""
+    return F.date_format(time, "HH:mm")
+
+
 def source_title(codex: Column, number: Column) -> Column:
     """A source's heading: a fixed format."""
     return F.concat(F.coalesce(codex, F.lit("")), F.lit(" - Статья "), number.cast("string"))
@@ -92,4 +98,4 @@ def source_title(codex: Column, number: Column) -> Column:
 def query_generation_prompts(articles: DataFrame, template: str, most: int = 8000) -> DataFrame:
     """(article_id, prompt) for articles without a query; {text} is the text cut to `most` characters."""
     before, _, after = template.partition("{text}")
-    return articles.where("query_text is null").select("article_id", F.concat(F.lit(before), F.substring("article_text", 1, most), F.lit(after)).alias("prompt"))
+    return articles.where("query_text is null").select("article_id", F.concat(F.lit(before), truncate(F.col("article_text"), most), F.lit(after)).alias("prompt"))

@@ -94,6 +94,14 @@ class Engine:
         """answer() with the model's answer."""
         return context.generate(self.answer(queries, limit, threshold), llm)
 
+    def ask(self, queries: DataFrame, llm: Callable[[str], str] = context.extractive) -> DataFrame:
+        """(query_id, query_text, answer, sources): what a chat window asks for, five sources of a score of 0.5 or more."""
+        return self.generate(queries, llm, 5, 0.5).select("query_id", "query_text", "answer", F.col("relevant_articles").alias("sources"))
+
+    def health(self) -> DataFrame:
+        """One row: status ("healthy", or "not ready" without a collection), points_count."""
+        return self.collection.info().select(F.when(F.col("status") == "missing", "not ready").otherwise("healthy").alias("status"), "points_count")
+
     def evaluate(self, queries: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 3, 5, 10, 20), threshold: float | None = 0.0) -> DataFrame:
         """Summary of recall, MRR and nDCG over articles; the fetch depth is max(ks) points."""
         hits = dedup_by_article(self._hits(queries, max(ks), threshold), None)

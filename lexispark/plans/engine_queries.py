@@ -80,6 +80,22 @@ def engine_generate(spark: SparkSession, sf: str) -> DataFrame:
     return _built(spark, sf).generate(_questions(spark, sf), _first_source).select("query_id", "answer", "answer_error")
 
 
+def engine_ask(spark: SparkSession, sf: str) -> DataFrame:
+    got = _built(spark, sf).ask(_questions(spark, sf))
+    return got.select("query_id", "answer", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"))
+
+
+def engine_health(spark: SparkSession, sf: str) -> DataFrame:
+    e = _engine(spark, NONE, "health")
+    before = saved(e.health(), "health")
+    e.build(_articles(spark, sf))
+    return before.unionByName(e.health())
+
+
+def message_times(spark: SparkSession, sf: str) -> DataFrame:
+    return _table(spark, sf, "events").select("event_id", context.clock(F.col("ts")).alias("at"))
+
+
 def engine_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     asked = _questions(spark, sf)
     r = lambda c: F.round(c, 4).alias(c)
@@ -280,7 +296,7 @@ def eval_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (engine_search, engine_answer, engine_generate, engine_evaluate, engine_embed, collection_states, csv_round_trip, vocabulary_round_trip, rtf_scan, rtf_counts, encode_model, l2_normalized, chat_format, codex_by_content, query_prompts, rows_with_nulls, removed_counts, profile_report, threshold_modes, dedup_null_articles, parents_capped, eval_log)
+    plain = (engine_search, engine_answer, engine_generate, engine_ask, engine_health, message_times, engine_evaluate, engine_embed, collection_states, csv_round_trip, vocabulary_round_trip, rtf_scan, rtf_counts, encode_model, l2_normalized, chat_format, codex_by_content, query_prompts, rows_with_nulls, removed_counts, profile_report, threshold_modes, dedup_null_articles, parents_capped, eval_log)
     out = {f.__name__: f for f in plain} | {f"pool_{how}": _pooled(how) for how in ("mean", "cls", "max")}
     return out | {"negatives_random": _negatives("random"), "negatives_in_batch": _negatives("in_batch")}
 
@@ -342,6 +358,9 @@ UNION ALL SELECT doc_id, doc_id || '_p0', text, 1 FROM documents WHERE doc_id NO
         "engine_search": f"WITH {hits(15, 0.05)}, once AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS n FROM hits QUALIFY n = 1) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY once.rank) AS INTEGER) AS rank, article_id, article_title, codex, CAST(length(article_text) AS INTEGER) AS n_chars, score FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY once.rank) <= 5",
         "engine_answer": f"WITH {hits(5, 0.05)}, c AS (SELECT query_id, string_agg({part}, chr(10) || '---' || chr(10) ORDER BY rank) AS context_text, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, query_text, coalesce(context_text, '') AS context_text, CAST(coalesce(n, 0) AS INTEGER) AS n_sources FROM {every} LEFT JOIN c USING (query_id)",
         "engine_generate": f"WITH {hits(5, 0.05)}, c AS (SELECT query_id, article_text FROM hits WHERE rank = 1) SELECT query_id, coalesce(article_text, '') AS answer, CASE WHEN c.query_id IS NULL THEN 'LookupError: no source' END AS answer_error FROM {every} LEFT JOIN c USING (query_id)",
+        "engine_ask": f"WITH {hits(5, 0.5)}, c AS (SELECT query_id, first(article_text ORDER BY rank) AS answer, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, coalesce(answer, '') AS answer, CAST(coalesce(n, 0) AS INTEGER) AS n_sources FROM {every} LEFT JOIN c USING (query_id)",
+        "engine_health": "SELECT 'not ready' AS status, CAST(0 AS BIGINT) AS points_count UNION ALL SELECT 'healthy', count(*) FROM documents",
+        "message_times": "SELECT event_id, strftime(ts, '%H:%M') AS at FROM events",
         "engine_evaluate": f"""WITH {hits(max(KS), 0.0)}, ks AS (SELECT unnest([{ks}]) AS k), good AS (SELECT query_id, rank FROM hits WHERE article_id = query_id),
 m AS (SELECT e.query_id, k, CASE WHEN rank <= k THEN 1.0::DOUBLE ELSE 0 END AS recall, round(CASE WHEN rank <= k THEN 1.0::DOUBLE / rank ELSE 0 END, 6) AS mrr, round(CASE WHEN rank <= k THEN 1 / log2(rank + 1) ELSE 0 END, 6) AS ndcg FROM {every} e CROSS JOIN ks LEFT JOIN good USING (query_id)),
 l AS (SELECT 'recall' AS metric, k, recall AS v FROM m UNION ALL SELECT 'mrr', k, mrr FROM m UNION ALL SELECT 'ndcg', k, ndcg FROM m)
