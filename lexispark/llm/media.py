@@ -1,17 +1,16 @@
 """Media columns: content-addressed payloads in tar shards, with rows that carry digest, shard, offset and length.
 
 store() turns a payload into a grey 8-bit PNG picture, 64 samples to a row, which goes into a tar shard under the
-payload's SHA-256 digest. Each task writes shards of its own and stores a payload once, however many of its rows
-have it; there is no shuffle, so a text that very many rows share has no effect beyond one copy in each task. The
-rows (id, digest, shard, offset, length) are a table in the shared folder. A shard's name belongs to the attempt
-that wrote it, so a lost attempt leaves a file that no row names. headers() reads the first bytes of each picture
-by its range and fills the metadata columns without touching the samples. read() fetches the ranges, undoes the
-encoding and computes features.
+payload's SHA-256 digest. A payload is stored once, however many rows have it: digests that only one task has are stored
+there, the others from one row each, so only the texts of copies are shuffled. The rows (id, digest, shard, offset, length)
+are a table in the shared folder. A shard's name belongs to the attempt that wrote it, so a lost attempt leaves a file that
+no row names. headers() reads the first bytes of each picture by its range and fills the metadata columns without touching
+the samples. read() fetches the ranges, undoes the encoding and computes features.
 
 Shards are reached through pyarrow's file systems by URI, so the shared folder may be local or in a store.
 
 Defined results: a null text is the empty text, whose payload is one block of zeros; equal texts have equal digests
-and values, and one stored payload per task; rows that repeat an id and null ids are rows of their own; texts of any
+and values, and one stored payload; rows that repeat an id and null ids are rows of their own; texts of any
 length are stored whole; a damaged picture ends the job by its checksum; an empty table gives an empty table; columns other than the id and the text are ignored.
 """
 
@@ -31,6 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexispark.llm.bitmap import Bitmap
 from lexispark.llm.common import prepare, saved, shared_folder, text_or_empty
 
 WIDTH = 64
@@ -123,32 +123,56 @@ def _batch(kept: list, columns: list[tuple[str, pa.DataType]], names: list[str],
 
 
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> tuple[DataFrame, str]:
-    """(rows, folder of the shards). rows: id, n_bytes, digest, shard, offset, length."""
+    """(rows, folder of the shards). rows: id, n_bytes, digest, shard, offset, length.
+
+    Digests that several tasks have are found first; such payloads are stored apart, one row of each digest, and their
+    rows get its place by a join on the digest. All others are stored where they are read.
+    """
     spark = df.sparkSession
     prepare(spark)
     folder = folder or shared_folder(spark, "media")
-    source = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    padded = F.rpad(F.encode(text, "UTF-8"), (F.greatest(F.ceil(F.octet_length(text) / WIDTH), F.lit(1)) * WIDTH).cast("int"), F.lit(b"\x00"))
+    source = df.select(F.col(id_col).alias("id"), text.alias("text"), F.sha2(padded, 256).alias("digest"))
     kind = source.schema["id"].dataType.simpleString()
+    tasks = source.select("digest", F.spark_partition_id().alias("task")).groupBy("digest").agg(F.min("task").alias("a"), F.max("task").alias("b"))
+    several = Bitmap(saved(tasks.where("a <> b").select("digest"), "media-several"), "digest")
+    has = several.has
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards, places = ShardWriter(folder, shard_bytes), {}
         try:
             for b in batches:
                 rows = []
-                for text in b.column(1).to_pylist():
+                for text, digest, elsewhere in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), has(b.column(3).to_numpy()).tolist()):
                     data = text.encode("utf-8", "surrogatepass")
-                    payload = payload_of(data)
-                    digest = hashlib.sha256(payload).hexdigest()
+                    if elsewhere:
+                        rows.append((len(data), digest, None, None, None))
+                        continue
                     if digest not in places:
                         if len(places) >= REMEMBERED:
                             places.clear()
-                        places[digest] = shards.add(f"{digest[:2]}/{digest}.png", to_png(payload))
+                        places[digest] = shards.add(f"{digest[:2]}/{digest}.png", to_png(payload_of(data)))
                     rows.append((len(data), digest, *places[digest]))
                 yield _batch([b.column(0)], _PLACE, ["id"], rows)
         finally:
             shards.close()
 
-    return saved(source.mapInArrow(run, f"id {kind}, {_PLACE_DDL}"), "media-rows"), folder
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = ShardWriter(folder, shard_bytes)
+        try:
+            for b in batches:
+                rows = [shards.add(f"{d[:2]}/{d}.png", to_png(payload_of(t.encode("utf-8", "surrogatepass")))) for d, t in zip(*(b.column(i).to_pylist() for i in range(2)))]
+                yield _batch([b.column(0)], _PLACE[2:], ["digest"], rows)
+        finally:
+            shards.close()
+
+    at = several.position("digest").alias("at")
+    rows = saved(source.select("id", "text", "digest", at).mapInArrow(own, f"id {kind}, {_PLACE_DDL}"), "media-own")
+    once = source.where(several.maybe("digest")).groupBy("digest").agg(F.min("text").alias("text"))
+    places = saved(once.mapInArrow(common, "digest string, shard string, offset bigint, length bigint"), "media-common")
+    other = rows.where("shard is null").select("id", "n_bytes", "digest").join(places, "digest").select(*rows.columns).sortWithinPartitions("shard", "offset")
+    return saved(rows.where("shard is not null").unionByName(other), "media-rows"), folder
 
 
 def _ranges(rows: DataFrame, folder: str, take: int | None, compute, columns: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:

@@ -326,6 +326,7 @@ def test_media_in_many_shards_and_tasks(spark):
     rows = media.media_rows(df, shard_bytes=2000).collect()
     assert len(rows) == 61 and len({r["shard"] for r in rows}) > 4
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"]) for r in rows}) == 10
+    assert len({(r["shard"], r["offset"]) for r in rows}) == 10  # each payload lies in one place, whichever task has it
 
 
 def test_damaged_pictures_are_noticed():
