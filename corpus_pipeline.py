@@ -1,4 +1,11 @@
-"""Cleaning and packing a corpus: four stages, each written as Parquet and read again as the next one's documents."""
+"""Cleaning and packing a corpus: four stages, each written as Parquet and read again as the next one's documents.
+
+Defined results: without labels of both classes no document is rejected; null and empty texts are scored as texts without
+words, link with nothing, and are packed as their closing id alone if they stay; rows that repeat an id and its text stay as one,
+rows that repeat an id with other texts are documents of their own, and null ids stay, each row by itself; of linked
+documents the smallest id stays, whatever the order of rows; texts of any length are taken whole; other columns go
+along, whatever their names, up to the packing, which returns pieces; empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import jaccard, packing, quality, toxicity
-from lexispark.llm.common import saved, table
+from lexispark.llm.common import forget, saved, table
 
 #: Near-duplicates: five words to a shingle, a similarity of 0.8 or more.
 NEAR = jaccard.Params(words=5, num=80, den=100)
@@ -42,7 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
