@@ -48,3 +48,38 @@ def test_stages_equal_brute_force(spark, docs):
     pieces = cp.STAGES[3][1](spark, stage, SF).collect()
     assert {r["doc_id"] for r in pieces} == want
     assert all(sum(r["length"] for r in pieces if r["doc_id"] == i) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == i) for i in want)
+
+
+EXTRA = "doc_id bigint, text string, lang string, source string, n_chars bigint, __key string, __gone int, id string, h int, score double"
+LONG = " ".join(f"w{i}" for i in range(40_000))
+TEXTS = [(5, LONG), (4, LONG + " x"), (7, None), (8, ""), (9, "short"), (3, "tie one two three four five"), (2, "tie one two three four five"), (2, "tie one two three four five"), (2, "another text of the same id here"), (None, "no id"), (None, "no id"), (11, " \n ")]
+
+
+@pytest.fixture()
+def edges(spark, tmp_path):
+    rows = [(i, t, None, None, None, "k", 1, "x", k, None) for k, (i, t) in enumerate(TEXTS)]
+    spark.createDataFrame(rows, EXTRA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_keep_columns_and_treat_edges(spark, edges):
+    stage = table(spark, edges, "documents")
+    columns = stage.columns
+    for _, f in cp.STAGES[:3]:
+        stage = f(spark, stage, edges)
+        assert stage.columns == columns
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in stage.collect())
+    gone = [(5, LONG), (3, "tie one two three four five"), (2, "tie one two three four five")]  # linked with 4 and 2; once repeated
+    assert kept == sorted([*((str(i), t or "") for i, t in TEXTS if (i, t) not in gone), ("2", "tie one two three four five")])
+    assert all(r["h"] is not None and r["__key"] == "k" for r in stage.collect())
+    pieces = cp.run(spark, edges).collect()
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 4) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == 4)
+    assert {r["doc_id"] for r in pieces} == {4, 7, 8, 9, 2, None, 11}
+
+
+def test_empty_documents(spark, edges, tmp_path):
+    empty = f"{tmp_path}/empty"
+    table(spark, edges, "documents").where("false").write.parquet(f"{empty}/documents.parquet")
+    table(spark, edges, "labels").write.parquet(f"{empty}/labels.parquet")
+    assert cp.run(spark, empty).count() == 0
