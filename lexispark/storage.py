@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import re
 import shutil
 import tempfile
@@ -62,6 +63,12 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose tables are no longer held: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete the folder of a saved() table that nothing reads any more."""
     discard(df.saved_at)
