@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.package import ship
-from lexispark.storage import discard, forget, saved, shared_folder
+from lexispark.storage import discard, forget, saved, shared_folder, sweep
 
-__all__ = ["discard", "forget", "memo", "prepare", "release", "remainder", "saved", "shared_folder", "table", "text_or_empty", "trim"]
+__all__ = ["discard", "forget", "memo", "prepare", "release", "remainder", "saved", "shared_folder", "sweep", "table", "text_or_empty", "trim"]
 
 M = TypeVar("M")
 #: Rows in one Arrow batch: whole texts can be long, so a batch must stay small whatever the row count.

@@ -13,8 +13,10 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
    that share a key meet, one bucket of bounded size after another. Many keys bring the same documents together, and
    each such group is kept once. Pairs are not made within a group: each document meets the group's smallest id. A second, one-bit parity sketch gives a
    Hamming distance that never exceeds the symmetric difference, which drops most false candidates before
-   shingles are fetched and the similarity is verified exactly. A key that very many documents of a task share is
+   shingles are fetched and the similarity is verified exactly: by shortened hashes, which leave a few pairs near the
+   threshold open, and those by whole ones. A key that very many documents of a task share is
    sent once by that task, for the smallest of its documents, and they stay where they are, as a group beside it.
+   A document meets one leader first, and others only where it is not in their components then.
 3. Rest. Links give components. A key whose documents lie in one component is settled. The others are tried again
    with other leaders; what remains unsettled is compared by sketches across components within the key, in tasks of
    one or two chunks of bounded size, and only pairs that may link are emitted and verified. No pair is left out.
@@ -41,12 +43,13 @@ from itertools import count, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm.bitmap import Bitmap
-from lexispark.llm.common import forget, prepare, saved, text_or_empty, trim
+from lexispark.llm.common import forget, prepare, saved, sweep, text_or_empty, trim
 from lexispark.llm.graph import components
 
 SKETCH_BITS = 1024
@@ -62,7 +65,7 @@ class Params:
     #: Sizes of a band's largest set over its smallest.
     ratio: float = 1.5
     #: Documents of an unsettled key that are compared at a time; a larger key is compared by pairs of chunks.
-    chunk: int = 2048
+    chunk: int = 8192
     #: Rounds with other leaders before that.
     leaders: int = 1
     #: Documents that a task sketches at a time; a key that more than `hot` of them share is sent once.
@@ -265,14 +268,36 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
     return docs.mapInArrow(run, _PRINTS_DDL)
 
 
+_MET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64())), ("hot", pa.bool_())])
+_MET_DDL = "id bigint, n bigint, same bigint, sketch binary, key bigint, group array<bigint>, hot boolean"
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (key, ids, hot) of the keys that two or more documents share; rows come sorted by bucket.
+    """Groups (key, group, hot) of the keys that two or more documents share; rows come sorted by bucket.
 
     A group within another one of its bucket says nothing new and goes; a hot key's group stays, as its key matters.
+    Rows without a bucket (documents, and the groups of hot keys that stayed behind, whose hot is null) pass.
     """
-    rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4))))
-    for _, of_bucket in groupby(rows, key=lambda r: r[0]):  # one bucket is held at a time
-        some = [r[1:] for r in of_bucket]
+
+    def buckets() -> Iterator[tuple]:
+        for b in batches:
+            none = pc.is_null(b.column("bucket"))
+            if pc.any(none).as_py():
+                passed.append(b.filter(none))
+            b = b.filter(pc.invert(none))
+            yield from zip(*(b.column(c).to_pylist() for c in ("bucket", "keys", "ids", "same")))
+
+    def through() -> Iterator[pa.RecordBatch]:
+        while passed:
+            b = passed.pop()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _MET.names[:-1]), pa.nulls(b.num_rows, pa.bool_())], schema=_MET)
+
+    passed: list[pa.RecordBatch] = []
+    for _, of_bucket in groupby(buckets(), key=lambda r: r[0]):  # one bucket is held at a time
+        some = []
+        for r in of_bucket:
+            yield from through()
+            some.append(r[1:])
         each = [np.cumsum(_unplanes(k, np.uint64), dtype=np.uint64) for k, _, _ in some]
         keys, ids = np.concatenate(each), np.concatenate([_unplanes(i, np.int64) for _, i, _ in some])
         warm = np.concatenate([np.full(len(k), h == 1) for k, (_, _, h) in zip(each, some)])
@@ -303,8 +328,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((int(keys[begins[g]].view(np.int64)), own, False))
         for k in range(0, len(rows), 4096):
             key, group, is_hot = zip(*rows[k : k + 4096])
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(group, pa.list_(pa.int64())), pa.array(is_hot, pa.bool_())], names=["key", "group", "hot"])
+            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(key, pa.int64()), pa.array(group, pa.list_(pa.int64())), pa.array(is_hot, pa.bool_())], schema=_MET)
         del some, each, keys, ids, warm, rows, holders
+    yield from through()
     trim()
 
 
@@ -360,7 +387,38 @@ def _close(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, num: pd.Ser
     return pd.Series((den * (na + nb - apart) >= num * (na + nb + apart)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb)))
 
 
+def _coded(s: np.ndarray) -> bytes:
+    """A set's size and, compressed, the upper CODED bits of its sorted hashes."""
+    steps = np.diff(s >> np.uint64(64 - CODED), prepend=np.uint64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, : CODED // 8].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(CODED // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : CODED // 8] = planes.T
+    return np.cumsum(steps.view(np.uint64).reshape(-1))
+
+
+def _judged(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
+    """Of coded sets: 1 linked, 0 not, 2 unsure.
+
+    Shortened hashes may count some shingles as common that are not: fewer than `slack`, as so many would collide less
+    often than once in 10^14 pairs. They never miss a common one.
+    """
+    out = []
+    for x, y, n, d in zip(a, b, num, den):
+        x, y = sorted((_decoded(x), _decoded(y)), key=len)
+        common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        slack = 2 - (-16 * len(x) * len(y) >> CODED)
+        link = lambda c: d * c >= n * (len(x) + len(y) - c)
+        out.append(0 if not link(common) else 1 if link(common - slack) else 2)
+    return pd.Series(out, dtype="int32")
+
+
 def _linked(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
+    """Of whole sets."""
     out = []
     for x, y, n, d in zip(a, b, num, den):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -369,56 +427,100 @@ def _linked(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Se
     return pd.Series(out, dtype=bool)
 
 
+#: Bits of a hash by which sets are compared first.
+CODED = 40
 #: Documents for each bucket of keys, and the bits of how many buckets one pass takes.
 BUCKET_DOCS = 2048
 PASS_BITS = 14
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, p: Params):
-        self.docs, self.p = docs, p
+    def __init__(self, docs: DataFrame, p: Params, unique: bool = False):
+        """docs: id, text; unique: no id has two rows."""
+        self.docs, self.p, self.unique = docs, p, unique
         self.num, self.den = F.lit(p.num), F.lit(p.den)
         # a few hundred thousand keys to a bucket, at a hundred or so for each document
-        self.bucket_bits = max(4, (docs.count() // BUCKET_DOCS).bit_length())
-        self.prints = saved(_prints(docs, p, self.bucket_bits), "prints")
+        bits = max(4, (docs.count() // BUCKET_DOCS).bit_length())
+        #: documents (id, n, and same or sketch), and groups (key, group, hot)
+        self.prints = self.met(_prints(docs, p, bits), bits)
         #: n and sketch of each document that was sent
         self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
+        #: pairs that the coded sets left open
+        self.unsure: list[DataFrame] = []
+
+    def met(self, sent: DataFrame, bits: int) -> DataFrame:
+        """What _met() makes of the buckets: one pass for every 2^PASS_BITS of them, so that a shuffle's partitions stay
+        few however many there are; one pass takes the rows as they are made, several read them from a saved table."""
+        parts = 1 << min(bits, PASS_BITS)
+        # rows without a bucket go anywhere
+        to = F.coalesce("bucket", F.pmod(F.xxhash64("id", "n", "key", "group"), F.lit(parts)).cast("int"))
+        run = lambda rows: rows.repartition(parts, to).sortWithinPartitions("bucket").mapInArrow(_met, _MET_DDL)
+        if bits <= PASS_BITS:
+            out = saved(run(sent), "prints")
+        else:
+            sent = saved(sent, "sent")
+            made = sent.where("bucket is null").select(*_MET.names[:-1], F.lit(None).cast("boolean").alias("hot"))
+            for first in range(0, 1 << bits, parts):
+                made = made.unionByName(run(sent.where((F.col("bucket") >= first) & (F.col("bucket") < first + parts))))
+            out = saved(made, "prints")
+            forget(sent)
+        sweep(self.docs.sparkSession)
+        return out
 
     def groups(self) -> DataFrame:
         """(key, group): documents that share a key; a hot key has several groups."""
-        sent = self.prints.where("keys is not null").select("bucket", "keys", "ids", "same")
-        # one pass for every 2^PASS_BITS buckets, so that a shuffle's partitions stay few however many buckets there are
-        met = None
-        for first in range(0, 1 << self.bucket_bits, 1 << PASS_BITS):
-            part = sent if self.bucket_bits <= PASS_BITS else sent.where((F.col("bucket") >= first) & (F.col("bucket") < first + (1 << PASS_BITS)))
-            part = part.repartition(1 << min(self.bucket_bits, PASS_BITS), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "key bigint, group array<bigint>, hot boolean")
-            met = part if met is None else met.unionByName(part)
-        met = saved(met, "met")
-        once = met.where("not hot").groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
-        # a group of first documents of a hot key keeps that key, which its other documents have too
-        behind = self.prints.where("group is not null").select("key", "group")
-        groups = saved(once.unionByName(met.where("hot").select("key", "group")).unionByName(behind), "groups")
-        forget(met)
-        return groups
+        some = self.prints.where("group is not null")
+        once = some.where("not hot").groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
+        # a group of first documents of a hot key keeps that key, which the documents that stayed behind (hot is null) have too
+        return saved(once.unionByName(some.where("hot or hot is null").select("key", "group")), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b)."""
+        """The links among pairs (a, b); pairs that coded sets leave open wait in self.unsure."""
         ia, ib = (self.info.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
         close = pairs.distinct().join(ia, "a").join(ib, "b").where(F.pandas_udf(_close, "boolean")("sa", "sb", "na", "nb", self.num, self.den)).select("a", "b")
         close = saved(close, "pairs")
         if close.isEmpty():
             return close
-        ids = saved(close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct(), "ids")
-        sets = self.per_document(ids, "shingles binary", lambda s: s.tobytes(), pa.binary()).groupBy("id").agg(F.min("shingles").alias("shingles"))
-        sets = saved(sets, "shingles")
+        judged = self.compared(close, _coded, F.pandas_udf(_judged, "int"), F.col("judged") > 0)
+        forget(close)
+        self.unsure.append(judged.where("judged = 2").select("a", "b"))
+        return judged.where("judged = 1").select("a", "b")
+
+    def compared(self, pairs: DataFrame, value, udf, test) -> DataFrame:
+        """(a, b, judged) of the saved pairs, by value(set) of either side, where the test holds."""
+        ids = saved(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        sets = self.per_document(ids, "shingles binary", value, pa.binary())
+        # rows of one key have one text
+        sets = saved(sets if self.unique else sets.groupBy("id").agg(F.min("shingles").alias("shingles")), "shingles")
         sa, sb = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"x{c}")) for c in "ab")
-        found = saved(close.join(sa, "a").join(sb, "b").where(F.pandas_udf(_linked, "boolean")("xa", "xb", self.num, self.den)).select("a", "b"), "verified")
-        for t in (close, ids, sets):
-            forget(t)
+        met = pairs.join(sa, "a").join(sb, "b").withColumn("judged", udf("xa", "xb", self.num, self.den))
+        found = saved(met.where(test).select("a", "b", "judged"), "verified")
+        forget(ids)
+        forget(sets)
+        sweep(self.docs.sparkSession)
         return found
 
+    def run(self) -> DataFrame:
+        """(id, component) of the documents that link with others."""
+        links, found = self.searched()
+        unsure = None
+        for u in self.unsure:
+            unsure = u if unsure is None else unsure.unionByName(u)
+        if unsure is None:
+            return found
+        left = saved(self.apart(unsure.distinct(), found), "pairs")
+        if left.isEmpty():
+            return found
+        more = self.compared(left, lambda s: s.tobytes(), F.pandas_udf(_linked, "boolean"), F.col("judged")).select("a", "b")
+        return found if more.isEmpty() else components(links.unionByName(more))
+
+    def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """The pairs whose documents lie in different components."""
+        of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
     def per_document(self, ids: DataFrame, ddl: str, value, kind: pa.DataType) -> DataFrame:
-        """value(shingle set) of every document with one of the ids."""
+        """value(shingle set) of every row with one of the ids, and of a few others."""
         words, name = self.p.words, ddl.split()[0]
 
         some = Bitmap(ids, "id")
@@ -433,24 +535,30 @@ class _Join:
             del shingler
             trim()
 
-        # the bitmap is asked where the texts are read, so that a task has one Python worker
+        # the bitmap is asked where the texts are read, so that a task has one Python worker; its few false hits stay
         near = self.docs.where("id is not null").select("id", "text", some.position("id").alias("at"))
-        return near.mapInArrow(run, f"id bigint, {ddl}").join(ids, "id", "left_semi")
+        return near.mapInArrow(run, f"id bigint, {ddl}")
 
-    def run(self) -> DataFrame:
+    def searched(self) -> tuple[DataFrame, DataFrame]:
+        """(links, components), as far as coded sets tell."""
         groups = self.groups()
         same = self.prints.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))
         # a hot key's group that stayed behind has sent its smallest id, which meets the other groups' ones, so groups
         # need not be brought together by key
-        pairs = groups.select(F.explode("group").alias("a"), F.array_min("group").alias("b")).where("a <> b").distinct()
-        tried = saved(pairs, "pairs")
+        pairs = saved(groups.select(F.explode("group").alias("a"), F.array_min("group").alias("b")).where("a <> b").distinct(), "pairs")
+        # each document meets one leader, and further ones only where that left them in different components
+        tried = saved(pairs.groupBy("a").agg(F.min("b").alias("b")), "pairs")
         links = self.verified(tried).unionByName(same)
         found = components(links)
+        met = saved(self.apart(pairs, found).join(tried, ["a", "b"], "left_anti"), "pairs")
+        forget(pairs)
+        tried = tried.unionByName(met)
+        links, found = self.more(links, met, found)
         members = groups.select("key", F.explode("group").alias("id"))
         for turn in range(self.p.leaders):
             left = self.unsettled(members, found)
             if left is None:
-                return found
+                return links, found
             leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "component")).alias("l"))
             met = left.join(leader, "key").where("component <> l.component").select(F.greatest("id", "l.id").alias("a"), F.least("id", "l.id").alias("b"))
             met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -460,7 +568,7 @@ class _Join:
             if found is before:
                 return self.rest(left, links, tried, found)
         left = self.unsettled(members, found)
-        return found if left is None else self.rest(left, links, tried, found)
+        return (links, found) if left is None else self.rest(left, links, tried, found)
 
     def more(self, links: DataFrame, pairs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         new = self.verified(pairs)
@@ -478,7 +586,7 @@ class _Join:
         forget(placed)
         return None if left.isEmpty() else left
 
-    def rest(self, left: DataFrame, links: DataFrame, tried: DataFrame, found: DataFrame) -> DataFrame:
+    def rest(self, left: DataFrame, links: DataFrame, tried: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Every pair across components within a key; a key of many documents is compared chunk by chunk."""
         sizes = left.groupBy("key").agg(F.count("*").alias("size"))
         chunks = F.ceil(F.col("size") / self.p.chunk).cast("int")
@@ -488,7 +596,8 @@ class _Join:
         whole = rows.join(self.info, "id").select("task", "id", "component", "n", "sketch", "own", "two")
         met = whole.repartition("task").sortWithinPartitions("task").mapInArrow(_compared(self.p.num, self.p.den), "a bigint, b bigint")
         met = saved(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        return self.more(links, met, found)[1]
+        sweep(self.docs.sparkSession)
+        return self.more(links, met, found)
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -521,9 +630,9 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     return here.where(~maybe).unionByName(saved(moved, "moved")), further.select("key", "id"), repeated
 
 
-def _found(rows: DataFrame, further: DataFrame | None, p: Params, text_col: str) -> tuple[_Join, DataFrame]:
+def _found(rows: DataFrame, further: DataFrame | None, p: Params, text_col: str, unique: bool) -> tuple[_Join, DataFrame]:
     """The join of the rows of _keyed(), and (key, component, name): the key and the id of the component's smallest id."""
-    j = _Join(rows.select(F.col("__key").alias("id"), text_or_empty(text_col).alias("text")), p)
+    j = _Join(rows.select(F.col("__key").alias("id"), text_or_empty(text_col).alias("text")), p, unique)
     found = j.run()
     if further is None:
         return j, found.select(F.col("id").alias("key"), "component", F.col("component").alias("name"))
@@ -535,8 +644,8 @@ def _found(rows: DataFrame, further: DataFrame | None, p: Params, text_col: str)
 def join(df: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row; ids are integers."""
     prepare(df.sparkSession)
-    rows, further, _ = _keyed(df.select(id_col, text_col), id_col, text_col)
-    j, found = _found(rows, further, p, text_col)
+    rows, further, twice = _keyed(df.select(id_col, text_col), id_col, text_col)
+    j, found = _found(rows, further, p, text_col, twice is None)
     sizes = j.prints.where("n is not null").select(F.col("id").alias("key"), F.col("n").alias("n_shingles"))
     sizes = sizes.withColumn("id", F.col("key")) if further is None else sizes.join(further, "key", "left").withColumn("id", F.coalesce("id", "key"))
     return sizes.join(found, "key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("name", "id").alias("component_id"))
@@ -553,7 +662,7 @@ def representatives(df: DataFrame, p: Params = Params(), id_col: str = "doc_id",
     names = df.columns
     plain = df.toDF(*(f"c{i}" for i in range(len(names))))
     here, further, twice = _keyed(plain, f"c{names.index(id_col)}", f"c{names.index(text_col)}")
-    _, found = _found(here, further, p, f"c{names.index(text_col)}")
+    _, found = _found(here, further, p, f"c{names.index(text_col)}", twice is None)
     # only removed keys are matched, and only documents that have one are shuffled
     gone = saved(found.where("component <> key").select(F.col("key").alias("__gone")).distinct(), "gone")
     maybe = Bitmap(gone, "__gone").maybe("__key")
