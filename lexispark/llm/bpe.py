@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
 from itertools import groupby
 from zlib import crc32
@@ -173,15 +173,23 @@ class Codec:
         self.max_words = max_words
         self.chunks = ChunkEncoder(pattern, self._encode_chunks)
         self.missed = 0
+        self.table: Callable[[list[str]], tuple[np.ndarray, np.ndarray] | None] = lambda chunks: None
         lengths = np.fromiter(map(len, self.replay.bytes_of), np.int64, len(self.replay.bytes_of))
         self.length, self.start = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.replay.bytes_of), np.uint8)
 
-    def know(self, words: dict[str, Sequence[int]]) -> None:
-        """Words whose ids are known already, in place of those known so far."""
-        self.words = words
+    def know(self, table: Callable[[list[str]], tuple[np.ndarray, np.ndarray] | None]) -> None:
+        """Encode no chunks but those that the table gives no ids for; forgets what was known."""
+        self.table = table
+        self.words = {}
+        self.chunks.forget()
 
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.table(chunks)
+        return self.fresh(chunks) if found is None else found
+
+    def fresh(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks one after another, how many each has), by replaying the words that are not remembered."""
         pieces = [self.pattern.findall(c) for c in chunks]
         if len(self.words) > self.max_words:
             self.words = {}
@@ -212,7 +220,6 @@ def codec(path: str, pattern: str) -> Codec:
 BLOCK_CHARS = 4_000_000
 #: Characters of texts for each bucket of words that is replayed as one corpus.
 BUCKET_CHARS = 24_000_000
-_SPACED = regex.compile(r"\s (?:\s|$)")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -229,20 +236,23 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _words_of(texts: list[str], pattern: regex.Pattern) -> set[str]:
-    """The distinct pretokens of texts."""
-    chunks: set[str] = set()
-    out: set[str] = set()
+def _words_of(texts: list[str]) -> list[str]:
+    """What texts are cut into at spaces (see pretoken.py), each once; all but a text's first one with the space before it."""
+    heads, tails = set(), set()
     for t in texts:
-        if _SPACED.search(t):  # white space on both sides of a space: the pattern decides
-            out.update(pattern.findall(t))
-        else:
-            first, *rest = t.split(" ")
-            out.update(pattern.findall(first))
-            chunks.update(rest)
-    for c in chunks:
-        out.update(pattern.findall(" " + c))
-    return out
+        first, *rest = t.split(" ")
+        heads.add(first)
+        tails.update(rest)
+    return [*(" " + w for w in tails), *heads]
+
+
+def _bucketed(words: list[str], buckets: int) -> dict[int, tuple[list[bytes], list[int]]]:
+    """bucket -> (its words as bytes, sorted; their places in the list)."""
+    parts: dict[int, list[tuple[bytes, int]]] = {}
+    for i, w in enumerate(words):
+        word = w.encode("utf-8", "surrogatepass")
+        parts.setdefault(crc32(word) % buckets, []).append((word, i))
+    return {k: tuple(map(list, zip(*sorted(x)))) for k, x in parts.items()}
 
 
 def _pressed(parts: list[bytes]) -> tuple[bytes, bytes]:
@@ -260,72 +270,89 @@ def _split(data: bytes, lengths: bytes) -> list[bytes]:
 _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary())])
 
 
-def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> str:
-    """The folder of the corpus's words and their ids: Parquet under part=<task>, rows (block, words, sizes, ids, counts).
+def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> tuple[str, int]:
+    """(folder of the ids of the corpus's words, number of buckets): Parquet under part=<task>, rows (block, bucket, n, check, ids, counts).
 
-    source: (id, text). Each task sends the distinct words of each of its blocks to buckets of the words' hashes. A
-    bucket's distinct words, from all tasks, are replayed as one corpus; the ids go back under the task that asked.
+    source: (id, text). Each task sends the distinct words of each of its blocks, sorted, to buckets of the words' hashes.
+    A bucket's distinct words, from all tasks, are replayed as one corpus; the ids go back in the order in which the
+    words came. n and check (a checksum) tell whether a list of words is the one that was sent.
     """
     n_chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, -(-n_chars // BUCKET_CHARS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, part = regex.compile(pattern), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         for number, rows in enumerate(_blocks(batches)):
-            parts: list[list[bytes]] = [[] for _ in range(buckets)]
-            for w in _words_of([t for _, t in rows], split):
-                word = w.encode("utf-8", "surrogatepass")
-                parts[crc32(word) % buckets].append(word)
-            yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "bucket": i, "words": data, "sizes": sizes} for i, x in enumerate(parts) if x for data, sizes in [_pressed(x)]], _SENT)
+            parts = _bucketed(_words_of([t for _, t in rows]), buckets)
+            yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "bucket": i, "words": data, "sizes": sizes} for i, (x, _) in parts.items() for data, sizes in [_pressed(x)]], _SENT)
         trim()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = memo(("replay", path), lambda: MergeReplay(load_ranks(path)))
+        c = codec(path, pattern)
+        press = zstandard.ZstdCompressor(level=1).compress
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(5))))
-        for _, of_bucket in groupby(rows, key=lambda r: r[2]):
-            asked = [(part, block, data, sizes, _split(data, sizes)) for part, block, _, data, sizes in of_bucket]
-            words = list(set().union(*(x[4] for x in asked)))
-            flat, counts = flattened(merges.encode_words(words))
+        for bucket, of_bucket in groupby(rows, key=lambda r: r[2]):
+            asked = [(part, block, _split(data, sizes)) for part, block, _, data, sizes in of_bucket]
+            words = list(set().union(*(x[2] for x in asked)))
+            flat, counts = c.fresh([w.decode("utf-8", "surrogatepass") for w in words])
             starts = np.cumsum(counts) - counts
             at = dict(zip(words, range(len(words))))
-            press = zstandard.ZstdCompressor(level=1).compress
-            for part, block, data, sizes, mine in asked:
+            for part, block, mine in asked:
                 i = np.fromiter(map(at.__getitem__, mine), np.int64, len(mine))
                 n = counts[i]
                 ends = np.cumsum(n)
                 ids = flat[np.arange(ends[-1]) + np.repeat(starts[i] - ends + n, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), *(pa.array([x], pa.binary()) for x in (data, sizes, press(ids.tobytes()), press(n.astype(np.uint32).tobytes())))], names=["part", "block", "words", "sizes", "ids", "counts"])
+                columns = [(part, pa.int32()), (block, pa.int32()), (bucket, pa.int32()), (len(mine), pa.int64()), (crc32(b"".join(mine)), pa.int64()), (press(ids.astype(np.uint32).tobytes()), pa.binary()), (press(n.astype(np.uint32).tobytes()), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["part", "block", "bucket", "n", "check", "ids", "counts"])
         trim()
 
     sent = source.mapInArrow(send, "part int, block int, bucket int, words binary, sizes binary")
-    made = sent.repartition(min(buckets, 1 << 14), "bucket").sortWithinPartitions("bucket").mapInArrow(replay, "part int, block int, words binary, sizes binary, ids binary, counts binary")
+    made = sent.repartition(min(buckets, 1 << 14), "bucket").sortWithinPartitions("bucket").mapInArrow(replay, "part int, block int, bucket int, n bigint, check bigint, ids binary, counts binary")
     folder = shared_folder(source.sparkSession, kind)
     made.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").parquet(folder)
-    return folder
+    return folder, buckets
 
 
-def _known(folder: str) -> Iterator[tuple[int, dict[str, Sequence[int]]]]:
-    """(block, word -> ids) of the running task's part of a word_table(), block by block."""
+def _known(folder: str) -> Iterator[tuple[int, dict[int, tuple]]]:
+    """(block, bucket -> (n, check, ids, counts)) of the running task's part of a word_table(), block by block."""
     fs, root = pafs.FileSystem.from_uri(folder)
     at = f"{root}/part={TaskContext.get().partitionId()}"
     if fs.get_file_info(at).type == pafs.FileType.NotFound:
         return
-    unpress = zstandard.ZstdDecompressor().decompress
     files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet"))
-    rows = (r for f in files for b in pq.ParquetFile(f, filesystem=fs).iter_batches(64) for r in zip(*(b.column(c).to_pylist() for c in ("block", "words", "sizes", "ids", "counts"))))
+    rows = (r for f in files for b in pq.ParquetFile(f, filesystem=fs).iter_batches(64) for r in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "check", "ids", "counts"))))
     for block, some in groupby(rows, key=lambda r: r[0]):
-        words: dict[str, Sequence[int]] = {}
-        for _, data, sizes, ids, counts in some:
-            n = np.frombuffer(unpress(counts), np.uint32)
-            ends, flat = np.cumsum(n, dtype=np.int64).tolist(), np.frombuffer(unpress(ids), np.uint32).tolist()
-            words.update(zip((w.decode("utf-8", "surrogatepass") for w in _split(data, sizes)), (flat[a:b] for a, b in zip([0, *ends], ends))))
-        yield block, words
+        yield block, {r[1]: r[2:] for r in some}
+
 
+def _lookup(table: dict[int, tuple], buckets: int) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray] | None]:
+    """The ids of a block's words by the table; None for any other list of words."""
+    unpress = zstandard.ZstdDecompressor().decompress
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, folder: str) -> Iterator[tuple[pa.Array, list[np.ndarray], Codec]]:
+    def of(words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        flats, lengths, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        for bucket, (mine, at) in _bucketed(words, buckets).items():
+            n, check, ids, counts = table.get(bucket, (None, None, None, None))
+            if n != len(mine) or check != crc32(b"".join(mine)):
+                return None
+            flats.append(np.frombuffer(unpress(ids), np.uint32))
+            lengths.append(np.frombuffer(unpress(counts), np.uint32).astype(np.int64))
+            places += at
+        flat, counts = np.concatenate(flats), np.concatenate(lengths)
+        # from the buckets' order to that of the words
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        starts, n = (np.cumsum(counts) - counts)[order], counts[order]
+        ends = np.cumsum(n)
+        return flat[np.arange(int(n.sum())) + np.repeat(starts - ends + n, n)], n
+
+    return of
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, folder: str, buckets: int) -> Iterator[tuple[list, list[np.ndarray], Codec]]:
     """(ids of documents, token ids of their texts, codec) of a task's rows.
 
-    Words come from the word table; one that is not there, should the rows have been dealt otherwise, is replayed here.
+    Words come from the word table; should the rows have been dealt otherwise than before, they are replayed here.
     """
     c = codec(path, pattern)
     known = _known(folder)
@@ -333,11 +360,11 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, folder:
     for number, rows in enumerate(_blocks(batches)):
         while table is not None and table[0] < number:
             table = next(known, None)
-        c.know(table[1] if table is not None and table[0] == number else {})
+        c.know(_lookup(table[1] if table is not None and table[0] == number else {}, buckets))
+        ids = c.encode([t for _, t in rows])
         for k in range(0, len(rows), 256):
-            yield [i for i, _ in rows[k : k + 256]], c.encode([t for _, t in rows[k : k + 256]]), c
-    c.know({})
-    c.chunks.forget()
+            yield [i for i, _ in rows[k : k + 256]], ids[k : k + 256], c
+    c.know(lambda words: None)
     trim()
 
 
@@ -350,10 +377,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     """(id, ids array<int>): the token ids of every whole text."""
     prepare(df.sparkSession)
     source, kind, arrow = _source(df, id_col, text_col)
-    folder = word_table(source, path, pattern, "words")
+    folder, buckets = word_table(source, path, pattern, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, _ in _encoded(batches, path, pattern, folder):
+        for keys, ids, _ in _encoded(batches, path, pattern, folder, buckets):
             yield pa.RecordBatch.from_arrays([pa.array(keys, arrow), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["id", "ids"])
 
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -378,10 +405,10 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     """(id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass, for texts whose ids need not leave the task."""
     prepare(df.sparkSession)
     source, kind, arrow = _source(df, id_col, text_col)
-    folder = word_table(source, path, pattern, "words")
+    folder, buckets = word_table(source, path, pattern, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids, c in _encoded(batches, path, pattern, folder):
+        for keys, ids, c in _encoded(batches, path, pattern, folder, buckets):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, arrow),

@@ -144,17 +144,17 @@ def test_bpe_vocabularies_are_checked():
 
 
 def test_words_of_the_table_serve(spark, monkeypatch):
-    """The encoding pass finds every word in the table, also in several blocks and irregular white space."""
-    monkeypatch.setattr(bpe, "BLOCK_CHARS", 500)
-    texts = [f"some  words {i}\n\n and   more{i % 7} \t x " * 9 for i in range(40)]
-    split, replay = bpe.regex.compile(P.PATTERN), bpe.MergeReplay(bpe.load_ranks(P.path(bpe.DEFAULT_VOCABULARY)))
+    """The encoding pass finds its words in the table, and replays them itself where the table is another one."""
+    texts = [f"some  words {i}\n\n and   more{i % 7} x{i}" * 9 for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(1)
+    folder, buckets = bpe.word_table(df, P.path(bpe.DEFAULT_VOCABULARY), P.PATTERN, "words")
+    rows = [r.asDict() for r in spark.read.parquet(folder).collect()]
+    table = {r["bucket"]: (r["n"], r["check"], bytes(r["ids"]), bytes(r["counts"])) for r in rows}
     c = bpe.Codec(P.path(bpe.DEFAULT_VOCABULARY), P.PATTERN)
-    batch = bpe.pa.RecordBatch.from_arrays([bpe.pa.array(range(40)), bpe.pa.array(texts)], names=["id", "text"])
-    for rows in bpe._blocks(iter([batch])):
-        words = sorted(bpe._words_of([t for _, t in rows], split))
-        c.know(dict(zip(words, replay.encode_words([w.encode() for w in words]))))
-        c.encode([t for _, t in rows])
-    assert c.missed == 0
+    words = bpe._words_of(texts)
+    got, own = bpe._lookup(table, buckets)(words), c.fresh(words)
+    assert got[0].tolist() == own[0].tolist() and got[1].tolist() == own[1].tolist()
+    assert bpe._lookup(table, buckets)(words[1:]) is None and bpe._lookup({}, buckets)(words) is None
 
 
 @pytest.mark.parametrize("name, k, r", [("op5_toxicity", 3, 1), ("op10_quality", 4, 2)])
