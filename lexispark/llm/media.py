@@ -111,6 +111,8 @@ class ShardWriter:
             self.stream = None
 
 
+#: Bytes of ranges that one task reads.
+READ_BYTES = 32 << 20
 #: Digests, or read results, that a task remembers; beyond that it forgets all, which costs storage or reads only.
 REMEMBERED = 200_000
 _PLACE = [("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
@@ -234,4 +236,7 @@ def read(rows: DataFrame, folder: str) -> DataFrame:
 def media_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Every row with its stored payload's place and what headers() and read() found there."""
     rows, folder = store(df, id_col, text_col, shard_bytes)
-    return read(headers(rows, folder), folder).withColumnRenamed("id", id_col)
+    # the rows are short and the ranges long: as many tasks as the ranges' bytes need, each with neighbours of a shard
+    total = rows.agg(F.sum("length")).first()[0] or 0
+    spread = rows.repartitionByRange(max(1, -(-total // READ_BYTES)), "shard", "offset", "id").sortWithinPartitions("shard", "offset")
+    return read(headers(spread, folder), folder).withColumnRenamed("id", id_col)
