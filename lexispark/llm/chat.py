@@ -10,8 +10,9 @@ template, and the marks of other common templates) are broken up by a backslash,
 parse() undoes both.
 
 Defined results: null texts and roles are empty; repeated rows are turns of their own; ties of turn are ordered by
-role, then text; nodes whose parent is missing are roots; nodes on a cycle have no leaf and give no path; an empty
-table gives an empty table; other columns are ignored.
+role, then text; nodes whose parent is missing are roots; nodes on a cycle have no leaf and give no path; a null tree is
+a tree like others; branches of equal score rank by the smaller leaf; a conversation of any length is one string; an
+empty table gives an empty table; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

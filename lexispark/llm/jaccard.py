@@ -28,7 +28,8 @@ Ids are integers. Rows that repeat an id with other texts are documents of their
 component is still named by its smallest id, so two components have one name where that id has unlinked texts.
 
 Defined results: null texts and texts without words have no shingles and link with nothing; fewer words than the
-shingle's are one shingle; rows with a null id are left out of links and get their size and a null component;
+shingle's are one shingle; texts of any length are taken whole, as bands of sizes have no end; rows with a null id are
+left out of links and get their size and a null component; of linked documents the smallest id names the component;
 repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
 """
 

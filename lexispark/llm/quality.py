@@ -9,7 +9,9 @@ Prediction uses that everything up to the softmax is linear: a bucket's vector t
 output rows is one number, a word's share is the mean of such numbers, and words seen before are remembered.
 
 Defined results: null and empty texts are the marker of a text without words; without labels of both classes every
-score is 1 (nothing is rejected); repeated rows give repeated results; an empty table gives an empty table; other columns are ignored.
+score is 1 (nothing is rejected); of one id's labels 1 wins, and of its texts the smallest serves (labelled.py); a null id
+counts as hash remainder 0; repeated rows give repeated results and equal texts equal scores; texts of any length are
+scored whole; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
