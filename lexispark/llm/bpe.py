@@ -22,7 +22,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
-from itertools import groupby
+from itertools import chain, groupby
 from zlib import crc32
 
 import numpy as np
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexispark.llm.common import memo, prepare, shared_folder, text_or_empty, trim
-from lexispark.llm.pretoken import ChunkEncoder, flattened
+from lexispark.llm.pretoken import ChunkEncoder, distinct, flattened
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -193,7 +193,7 @@ class Codec:
         pieces = [self.pattern.findall(c) for c in chunks]
         if len(self.words) > self.max_words:
             self.words = {}
-        new = sorted({p for x in pieces for p in x} - self.words.keys())
+        new = [p for p in dict.fromkeys(chain.from_iterable(pieces)) if p not in self.words]
         self.missed += len(new)
         self.words.update(zip(new, self.replay.encode_words([p.encode("utf-8", "surrogatepass") for p in new])))
         words = self.words
@@ -237,22 +237,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 
 
 def _words_of(texts: list[str]) -> list[str]:
-    """What texts are cut into at spaces (see pretoken.py), each once; all but a text's first one with the space before it."""
-    heads, tails = set(), set()
-    for t in texts:
-        first, *rest = t.split(" ")
-        heads.add(first)
-        tails.update(rest)
-    return [*(" " + w for w in tails), *heads]
+    """What texts are cut into at spaces (see pretoken.py), as a ChunkEncoder asks for it, in the order of first occurrence."""
+    tails, heads = distinct([t.split(" ") for t in texts])
+    return [*map(" ".__add__, tails), *heads]
 
 
-def _bucketed(words: list[str], buckets: int) -> dict[int, tuple[list[bytes], list[int]]]:
-    """bucket -> (its words as bytes, sorted; their places in the list)."""
-    parts: dict[int, list[tuple[bytes, int]]] = {}
-    for i, w in enumerate(words):
-        word = w.encode("utf-8", "surrogatepass")
-        parts.setdefault(crc32(word) % buckets, []).append((word, i))
-    return {k: tuple(map(list, zip(*sorted(x)))) for k, x in parts.items()}
+def _bucketed(words: list[str], buckets: int) -> dict[int, tuple[list[bytes], np.ndarray]]:
+    """bucket -> (its words as bytes, in the order of the list; their places in it)."""
+    whole = [w.encode("utf-8", "surrogatepass") for w in words]
+    bucket = np.fromiter(map(crc32, whole), np.uint32, len(whole)) % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist() + [len(order)]
+    return {int(bucket[order[a]]): ([whole[i] for i in order[a:b].tolist()], order[a:b]) for a, b in zip(edges, edges[1:])}
 
 
 def _pressed(parts: list[bytes]) -> tuple[bytes, bytes]:
@@ -273,7 +269,7 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bucket", pa.in
 def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> tuple[str, int]:
     """(folder of the ids of the corpus's words, number of buckets): Parquet under part=<task>, rows (block, bucket, n, check, ids, counts).
 
-    source: (id, text). Each task sends the distinct words of each of its blocks, sorted, to buckets of the words' hashes.
+    source: (id, text). Each task sends the distinct words of each of its blocks to buckets of the words' hashes.
     A bucket's distinct words, from all tasks, are replayed as one corpus; the ids go back in the order in which the
     words came. n and check (a checksum) tell whether a list of words is the one that was sent.
     """
@@ -330,18 +326,18 @@ def _lookup(table: dict[int, tuple], buckets: int) -> Callable[[list[str]], tupl
     unpress = zstandard.ZstdDecompressor().decompress
 
     def of(words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        flats, lengths, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], []
+        flats, lengths, places = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for bucket, (mine, at) in _bucketed(words, buckets).items():
             n, check, ids, counts = table.get(bucket, (None, None, None, None))
             if n != len(mine) or check != crc32(b"".join(mine)):
                 return None
             flats.append(np.frombuffer(unpress(ids), np.uint32))
             lengths.append(np.frombuffer(unpress(counts), np.uint32).astype(np.int64))
-            places += at
+            places.append(at)
         flat, counts = np.concatenate(flats), np.concatenate(lengths)
         # from the buckets' order to that of the words
-        order = np.empty(len(places), np.int64)
-        order[places] = np.arange(len(places))
+        order = np.empty(len(counts), np.int64)
+        order[np.concatenate(places)] = np.arange(len(counts))
         starts, n = (np.cumsum(counts) - counts)[order], counts[order]
         ends = np.cumsum(n)
         return flat[np.arange(int(n.sum())) + np.repeat(starts - ends + n, n)], n

@@ -7,8 +7,8 @@ it; such texts are split by the pattern itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterable, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -20,6 +20,14 @@ def flattened(ids: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
 
 
+def distinct(parts: list[list[str]]) -> tuple[dict[str, None], dict[str, None]]:
+    """What texts, split at spaces, have behind a space and at their beginnings: each once, in the order of first occurrence."""
+    tails: dict[str, None] = {}
+    for x in parts:
+        tails.update(dict.fromkeys(islice(x, 1, None)))
+    return tails, dict.fromkeys([x[0] for x in parts])
+
+
 class _Growing:
     """An array that grows at its end."""
 
@@ -65,12 +73,13 @@ class ChunkEncoder:
         if len(self.rows) + len(self.heads) > self.max_chunks or self.units > self.max_units:
             self.forget()
         parts = [t.split(" ") for t in texts]
-        self._learn({p for x in parts for p in x[1:]}, {x[0] for x in parts})
+        self._learn(*distinct(parts))
         return [self._one(t, x) for t, x in zip(texts, parts)]
 
-    def _learn(self, tails: set[str], heads: set[str]) -> None:
+    def _learn(self, tails: Iterable[str], heads: Iterable[str]) -> None:
         """tails follow a space, heads begin a text."""
-        tails, heads = sorted(tails - self.rows.keys()), sorted(heads - self.heads.keys())
+        rows, firsts = self.rows, self.heads
+        tails, heads = [p for p in tails if p not in rows], [p for p in heads if p not in firsts]
         if not tails and not heads:
             return
         n, edge = self.start.n, tails + heads
