@@ -66,7 +66,7 @@ class Params:
     #: Sizes of a band's largest set over its smallest.
     ratio: float = 1.5
     #: Documents of an unsettled key that are compared at a time; a larger key is compared by pairs of chunks.
-    chunk: int = 8192
+    chunk: int = 4096
     #: Rounds with other leaders before that.
     leaders: int = 1
     #: Documents that a task sketches at a time; a key that more than `hot` of them share is sent once.
@@ -336,47 +336,41 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _compared(num: int, den: int, block: int = 256):
+def _compared(num: int, den: int, block: int = 64):
     """Pairs of one task, across components, whose sizes and sketches allow a link. Rows come sorted by task.
 
-    A row's own chunk and whether the task holds two chunks say which pairs are the task's.
+    A row's own chunk and whether the task holds two chunks say which pairs are the task's. Pairs leave by blocks of
+    rows, so the memory does not depend on how many there are.
     """
 
-    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+    def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, comps, n, own = (np.array([r[i] for r in group], np.int64) for i in (1, 2, 3, 5))
         bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
-        ones, out = bits.sum(axis=1), []
+        ones = bits.sum(axis=1)
         for k in range(0, len(group), block):
             x = slice(k, k + block)
             apart = (ones[x, None] + ones - 2 * (bits[x] @ bits.T)).astype(np.int64)
             total = n[x, None] + n
-            may = (den * (total - apart) >= num * (total + apart)) & (den * np.minimum(n[x, None], n) >= num * np.maximum(n[x, None], n)) & (comps[x, None] != comps) & (ids[x, None] > ids)
+            may = den * (total - apart) >= num * (total + apart)
+            may &= den * np.minimum(n[x, None], n) >= num * np.maximum(n[x, None], n)
+            may &= (comps[x, None] != comps) & (ids[x, None] > ids)
             if group[0][6]:
                 may &= own[x, None] != own
             a, b = np.nonzero(may)
-            out += zip(ids[x][a].tolist(), ids[b].tolist())
-        return out
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x][a]), pa.array(ids[b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        for b in batches:
-            out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(7))):
-                if group and group[0][0] != row[0]:
-                    out += pairs(group)
-                    group = []
-                group.append(row)
-            yield _pair_batch(out)
-        yield _pair_batch(pairs(group) if group else [])
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7))))
+        for _, task in groupby(rows, key=lambda r: r[0]):
+            group = list(task)  # two chunks at most
+            if len(group) > 1:
+                yield from pairs(group)
+        trim()
 
     return run
 
 
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*pairs) if pairs else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
 def _close(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
     """Whether sizes and sketches allow a link."""
     if not len(a):
