@@ -19,6 +19,7 @@ columns other than the id and the text are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heappop, heappush
@@ -71,9 +72,34 @@ class MergeReplay:
                 left, right = get(token[:k]), get(token[k:])
                 if left is not None and right is not None:
                     self.pairs[left << self.SHIFT | right] = rank
+        #: The same, sorted.
+        self.keys = np.array(sorted(self.pairs), np.int64)
+        self.key_ranks = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of every word; words are replayed together as one corpus.
+        """Ids of every word. The many lists make no cycles, so the collector need not look at them meanwhile."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._replayed(words)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _index(self, symbols: list[int]) -> dict[int, list[int]]:
+        """Rank of a pair -> the positions of its left symbol."""
+        s = np.array(symbols, np.int64)
+        key = np.where((s[:-1] >= 0) & (s[1:] >= 0), s[:-1] << self.SHIFT | s[1:], -1)
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[place] == key)
+        rank = self.key_ranks[place[at]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        edges = np.flatnonzero(np.diff(rank, prepend=-1)).tolist() + [len(rank)]
+        return {int(rank[a]): at[a:b].tolist() for a, b in zip(edges, edges[1:])}
+
+    def _replayed(self, words: list[bytes]) -> list[list[int]]:
+        """Words are replayed together as one corpus.
 
         symbols holds the tokens of all words one after another, -1 after each word and for swallowed places.
         """
@@ -81,26 +107,18 @@ class MergeReplay:
         out: list[list[int] | None] = [None] * len(words)
         todo: list[tuple[int, int]] = []
         symbols: list[int] = [-1]
-        single = self.single
+        single = self.single.__getitem__
         for w, word in enumerate(words):
             whole = known(word)
             if whole is None:
                 todo.append((w, len(symbols)))
-                symbols += [single[b] for b in word]
+                symbols.extend(map(single, word))
                 symbols.append(-1)
             else:
                 out[w] = [whole]
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}  # rank of a pair -> positions of its left symbol
-        left = -1
-        for i, right in enumerate(symbols):
-            if left >= 0 <= right and (r := pairs(left << shift | right)) is not None:
-                if r in index:
-                    index[r].append(i - 1)
-                else:
-                    index[r] = [i - 1]
-            left = right
+        index = self._index(symbols) if self.pairs else {}
         heap = sorted(index)
         while heap:
             r = heappop(heap)
