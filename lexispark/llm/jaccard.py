@@ -463,11 +463,12 @@ class _Join:
         return out
 
     def groups(self) -> DataFrame:
-        """(key, group): documents that share a key; a hot key has several groups."""
+        """(key, group, many): documents that share a key; many: a hot key, which has several groups."""
         some = self.prints.where("group is not null")
         once = some.where("not hot").groupBy("group").agg(F.min("key").alias("key")).select("key", "group")
         # a group of first documents of a hot key keeps that key, which the documents that stayed behind (hot is null) have too
-        return saved(once.unionByName(some.where("hot or hot is null").select("key", "group")), "groups")
+        hot = some.where("hot or hot is null").select("key", "group", F.lit(True).alias("many"))
+        return saved(once.withColumn("many", F.lit(False)).unionByName(hot), "groups")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b); pairs that coded sets leave open wait in self.unsure."""
@@ -538,9 +539,13 @@ class _Join:
         """(links, components), as far as coded sets tell."""
         groups = self.groups()
         same = self.prints.where("same is not null and same <> id").select(F.col("id").alias("a"), F.col("same").alias("b"))
-        # a hot key's group that stayed behind has sent its smallest id, which meets the other groups' ones, so groups
-        # need not be brought together by key
-        pairs = saved(groups.select(F.explode("group").alias("a"), F.array_min("group").alias("b")).where("a <> b").distinct(), "pairs")
+        # a group's documents meet its smallest id; those of a hot key's groups also the smallest of all of them, so
+        # that few are left to be compared with one another
+        many = groups.where("many")
+        leaders = many.groupBy("key").agg(F.min(F.array_min("group")).alias("b"))
+        pairs = groups.select(F.explode("group").alias("a"), F.array_min("group").alias("b"))
+        pairs = pairs.unionByName(many.join(leaders, "key").select(F.explode("group").alias("a"), "b"))
+        pairs = saved(pairs.where("a <> b").distinct(), "pairs")
         # each document meets one leader, and further ones only where that left them in different components
         tried = saved(pairs.groupBy("a").agg(F.min("b").alias("b")), "pairs")
         links = self.verified(tried).unionByName(same)
