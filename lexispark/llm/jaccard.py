@@ -399,14 +399,18 @@ def _decoded(data: bytes) -> np.ndarray:
 def _judged(a: pd.Series, b: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
     """Of coded sets: 1 linked, 0 not, 2 unsure.
 
-    Shortened hashes may count some shingles as common that are not: fewer than `slack`, as so many would collide less
-    often than once in 10^14 pairs. They never miss a common one.
+    Shortened hashes may count some shingles as common that are not: `slack` at most, as more would collide less often
+    than once in 10^14 pairs. They never miss a common one.
     """
     out = []
     for x, y, n, d in zip(a, b, num, den):
         x, y = sorted((_decoded(x), _decoded(y)), key=len)
         common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-        slack = 2 - (-16 * len(x) * len(y) >> CODED)
+        rate, slack, chance = len(x) * len(y) / (1 << CODED), 0, 1.0
+        while chance > 1e-14:  # of more than `slack` collisions
+            slack += 1
+            chance *= rate / slack
+        slack -= 1
         link = lambda c: d * c >= n * (len(x) + len(y) - c)
         out.append(0 if not link(common) else 1 if link(common - slack) else 2)
     return pd.Series(out, dtype="int32")
@@ -498,17 +502,24 @@ class _Join:
 
     def run(self) -> DataFrame:
         """(id, component) of the documents that link with others."""
-        links, found = self.searched()
+        return self.resolved(*self.searched())[1]
+
+    def resolved(self, links: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, components) with those pairs that coded sets left open and that lie in different components."""
         unsure = None
         for u in self.unsure:
             unsure = u if unsure is None else unsure.unionByName(u)
+        self.unsure.clear()
         if unsure is None:
-            return found
+            return links, found
         left = saved(self.apart(unsure.distinct(), found), "pairs")
         if left.isEmpty():
-            return found
+            return links, found
         more = self.compared(left, lambda s: s.tobytes(), F.pandas_udf(_linked, "boolean"), F.col("judged")).select("a", "b")
-        return found if more.isEmpty() else components(links.unionByName(more))
+        if more.isEmpty():
+            return links, found
+        links = links.unionByName(more)
+        return links, components(links)
 
     def apart(self, pairs: DataFrame, found: DataFrame) -> DataFrame:
         """The pairs whose documents lie in different components."""
@@ -553,7 +564,7 @@ class _Join:
         met = saved(self.apart(pairs, found).join(tried, ["a", "b"], "left_anti"), "pairs")
         forget(pairs)
         tried = tried.unionByName(met)
-        links, found = self.more(links, met, found)
+        links, found = self.resolved(*self.more(links, met, found))
         members = groups.select("key", F.explode("group").alias("id"))
         for turn in range(self.p.leaders):
             left = self.unsettled(members, found)
