@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm import bpe, chat, jaccard, langid, media, packing, quality, sharding, simhash, toxicity
+from lexispark.llm import bpe, chat, dedup, fim, jaccard, langid, media, packing, quality, sharding, simhash, toxicity, whitening
 from lexispark.llm.common import prepare, remainder, saved, table
 
 
@@ -81,9 +81,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fitted(docs, table(spark, sf_dir, "labels"), held_out=(4, 2)), held_out=(4, 2))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, sharding_small, packing_instructions)}
+    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, op11_fim, op12_whitening, op13_dedup, sharding_small, packing_instructions)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_LIMIT)}
+    return {"op2_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_LIMIT), "op11_fim": fim.ORACLE, "op13_dedup": dedup.ORACLE}
