@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from lexispark.config import Embedding
 from lexispark.functions.vectors import held, l2_normalize, pool, similarity
+from lexispark.operators.grid import dense_join
 from lexispark.operators.ranking import best_rows, top_k
 from lexispark.package import ship
 
-#: Bytes of query vectors that one pass over the points carries along; more queries take further passes.
+#: Bytes of query vectors that a pass over the points carries along; more queries meet the points on a grid.
 PASS_BYTES = 64 << 20
 #: Queries whose scores of one Arrow batch are held at a time.
 QUERY_BLOCK = 256
@@ -45,11 +46,25 @@ def encode(df: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]]
     return df.withColumn(out, run(F.col(text_col)))
 
 
-def model_encoder(load: Callable[[], Callable[[list[str], int], list[tuple[Sequence[Sequence[float]], Sequence[int]]]]], e: Embedding = Embedding()) -> Callable[[Column], Column]:
+def slices(lengths: Sequence[int], batch: int, longest: int) -> list[list[int]]:
+    """Places in batches for a model that pads each to its longest text: by length, and at most batch * longest padded tokens each."""
+    order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
+    out: list[list[int]] = []
+    for i in order:
+        n = max(1, min(lengths[i], longest))
+        if out and (len(out[-1]) + 1) * n <= batch * longest:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    return out
+
+
+def model_encoder(load: Callable[[], Callable[[list[str], int], list[tuple[Sequence[Sequence[float]], Sequence[int]]]]], e: Embedding = Embedding(), length: Callable[[str], int] = lambda t: len(t.split())) -> Callable[[Column], Column]:
     """An encoder for Engine from a model of token vectors.
 
     load() returns a function of (texts, max_length) that gives each text's token vectors and mask; every worker loads
-    it once. Texts reach it in slices of e.batch_size; pooling and normalising follow e, in the JVM. Null is "".
+    it once. The texts of an Arrow batch reach it by length (a guess of a text's tokens is enough), so that little is padding, in slices of
+    as many padded tokens as e.batch_size texts of e.max_length have; results go back to their rows. Pooling and normalising follow e, in the JVM. Null is "".
     """
 
     @F.pandas_udf("vectors array<array<double>>, mask array<int>")
@@ -57,7 +72,10 @@ def model_encoder(load: Callable[[], Callable[[list[str], int], list[tuple[Seque
         model = load()
         for s in parts:
             texts = s.fillna("").tolist()
-            made = [x for i in range(0, len(texts), e.batch_size) for x in model(texts[i : i + e.batch_size], e.max_length)]
+            made: list = [None] * len(texts)
+            for some in slices([length(t) for t in texts], e.batch_size, e.max_length):
+                for i, x in zip(some, model([texts[i] for i in some], e.max_length), strict=True):
+                    made[i] = x
             yield pd.DataFrame({"vectors": [[list(map(float, t)) for t in v] for v, _ in made], "mask": [list(map(int, m)) for _, m in made]})
 
     def column(text: Column) -> Column:
@@ -72,7 +90,7 @@ def check_dimension(df: DataFrame, col: str, size: int) -> DataFrame:
     return df.where(F.coalesce(F.assert_true(F.col(col).isNull() | (F.size(col) == size), F.lit(f"{col} must have {size} numbers")).isNull(), F.lit(True)))
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Lists of equal length as rows."""
     flat = column.flatten()
     lengths = pc.list_value_length(column)
@@ -81,39 +99,48 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
+def unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
+def similarities(q: np.ndarray, p: np.ndarray, distance: str, least: float | None) -> np.ndarray:
+    """Scores of queries x points, minus infinity below least (not for Euclid). Cosine, and any unknown name, takes unit vectors."""
+    s = q @ p.T
+    if distance == "Euclid":
+        return -np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * s, 0))
+    if least is not None:
+        s[s < least] = -np.inf
+    return s
+
+
 def dense_leg(queries: DataFrame, points: DataFrame, k: int, distance: str = "Cosine", least: float | None = 0.0, query_col: str = "query_id", point_col: str = "point_id", vector_col: str = "embedding", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(query, point, score, rank): the closest k points of every query, exactly.
 
-    least: the smallest score (not for Euclid, whose similarity is a negative distance). The stated queries are
-    gathered by the driver and go along with a pass over the points, pass_bytes of vectors at a time; vectors are
-    scaled once, a batch of points meets the queries in one matrix product, and only the batch's best k of each query
-    leave it, so nothing of the points is shuffled but candidates. Rows without a vector are left out; vectors of
-    another length than the queries' end the job.
+    least: the smallest score (not for Euclid, whose similarity is a negative distance). Queries of at most pass_bytes
+    are gathered by the driver and go along with one pass over the points: vectors are scaled once, a batch of points meets the queries in one
+    matrix product, and only the batch's best k of each query leave it, so nothing of the points is shuffled but
+    candidates. More queries meet the points on a grid (grid.dense_join()). Rows without a vector are left out; vectors of another length
+    than the queries' end the job.
     """
     asked = queries.select(F.col(query_col).alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     q_kind, p_kind = asked.schema["q"].dataType.simpleString(), points.schema[point_col].dataType.simpleString()
     rows = points.select(F.col(point_col).alias("p"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
     ddl = f"`{query_col}` {q_kind}, `{point_col}` {p_kind}, score double"
     ship(points.sparkSession)
-    got = asked.toArrow().combine_chunks()
-    if not got.num_rows:
+    first = asked.select(F.size("v").alias("d")).first()
+    if first is None:
         return top_k(points.sparkSession.createDataFrame([], ddl), k, query_col, point_col)
-    ids, dim = got.column(0).combine_chunks(), len(got.column(1)[0])
-    vectors = _matrix(got.column(1).combine_chunks(), dim)
+    dim = first["d"]
+    most = max(1, pass_bytes // (8 * max(dim, 1)))
+    got = asked.limit(most + 1).toArrow().combine_chunks()
+    if got.num_rows > most:
+        return dense_join(queries, points, k, distance, least, query_col, point_col, vector_col)
+    vectors = matrix(got.column(1).combine_chunks(), dim)
     # plain inner products serve Dot and Euclid, those of unit vectors Cosine (and any unknown name)
     if distance not in ("Dot", "Euclid"):
-        vectors = _unit(vectors)
-    each = max(1, pass_bytes // (8 * max(dim, 1)))
-    scored = None
-    for at in range(0, len(vectors), each):
-        shared = points.sparkSession.sparkContext.broadcast((ids.slice(at, each), vectors[at : at + each]))
-        part = rows.mapInArrow(_nearest(shared, dim, k, distance, least, query_col, point_col), ddl)
-        scored = part if scored is None else scored.unionByName(part)
-    return top_k(scored, k, query_col, point_col)
+        vectors = unit(vectors)
+    shared = points.sparkSession.sparkContext.broadcast((got.column(0).combine_chunks(), vectors))
+    return top_k(rows.mapInArrow(_nearest(shared, dim, k, distance, least, query_col, point_col), ddl), k, query_col, point_col)
 
 
 def _nearest(shared, dim: int, k: int, distance: str, least: float | None, query_col: str, point_col: str):
@@ -122,16 +149,10 @@ def _nearest(shared, dim: int, k: int, distance: str, least: float | None, query
         for b in batches:
             if not b.num_rows:
                 continue
-            p = _matrix(b.column(1), dim)
-            p = p if distance in ("Dot", "Euclid") else _unit(p)
+            p = matrix(b.column(1), dim)
+            p = p if distance in ("Dot", "Euclid") else unit(p)
             for at in range(0, len(q), QUERY_BLOCK):
-                some = q[at : at + QUERY_BLOCK]
-                s = some @ p.T
-                if distance == "Euclid":
-                    s = -np.sqrt(np.maximum((some**2).sum(axis=1)[:, None] + (p**2).sum(axis=1) - 2 * s, 0))
-                elif least is not None:
-                    s[s < least] = -np.inf
-                yield from best_rows(s, b.column(0), asked.slice(at, QUERY_BLOCK), k, [query_col, point_col, "score"])
+                yield from best_rows(similarities(q[at : at + QUERY_BLOCK], p, distance, least), b.column(0), asked.slice(at, QUERY_BLOCK), k, [query_col, point_col, "score"])
 
     return run
 

@@ -1,15 +1,25 @@
-"""A collection: tables of points and their terms below one folder, in numbered versions that share unchanged parts."""
+"""A collection: tables of points and their terms below one folder, in numbered versions that share what they do not change.
+
+A version names its base, a folder for each of its parts by a hash of article_id, and its deltas. An update writes a
+delta: its own points and their terms, the lists of articles and points that it takes away, and by how much it changes each
+token's document frequency. Readers merge: a row lives unless a later delta takes its article or its point away. Compaction
+folds the deltas into new folders of the parts that they touch and takes the other parts over. The number of points and the document frequencies
+are kept with the versions, so a search counts nothing.
+"""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from lexispark.operators.sparse import terms
+from lexispark.operators.filters import compiled, named
+from lexispark.operators.sparse import terms, vocabulary
+from lexispark.storage import forget, saved
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
@@ -23,18 +33,34 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     return both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "batch")
 
 
+#: Rows of a version's list that are no parts: its schemas, its deltas, and the versions whose changes of frequencies add up to its own.
+_SCHEMAS, _DELTA, _CHANGES = -1, -2, -3
+_LIST = "part int, version int, schema string, n bigint"
+_FREQUENCIES = StructType([StructField("token", StringType()), StructField("df", LongType())])
+_TERMS = ArrayType(StructType([StructField("token", StringType()), StructField("tf", DoubleType())]))
+#: The lists of a delta: key -> table.
+_GONE = {"article_id": "gone_articles", "point_id": "gone_points"}
+_TABLES = ("delta_points", "delta_terms", "changes", *_GONE.values())
+
+
+def _of_terms(points: StructType) -> StructType:
+    """The terms' columns for such points."""
+    return StructType([*(points[c] for c in ("point_id", "article_id") if c in points.names), StructField("terms", _TERMS)])
+
+
 @dataclass
 class Collection:
-    """Points and terms in `parts` parts by a hash of article_id; a version lists the folder of each of its parts.
-
-    An update writes the parts it touches into a new version and takes the others over. A version is current once its
-    list is written, so a failed write leaves the one before it in place. One writer at a time.
+    """Points and terms in `parts` parts; a version is current once its list is written, so a failed write leaves the one before it
+    in place. One writer at a time. An update compacts when there are more than max_deltas deltas, or when their points are more than max_share
+    of all.
     """
 
     spark: SparkSession
     base: str
     name: str
     parts: int = 64
+    max_deltas: int = 16
+    max_share: float = 0.25
     _kept: list[DataFrame] = field(default_factory=list, repr=False)
 
     @property
@@ -46,12 +72,12 @@ class Collection:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _folders(self) -> list[int]:
+    def _folders(self, below: str = "") -> list[int]:
         fs, path = self._fs()
-        if not fs.exists(path(self.root)):
+        at = path(f"{self.root}{below}")
+        if not fs.exists(at):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.root))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+        return sorted(int(n[2:]) for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("v="))
 
     def versions(self) -> list[int]:
         """The complete versions."""
@@ -61,26 +87,89 @@ class Collection:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def _listed(self) -> dict[int, int]:
-        """part -> the version whose folder holds it; `parts` entries at most."""
-        rows = self.spark.read.schema("part int, version int").json(f"{self.root}/v={self.versions()[-1]}/parts").collect()
-        return {r["part"]: r["version"] for r in rows if r["part"] >= 0}
+    def _list(self) -> list:
+        """The current version's list: at most `parts` parts, max_deltas + 1 deltas and as many changes."""
+        return self.spark.read.schema(_LIST).json(f"{self.root}/v={self.versions()[-1]}/parts").collect()
 
-    def _schema(self, table: str) -> StructType:
-        got = self.spark.read.schema("part int, points string, terms string").json(f"{self.root}/v={self.versions()[-1]}/parts")
-        return StructType.fromJson(json.loads(got.where("part = -1").first()[table]))
+    @staticmethod
+    def _of(listed: list, part: int) -> list[int]:
+        return sorted(r["version"] for r in listed if r["part"] == part)
 
-    def _read(self, table: str, only: set[int] | None = None) -> DataFrame:
-        schema = self._schema(table)
-        paths = [f"{self.root}/v={v}/{table}/part={p}" for p, v in sorted(self._listed().items()) if only is None or p in only]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def deltas(self) -> list[int]:
+        """The versions whose deltas the current version has, in order."""
+        return self._of(self._list(), _DELTA)
+
+    def count(self) -> int:
+        """How many points there are, as kept with the version."""
+        return next(r["n"] for r in self._list() if r["part"] == _SCHEMAS)
 
-    def points(self) -> DataFrame:
-        return self._read("points")
+    def frequencies(self) -> DataFrame:
+        """(token, df) over all points, as kept with the versions."""
+        changes = self._tagged("changes", self._of(self._list(), _CHANGES), _FREQUENCIES)
+        return changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
-    def terms(self) -> DataFrame:
-        """(point_id, terms array<struct<token, tf>>)."""
-        return self._read("terms")
+    def _listed(self) -> dict[int, int]:
+        """part of the base -> the version whose folder holds it."""
+        return {r["part"]: r["version"] for r in self._list() if r["part"] >= 0}
+
+    @staticmethod
+    def _schema(listed: list, table: str = "points") -> StructType:
+        points = StructType.fromJson(json.loads(next(r for r in listed if r["part"] == _SCHEMAS)["schema"]))
+        return points if table == "points" else _of_terms(points)
+
+    def _tagged(self, table: str, versions: list[int], schema: StructType) -> DataFrame:
+        """What some versions have of one of _TABLES, with v, the version."""
+        whole = StructType([*schema.fields, StructField("v", IntegerType())])
+        if not versions:
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{table}/v={v}" for v in versions])
+
+    def _base(self, listed: list, table: str, only: set[int] | None = None) -> DataFrame:
+        schema = self._schema(listed, table)
+        paths = [f"{self.root}/v={r['version']}/{table}/part={r['part']}" for r in sorted(listed) if r["part"] >= 0 and (only is None or r["part"] in only)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _gone(self, listed: list, deltas: list[int]) -> dict[str, DataFrame]:
+        """For each key, (key, __key): the last of some deltas that takes it away."""
+        schema = self._schema(listed)
+        tables = {key: table for key, table in _GONE.items() if key in schema.names}
+        return {key: self._tagged(table, deltas, StructType([schema[key]])).groupBy(key).agg(F.max("v").alias(f"__{key}")) for key, table in tables.items()}
+
+    @staticmethod
+    def _taken(gone: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+        """rows with __taken: the last delta that takes their article or point away, -1 without one."""
+        for key, last in gone.items():
+            rows = rows.join(last, key, "left")
+        last = F.greatest(F.lit(-1), *(F.coalesce(f"__{key}", F.lit(-1)) for key in gone))
+        return rows.withColumn("__taken", last).drop(*(f"__{key}" for key in gone))
+
+    def _read(self, table: str, only: set[int] | None = None, listed: list | None = None) -> DataFrame:
+        """The living rows of the base (of some parts only) and of the deltas."""
+        listed = listed or self._list()
+        base, deltas, schema = self._base(listed, table, only), self._of(listed, _DELTA), self._schema(listed, table)
+        if not deltas:
+            return base
+        both = base.withColumn("v", F.lit(0)).unionByName(self._tagged(f"delta_{table}", deltas, schema))
+        return self._taken(self._gone(listed, deltas), both).where("__taken <= v").select(*schema.names)
+
+    def _parts_of(self, listed: list, filter_: Mapping | None) -> set[int] | None:
+        """The parts that have what a filter may keep: fewer than all where it names articles."""
+        articles = None if filter_ is None or "article_id" not in self._schema(listed).names else named(filter_)
+        if articles is None:
+            return None
+        key = self.spark.createDataFrame([(a,) for a in articles], StructType([self._schema(listed)["article_id"]]))
+        return set(self._written(self._part(key)))
+
+    def points(self, where: Mapping | None = None) -> DataFrame:
+        """All points, or those that a filter keeps (operators.filters); one that names articles reads their parts only."""
+        listed = self._list()
+        rows = self._read("points", self._parts_of(listed, where), listed)
+        return rows if where is None else rows.where(compiled(where, rows))
+
+    def terms(self, where: Mapping | None = None) -> DataFrame:
+        """(point_id, terms array<struct<token, tf>>); where: of the parts at least that have what the filter keeps."""
+        listed = self._list()
+        return self._read("terms", self._parts_of(listed, where), listed).select("point_id", "terms")
 
     def postings(self) -> DataFrame:
         """(point_id, token, tf)."""
@@ -90,55 +179,120 @@ class Collection:
         """Write the first version; an existing collection stays unless recreate, and then until the new one is complete."""
         if self.exists() and not recreate:
             return
-        self._write(points, {}, text_col, stops, min_length)
+        n = self._next()
+        rows = self._write_parts(points, points.schema, "points", n)
+        found = self._write_parts(self._terms(rows, text_col, stops, min_length), _of_terms(points.schema), "terms", n)
+        self._write(vocabulary(found.select("point_id", F.inline("terms"))), "changes", n)
+        self._finish(n, {p: n for p in self._written(rows)}, [], [n], points.schema, rows.count())
         self.vacuum()
 
+    def _next(self) -> int:
+        return max([0, *self._folders(), *(v for t in _TABLES for v in self._folders(f"/{t}"))]) + 1
+
     def _part(self, df: DataFrame) -> DataFrame:
         key = "article_id" if "article_id" in df.columns else "point_id"
         return df.withColumn("part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.parts)).cast("int"))
 
-    def _write(self, points: DataFrame, others: dict[int, int], text_col: str, stops: tuple[str, ...], min_length: int) -> None:
-        """A new version of these points and, unchanged, the other parts."""
-        n = (self._folders() or [0])[-1] + 1
-        at = f"{self.root}/v={n}"
-        # rebalancing splits a large part among tasks and joins small ones
-        self._part(points).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{at}/points")
-        written = self.spark.read.schema(StructType([*points.schema.fields, StructField("part", IntegerType())])).parquet(f"{at}/points")
-        found = terms(written, "point_id", text_col, stops, min_length, ("part",))
-        found.write.mode("overwrite").partitionBy("part").parquet(f"{at}/terms")
-        here = {r["part"]: n for r in written.select("part").distinct().collect()}
-        rows = [(p, v, None, None) for p, v in sorted({**others, **here}.items())]
-        rows.append((-1, n, points.schema.json(), found.drop("part").schema.json()))
-        self.spark.createDataFrame(rows, "part int, version int, points string, terms string").coalesce(1).write.mode("overwrite").json(f"{at}/parts")
+    def _write(self, df: DataFrame, table: str, n: int) -> None:
+        # rebalancing joins small tasks, so a small update writes few files
+        df.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/{table}/v={n}")
+
+    @staticmethod
+    def _terms(rows: DataFrame, text_col: str, stops: tuple[str, ...], min_length: int) -> DataFrame:
+        return terms(rows, "point_id", text_col, stops, min_length, [c for c in ("article_id",) if c in rows.columns])
+
+    def _write_parts(self, df: DataFrame, schema: StructType, table: str, n: int) -> DataFrame:
+        """df as parts of version n, read again with its part; rebalancing splits a large part among tasks and joins small ones."""
+        at = f"{self.root}/v={n}/{table}"
+        self._part(df).hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(at)
+        return self.spark.read.schema(StructType([*schema.fields, StructField("part", IntegerType())])).parquet(at)
+
+    @staticmethod
+    def _written(rows: DataFrame) -> list[int]:
+        return sorted(r["part"] for r in rows.select("part").distinct().collect())  # self.parts rows at most
+
+    def _finish(self, n: int, parts: dict[int, int], deltas: list[int], changes: list[int], schema: StructType, count: int) -> None:
+        """The list of version n, which makes it the current one."""
+        rows = [(p, v, None, None) for p, v in sorted(parts.items())] + [(_DELTA, v, None, None) for v in deltas] + [(_CHANGES, v, None, None) for v in changes]
+        rows.append((_SCHEMAS, n, schema.json(), count))
+        self.spark.createDataFrame(rows, _LIST).coalesce(1).write.mode("overwrite").json(f"{self.root}/v={n}/parts")
 
     def upsert(self, new: DataFrame, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2, whole_articles: bool = True) -> None:
         """A new version with the rows of new in place of equal point ids; nothing happens for an empty table.
 
         whole_articles: the points of an article in new that new does not have go, so no chunk of an old text stays.
-        Only the parts that new touches are read and written.
+        What is written follows new; a compaction, when one is due, rewrites the parts that the deltas touch.
         """
         if new.isEmpty():
             return
+        latest = upsert(new.drop("batch").limit(0), new)
         if not self.exists():
-            empty = new.drop("batch").limit(0)
-            self.create(upsert(empty, new), False, text_col, stops, min_length)
+            self.create(latest, False, text_col, stops, min_length)
+            return
+        listed, n = self._list(), self._next()
+        old = self._schema(listed)
+        schema = StructType([*old.fields, *(f for f in latest.schema.fields if f.name not in old.names)])
+        self._write(self.spark.createDataFrame([], schema).unionByName(latest, allowMissingColumns=True), "delta_points", n)
+        added = self._tagged("delta_points", [n], schema).drop("v")
+        self._write(self._terms(added, text_col, stops, min_length), "delta_terms", n)
+        both = whole_articles and "article_id" in old.names and "article_id" in latest.columns
+        self._take(listed, n, added.select("article_id").distinct() if both else None, added.select("point_id"), schema, [n])
+
+    def delete(self, articles: DataFrame) -> None:
+        """A new version without the points of these articles (article_id)."""
+        listed, n = self._list(), self._next()
+        self._take(listed, n, articles.select("article_id").distinct(), None, self._schema(listed), [])
+
+    def _take(self, listed: list, n: int, articles: DataFrame | None, ids: DataFrame | None, schema: StructType, added: list[int]) -> None:
+        """Finish version n, a delta that takes articles and points away and adds its own points."""
+        kinds = {"article_id": articles, "point_id": ids}
+        for key, table in _GONE.items():
+            if key in schema.names:
+                none = self.spark.createDataFrame([], StructType([schema[key]]))
+                self._write((none if kinds[key] is None else none.unionByName(kinds[key])).where(F.col(key).isNotNull()), table, n)
+        for table in () if added else ("points", "terms"):
+            self._write(self.spark.createDataFrame([], self._schema(listed, table)), f"delta_{table}", n)
+        mine = self._gone(listed, [n])
+        gone = saved(self._taken(mine, self._read("terms", listed=listed)).where("__taken >= 0").select("point_id", "terms"), "gone")
+        plus = self._tagged("delta_terms", added, _of_terms(schema)).select("point_id", F.inline("terms"))
+        minus = gone.select("point_id", F.inline("terms"))
+        changes = vocabulary(plus).unionByName(vocabulary(minus).withColumn("df", -F.col("df"))).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
+        self._write(changes, "changes", n)
+        more = self._tagged("delta_points", added, schema).count()
+        count = next(r["n"] for r in listed if r["part"] == _SCHEMAS) + more - gone.count()
+        forget(gone)
+        deltas = [*self._of(listed, _DELTA), n]
+        self._finish(n, {r["part"]: r["version"] for r in listed if r["part"] >= 0}, deltas, [*self._of(listed, _CHANGES), n], schema, count)
+        if len(deltas) > self.max_deltas or self._tagged("delta_points", deltas, schema).count() > self.max_share * max(count, 1):
+            self.compact()
+
+
+    def compact(self) -> None:
+        """Fold the deltas into new folders of the parts that they touch, and the changes of frequencies into one."""
+        listed = self._list()
+        deltas = self._of(listed, _DELTA)
+        if not deltas:
             return
-        new = self._part(new)
-        touched = {r["part"] for r in new.select("part").distinct().collect()}  # self.parts rows at most
-        listed, old = self._listed(), self._read("points", touched)
-        if whole_articles and "article_id" in old.columns and "article_id" in new.columns:
-            old = old.join(new.select("article_id").distinct(), "article_id", "left_anti").select(*old.columns)
-        merged = upsert(old, new.drop("part"))
-        self._write(merged, {p: v for p, v in listed.items() if p not in touched}, text_col, stops, min_length)
+        n, schema = self._next(), self._schema(listed)
+        keys = [c for c in _GONE if c in schema.names]
+        taken = self._taken(self._gone(listed, deltas), self._part(self._base(listed, "points").select(*keys))).where("__taken >= 0").select("part")
+        new = self._part(self._tagged("delta_points", deltas, schema).select(*keys)).select("part")
+        touched = set(self._written(taken.unionByName(new)))
+        rows = self._write_parts(self._read("points", touched, listed), schema, "points", n)
+        self._write_parts(self._read("terms", touched, listed), _of_terms(schema), "terms", n)
+        self._write(self.frequencies(), "changes", n)
+        others = {r["part"]: r["version"] for r in listed if r["part"] >= 0 and r["part"] not in touched}
+        self._finish(n, others | {p: n for p in self._written(rows)}, [], [n], schema, self.count())
 
     def vacuum(self) -> None:
         """Delete what the current version does not list."""
         if not self.exists():
             return
         fs, path = self._fs()
-        current, used = self.versions()[-1], {(v, p) for p, v in self._listed().items()}
+        listed = self._list()
+        current, parts = self.versions()[-1], self._listed()
         for v in self._folders():
-            mine = {p for w, p in used if w == v}
+            mine = {p for p, w in parts.items() if w == v}
             if v != current and not mine:
                 fs.delete(path(f"{self.root}/v={v}"), True)
             elif v != current:
@@ -147,15 +301,20 @@ class Collection:
                         name = s.getPath().getName()
                         if name.startswith("part=") and int(name[5:]) not in mine:
                             fs.delete(s.getPath(), True)
+        for table in _TABLES:
+            used = self._of(listed, _CHANGES if table == "changes" else _DELTA)
+            for v in self._folders(f"/{table}"):
+                if v not in used:
+                    fs.delete(path(f"{self.root}/{table}/v={v}"), True)
 
     def info(self, vector_col: str = "embedding") -> DataFrame:
-        """One row: name, vector_size, points_count, status."""
+        """One row: name, vector_size (of some point's vector), points_count, status; no scan."""
         kind = "name string, vector_size int, points_count bigint, status string"
         if not self.exists():
             return self.spark.createDataFrame([(self.name, None, 0, "missing")], kind)
         p = self.points()
-        size = F.max(F.size(vector_col)) if vector_col in p.columns else F.lit(None).cast("int")
-        return p.agg(size.alias("vector_size"), F.count("*").alias("points_count")).select(F.lit(self.name).alias("name"), "vector_size", "points_count", F.lit("green").alias("status"))
+        some = p.where(F.col(vector_col).isNotNull()).select(F.size(vector_col)).first() if vector_col in p.columns else None
+        return self.spark.createDataFrame([(self.name, some and some[0], self.count(), "green")], kind)
 
     def cache(self) -> tuple[DataFrame, DataFrame]:
         """Points and terms, kept in memory until close()."""

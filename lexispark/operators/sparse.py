@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import tokens
+from lexispark.operators.grid import sparse_join
 from lexispark.operators.ranking import best_rows, top_k
 from lexispark.package import ship
 from lexispark.storage import saved
@@ -21,25 +22,28 @@ def stop_words(language: str = "russian") -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(language)
 
 
-def token_counts(tokens_: Column) -> Column:
-    """array<struct<token, tf>> of an array of tokens, by sorting it: all tokens of a text are in one row already."""
+def counted(df: DataFrame, tokens_col: str = "ts", out: str = "terms") -> DataFrame:
+    """df with (out array<struct<token, tf>>) in place of its arrays of tokens: a batch's tokens are numbered and counted at once, and nothing is shuffled."""
+    ship(df.sparkSession)
+    keep = [c for c in df.columns if c != tokens_col]
 
-    def runs(s: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-
-    def counted(s: Column, at: Column) -> Column:
-        return F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("double").alias("tf")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(len(keep))
+            flat = lists.flatten().dictionary_encode()
+            words = max(1, len(flat.dictionary))
+            code, tf = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * words + flat.indices.to_numpy(), return_counts=True)
+            ends = np.cumsum(np.bincount(code // words, minlength=b.num_rows))
+            pairs = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(code % words)), pa.array(tf.astype(np.float64))], names=["token", "tf"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pairs)], names=[*keep, out])
 
-    # one-element arrays hand a value to a lambda, so that it is computed once
-    held = F.transform(F.array(F.array_sort(tokens_)), lambda s: F.struct(s.alias("s"), runs(s).alias("at")))
-    none = F.array().cast("array<struct<token:string,tf:double>>")
-    return F.when(F.size(tokens_) > 0, F.get(F.transform(held, lambda x: counted(x["s"], x["at"])), F.lit(0))).otherwise(none)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(*keep, F.coalesce(tokens_col, F.array().cast("array<string>")).alias(tokens_col)).mapInArrow(run, f"{kinds}, `{out}` array<struct<token:string,tf:double>>")
 
 
 def terms(df: DataFrame, id_col: str, text_col: str, stops: Sequence[str] = (), min_length: int = 2, keep: Sequence[str] = ()) -> DataFrame:
     """(id, *keep, terms array<struct<token, tf>>) of every row, row by row: nothing is shuffled."""
-    held = df.select(id_col, *keep, tokens(F.col(text_col), stops, min_length).alias("ts"))
-    return held.select(id_col, *keep, token_counts(F.col("ts")).alias("terms"))
+    return counted(df.select(id_col, *keep, tokens(F.col(text_col), stops, min_length).alias("ts")))
 
 
 def postings(df: DataFrame, id_col: str, text_col: str, stops: Sequence[str] = (), min_length: int = 2, unique: bool = False) -> DataFrame:
@@ -81,57 +85,94 @@ def token_ids(post: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out if known is None else known.select("token", "token_id").unionByName(out)
 
 
+def first_seen_ids(df: DataFrame, order_col: str, tokens_col: str = "ts", known: DataFrame | None = None, rows: int = 1 << 20) -> DataFrame:
+    """(token, token_id): ids in the order in which tokens first occur, by order_col and then by place in the row's array.
+
+    Known ids stay, new tokens follow the largest. Each token's first place is a partial minimum; these are dealt into ranges of about `rows` of them,
+    numbered within their ranges, and moved on by the sizes of the ranges before, so that no task sees all tokens. Rows that share an order value count as
+    one row whose tokens stand side by side; ties between such rows go to the smaller token; null tokens have no id.
+    """
+    spark = df.sparkSession
+    each = df.select(F.col(order_col).alias("o"), F.posexplode(tokens_col).alias("at", "token")).where("token is not null")
+    first = each.groupBy("token").agg(F.min(F.struct("o", "at")).alias("m")).select("token", "m.*")
+    start = 0
+    if known is not None:
+        last = known.agg(F.max("token_id")).first()[0]
+        start = 0 if last is None else last + 1
+        first = first.join(known.select("token"), "token", "left_anti")
+    first = saved(first, "first-seen")
+    ranges = max(1, -(-first.count() // rows))
+    order = ("o", "at", "token")
+    # the number of a row within its task, and which task that is
+    place = F.monotonically_increasing_id()
+    placed = saved(first.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("token", F.shiftright(place, 33).alias("range"), place.bitwiseAND((1 << 33) - 1).alias("place")), "placed")
+    offsets, at = [], start
+    for r in placed.groupBy("range").count().orderBy("range").collect():  # a row for each range
+        offsets.append((r["range"], at))
+        at += r["count"]
+    base = spark.createDataFrame(offsets, "range bigint, base bigint")
+    out = placed.join(F.broadcast(base), "range").select("token", (F.col("base") + F.col("place")).alias("token_id"))
+    return out if known is None else known.select("token", "token_id").unionByName(out)
+
+
 def with_idf(freq: DataFrame, n: int) -> DataFrame:
     """(token, df, idf): ln((N - df + 0.5) / (df + 0.5) + 1), never negative."""
     return freq.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-#: Numbers of query weights (tokens x queries) that one pass over the points carries along.
+#: Numbers of query weights (tokens x queries) that a pass over the points carries along, and of query tokens that the driver gathers; more queries meet the points on a grid.
 PASS_WEIGHTS = 8 << 20
 #: Products (tokens of points x queries) that are held at a time.
 HELD = 4 << 20
 
 
-def sparse_leg(query_post: DataFrame, point_tokens: DataFrame, n: int, k: int, kept: DataFrame | None = None, query_col: str = "query_id", point_col: str = "point_id", pass_weights: int = PASS_WEIGHTS) -> DataFrame:
+def sparse_leg(query_post: DataFrame, point_tokens: DataFrame, n: int, k: int, kept: DataFrame | None = None, query_col: str = "query_id", point_col: str = "point_id", pass_weights: int = PASS_WEIGHTS, frequencies: DataFrame | None = None) -> DataFrame:
     """(query, point, score, rank): tf-idf products over shared tokens. Points that share none are no candidates.
 
     query_post: query, token, tf. point_tokens: point, ts (its tokens, with repeats), or point, terms. n: points in all.
-    kept: the points that may be found (all where None); frequencies are of all points.
+    kept: the points that may be found (all where None); frequencies are of all points: (token, df), counted where None.
 
-    The stated queries' tokens are gathered by the driver and go along with the points. One pass keeps what each point
-    has of these tokens, as numbers in a saved table; their frequencies come from that table, and a second pass over it
-    multiplies a batch's counts by the queries' weights and lets the batch's best k of each query leave it. A token
-    that every point has is a row of weights like any other: no key is shuffled, and no point meets a query twice.
+    The stated queries' tokens are gathered by the driver and go along with the points, within pass_weights; more queries meet
+    the points on a grid (grid.sparse_join()). One pass keeps what each point has of these tokens, as numbers in a saved table;
+    unless they are given their frequencies come from that table, and a second pass over it multiplies a batch's counts by the queries' weights and lets the
+    batch's best k of each query leave it. A token that every point has is a row of weights like any other: no key is
+    shuffled, and no point meets a query twice.
     """
     spark = point_tokens.sparkSession
     ship(spark)
     asked = query_post.select(F.col(query_col).alias("q"), "token", F.col("tf").cast("double").alias("tf")).where("tf > 0")
     q_kind, p_kind = asked.schema["q"].dataType.simpleString(), point_tokens.schema[point_col].dataType.simpleString()
     ddl = f"`{query_col}` {q_kind}, `{point_col}` {p_kind}, score double"
-    got = asked.toArrow().combine_chunks()
+    got = asked.limit(pass_weights + 1).toArrow().combine_chunks()
     if not got.num_rows:
         return top_k(spark.createDataFrame([], ddl), k, query_col, point_col)
     words, q_ids = pc.unique(got.column("token")), pc.unique(got.column("q"))
+    as_terms = "terms" in point_tokens.columns
+    if got.num_rows > pass_weights or len(words) * len(q_ids) > pass_weights:
+        whole = point_tokens if as_terms else counted(point_tokens.select(point_col, "ts"))
+        known = frequencies if frequencies is not None else vocabulary(whole.select(F.inline("terms")))
+        return sparse_join(query_post, whole, known, n, k, kept, query_col, point_col)
     row = pc.index_in(got.column("token"), value_set=words).to_numpy()
     of = pc.index_in(got.column("q"), value_set=q_ids).to_numpy()
-    counted = "terms" in point_tokens.columns
-    source = point_tokens.select(F.col(point_col).alias("p"), *((F.col("terms.token"), F.col("terms.tf")) if counted else ("ts",)))
-    found = saved(source.mapInArrow(_numbered(spark.sparkContext.broadcast(words), counted), f"p {p_kind}, at array<int>, tf array<double>"), "matching")
+    lists = (F.col("terms.token").alias("ts"), F.col("terms.tf").alias("tf")) if as_terms else ("ts",)
+    source = point_tokens if kept is None or frequencies is None else point_tokens.join(kept.select(point_col), point_col, "left_semi")
+    found = source.select(F.col(point_col).alias("p"), *lists).mapInArrow(_numbered(spark.sparkContext.broadcast(words), as_terms), f"p {p_kind}, at array<int>, tf array<double>")
     df = np.zeros(len(words))
-    for r in found.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # a row for each of the queries' tokens
-        df[r["at"]] = r["df"]
+    if frequencies is None:
+        found = saved(found, "matching")
+        for r in found.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("df")).collect():  # a row for each of the queries' tokens
+            df[r["at"]] = r["df"]
+        if kept is not None:
+            found = found.join(kept.select(F.col(point_col).alias("p")), "p", "left_semi")
+    else:
+        known = asked.select("token").distinct().join(frequencies.select("token", "df"), "token").toArrow()  # likewise
+        df[pc.index_in(known.column("token"), value_set=words).to_numpy()] = known.column("df").to_numpy()
     weight = got.column("tf").to_numpy() * np.log((n - df + 0.5) / (df + 0.5) + 1)[row]
-    mine = found if kept is None else found.join(kept.select(F.col(point_col).alias("p")), "p", "left_semi")
-    each, scored = max(1, pass_weights // len(words)), None
-    for begin in range(0, len(q_ids), each):
-        here = (of >= begin) & (of < begin + each)
-        shared = spark.sparkContext.broadcast((q_ids.slice(begin, each), row[here], of[here] - begin, weight[here], len(words)))
-        part = mine.mapInArrow(_scored(shared, k, query_col, point_col), ddl)
-        scored = part if scored is None else scored.unionByName(part)
-    return top_k(scored, k, query_col, point_col)
+    shared = spark.sparkContext.broadcast((q_ids, row, of, weight, len(words)))
+    return top_k(found.mapInArrow(_scored(shared, k, query_col, point_col), ddl), k, query_col, point_col)
 
 
-def _numbered(shared, counted: bool):
+def _numbered(shared, as_terms: bool):
     """Points with the numbers of their tokens among the queries', each once, and how often they have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +185,7 @@ def _numbered(shared, counted: bool):
             code = owner[known] * len(words) + at.drop_null().to_numpy()
             # a point's tokens, each once
             code, inverse = np.unique(code, return_inverse=True)
-            tf = np.bincount(inverse, b.column(2).flatten().to_numpy()[known] if counted else None, len(code)).astype(np.float64)
+            tf = np.bincount(inverse, b.column(2).flatten().to_numpy()[known] if as_terms else None, len(code)).astype(np.float64)
             ids, sizes = np.unique(code // len(words), return_counts=True)
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             numbers = pa.ListArray.from_arrays(offsets, pa.array(code % len(words), pa.int32()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,17 +70,20 @@ class Engine:
     def embed(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         return df.withColumn("embedding", self._vector(F.col(text_col))).withColumn("dimension", F.size("embedding"))
 
-    def _hits(self, queries: DataFrame, limit: int, threshold: float | None, where: Column | None = None) -> DataFrame:
+    def _hits(self, queries: DataFrame, limit: int, threshold: float | None, where: Column | Mapping | None = None) -> DataFrame:
         asked = queries.where(F.trim("query_text") != "").withColumn("embedding", self._vector(F.col("query_text")))
-        points, s = self.collection.points(), self.config.search
+        c, s, kept = self.collection, self.config.search, None
+        points = c.points()
+        if where is not None:
+            kept = points.where(where) if isinstance(where, Column) else c.points(where)
         if s.hybrid:
-            hits = hybrid_search(asked, points, s, limit, threshold, where, self.collection.terms(), self._stops, self.config.sparse.min_token_length)
+            hits = hybrid_search(asked, points, s, limit, threshold, None, c.terms(None if isinstance(where, Column) else where), self._stops, self.config.sparse.min_token_length, c.count(), c.frequencies(), kept)
         else:
-            hits = dense_search(asked, points, s, limit, threshold, where)
-        return with_payload(hits, points)
+            hits = dense_search(asked, points if kept is None else kept, s, limit, threshold)
+        return with_payload(hits, points if kept is None else kept)
 
-    def search(self, queries: DataFrame, limit: int | None = None, threshold: float | None = None, where: Column | None = None) -> DataFrame:
-        """(query_id, rank, article_id, article_title, article_text, codex, score), each article once. queries: query_id, query_text."""
+    def search(self, queries: DataFrame, limit: int | None = None, threshold: float | None = None, where: Column | Mapping | None = None) -> DataFrame:
+        """(query_id, rank, article_id, article_title, article_text, codex, score), each article once. queries: query_id, query_text; where: a column, or a filter as operators.filters reads it."""
         n = int(self.config.search.given(limit, self.config.search.limit))
         hits = dedup_by_article(self._hits(queries, 3 * n, threshold, where), n)
         return hits.select("query_id", "rank", F.col("article_id").cast("bigint"), "article_title", "article_text", "codex", "score")

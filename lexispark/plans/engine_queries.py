@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 from lexispark.config import Chunking, Config, Search
 from lexispark.functions import text as T
 from lexispark.functions.vectors import held, l2_normalize, pool
-from lexispark.operators import context, evaluate, prepare
+from lexispark.operators import context, evaluate, prepare, questions
+from lexispark.operators.blockmax import BlockIndex
 from lexispark.operators.chunking import parents
 from lexispark.operators.dense import check_dimension, dense_leg, model_encoder
+from lexispark.operators.filters import compiled
 from lexispark.operators.index import Collection
+from lexispark.operators.ivf import InvertedFile, recall
 from lexispark.operators.ranking import dedup_by_article
 from lexispark.operators.search import dense_search
-from lexispark.operators.sparse import token_ids
+from lexispark.operators.sparse import first_seen_ids, postings, terms, token_ids
 from lexispark.package import ship
 from lexispark.plans import Engine
 from lexispark.sources import files
@@ -124,6 +128,29 @@ def collection_states(spark: SparkSession, sf: str) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
+def collection_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection's points, tokens and deltas: made, after French and German articles got their titles as texts, without the Spanish ones, and compacted."""
+    e, a = _engine(spark, NONE, "deltas"), _articles(spark, sf)
+    e.collection.max_share, e.collection.parts = 1.0, 8
+    of = lambda lang: a.join(_table(spark, sf, "documents").where(F.col("lang") == lang).select(F.col("doc_id").alias("article_id")), "article_id", "left_semi")
+
+    def state(step: str) -> DataFrame:
+        rows = e.collection.points().agg(F.count("*").alias("n_points"), F.sum(F.length("chunk_text")).alias("n_chars"))
+        tokens = e.collection.frequencies().agg(F.count("*").alias("n_tokens"), F.sum("df").alias("sum_df"))
+        return saved(rows.crossJoin(tokens).select(F.lit(step).alias("step"), "*", F.lit(e.collection.count()).cast("bigint").alias("n_kept"), F.lit(len(e.collection.deltas())).alias("n_deltas")), "state")
+
+    e.build(a)
+    out = [state("made")]
+    for lang in ("fr", "de"):
+        e.update(of(lang).withColumn("article_text", F.col("article_title")))
+        out.append(state(lang))
+    e.collection.delete(of("es"))
+    out.append(state("without es"))
+    e.collection.compact()
+    out.append(state("compacted"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Articles written with the raw table's column names and read again."""
     path = shared_folder(spark, "csv")
@@ -236,6 +263,79 @@ def query_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return context.query_generation_prompts(a, "Text:\n{text}\n---")
 
 
+#: A nested filter, as a client would send it.
+FILTER = {
+    "must": [{"should": [{"key": "lang", "match": {"value": "en"}}, {"key": "source", "match": {"any": ["src1", "src2", "src3"]}}]}, {"key": "n_chars", "range": {"gte": 200, "lt": 20000}}],
+    "must_not": [{"key": "source", "match": {"value": DAMAGED}}, {"must": [{"key": "lang", "match": {"except": ["de", "en"]}}, {"key": "n_chars", "range": {"gt": 3000}}]}],
+}
+
+
+def filter_nested(spark: SparkSession, sf: str) -> DataFrame:
+    d = _table(spark, sf, "documents")
+    return d.where(compiled(FILTER, d, "doc_id")).select("doc_id", "lang", "source", "n_chars")
+
+
+def engine_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """engine_search among the articles that a filter keeps; frequencies are of all."""
+    keep = {"must": [{"key": "codex", "match": {"except": [DAMAGED]}}], "must_not": [{"key": "article_id", "range": {"lt": 100}}]}
+    return _built(spark, sf).search(_questions(spark, sf), 5, where=keep).select("query_id", "rank", "article_id", "score")
+
+
+def sparse_topk_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """sparse_topk by postings in blocks, of which only those are scored whose bounds reach the kth score."""
+    return _blocks(spark, sf)[0]
+
+
+def sparse_blocks_read(spark: SparkSession, sf: str) -> DataFrame:
+    """For each question, how many blocks have one of its tokens and how many were scored."""
+    return _blocks(spark, sf)[1]
+
+
+def _blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    d = _table(spark, sf, "documents").withColumnRenamed("doc_id", "point_id")
+    index = BlockIndex(spark, shared_folder(spark, "blocks"))
+    index.build(terms(d, "point_id", "text"))
+    asked = postings(_table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text", unique=True)
+    return index.leg(asked, d.count(), 30)
+
+
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The recall of each query's ten closest vectors by the inverted file."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
+    asked = e.where("point_id % 100 = 0").withColumnRenamed("point_id", "query_id")
+    index = InvertedFile(spark, shared_folder(spark, "ivf"))
+    index.build(e)
+    return recall(index.leg(asked, 10, PROBES), dense_leg(asked, e, 10))
+
+
+#: Cells of an inverted file's 128 that a search of vectors without clusters probes.
+PROBES = 64
+
+
+def vocabulary_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids by first occurrence over documents in the order of their ids."""
+    d = _table(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("ts"))
+    return first_seen_ids(d, "doc_id")
+
+
+TEMPLATE = "Text:\n{text}\n---"
+
+
+def queries_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions for all documents: the first run's model fails at every third length, the second run asks for those alone."""
+    a = _articles(spark, sf).withColumn("query_text", F.lit(None).cast("string"))
+    folder = shared_folder(spark, "questions")
+
+    def first(prompt: str) -> str:
+        if len(prompt) % 3 == 0:
+            raise LookupError("busy")
+        return f"1: {prompt[6:26]}"
+
+    questions.ask(a, folder, first, TEMPLATE)
+    questions.ask(a, folder, lambda prompt: f"2: {prompt[6:26]}", TEMPLATE)
+    return questions.filled(a, folder, TEMPLATE).select("article_id", "query_text")
+
+
 def rows_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
     d = _table(spark, sf, "documents").select("doc_id", F.nullif(F.col("lang"), F.lit("de")).alias("lang"), F.nullif(F.col("source"), F.lit(DAMAGED)).alias("source"))
     return prepare.any_null(d)
@@ -296,13 +396,13 @@ def eval_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (engine_search, engine_answer, engine_generate, engine_ask, engine_health, message_times, engine_evaluate, engine_embed, collection_states, csv_round_trip, vocabulary_round_trip, rtf_scan, rtf_counts, encode_model, l2_normalized, chat_format, codex_by_content, query_prompts, rows_with_nulls, removed_counts, profile_report, threshold_modes, dedup_null_articles, parents_capped, eval_log)
+    plain = (engine_search, engine_answer, engine_generate, engine_ask, engine_health, message_times, engine_evaluate, engine_embed, collection_states, collection_deltas, csv_round_trip, vocabulary_round_trip, rtf_scan, rtf_counts, encode_model, l2_normalized, chat_format, codex_by_content, query_prompts, rows_with_nulls, removed_counts, profile_report, threshold_modes, dedup_null_articles, parents_capped, eval_log, filter_nested, engine_search_filtered, sparse_topk_blocks, sparse_blocks_read, ivf_recall, vocabulary_first_seen, queries_filled)
     out = {f.__name__: f for f in plain} | {f"pool_{how}": _pooled(how) for how in ("mean", "cls", "max")}
     return out | {"negatives_random": _negatives("random"), "negatives_in_batch": _negatives("in_batch")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lexispark.plans.queries import _ART, _IDF, _METRICS, _WORDS, _children_sql, _dense_sql, _tf
+    from lexispark.plans.queries import _ART, _ASKED, _IDF, _METRICS, _WORDS, _children_sql, _dense_sql, _sparse, _tf
 
     rank = "CAST(rank AS INTEGER) AS rank"
     low = "lower(coalesce({0}, ''))"
@@ -312,15 +412,15 @@ def oracle_sql() -> dict[str, str]:
     points = f"(SELECT *, article_id AS point_id, concat_ws(' ', coalesce(article_title, ''), coalesce(article_text, '')) AS chunk_text FROM {_ART})"
     scale = lambda leg: f"(SELECT query_id, point_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM {leg} WINDOW w AS (PARTITION BY query_id))"
 
-    def hits(limit: int, threshold: float) -> str:
+    def hits(limit: int, threshold: float, where: str = "TRUE") -> str:
         """CTEs of the fused hits(query_id, point_id, score, rank, and the article)."""
         k = 3 * limit
         return f"""pts AS (SELECT *, {embed("chunk_text")} AS v FROM {points}), qs AS (SELECT *, {embed("query_text")} AS v FROM {asked}),
-dl AS (SELECT query_id, point_id, round(list_inner_product(qs.v, pts.v) / greatest(sqrt(list_inner_product(qs.v, qs.v)) * sqrt(list_inner_product(pts.v, pts.v)), 1e-12), 6) AS score FROM qs, pts),
+dl AS (SELECT query_id, point_id, round(list_inner_product(qs.v, pts.v) / greatest(sqrt(list_inner_product(qs.v, qs.v)) * sqrt(list_inner_product(pts.v, pts.v)), 1e-12), 6) AS score FROM qs, pts WHERE {where}),
 d AS (SELECT * FROM dl WHERE score >= 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= {k}),
 post AS ({_tf("pts", "point_id", "chunk_text")}), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token), total AS (SELECT count(*)::DOUBLE AS n FROM pts),
 idf AS (SELECT token, {_IDF} AS idf FROM dfs, total), qp AS ({_tf("qs", "query_id", "query_text")}),
-sl AS (SELECT query_id, point_id, round(sum(a.tf * i.idf * p.tf), 6) AS score FROM qp a JOIN idf i USING (token) JOIN post p USING (token) GROUP BY ALL),
+sl AS (SELECT query_id, point_id, round(sum(a.tf * i.idf * p.tf), 6) AS score FROM qp a JOIN idf i USING (token) JOIN post p USING (token) WHERE point_id IN (SELECT point_id FROM pts WHERE {where}) GROUP BY ALL),
 s AS (SELECT * FROM sl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) <= {k}),
 fused AS (SELECT query_id, point_id, round(0.9::DOUBLE * coalesce(x.s, 0) + (1.0::DOUBLE - 0.9::DOUBLE) * coalesce(y.s, 0), 6) AS score FROM {scale("d")} x FULL JOIN {scale("s")} y USING (query_id, point_id)),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM fused WHERE score >= {threshold}),
@@ -356,6 +456,11 @@ FROM whole w JOIN kids k ON k.id = w.id AND k.pos >= w.start AND k.pos < w.start
 UNION ALL SELECT doc_id, doc_id || '_p0', text, 1 FROM documents WHERE doc_id NOT IN (SELECT id FROM sized)"""
     out = {
         "engine_search": f"WITH {hits(15, 0.05)}, once AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS n FROM hits QUALIFY n = 1) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY once.rank) AS INTEGER) AS rank, article_id, article_title, codex, CAST(length(article_text) AS INTEGER) AS n_chars, score FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY once.rank) <= 5",
+        "engine_search_filtered": f"WITH {hits(15, 0.05, f"codex <> '{DAMAGED}' AND article_id >= 100")}, once AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS n FROM hits QUALIFY n = 1) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY once.rank) AS INTEGER) AS rank, article_id, score FROM once QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY once.rank) <= 5",
+        "filter_nested": f"SELECT doc_id, lang, source, n_chars FROM documents WHERE (lang = 'en' OR source IN ('src1', 'src2', 'src3')) AND n_chars >= 200 AND n_chars < 20000 AND coalesce(source, '') <> '{DAMAGED}' AND NOT (coalesce(lang NOT IN ('de', 'en'), FALSE) AND coalesce(n_chars > 3000, FALSE))",
+        "sparse_topk_blocks": f"WITH {_sparse(_tf('(SELECT doc_id AS point_id, text FROM documents)', 'point_id', 'text'), 'documents', _tf(_ASKED, 'query_id', 'text'), 30)} SELECT query_id, point_id, score, {rank} FROM sparse_hits",
+        "vocabulary_first_seen": "WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda t: length(t) >= 2) AS ts FROM documents), p AS (SELECT doc_id, unnest(ts) AS token, unnest(range(len(ts))) AS place FROM d), f AS (SELECT token, min((doc_id, place)) AS m FROM p GROUP BY token) SELECT token, row_number() OVER (ORDER BY m) - 1 AS token_id FROM f",
+        "queries_filled": "WITH p AS (SELECT doc_id, 'Text:' || chr(10) || substr(text, 1, 8000) || chr(10) || '---' AS prompt FROM documents) SELECT doc_id AS article_id, CASE WHEN length(prompt) % 3 = 0 THEN '2: ' ELSE '1: ' END || substr(prompt, 7, 20) AS query_text FROM p",
         "engine_answer": f"WITH {hits(5, 0.05)}, c AS (SELECT query_id, string_agg({part}, chr(10) || '---' || chr(10) ORDER BY rank) AS context_text, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, query_text, coalesce(context_text, '') AS context_text, CAST(coalesce(n, 0) AS INTEGER) AS n_sources FROM {every} LEFT JOIN c USING (query_id)",
         "engine_generate": f"WITH {hits(5, 0.05)}, c AS (SELECT query_id, article_text FROM hits WHERE rank = 1) SELECT query_id, coalesce(article_text, '') AS answer, CASE WHEN c.query_id IS NULL THEN 'LookupError: no source' END AS answer_error FROM {every} LEFT JOIN c USING (query_id)",
         "engine_ask": f"WITH {hits(5, 0.5)}, c AS (SELECT query_id, first(article_text ORDER BY rank) AS answer, count(*) AS n FROM hits GROUP BY query_id) SELECT query_id, coalesce(answer, '') AS answer, CAST(coalesce(n, 0) AS INTEGER) AS n_sources FROM {every} LEFT JOIN c USING (query_id)",
@@ -371,6 +476,12 @@ SELECT 'missing' AS step, CAST(NULL AS INTEGER) AS vector_size, CAST(0 AS BIGINT
 SELECT 'made', {len(LETTERS)}, CAST(sum(n) AS BIGINT), 'green' FROM c UNION ALL
 SELECT 'updated', {len(LETTERS)}, CAST(coalesce(sum(n), 0) + 2 * (SELECT count(*) FROM en) AS BIGINT), 'green' FROM c WHERE article_id NOT IN (SELECT doc_id FROM en) UNION ALL
 SELECT 'dropped', NULL, 0, 'missing'""",
+        "collection_deltas": " UNION ALL ".join(
+            f"""SELECT '{step}' AS step, (SELECT count(*) FROM {rows}) AS n_points, (SELECT CAST(sum(length(chunk_text)) AS BIGINT) FROM {rows}) AS n_chars,
+(SELECT count(DISTINCT token) FROM ({_tf(rows, "article_id", "chunk_text")})) AS n_tokens, (SELECT count(*) FROM ({_tf(rows, "article_id", "chunk_text")})) AS sum_df, (SELECT count(*) FROM {rows}) AS n_kept, CAST({n} AS INTEGER) AS n_deltas"""
+            for step, short, without, n in (("made", "''", "''", 0), ("fr", "'fr'", "''", 1), ("de", "'fr', 'de'", "''", 2), ("without es", "'fr', 'de'", "'es'", 3), ("compacted", "'fr', 'de'", "'es'", 0))
+            for rows in (f"(SELECT article_id, concat_ws(' ', coalesce(article_title, ''), CASE WHEN d.lang IN ({short}) THEN coalesce(article_title, '') ELSE coalesce(article_text, '') END) AS chunk_text FROM {_ART} a JOIN documents d ON d.doc_id = a.article_id WHERE coalesce(d.lang, '') NOT IN ({without}, '-'))",)
+        ),
         "csv_round_trip": f"SELECT article_num, article_title, article_text, codex, CASE WHEN codex <> '{DAMAGED}' THEN article_title END AS query_text FROM {_ART}",
         "vocabulary_round_trip": "WITH t AS (SELECT DISTINCT lang, token FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM documents) WHERE length(token) >= 2) SELECT count(DISTINCT token) AS n_tokens, count(DISTINCT token) AS n_ids, CAST(0 AS BIGINT) AS first_id, count(DISTINCT token) - 1 AS last_id, count(DISTINCT CASE WHEN lang = 'en' THEN token END) AS n_kept FROM t",
         "rtf_scan": f"SELECT doc_id, CASE WHEN source <> '{DAMAGED}' THEN {tidy} END AS text, CASE WHEN source = '{DAMAGED}' THEN 'not an RTF file' END AS error FROM documents",

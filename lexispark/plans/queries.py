@@ -12,10 +12,11 @@ from lexispark.functions import text as T
 from lexispark.operators import context, evaluate, prepare
 from lexispark.operators.chunking import chunk, parents
 from lexispark.operators.dense import dense_leg
+from lexispark.operators.grid import dense_join, sparse_join
 from lexispark.operators.index import upsert
 from lexispark.operators.ranking import dedup_by_article, dedup_by_parent, minmax
 from lexispark.operators.search import dense_search, hybrid_search
-from lexispark.operators.sparse import postings, sparse_leg, vocabulary, with_idf
+from lexispark.operators.sparse import postings, sparse_leg, terms, vocabulary, with_idf
 from lexispark.storage import saved
 
 STOPS = ("the", "and", "of", "to", "in", "is", "de", "la", "der", "die")
@@ -64,6 +65,20 @@ def _dense(distance: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def dense_topk_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The five closest vectors of every vector: as many queries as points, on a grid."""
+    points = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
+    return dense_join(points.withColumnRenamed("point_id", "query_id"), points, 5)
+
+
+def sparse_topk_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best texts for every document's first line: as many queries as points, on a grid."""
+    a = _articles(spark, sf)
+    asked = postings(a.withColumnRenamed("article_id", "query_id"), "query_id", "article_title", unique=True)
+    found = saved(terms(a, "article_id", "article_text").withColumnRenamed("article_id", "point_id"), "terms")
+    return sparse_join(asked, found, vocabulary(found.select(F.inline("terms"))), found.count(), 5)
+
+
 def minmax_normalize(spark: SparkSession, sf: str) -> DataFrame:
     hits = _dense("Cosine")(spark, sf)
     return minmax(hits).select("query_id", "point_id", F.round("norm", 5).alias("norm"))
@@ -246,7 +261,7 @@ def category_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (tokens_tf, stopword_filtered_tf, token_df_idf, sparse_topk, minmax_normalize, dense_only_search, search_dedup_article, answer_dedup_parent, answer_context, prompt_build, chunk_fixed, chunk_paragraphs, chunk_children, chunk_none, chunk_stats, index_upsert_latest, eval_recall, eval_mrr, eval_ndcg, eval_summary, prepare_pairs, dedup_keep_first, sort_codex_number, stratified_split_sizes, hard_negatives_same_group, codex_classify, article_split, category_counts)
+    plain = (tokens_tf, stopword_filtered_tf, token_df_idf, sparse_topk, sparse_topk_many, dense_topk_many, minmax_normalize, dense_only_search, search_dedup_article, answer_dedup_parent, answer_context, prompt_build, chunk_fixed, chunk_paragraphs, chunk_children, chunk_none, chunk_stats, index_upsert_latest, eval_recall, eval_mrr, eval_ndcg, eval_summary, prepare_pairs, dedup_keep_first, sort_codex_number, stratified_split_sizes, hard_negatives_same_group, codex_classify, article_split, category_counts)
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {"hybrid_search": _hybrid(), "hybrid_search_filtered": hybrid_filtered}
     out |= {f.__name__: f for f in plain}
     out |= {"dense_topk_cosine": _dense("Cosine"), "dense_topk_dot": _dense("Dot"), "dense_topk_euclid": _dense("Euclid")}
@@ -358,6 +373,8 @@ def oracle_sql() -> dict[str, str]:
         "stopword_filtered_tf": _tf("documents", "doc_id", "text", 2, STOPS),
         "token_df_idf": f"WITH post AS ({_tf('documents', 'doc_id', 'text')}), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token) SELECT token, df, round({_IDF}, 6) AS idf FROM dfs, (SELECT count(*)::DOUBLE AS n FROM documents)",
         "sparse_topk": f"WITH {_sparse(_tf('(SELECT doc_id AS point_id, text FROM documents)', 'point_id', 'text'), 'documents', _tf(_ASKED, 'query_id', 'text'), 30)} SELECT query_id, point_id, score, {rank} FROM sparse_hits",
+        "sparse_topk_many": f"WITH {_sparse(_tf('(SELECT article_id AS point_id, article_text AS text FROM ' + _ART + ')', 'point_id', 'text'), 'documents', _tf('(SELECT article_id AS query_id, article_title AS text FROM ' + _ART + ')', 'query_id', 'text'), 5)} SELECT query_id, point_id, score, {rank} FROM sparse_hits",
+        "dense_topk_many": f"WITH {_dense_sql('Cosine', 5).replace('WHERE q.point_id % 100 = 0', '')} SELECT query_id, point_id, score, {rank} FROM dense_hits",
         "minmax_normalize": f"WITH {_dense_sql('Cosine', 50)} SELECT query_id, point_id, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 5) AS norm FROM dense_hits WINDOW w AS (PARTITION BY query_id)",
         "hybrid_search": _hybrid_sql(),
         "hybrid_search_filtered": _hybrid_sql("lang = 'en'"),
