@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields, replace
+from pathlib import Path
 
 SYSTEM_PROMPT = """Ты — юридический помощник по российскому законодательству.
 
@@ -100,6 +102,33 @@ class Config:
     search: Search = field(default_factory=Search)
     generator: Generator = field(default_factory=Generator)
 
+    @classmethod
+    def from_files(cls, folder: str, overrides: Sequence[str] = (), env: Mapping[str, str] = os.environ, main: str = "config") -> Config:
+        """A configuration from a folder of YAML (or JSON) files.
+
+        The main file's `defaults` list names an option of each group, as `- search: fast`, whose settings lie in
+        search/fast.yaml; the main file's own sections go over them where `_self_` stands, at the end if it is not named. An override
+        without a dot takes another option of a group (`search=exact`), others change settings as in with_overrides(). Values may read
+        ${NAME}, ${NAME:other} and ${oc.env:NAME,other}. Sections and settings that this engine does not have are left out.
+        """
+        chosen = {o.split("=", 1)[0].strip(): o.split("=", 1)[1].strip() for o in overrides if "=" in o and "." not in o.split("=", 1)[0]}
+        own = _file(folder, main)
+        steps: list[Mapping] = []
+        options = own.pop("defaults", None) or []
+        for entry in [*options, *([] if "_self_" in options else ["_self_"])]:
+            if entry == "_self_":
+                steps.append(own)
+            elif isinstance(entry, Mapping) and len(entry) == 1:
+                (group, option) = next(iter(entry.items()))
+                steps.append({group: _file(folder, f"{group}/{chosen.pop(group, option)}")})
+            else:
+                raise ValueError(f"an entry of defaults reads group: option, or _self_: {entry!r}")
+        if chosen:
+            raise ValueError(f"unknown groups: {', '.join(sorted(chosen))}")
+        known = {f.name: {g.name for g in fields(getattr(cls(), f.name))} for f in fields(cls)}
+        settings = [f"{part}.{name}={_text(value)}" for step in steps for part, section in step.items() if part in known and isinstance(section, Mapping) for name, value in section.items() if name in known[part] and value is not None]
+        return cls().with_overrides([*settings, *(o for o in overrides if "." in o.split("=", 1)[0])], env)
+
     def with_overrides(self, overrides: Sequence[str] | Mapping[str, str], env: Mapping[str, str] = os.environ) -> Config:
         """This configuration with settings such as "search.limit=5" or {"search.limit": "5"}.
 
@@ -120,14 +149,33 @@ class Config:
         return out
 
 
+def _file(folder: str, name: str) -> dict:
+    """A file's settings; YAML needs its library, JSON none."""
+    at = Path(folder) / name
+    if at.with_suffix(".json").exists():
+        return dict(json.loads(at.with_suffix(".json").read_text(encoding="utf-8")) or {})
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("YAML files need the yaml library; JSON files do not") from e
+    return dict(yaml.safe_load(at.with_suffix(".yaml").read_text(encoding="utf-8")) or {})
+
+
+def _text(value: object) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    return ",".join(map(str, value)) if isinstance(value, (list, tuple)) else str(value)
+
+
 def _value(text: str, like: object, env: Mapping[str, str]) -> object:
     def named(m: re.Match) -> str:
-        found = env.get(m[1], m[2])
+        name, other = (m[1], m[2]) if m[1] else (m[3], m[4])
+        found = env.get(name, other)
         if found is None:
-            raise ValueError(f"no value for ${{{m[1]}}}")
+            raise ValueError(f"no value for ${{{name}}}")
         return found
 
-    text = re.sub(r"\$\{(\w+)(?::([^}]*))?\}", named, text)
+    text = re.sub(r"\$\{oc\.env:(\w+)(?:,([^}]*))?\}|\$\{(\w+)(?::([^}]*))?\}", named, text)
     if isinstance(like, bool):
         if text.lower() not in ("true", "false"):
             raise ValueError(f"true or false expected: {text}")

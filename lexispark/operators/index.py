@@ -5,6 +5,9 @@ delta: its own points and their terms, the lists of articles and points that it
 token's document frequency. Readers merge: a row lives unless a later delta takes its article or its point away. Compaction
 folds the deltas into new folders of the parts that they touch and takes the other parts over. The number of points and the document frequencies
 are kept with the versions, so a search counts nothing.
+
+Chunks, as chunking.chunk() makes them, do not carry their article's text: it is stored once, with the article's first chunk, and
+joined with what a search has found.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     return both.withColumn("__n", F.row_number().over(latest)).where("__n = 1").drop("__n", "batch")
 
 
-#: Rows of a version's list that are no parts: its schemas, its deltas, and the versions whose changes of frequencies add up to its own.
-_SCHEMAS, _DELTA, _CHANGES = -1, -2, -3
+#: Rows of a version's list that are no parts: its schema, its deltas, the texts' schema, and the versions whose changes of frequencies add up to its own.
+_SCHEMAS, _DELTA, _CHANGES, _TEXTS = -1, -2, -3, -4
 _LIST = "part int, version int, schema string, n bigint"
 _FREQUENCIES = StructType([StructField("token", StringType()), StructField("df", LongType())])
 _TERMS = ArrayType(StructType([StructField("token", StringType()), StructField("tf", DoubleType())]))
 #: The lists of a delta: key -> table.
 _GONE = {"article_id": "gone_articles", "point_id": "gone_points"}
-_TABLES = ("delta_points", "delta_terms", "changes", *_GONE.values())
+_TABLES = ("delta_points", "delta_terms", "delta_texts", "changes", *_GONE.values())
 
 
 def _of_terms(points: StructType) -> StructType:
@@ -48,6 +51,14 @@ def _of_terms(points: StructType) -> StructType:
     return StructType([*(points[c] for c in ("point_id", "article_id") if c in points.names), StructField("terms", _TERMS)])
 
 
+def _split(points: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Chunks without their articles' texts, and (article_id, article_text) of each article; other points stay as they are."""
+    if not {"article_id", "article_text", "parent_no", "pos"} <= set(points.columns):
+        return points, None
+    first = points.where("parent_no = 0 AND pos = 0 AND article_id IS NOT NULL")
+    return points.drop("article_text"), first.select("article_id", "article_text")
+
+
 @dataclass
 class Collection:
     """Points and terms in `parts` parts; a version is current once its list is written, so a failed write leaves the one before it
@@ -114,8 +125,12 @@ class Collection:
 
     @staticmethod
     def _schema(listed: list, table: str = "points") -> StructType:
-        points = StructType.fromJson(json.loads(next(r for r in listed if r["part"] == _SCHEMAS)["schema"]))
-        return points if table == "points" else _of_terms(points)
+        stored = StructType.fromJson(json.loads(next(r for r in listed if r["part"] == (_TEXTS if table == "texts" else _SCHEMAS))["schema"]))
+        return _of_terms(stored) if table == "terms" else stored
+
+    @staticmethod
+    def _has_texts(listed: list) -> bool:
+        return any(r["part"] == _TEXTS for r in listed)
 
     def _tagged(self, table: str, versions: list[int], schema: StructType) -> DataFrame:
         """What some versions have of one of _TABLES, with v, the version."""
@@ -127,6 +142,9 @@ class Collection:
     def _base(self, listed: list, table: str, only: set[int] | None = None) -> DataFrame:
         schema = self._schema(listed, table)
         paths = [f"{self.root}/v={r['version']}/{table}/part={r['part']}" for r in sorted(listed) if r["part"] >= 0 and (only is None or r["part"] in only)]
+        if table == "texts":  # a part may have points, but no first chunk
+            fs, path = self._fs()
+            paths = [p for p in paths if fs.exists(path(p))]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def _gone(self, listed: list, deltas: list[int]) -> dict[str, DataFrame]:
@@ -171,6 +189,28 @@ class Collection:
         listed = self._list()
         return self._read("terms", self._parts_of(listed, where), listed).select("point_id", "terms")
 
+    def texts(self) -> DataFrame | None:
+        """(article_id, article_text) of the articles; None where points keep what they were given."""
+        listed = self._list()
+        if not self._has_texts(listed):
+            return None
+        deltas, base = self._of(listed, _DELTA), self._base(listed, "texts")
+        return self._living_texts(listed, base) if deltas else base
+
+    def _living_texts(self, listed: list, base: DataFrame) -> DataFrame:
+        """Of some base texts and the deltas', those that no later delta takes away or brings anew."""
+        deltas, schema = self._of(listed, _DELTA), self._schema(listed, "texts")
+        brought = self._tagged("delta_texts", deltas, schema)
+        key = StructType([schema["article_id"]])
+        gone = self._tagged("gone_articles", deltas, key).unionByName(brought.select("article_id", "v"))
+        last = {"article_id": gone.groupBy("article_id").agg(F.max("v").alias("__article_id"))}
+        return self._taken(last, base.withColumn("v", F.lit(0)).unionByName(brought)).where("__taken <= v").select(*schema.names)
+
+    def with_texts(self, hits: DataFrame) -> DataFrame:
+        """Found points with their articles' texts; without an article null."""
+        texts = self.texts()
+        return hits if texts is None else hits.join(texts, "article_id", "left")
+
     def postings(self) -> DataFrame:
         """(point_id, token, tf)."""
         return self.terms().select("point_id", F.inline("terms"))
@@ -180,10 +220,13 @@ class Collection:
         if self.exists() and not recreate:
             return
         n = self._next()
+        points, texts = _split(points)
         rows = self._write_parts(points, points.schema, "points", n)
         found = self._write_parts(self._terms(rows, text_col, stops, min_length), _of_terms(points.schema), "terms", n)
         self._write(vocabulary(found.select("point_id", F.inline("terms"))), "changes", n)
-        self._finish(n, {p: n for p in self._written(rows)}, [], [n], points.schema, rows.count())
+        if texts is not None:
+            self._write_parts(texts, texts.schema, "texts", n)
+        self._finish(n, {p: n for p in self._written(rows)}, [], [n], points.schema, rows.count(), None if texts is None else texts.schema)
         self.vacuum()
 
     def _next(self) -> int:
@@ -211,10 +254,12 @@ class Collection:
     def _written(rows: DataFrame) -> list[int]:
         return sorted(r["part"] for r in rows.select("part").distinct().collect())  # self.parts rows at most
 
-    def _finish(self, n: int, parts: dict[int, int], deltas: list[int], changes: list[int], schema: StructType, count: int) -> None:
+    def _finish(self, n: int, parts: dict[int, int], deltas: list[int], changes: list[int], schema: StructType, count: int, texts: StructType | None) -> None:
         """The list of version n, which makes it the current one."""
         rows = [(p, v, None, None) for p, v in sorted(parts.items())] + [(_DELTA, v, None, None) for v in deltas] + [(_CHANGES, v, None, None) for v in changes]
         rows.append((_SCHEMAS, n, schema.json(), count))
+        if texts is not None:
+            rows.append((_TEXTS, n, texts.json(), None))
         self.spark.createDataFrame(rows, _LIST).coalesce(1).write.mode("overwrite").json(f"{self.root}/v={n}/parts")
 
     def upsert(self, new: DataFrame, text_col: str = "chunk_text", stops: tuple[str, ...] = (), min_length: int = 2, whole_articles: bool = True) -> None:
@@ -230,6 +275,10 @@ class Collection:
             self.create(latest, False, text_col, stops, min_length)
             return
         listed, n = self._list(), self._next()
+        if self._has_texts(listed):
+            latest, texts = _split(latest)
+            none = self.spark.createDataFrame([], self._schema(listed, "texts"))
+            self._write(none if texts is None else none.unionByName(texts), "delta_texts", n)
         old = self._schema(listed)
         schema = StructType([*old.fields, *(f for f in latest.schema.fields if f.name not in old.names)])
         self._write(self.spark.createDataFrame([], schema).unionByName(latest, allowMissingColumns=True), "delta_points", n)
@@ -250,7 +299,7 @@ class Collection:
             if key in schema.names:
                 none = self.spark.createDataFrame([], StructType([schema[key]]))
                 self._write((none if kinds[key] is None else none.unionByName(kinds[key])).where(F.col(key).isNotNull()), table, n)
-        for table in () if added else ("points", "terms"):
+        for table in () if added else ("points", "terms", *(("texts",) if self._has_texts(listed) else ())):
             self._write(self.spark.createDataFrame([], self._schema(listed, table)), f"delta_{table}", n)
         mine = self._gone(listed, [n])
         gone = saved(self._taken(mine, self._read("terms", listed=listed)).where("__taken >= 0").select("point_id", "terms"), "gone")
@@ -262,7 +311,7 @@ class Collection:
         count = next(r["n"] for r in listed if r["part"] == _SCHEMAS) + more - gone.count()
         forget(gone)
         deltas = [*self._of(listed, _DELTA), n]
-        self._finish(n, {r["part"]: r["version"] for r in listed if r["part"] >= 0}, deltas, [*self._of(listed, _CHANGES), n], schema, count)
+        self._finish(n, {r["part"]: r["version"] for r in listed if r["part"] >= 0}, deltas, [*self._of(listed, _CHANGES), n], schema, count, self._schema(listed, "texts") if self._has_texts(listed) else None)
         if len(deltas) > self.max_deltas or self._tagged("delta_points", deltas, schema).count() > self.max_share * max(count, 1):
             self.compact()
 
@@ -280,9 +329,12 @@ class Collection:
         touched = set(self._written(taken.unionByName(new)))
         rows = self._write_parts(self._read("points", touched, listed), schema, "points", n)
         self._write_parts(self._read("terms", touched, listed), _of_terms(schema), "terms", n)
+        texts = self._schema(listed, "texts") if self._has_texts(listed) else None
+        if texts is not None:
+            self._write_parts(self._living_texts(listed, self._base(listed, "texts", touched)), texts, "texts", n)
         self._write(self.frequencies(), "changes", n)
         others = {r["part"]: r["version"] for r in listed if r["part"] >= 0 and r["part"] not in touched}
-        self._finish(n, others | {p: n for p in self._written(rows)}, [], [n], schema, self.count())
+        self._finish(n, others | {p: n for p in self._written(rows)}, [], [n], schema, self.count(), texts)
 
     def vacuum(self) -> None:
         """Delete what the current version does not list."""
@@ -296,7 +348,7 @@ class Collection:
             if v != current and not mine:
                 fs.delete(path(f"{self.root}/v={v}"), True)
             elif v != current:
-                for table in ("points", "terms"):
+                for table in (t for t in ("points", "terms", "texts") if fs.exists(path(f"{self.root}/v={v}/{t}"))):
                     for s in fs.listStatus(path(f"{self.root}/v={v}/{table}")):
                         name = s.getPath().getName()
                         if name.startswith("part=") and int(name[5:]) not in mine:

@@ -80,7 +80,7 @@ class Engine:
             hits = hybrid_search(asked, points, s, limit, threshold, None, c.terms(None if isinstance(where, Column) else where), self._stops, self.config.sparse.min_token_length, c.count(), c.frequencies(), kept)
         else:
             hits = dense_search(asked, points if kept is None else kept, s, limit, threshold)
-        return with_payload(hits, points if kept is None else kept)
+        return c.with_texts(with_payload(hits, points if kept is None else kept))
 
     def search(self, queries: DataFrame, limit: int | None = None, threshold: float | None = None, where: Column | Mapping | None = None) -> DataFrame:
         """(query_id, rank, article_id, article_title, article_text, codex, score), each article once. queries: query_id, query_text; where: a column, or a filter as operators.filters reads it."""

@@ -349,8 +349,8 @@ def removed_counts(spark: SparkSession, sf: str) -> DataFrame:
 def profile_report(spark: SparkSession, sf: str) -> DataFrame:
     p = prepare.profile(_articles(spark, sf))
     row = lambda df, section, key: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), F.col("n").cast("bigint").alias("n"))
-    head = p["head"].select("codex", F.col("article_id").alias("n"))
-    return row(p["total"], "total", F.lit("all")).unionByName(row(p["by_code"], "by_code", F.col("codex"))).unionByName(row(head, "head", F.col("codex")))
+    some = lambda name: row(p[name].select("codex", F.col("article_id").alias("n")), name, F.col("codex"))
+    return row(p["total"], "total", F.lit("all")).unionByName(row(p["by_code"], "by_code", F.col("codex"))).unionByName(some("head")).unionByName(some("sample"))
 
 
 def threshold_modes(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +378,9 @@ def parents_capped(spark: SparkSession, sf: str) -> DataFrame:
 def _negatives(how: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         a = _articles(spark, sf)
-        mine = a.where(F.col("codex") != DAMAGED).select(F.col("article_id").alias("query_id"), "article_id")
+        # each text once is a batch of pairs
+        mine = prepare.pairs(a.withColumn("query_text", F.col("article_text"))) if how == "in_batch" else a.withColumn("query_id", F.col("article_id"))
+        mine = mine.select("query_id", "article_id")
         return prepare.negatives(mine, a, how=how, ring=100)
 
     return query
@@ -438,14 +440,14 @@ hits AS (SELECT top.*, article_id, article_title, article_text, codex FROM top J
     key = lambda c, seed, of: f"((({c} % {of}) * 7919 + {seed} * 104729) % {of})"
 
     def ringed(source: str) -> str:
-        return f"""WITH c AS (SELECT article_id, codex FROM {_ART} WHERE {source}), rings AS (SELECT greatest(1, count(*) // 100) AS n_rings FROM c),
+        return f"""WITH c AS ({source}), rings AS (SELECT greatest(1, count(*) // 100) AS n_rings FROM c),
 r AS (SELECT article_id, {key("article_id", 42, 1000003)} % n_rings AS ring FROM c, rings),
 p AS (SELECT *, row_number() OVER (PARTITION BY ring ORDER BY {key("article_id", 42, 10007)}, article_id) - 1 AS place, count(*) OVER (PARTITION BY ring) AS n FROM r)
-SELECT a.article_id AS query_id, a.article_id, b.article_id AS negative_id FROM p a JOIN documents d ON d.doc_id = a.article_id AND d.source <> '{DAMAGED}', range(1, 5) s(step), p b WHERE step < a.n AND b.ring = a.ring AND b.place = (a.place + step) % a.n"""
+SELECT a.article_id AS query_id, a.article_id, b.article_id AS negative_id FROM p a, range(1, 5) s(step), p b WHERE step < a.n AND b.ring = a.ring AND b.place = (a.place + step) % a.n"""
 
     strip = r"regexp_replace(regexp_replace(text, '^[\s\x{00a0}]+', ''), '[\s\x{00a0}]+$', '')"
     codes = prepare.CODE_NUMBERS
-    by_content = " ".join(f"WHEN {test} THEN '{codes[n]}'" for test, n in [("h LIKE '%жилищный кодекс%' OR h LIKE '%жилищное%'", "188"), *((f"h LIKE '%{stem}%'", n) for stem, n in prepare.CONTENT_STEMS[1:])])
+    by_content = " ".join(f"WHEN h LIKE '%{stem}%' THEN '{codes[n]}'" for stem, n in prepare.CONTENT_STEMS)
     tests = [(f"lower(f) LIKE '%{stem}%' OR f LIKE '%{n}%'" if stem else f"f LIKE '%{n}%'", n) for stem, n in prepare.NAME_STEMS]
     by_name = " ".join(f"WHEN {test} THEN '{codes[n]}'" for test, n in tests)
     capped = f"""WITH {_children_sql()}, counted_kids AS (SELECT *, len({words("child_text")}) AS n FROM kids), sized AS (SELECT id, max(pos) + 1 AS n FROM kids GROUP BY id),
@@ -496,12 +498,12 @@ SELECT 'dropped', NULL, 0, 'missing'""",
         "query_prompts": f"SELECT doc_id AS article_id, 'Text:' || chr(10) || substr(text, 1, 8000) || chr(10) || '---' AS prompt FROM documents WHERE source = '{DAMAGED}'",
         "rows_with_nulls": f"SELECT doc_id, nullif(lang, 'de') AS lang, nullif(source, '{DAMAGED}') AS source FROM documents WHERE lang = 'de' OR lang IS NULL OR source = '{DAMAGED}' OR source IS NULL",
         "removed_counts": "SELECT count(*) AS n_before, count(DISTINCT CASE WHEN length(text) >= 10 THEN text END) AS n_after, count(*) - count(DISTINCT CASE WHEN length(text) >= 10 THEN text END) AS n_removed FROM documents",
-        "profile_report": "SELECT 'total' AS section, 'all' AS key, count(*) AS n FROM documents UNION ALL SELECT 'by_code', source, count(*) FROM documents GROUP BY source UNION ALL (SELECT 'head', source, doc_id FROM documents ORDER BY doc_id LIMIT 5)",
+        "profile_report": "SELECT 'total' AS section, 'all' AS key, count(*) AS n FROM documents UNION ALL SELECT 'by_code', source, count(*) FROM documents GROUP BY source UNION ALL (SELECT 'head', source, doc_id FROM documents ORDER BY doc_id LIMIT 5) UNION ALL (SELECT 'sample', source, doc_id FROM documents ORDER BY ((doc_id % 1000003) * 7919 + 42 * 104729) % 1000003, doc_id LIMIT 5)",
         "threshold_modes": f"WITH {_dense_sql('Cosine', 7)} SELECT 'strict' AS mode, query_id, point_id, score, {rank} FROM dense_hits UNION ALL SELECT 'compat', query_id, point_id, score, {rank} FROM dense_hits WHERE score >= 0.3",
         "dedup_null_articles": f"WITH {_dense_sql('Cosine', 50)}, h AS (SELECT d.*, nullif(label, 0) AS article_id FROM dense_hits d JOIN embeddings e ON e.vec_id = d.point_id), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS n FROM h WHERE article_id IS NOT NULL QUALIFY n = 1) SELECT query_id, article_id, point_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS INTEGER) AS rank FROM f",
         "parents_capped": capped,
-        "negatives_random": ringed("TRUE"),
-        "negatives_in_batch": ringed(f"codex <> '{DAMAGED}'"),
+        "negatives_random": ringed("SELECT doc_id AS article_id FROM documents"),
+        "negatives_in_batch": ringed("SELECT min(doc_id) AS article_id FROM documents WHERE length(text) >= 10 GROUP BY text"),
         "eval_log": f"WITH {_METRICS}, l AS (SELECT 'recall' AS metric, k, recall AS v FROM m UNION ALL SELECT 'mrr', k, mrr FROM m UNION ALL SELECT 'ndcg', k, ndcg FROM m) SELECT run_id, metric, k, round(round(avg(v), 6), 4) AS mean, '50' AS depth FROM l, (SELECT unnest(['first', 'second']) AS run_id) GROUP BY ALL",
     }
     return out

@@ -52,12 +52,12 @@ def _end() -> None:
         shutil.rmtree(base.removeprefix("file://"), ignore_errors=True)
 
 
-def saved(df: DataFrame, kind: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
+def saved(df: DataFrame, kind: str, *by: str) -> DataFrame:
+    """df written as Parquet in the shared folder, a folder for each value of some columns, and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, kind)
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.saved_at = path
     return out

@@ -308,3 +308,52 @@ def test_padding_is_halved(spark):
     after = padded(slices(n, e.batch_size, e.max_length)) - sum(cut)
     assert after < before / 2 and sorted(i for g in slices(n, e.batch_size, e.max_length) for i in g) == list(range(len(n)))
     assert slices([], 4, 9) == [] and math.prod(map(len, slices([50, 60], 1, 9))) == 1
+
+
+def test_texts_are_stored_once(spark, tmp_path):
+    from lexispark.config import Chunking, Config, Search
+    from lexispark.plans import Engine
+
+    word = lambda w, n=40: " ".join([w] * n)
+    articles = lambda texts: spark.createDataFrame([(i, str(i), "title", t, "code") for i, t in texts.items()], "article_id bigint, article_num string, article_title string, article_text string, codex string")
+    c = Collection(spark, f"file://{tmp_path}", "c", parts=4, max_share=10.0)
+    e = Engine(spark, c, Config(chunking=Chunking(), search=Search(score_threshold=0.1)))
+    now = {i: "\n\n".join(word(f"w{i}x{j}") for j in range(5)) for i in range(1, 7)}
+    e.build(articles(now))
+    assert "article_text" not in c.points().columns and c.points().count() == 30
+    whole = lambda: {r["article_id"]: r["article_text"] for r in c.texts().collect()}
+    found = lambda text: [(r["article_id"], r["article_text"]) for r in e.search(spark.createDataFrame([(1, text)], "query_id bigint, query_text string"), 1).collect()]
+    assert whole() == now and found("w3x2") == [(3, now[3])]
+    for change in ({3: word("new")}, {3: word("newer"), 9: word("nine")}):
+        now |= change
+        e.update(articles(change))
+        assert whole() == now
+    assert found("newer") == [(3, now[3])]
+    c.delete(spark.createDataFrame([(1,), (9,)], "article_id bigint"))
+    del now[1], now[9]
+    assert whole() == now
+    c.compact()
+    assert whole() == now and c.deltas() == []
+    c.vacuum()
+    assert whole() == now and c.texts().count() == 5
+
+
+def test_configuration_files(tmp_path):
+    from lexispark.config import Config
+
+    (tmp_path / "search").mkdir()
+    (tmp_path / "embedding").mkdir()
+    (tmp_path / "config.yaml").write_text("defaults:\n  - search: default\n  - embedding: default\n  - _self_\nproject: x\nsearch:\n  limit: 7\n")
+    (tmp_path / "search/default.yaml").write_text("url: ${oc.env:URL}\nlimit: 3\nalpha: ${oc.env:ALPHA,0.25}\nhybrid: false\n")
+    (tmp_path / "search/exact.yaml").write_text("alpha: 1.0\n")
+    (tmp_path / "embedding/default.json").write_text('{"pooling": "cls", "batch_size": 8}')
+    c = Config.from_files(str(tmp_path), env={})
+    assert (c.search.limit, c.search.alpha, c.search.hybrid, c.embedding.pooling, c.embedding.batch_size) == (7, 0.25, False, "cls", 8)
+    c = Config.from_files(str(tmp_path), ["search=exact", "search.limit=9", "embedding.pooling=${POOL:max}"], {"ALPHA": "0.5"})
+    assert (c.search.limit, c.search.alpha, c.search.hybrid, c.embedding.pooling) == (9, 1.0, True, "max")
+    assert Config.from_files(str(tmp_path), env={"ALPHA": "0.5"}).search.alpha == 0.5
+    with pytest.raises(ValueError, match="unknown groups"):
+        Config.from_files(str(tmp_path), ["nothing=else"], {})
+    (tmp_path / "config.yaml").write_text("defaults: [search]\n")
+    with pytest.raises(ValueError, match="group: option"):
+        Config.from_files(str(tmp_path), env={})
