@@ -238,6 +238,8 @@ def codec(path: str, pattern: str) -> Codec:
 BLOCK_CHARS = 4_000_000
 #: Characters of texts for each bucket of words that is replayed as one corpus.
 BUCKET_CHARS = 24_000_000
+#: Buckets among which a task deals a block's words: with more, a row would hold few words and compress badly.
+MOST_BUCKETS = 256
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -285,20 +287,23 @@ _SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("bucket", pa.in
 
 
 def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> tuple[str, int]:
-    """(folder of the ids of the corpus's words, number of buckets): Parquet under part=<task>, rows (block, bucket, n, check, ids, counts).
+    """(folder of the ids of the corpus's words, buckets of a block): Parquet under part=<task>, rows (block, bucket, n, check, ids, counts).
 
     source: (id, text). Each task sends the distinct words of each of its blocks to buckets of the words' hashes.
     A bucket's distinct words, from all tasks, are replayed as one corpus; the ids go back in the order in which the
-    words came. n and check (a checksum) tell whether a list of words is the one that was sent.
+    words came. n and check (a checksum) tell whether a list of words is the one that was sent. A corpus that needs more than
+    MOST_BUCKETS (6 billion characters) is replayed by regions of its tasks, each with its own buckets, so that what a
+    word costs does not grow with the corpus.
     """
     n_chars = source.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-n_chars // BUCKET_CHARS))
+    regions = max(1, -(-n_chars // (BUCKET_CHARS * MOST_BUCKETS)))
+    buckets = max(1, -(-n_chars // (BUCKET_CHARS * regions)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for number, rows in enumerate(_blocks(batches)):
             parts = _bucketed(_words_of([t for _, t in rows]), buckets)
-            yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "bucket": i, "words": data, "sizes": sizes} for i, (x, _) in parts.items() for data, sizes in [_pressed(x)]], _SENT)
+            yield pa.RecordBatch.from_pylist([{"part": part, "block": number, "bucket": part % regions * buckets + i, "words": data, "sizes": sizes} for i, (x, _) in parts.items() for data, sizes in [_pressed(x)]], _SENT)
         trim()
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,12 +321,12 @@ def word_table(source: DataFrame, path: str, pattern: str, kind: str) -> tuple[s
                 n = counts[i]
                 ends = np.cumsum(n)
                 ids = flat[np.arange(ends[-1]) + np.repeat(starts[i] - ends + n, n)]
-                columns = [(part, pa.int32()), (block, pa.int32()), (bucket, pa.int32()), (len(mine), pa.int64()), (crc32(b"".join(mine)), pa.int64()), (press(ids.astype(np.uint32).tobytes()), pa.binary()), (press(n.astype(np.uint32).tobytes()), pa.binary())]
+                columns = [(part, pa.int32()), (block, pa.int32()), (bucket % buckets, pa.int32()), (len(mine), pa.int64()), (crc32(b"".join(mine)), pa.int64()), (press(ids.astype(np.uint32).tobytes()), pa.binary()), (press(n.astype(np.uint32).tobytes()), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=["part", "block", "bucket", "n", "check", "ids", "counts"])
         trim()
 
     sent = source.mapInArrow(send, "part int, block int, bucket int, words binary, sizes binary")
-    made = sent.repartition(min(buckets, 1 << 14), "bucket").sortWithinPartitions("bucket").mapInArrow(replay, "part int, block int, bucket int, n bigint, check bigint, ids binary, counts binary")
+    made = sent.repartition(min(regions * buckets, 1 << 14), "bucket").sortWithinPartitions("bucket").mapInArrow(replay, "part int, block int, bucket int, n bigint, check bigint, ids binary, counts binary")
     folder = shared_folder(source.sparkSession, kind)
     made.repartition("part").sortWithinPartitions("part", "block").write.partitionBy("part").parquet(folder)
     return folder, buckets

@@ -269,6 +269,36 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
     return docs.mapInArrow(run, _PRINTS_DDL)
 
 
+def _dealt(bucket_bits: int):
+    """Rows of buckets, sorted by bucket, dealt further: as few rows as the keys that a task holds at a time give for finer buckets."""
+
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        for hot in (None, 1):
+            some = [r for r in held if r[2] == hot]
+            if some:
+                keys, ids = (np.concatenate([r[i] for r in some]) for i in (0, 1))
+                order = np.lexsort((ids, keys))
+                rows += _buckets(keys[order], ids[order], bucket_bits, hot)
+        held.clear()
+        return pa.RecordBatch.from_pylist(rows, _PRINTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for keys, ids, same in zip(*(b.column(c).to_pylist() for c in ("keys", "ids", "same"))):
+                held.append((np.cumsum(_unplanes(keys, np.uint64), dtype=np.uint64), _unplanes(ids, np.int64), same))
+                size += len(held[-1][0])
+                if size >= DEALT:
+                    yield flush(held)
+                    size = 0
+        if held:
+            yield flush(held)
+        trim()
+
+    return run
+
+
 _MET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64())), ("hot", pa.bool_())])
 _MET_DDL = "id bigint, n bigint, same bigint, sketch binary, key bigint, group array<bigint>, hot boolean"
 
@@ -431,6 +461,10 @@ CODED = 40
 #: Documents for each bucket of keys, and the bits of how many buckets one pass takes.
 BUCKET_DOCS = 2048
 PASS_BITS = 14
+#: Bits by which a task deals its keys at a time: with more, a row would hold few keys and compress badly. DEALT: keys that
+#: a task holds to deal them further.
+LEVEL_BITS = 10
+DEALT = 2_000_000
 
 
 class _Join:
@@ -441,7 +475,7 @@ class _Join:
         # a few hundred thousand keys to a bucket, at a hundred or so for each document
         bits = max(4, (docs.count() // BUCKET_DOCS).bit_length())
         #: documents (id, n, and same or sketch), and groups (key, group, hot)
-        self.prints = self.met(_prints(docs, p, bits), bits)
+        self.prints = self.met(_prints(docs, p, min(bits, LEVEL_BITS)), bits)
         #: n and sketch of each document that was sent
         self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
         #: pairs that the coded sets left open
@@ -449,18 +483,30 @@ class _Join:
 
     def met(self, sent: DataFrame, bits: int) -> DataFrame:
         """What _met() makes of the buckets: one pass for every 2^PASS_BITS of them, so that a shuffle's partitions stay
-        few however many there are; one pass takes the rows as they are made, several read them from a saved table."""
+        few however many there are; one pass takes the rows as they are made, several read their own folder of a saved
+        table. Keys are dealt by LEVEL_BITS at a time, so that a row of a bucket has thousands of them at any number of buckets."""
         parts = 1 << min(bits, PASS_BITS)
         # rows without a bucket go anywhere
-        to = F.coalesce("bucket", F.pmod(F.xxhash64("id", "n", "key", "group"), F.lit(parts)).cast("int"))
+        to = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("id", "n", "key", "group"), F.lit(parts)).cast("int"))
         run = lambda rows: rows.repartition(parts, to).sortWithinPartitions("bucket").mapInArrow(_met, _MET_DDL)
+        level = min(bits, LEVEL_BITS)
+        if level < bits:
+            sent = saved(sent, "sent")
+        while level < bits:
+            # rows of a coarse bucket meet in a few tasks, which deal their keys to finer buckets
+            spread = F.pmod(F.xxhash64("keys"), F.lit(1 << max(0, min(bits, PASS_BITS) - level)))
+            level = min(bits, level + LEVEL_BITS)
+            finer = sent.where("bucket is not null").repartition(parts, F.col("bucket"), spread).sortWithinPartitions("bucket").mapInArrow(_dealt(level), _PRINTS_DDL)
+            coarse, sent = sent, saved(sent.where("bucket is null").unionByName(finer), "sent")
+            forget(coarse)
         if bits <= PASS_BITS:
             out = saved(run(sent), "prints")
         else:
-            sent = saved(sent, "sent")
-            made = sent.where("bucket is null").select(*_MET.names[:-1], F.lit(None).cast("boolean").alias("hot"))
-            for first in range(0, 1 << bits, parts):
-                made = made.unionByName(run(sent.where((F.col("bucket") >= first) & (F.col("bucket") < first + parts))))
+            # a folder for each pass, so that a pass reads its own rows only
+            sent = saved(sent.withColumn("pass", F.coalesce(F.shiftright("bucket", PASS_BITS), F.lit(-1))), "sent", "pass")
+            made = sent.where("pass = -1").select(*_MET.names[:-1], F.lit(None).cast("boolean").alias("hot"))
+            for number in range(1 << bits - PASS_BITS):
+                made = made.unionByName(run(sent.where(F.col("pass") == number).drop("pass")))
             out = saved(made, "prints")
             forget(sent)
         sweep(self.docs.sparkSession)
@@ -625,16 +671,16 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFr
     many = here.where(F.coalesce(Bitmap(repeated, "id").maybe("__key"), F.lit(False)))
     texts = saved(many.where("__key is not null").select(F.col("__key").alias("id"), F.sha2(text, 256).alias("digest")).distinct(), "texts")
     first = texts.groupBy("id").agg(F.min("digest").alias("first"), F.count("*").alias("n")).where("n > 1")
-    others = saved(texts.join(first, "id").where("digest <> first").select("id", "digest"), "texts")
-    n = others.count()
-    if not n:
+    # any different numbers serve as keys, in a saved table so that they stay
+    others = saved(texts.join(first, "id").where("digest <> first").select("id", "digest", F.monotonically_increasing_id().alias("number")), "texts")
+    n = others.agg(F.max("number")).first()[0]
+    if n is None:
         return here, None, repeated
     low, high = here.agg(F.min("__key"), F.max("__key")).first()
-    begin = high + 1 if high + n < 1 << 63 else low - n
+    begin = high + 1 if high + n + 1 < 1 << 63 else low - n - 1
     if begin < -(1 << 63):
         raise ValueError("the ids leave no room for the keys of repeated ids with other texts")
-    numbered = others.orderBy("id", "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], begin + x[1]))
-    further = saved(df.sparkSession.createDataFrame(numbered, "id bigint, digest string, key bigint"), "further")
+    further = others.select("id", "digest", (F.col("number") + F.lit(begin)).alias("key"))
     maybe = F.coalesce(Bitmap(further, "id").maybe("__key"), F.lit(False))
     moved = here.where(maybe).withColumn("__digest", F.sha2(text, 256)).join(further, (F.col("__key") == further["id"]) & (F.col("__digest") == further["digest"]), "left")
     moved = moved.select(*df.columns, F.coalesce(further["key"], F.col("__key")).alias("__key"))

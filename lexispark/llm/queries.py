@@ -49,12 +49,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN)
 
 
+def examples(conversations: DataFrame) -> DataFrame:
+    """(doc_id, text, response): an answer with the turn before it, unless that is an answer too, and other turns without a response; every turn once."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    answer = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    # a turn's name; nulls and turns that share one are told apart by their places
+    alike = F.count("*").over(Window.partitionBy("conv_id", "turn")) > 1
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit("-")))
+    name = F.when(alike | F.col("conv_id").isNull() | F.col("turn").isNull(), F.concat(name, F.lit("#"), F.row_number().over(w))).otherwise(name)
+    turns = conversations.select(name.alias("doc_id"), answer.alias("answer"), "text", F.lag("text").over(w).alias("before"), F.lag(answer).over(w).alias("after_answer"), F.lead(answer).over(w).alias("answered"))
+    own = F.when(F.col("answer"), F.when(~F.coalesce("after_answer", F.lit(True)), F.col("before"))).otherwise(F.col("text"))
+    some = turns.where("answer OR NOT coalesce(answered, false)")
+    return some.select("doc_id", own.alias("text"), F.when(F.col("answer"), F.coalesce("text", F.lit(""))).alias("response"))
+
+
 def packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op6_packing for answers and the turns before them, under three limits that differ."""
-    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
-    asked = turns.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), F.col("before").alias("text"), F.col("text").alias("response"))
+    """op6_packing for answers and the turns before them, and the turns that no answer follows, under three limits that differ."""
     limits = packing.Limits(tokens=1024, segments=8, loss_tokens=640)
-    return packing.pack(asked, public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, limits=limits, response_col="response")
+    return packing.pack(examples(table(spark, sf_dir, "conversations")), public_tokenizers.path(packing.DEFAULT_VOCABULARY), public_tokenizers.PATTERN, limits=limits, response_col="response")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +88,37 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(strings).withColumnRenamed("tree", "conv_id")
 
 
+def chat_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two best branches of each conversation read as a tree: every third turn answers what the turn before it answered.
+
+    A branch's score is the mean length of its turns.
+    """
+    nodes = chat.chain(table(spark, sf_dir, "conversations"))
+    again = (F.col("node") % 3 == 0) & (F.col("node") > 2)
+    nodes = nodes.withColumn("parent", F.when(again, F.col("node") - 2).otherwise(F.col("parent"))).withColumn("score", F.length("text").cast("double"))
+    best = chat.branches(saved(nodes, "chat-nodes"), 2)
+    chars = F.aggregate("turns", F.lit(0), lambda n, t: n + F.length(t["text"]))
+    return best.select("tree", "leaf", "rank", F.round("branch_score", 6).alias("branch_score"), F.size("turns").alias("n_turns"), chars.alias("n_chars"), F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"))
+
+
+_BRANCHES = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS tree, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS node, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), nodes AS (
+  SELECT *, CASE WHEN node % 3 = 0 THEN node - 2 WHEN node > 1 THEN node - 1 END AS parent FROM turns
+), steps AS (
+  SELECT tree, node AS leaf, node, parent, 0 AS up FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes c WHERE c.tree IS NOT DISTINCT FROM n.tree AND c.parent = n.node)
+  UNION ALL
+  SELECT s.tree, s.leaf, n.node, n.parent, s.up + 1 FROM steps s JOIN nodes n ON n.tree IS NOT DISTINCT FROM s.tree AND n.node = s.parent
+), found AS (
+  SELECT s.tree, s.leaf, avg(length(n.text)) AS score, count(*) AS n_turns, sum(length(n.text)) AS n_chars, string_agg(n.role, ',' ORDER BY s.up DESC) AS roles
+  FROM steps s JOIN nodes n ON n.tree IS NOT DISTINCT FROM s.tree AND n.node = s.node GROUP BY s.tree, s.leaf
+)
+SELECT tree, leaf, CAST(row_number() OVER (PARTITION BY tree ORDER BY score DESC, leaf) AS INTEGER) AS rank, round(score, 6) AS branch_score, CAST(n_turns AS INTEGER) AS n_turns, CAST(n_chars AS INTEGER) AS n_chars, roles
+FROM found QUALIFY row_number() OVER (PARTITION BY tree ORDER BY score DESC, leaf) <= 2
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fitted(docs, table(spark, sf_dir, "labels"), held_out=(4, 2)), held_out=(4, 2))
@@ -94,8 +137,8 @@ def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, op11_fim, op12_whitening, op13_dedup, sharding_small, packing_instructions)}
+    return {f.__name__: f for f in (op1_langid, op2_sharding, op3_jaccard, op4_bpe, op5_toxicity, op6_packing, op7_simhash, op8_media, op9_chat, op10_quality, op11_fim, op12_whitening, op13_dedup, sharding_small, packing_instructions, chat_branches)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_LIMIT), "op11_fim": fim.ORACLE, "op13_dedup": dedup.ORACLE}
+    return {"op2_sharding": sharding.oracle(), "sharding_small": sharding.oracle(SMALL_LIMIT), "op11_fim": fim.ORACLE, "op13_dedup": dedup.ORACLE, "chat_branches": _BRANCHES}

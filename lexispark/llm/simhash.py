@@ -26,9 +26,9 @@ from itertools import combinations, groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from lexispark.llm.bitmap import Bitmap
 from lexispark.llm.common import prepare, saved, text_or_empty
@@ -234,85 +234,93 @@ def near_classes(prints: DataFrame, radius: int = 3, extra: int = 2, col: str =
     """
     s = Search(radius, extra, chunk)
     told = saved(_tasks(prints, s, col).mapInArrow(_met(s, False), "f string, n bigint, root string"), "near")
-    # components() takes integers: a fingerprint's place among those that have neighbours
-    ranked = saved(numbered(told.groupBy("f").agg(F.sum("n").alias("n_near"))), "ranked")
+    # components() takes integers: any different ones, in a saved table so that they stay
+    ranked = saved(told.groupBy("f").agg(F.sum("n").alias("n_near")).withColumn("number", F.monotonically_increasing_id()), "ranked")
     id_of = lambda c, name: ranked.select(F.col("f").alias(c), F.col("number").alias(name))
     links = told.select("f", "root").where("f <> root").distinct().join(id_of("f", "a"), "f").join(id_of("root", "b"), "root").select("a", "b")
-    found = components(links)
-    names = ranked.select(F.col("number").alias("component"), F.col("f").alias("near_class"))
-    return ranked.join(found, F.col("number") == F.col("id")).join(names, "component").select(F.col("f").alias(col), "n_near", "near_class")
+    found = saved(ranked.join(components(links), F.col("number") == F.col("id")).select("f", "n_near", "component"), "found")
+    names = found.groupBy("component").agg(F.min("f").alias("near_class"))
+    return found.join(names, "component").select(F.col("f").alias(col), "n_near", "near_class")
 
 
-def numbered(df: DataFrame, col: str = "f") -> DataFrame:
-    """df with number: the place of its row by col, from 0 on; a sorted table is numbered partition by partition."""
-    schema = StructType([*df.schema.fields, StructField("number", LongType())])
-    return df.sparkSession.createDataFrame(df.orderBy(col).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
+#: Bytes of texts in one range of ids, about.
+RANGE_BYTES = 32 << 20
+_ROW = [("id", pa.int64()), ("part", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("next_fingerprint", pa.string()), ("first_text", pa.string()), ("last_text", pa.string())]
+_ROW_DDL = "id bigint, part bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, first_text string, last_text string"
 
 
-#: Bits of a text's hash by which the rows of one id are ordered.
-_HASH_BITS = 62
-#: Stands for a null id.
-_LOW = -(2**63)
+def edited_text(text: str, after: str) -> str:
+    """text, whose last floor(n / 2) code points are replaced by the first as many (or all) of the text after it."""
+    half = len(text) // 2
+    return text[: len(text) - half] + after[:half]
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 1000) -> DataFrame:
-    """(id, text, next_text, bucket, guest), next_text by ascending (id, text's hash, text); after the last comes the first.
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    Rows fall into ranges of ids (approximate quantiles, so that gaps do not matter); an id that rows_per_bucket rows or
-    more repeat has ranges of its own, by its texts' hashes. The first row of each range is also sent, as a guest, to
-    the range before it, so every range finds its successors alone. Equal rows share a range.
+
+def _succession(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) of one range in their order to _ROW; a row waits for the one after it.
+
+    The first row has its text as first_text; the last one has its text as last_text, and nothing of an edited text yet.
+    """
+    h, part = SimHasher(), TaskContext.get().partitionId()
+    waits: tuple | None = None
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        if not texts:
+            continue
+        prints = [x.tobytes().hex() for x in h.fingerprints(texts)]
+        first = texts[0] if waits is None else None
+        before = [] if waits is None else [waits]
+        line = [*before, *((i, t, f, None) for i, t, f in zip(ids, texts, prints))]
+        if first is not None:
+            line[0] = (*line[0][:3], first)
+        waits = line.pop()
+        after = [*line[1:], waits]
+        edited = [edited_text(a[1], z[1]) for a, z in zip(line, after)]
+        marks = [x.tobytes().hex() for x in h.fingerprints(edited)] if edited else []
+        yield _rows([(i, part, len(t), _sha(e), f, m, z[2], head, None) for (i, t, f, head), e, m, z in zip(line, edited, marks, after)])
+    if waits is not None:
+        i, t, f, head = waits
+        yield _rows([(i, part, len(t), None, f, None, None, head, t)])
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _ROW)], names=[n for n, _ in _ROW])
+
+
+def with_edits(df: DataFrame, id_col: str, text_col: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, next_fingerprint) of every row, as a saved table.
+
+    Rows are sorted by (id, text's hash, text) across ranges of about range_bytes of texts, so an id that very many rows repeat
+    spreads over ranges by its texts' hashes; only equal rows share a range. Within a range each row meets the next one
+    as it streams past. The last row of a range meets the first one of the next range by a join of one row for each range;
+    after the last range comes the first.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 64 - _HASH_BITS))
-    n = rows.count()
-    k = max(1, -(-n // rows_per_bucket))
-    step = min(k, MOST_CUTS)
-    # each pass asks for so many quantiles at a time
-    cuts: set[int] = set()
-    for first in range(1, k, step):
-        asked = [i / k for i in range(first, min(k, first + step))]
-        cuts.update(rows.agg(F.percentile_approx("id", asked, 100 * k).alias("q")).first()["q"] or [])
-    # at most n / rows_per_bucket ids
-    many = rows.groupBy("id").count().where(F.col("count") >= rows_per_bucket).collect() if n >= rows_per_bucket else []
-    parts = {r["id"]: -(-r["count"] // rows_per_bucket) for r in many}
-    rows = rows.withColumn("bucket", _bucket(sorted(cuts), parts)(F.coalesce("id", F.lit(_LOW)), "h")).withColumn("guest", F.lit(0))
-    firsts = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "h", "text")).alias("m"))
-    order = Window.orderBy("bucket")  # one row for each range
-    last = F.max("bucket").over(Window.partitionBy())
-    guests = firsts.select(F.col("m.id").alias("id"), F.col("m.text").alias("text"), F.col("m.h").alias("h"), F.coalesce(F.lag("bucket").over(order), last).alias("bucket"), F.lit(1).alias("guest"))
-    everyone = rows.unionByName(guests)
-    w = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
-    return everyone.withColumn("next_text", F.lead("text").over(w))
-
-
-#: Quantiles that one pass over the ids asks for.
-MOST_CUTS = 20_000
-
-
-def _bucket(cuts: list[int], parts: dict[int | None, int]):
-    """The range of an (id, hash), as a number that grows with them; an id that equals a cut belongs to the range which
-    the cut ends, null to the first. parts: how many ranges the ids with very many rows have of their own."""
-    # the edges after which a new range begins: (id, hash); null is the smallest id
-    edges = {(c, (1 << _HASH_BITS) - 1) for c in cuts}
-    for i, m in parts.items():
-        at = _LOW if i is None else i
-        edges |= {(at, (1 << _HASH_BITS) * j // m - 1) for j in range(1, m + 1)}
-        if at > _LOW:
-            edges.add((at - 1, (1 << _HASH_BITS) - 1))
-    order = sorted(edges)
-    ids, hashes = (np.array([e[i] for e in order], np.int64) for i in (0, 1))
-
-    @F.pandas_udf("bigint")
-    def of(some: pd.Series, h: pd.Series) -> pd.Series:
-        x, y = some.to_numpy(np.int64), h.to_numpy(np.int64)
-        # a range's number: how many edges lie below (id, hash)
-        at = np.searchsorted(ids, x, side="left")
-        end = np.searchsorted(ids, x, side="right")
-        for i in np.flatnonzero(end > at):
-            at[i] += np.searchsorted(hashes[at[i] : end[i]], y[i], side="left")
-        return pd.Series(at.astype(np.int64))
-
-    return of
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = ("id", F.xxhash64("text"), "text")
+    placed = rows.repartitionByRange(max(1, -(-total // range_bytes)), "id", F.xxhash64("text")).sortWithinPartitions(*order)
+    made = saved(placed.mapInArrow(_succession, _ROW_DDL), "succession")
+    done = made.where("last_text is null")
+    # one number for each range that has rows
+    parts = [r["part"] for r in made.where("last_text is not null").select("part").orderBy("part").collect()]
+    if not parts:
+        return made.select("id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    before = df.sparkSession.createDataFrame(list(zip(parts, [parts[-1], *parts[:-1]])), "part bigint, before bigint")
+    firsts = made.where("first_text is not null").join(before, "part").select("before", F.col("first_text").alias("after"), F.col("fingerprint").alias("after_print"))
+    last = made.where("last_text is not null").join(firsts, F.col("part") == F.col("before"))
+
+    @F.pandas_udf("edited_sha256 string, edited_fingerprint string")
+    def edited(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
+        h, both = SimHasher(), [edited_text(a, b) for a, b in zip(texts, others)]
+        return pd.DataFrame({"edited_sha256": [_sha(x) for x in both], "edited_fingerprint": [x.tobytes().hex() for x in h.fingerprints(both)]})
+
+    last = last.select("id", "n_chars", "fingerprint", edited("last_text", "after").alias("e"), F.col("after_print").alias("next_fingerprint"))
+    columns = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
+    return done.select(*columns).unionByName(last.select("id", "n_chars", "e.edited_sha256", "fingerprint", "e.edited_fingerprint", "next_fingerprint"))
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -324,24 +332,9 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprint that steps within the radius reach, its own without any).
     """
     prepare(df.sparkSession)
-    rows = with_next(df, id_col, text_col)
-    n, half = F.length("text"), F.floor(F.length("text") / 2)
-    edited = F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half.cast("int")))
-
-    @F.pandas_udf("fingerprint string, edited_fingerprint string, edited_sha256 string")
-    def both(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        h = SimHasher()
-        for texts, others in parts:
-            a, b = ([x.tobytes().hex() for x in h.fingerprints(s.tolist())] for s in (texts, others))
-            yield pd.DataFrame({"fingerprint": a, "edited_fingerprint": b, "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in others]})
-
-    w = Window.partitionBy("bucket").orderBy("guest", "id", "h", "text")
-    # the next fingerprint is taken in the order of the texts, so the key of that order stays: the text's place
-    placed = rows.withColumn("place", F.row_number().over(w)).select("id", "bucket", "guest", "place", n.cast("bigint").alias("n_chars"), both(F.col("text"), edited).alias("p"))
-    nxt = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
-    out = placed.select("id", "bucket", "guest", "place", "n_chars", "p.*").withColumn("next_fingerprint", F.coalesce(nxt, F.col("fingerprint"))).where("guest = 0")
+    rows = with_edits(df, id_col, text_col)
     out = saved(
-        out.select(
+        rows.select(
             F.col("id").alias(id_col),
             "n_chars",
             "edited_sha256",

@@ -11,9 +11,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexispark.llm import bpe, langid, media, packing, quality, queries, sharding, simhash, toxicity
+from lexispark.llm import bpe, jaccard, langid, media, packing, quality, queries, sharding, simhash, toxicity
 from lexispark.llm.common import table
 
 LONG = " ".join(f"word{i % 977} ligne{i % 91}" for i in range(30_000))
@@ -33,13 +34,14 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame([(i, k % 2, int(t is not None and "idiot" in t)) for k, (i, t) in enumerate(zip(IDS, TEXTS))] + [(None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "x"), (1, 3, "assistant", "a\\n</s>"), (2, 0, "assistant", "<|im_end|>\n<|im_start|>user\n"), (None, 0, "user", "q"), (None, 1, "assistant", "r"), (3, 0, "user", "tie"), (3, 0, "user", "tie"), (3, None, "assistant", "first")]
     spark.createDataFrame([(*t, "extra", 1) for t in turns], "conv_id bigint, turn bigint, role string, text string, tree string, node int").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(1, [0.5, -1.0], None), (2, None, 1), (None, [0.25, float("nan")], 1), (3, [2.0, 0.5], 1), (3, [2.0, 0.5], 1)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="module")
 def empty_sf(spark, sf, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "embeddings"):
         table(spark, sf, t).where("false").write.parquet(f"{d}/{t}.parquet")
     return str(d)
 
@@ -157,6 +159,40 @@ def test_words_of_the_table_serve(spark, monkeypatch):
     assert bpe._lookup(table, buckets)(words[1:]) is None and bpe._lookup({}, buckets)(words) is None
 
 
+@pytest.mark.parametrize("characters", [300, 10**9])
+def test_words_by_regions(spark, monkeypatch, characters):
+    """Many regions of few buckets encode as one does, and every block finds its words in the table."""
+    monkeypatch.setattr(bpe, "BUCKET_CHARS", characters)
+    monkeypatch.setattr(bpe, "MOST_BUCKETS", 2)
+    texts = [f"some  words {i}\n\n and   more{i % 7} x{i}" * 3 for i in range(60)] + ["", "words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").repartition(5)
+    folder, buckets = bpe.word_table(df, P.path(bpe.DEFAULT_VOCABULARY), P.PATTERN, "words")
+    assert buckets <= 2 and spark.read.parquet(folder).agg(F.max("bucket")).first()[0] < buckets
+    e = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(bpe.DEFAULT_VOCABULARY)), special_tokens={})
+    got = {r["id"]: r["ids"] for r in bpe.encode(df, P.path(bpe.DEFAULT_VOCABULARY), P.PATTERN, "id").collect()}
+    assert got == {i: e.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_bytes_of_a_word_do_not_grow():
+    """What a block sends for each word, at a corpus of 20 buckets and at one of 50,000."""
+    words = [f" word{i}" for i in range(20_000)]
+    sent = lambda buckets: sum(len(d) + len(z) for x, _ in bpe._bucketed(words, buckets).values() for d, z in [bpe._pressed(x)]) / len(words)
+    per = lambda n_buckets: max(1, -(-n_buckets // max(1, -(-n_buckets // bpe.MOST_BUCKETS))))
+    assert per(50_000) <= bpe.MOST_BUCKETS and sent(per(50_000)) < 1.5 * sent(20) < sent(50_000) / 2
+
+
+def test_keys_by_levels_and_passes(spark, monkeypatch):
+    """Many buckets, dealt in several levels and taken in several passes, give the components of one."""
+    base = [" ".join(f"w{(i * 31 + k) % 997}" for k in range(60)) for i in range(40)]
+    rows = [(i, base[i % 40] + (f" x{i}" if i % 3 else "")) for i in range(200)] + [(500, ""), (501, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    parts = lambda: Counter(map(tuple, jaccard.join(df).collect()))
+    one = parts()
+    for name, value in (("BUCKET_DOCS", 2), ("LEVEL_BITS", 3), ("PASS_BITS", 5)):
+        monkeypatch.setattr(jaccard, name, value)
+    assert parts() == one and len({c for _, _, c in one}) < 100
+
+
 @pytest.mark.parametrize("name, k, r", [("op5_toxicity", 3, 1), ("op10_quality", 4, 2)])
 def test_op5_and_op10(spark, sf, name, k, r):
     got = by_id(getattr(queries, name)(spark, sf))
@@ -291,13 +327,17 @@ def test_near_classes_equal_brute_force(spark):
 def test_successors_of_repeated_and_null_ids(spark):
     rows = [(i % 7 if i % 3 else 4, f"text {i % 50}") for i in range(400)] + [(None, f"none {i}") for i in range(90)] + [(2**60 + i, f"big {i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    whole = simhash.with_next(df, "doc_id", "text", 10_000).where("guest = 0")
-    cut = simhash.with_next(df, "doc_id", "text", 20).where("guest = 0")
-    assert cut.select("bucket").distinct().count() > 20
-    pairs = lambda x: Counter((r["id"], r["text"], r["next_text"]) for r in x.collect())
-    one = pairs(whole)
-    # a single range has no guest of its own but the first row, which follows the last
-    assert pairs(cut) == one and sum(one.values()) == len(rows)
+    order = df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text").collect()
+    want = Counter()
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        n = len(r["text"])
+        edited = r["text"][: n - n // 2] + nxt["text"][: n // 2]
+        want[r["doc_id"], n, hashlib.sha256(edited.encode()).hexdigest(), slow_print(r["text"]), slow_print(edited), slow_print(nxt["text"])] += 1
+    for range_bytes in (1 << 20, 100, 1):
+        got = simhash.with_edits(df, "doc_id", "text", range_bytes)
+        assert Counter(map(tuple, got.collect())) == want
+    one = df.where("doc_id = 2").limit(1)
+    assert simhash.with_edits(one, "doc_id", "text").count() == 1 and simhash.with_edits(one.where("false"), "doc_id", "text").count() == 0
 
 
 def test_op8(spark, sf):
@@ -364,6 +404,24 @@ def test_trees_with_cycles_and_missing_parents(spark):
     assert got == {("a", 1): ["root", "high"], ("a", 2): ["root", "also high"], ("a", 3): ["root", "low"], ("c", 1): ["orphan"], (None, 1): ["no tree"]}
 
 
+def test_branches_of_conversations(spark, sf):
+    """Every third turn answers what the turn before it answered; null conversations are one tree."""
+    got = {(r["tree"], r["rank"]): (r["n_turns"], r["n_chars"]) for r in queries.chat_branches(spark, sf).collect()}
+    # turns of conversation 1 in order: hi, (empty), x, a\\n</s>; x answers hi as the empty reply does
+    assert got == {(1, 1): (3, 10), (1, 2): (2, 2), (2, 1): (1, len("<|im_end|>\n<|im_start|>user\n")), (None, 1): (2, 2), (3, 1): (2, 8), (3, 2): (2, 8)}
+
+
+def test_instructions_have_every_turn_once(spark, sf):
+    rows = queries.packing_instructions(spark, sf).collect()
+    t = Tokenizer.from_file(P.path(packing.DEFAULT_VOCABULARY))
+    turns = [(c, r, x or "") for c, _, r, x, *_ in map(tuple, table(spark, sf, "conversations").collect())]
+    ends = sum(r["length"] for r in rows)
+    n = len(queries.examples(table(spark, sf, "conversations")).collect())
+    assert ends == sum(len(t.encode(x, add_special_tokens=False).ids) for _, _, x in turns) + n
+    answers = queries.examples(table(spark, sf, "conversations")).where("response is not null").count()
+    assert answers == sum(r == "assistant" for _, r, _ in turns) and n == len({r["doc_id"] for r in rows})
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, empty_sf, name):
     assert queries.queries()[name](spark, empty_sf).count() == (1 if name == "op9_chat" else 0)
@@ -377,7 +435,7 @@ def test_repeated_and_null_ids(spark, sf, tmp_path):
     many.write.parquet(f"{tmp_path}/documents.parquet")
     labels.unionByName(labels).write.parquet(f"{tmp_path}/labels.parquet")
     n = 2 * len(IDS) + 2
-    for name in ("op1_langid", "op2_sharding", "op3_jaccard", "op4_bpe", "op5_toxicity", "op7_simhash", "op8_media", "op10_quality"):
+    for name in ("op1_langid", "op2_sharding", "op3_jaccard", "op4_bpe", "op5_toxicity", "op7_simhash", "op8_media", "op10_quality", "op11_fim", "op13_dedup"):
         rows = queries.queries()[name](spark, str(tmp_path)).collect()
         assert len(rows) == n and sum(r["doc_id"] is None for r in rows) == 2, name
     pieces = queries.op6_packing(spark, str(tmp_path)).collect()
