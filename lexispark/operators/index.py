@@ -69,7 +69,7 @@ class Collection:
     spark: SparkSession
     base: str
     name: str
-    parts: int = 64
+    parts: int = 32
     max_deltas: int = 16
     max_share: float = 0.25
     _kept: list[DataFrame] = field(default_factory=list, repr=False)

@@ -120,8 +120,10 @@ def with_idf(freq: DataFrame, n: int) -> DataFrame:
     return freq.withColumn("idf", F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-#: Numbers of query weights (tokens x queries) that a pass over the points carries along, and of query tokens that the driver gathers; more queries meet the points on a grid.
+#: Numbers of query weights (tokens x queries) that a pass over the points carries along; more queries meet the points on a grid.
 PASS_WEIGHTS = 8 << 20
+#: Rows of the queries' tokens that the driver gathers; likewise.
+PASS_ROWS = 1 << 20
 #: Products (tokens of points x queries) that are held at a time.
 HELD = 4 << 20
 
@@ -132,7 +134,7 @@ def sparse_leg(query_post: DataFrame, point_tokens: DataFrame, n: int, k: int, k
     query_post: query, token, tf. point_tokens: point, ts (its tokens, with repeats), or point, terms. n: points in all.
     kept: the points that may be found (all where None); frequencies are of all points: (token, df), counted where None.
 
-    The stated queries' tokens are gathered by the driver and go along with the points, within pass_weights; more queries meet
+    The stated queries' tokens are gathered by the driver and go along with the points, within pass_weights and PASS_ROWS; more queries meet
     the points on a grid (grid.sparse_join()). One pass keeps what each point has of these tokens, as numbers in a saved table;
     unless they are given their frequencies come from that table, and a second pass over it multiplies a batch's counts by the queries' weights and lets the
     batch's best k of each query leave it. A token that every point has is a row of weights like any other: no key is
@@ -143,12 +145,13 @@ def sparse_leg(query_post: DataFrame, point_tokens: DataFrame, n: int, k: int, k
     asked = query_post.select(F.col(query_col).alias("q"), "token", F.col("tf").cast("double").alias("tf")).where("tf > 0")
     q_kind, p_kind = asked.schema["q"].dataType.simpleString(), point_tokens.schema[point_col].dataType.simpleString()
     ddl = f"`{query_col}` {q_kind}, `{point_col}` {p_kind}, score double"
-    got = asked.limit(pass_weights + 1).toArrow().combine_chunks()
+    most = min(pass_weights, PASS_ROWS)
+    got = asked.limit(most + 1).toArrow().combine_chunks()
     if not got.num_rows:
         return top_k(spark.createDataFrame([], ddl), k, query_col, point_col)
     words, q_ids = pc.unique(got.column("token")), pc.unique(got.column("q"))
     as_terms = "terms" in point_tokens.columns
-    if got.num_rows > pass_weights or len(words) * len(q_ids) > pass_weights:
+    if got.num_rows > most or len(words) * len(q_ids) > pass_weights:
         whole = point_tokens if as_terms else counted(point_tokens.select(point_col, "ts"))
         known = frequencies if frequencies is not None else vocabulary(whole.select(F.inline("terms")))
         return sparse_join(query_post, whole, known, n, k, kept, query_col, point_col)
