@@ -73,20 +73,38 @@ def quantized(entries: np.ndarray, p: Params) -> np.ndarray:
     return np.clip(scaled, -float(_LARGEST), float(_LARGEST)).astype(np.int64) + p.shift
 
 
-def packed(x: np.ndarray, shift: int) -> bytes:
-    """A vector's integers without the shift, as narrow as they can be; equal vectors give equal bytes."""
+def packed(x: np.ndarray, shift: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Rows of integers without the shift, as narrow as each can be: (places of some rows, their bytes). Equal rows give equal bytes."""
     y = x - shift
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(y) or -(1 << 8 * w - 1) <= y.min() and y.max() < 1 << 8 * w - 1)
-    return bytes([width]) + y.astype(f"<i{width}").tobytes()
-
-
-def unpacked(data: bytes, shift: int) -> np.ndarray:
-    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64) + shift
+    low, high = y.min(axis=1), y.max(axis=1)
+    width = np.full(len(y), 8)
+    for w in (4, 2, 1):
+        width[(low >= -(1 << 8 * w - 1)) & (high < 1 << 8 * w - 1)] = w
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        data = np.empty((len(at), 1 + w * y.shape[1]), np.uint8)
+        data[:, 0] = w
+        data[:, 1:] = y[at].astype(f"<i{w}").view(np.uint8).reshape(len(at), -1)
+        yield at, pa.FixedSizeBinaryArray.from_buffers(pa.binary(data.shape[1]), len(at), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, shift: int) -> np.ndarray:
+    """The rows of a column of packed() bytes of one number of dimensions; their lengths tell how wide they are."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data, sizes = np.frombuffer(column.buffers()[2], np.uint8), np.diff(ends)
+    out: np.ndarray | None = None
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        rows = data[ends[at][:, None] + np.arange(size)]
+        w = int(rows[0, 0])
+        y = np.ascontiguousarray(rows[:, 1:]).view(f"<i{w}").astype(np.int64)
+        out = np.empty((len(sizes), y.shape[1]), np.int64) if out is None else out
+        out[at] = y + shift
+    return np.zeros((0, 0), np.int64) if out is None else out
 
 
 def _column(b: pa.RecordBatch, at: int, shift: int) -> np.ndarray:
-    """The packed vectors of a column, as rows."""
-    return np.stack([unpacked(v.as_py(), shift) for v in b.column(at)])
+    return unpacked(b.column(at), shift)
 
 
 def vectors(df: DataFrame, p: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -98,17 +116,14 @@ def vectors(df: DataFrame, p: Params = Params(), id_col: str = "vec_id", vector_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ends = b.column(1).offsets.to_numpy()
-            values = b.column(1).values
-            entries = values.to_numpy(zero_copy_only=False).astype(np.float64)  # null entries become nan
-            given = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            rows, x = [], []
-            for i in np.flatnonzero(given):
-                v = entries[ends[i] : ends[i + 1]]
-                if len(v) and np.isfinite(v).all():
-                    rows.append(i)
-                    x.append(packed(quantized(v, p), p.shift))
-            dims = (np.diff(ends)[rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(dims), pa.array(x, pa.binary())], names=["id", "dims", "x"])
+            entries = b.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64)  # null entries become nan
+            bad = np.append(0, np.cumsum(~np.isfinite(entries)))
+            sizes = np.diff(ends)
+            usable = b.column(1).is_valid().to_numpy(zero_copy_only=False) & (sizes > 0) & (bad[ends[1:]] == bad[ends[:-1]])
+            for d in np.unique(sizes[usable]).tolist():
+                rows = np.flatnonzero(usable & (sizes == d))
+                for at, x in packed(quantized(entries[ends[rows][:, None] + np.arange(d)], p), p.shift):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[at])), pa.array(np.full(len(at), d, np.int32)), x], names=["id", "dims", "x"])
 
     return rows.mapInArrow(run, f"id {kind}, dims int, x binary")
 
@@ -218,12 +233,12 @@ def fitted(rows: DataFrame, p: Params = Params()) -> Whitening | None:
     return Whitening(found.n, found.sums, found.components, found.eigenvalues, found.trace, error)
 
 
-def _deviations(exact: np.ndarray) -> list[int | None]:
+def _deviations(exact: np.ndarray) -> pa.Array:
     """Sums of squares, exact; null beyond 64 bits."""
-    if exact.dtype != object and exact.size and (exact.astype(np.float64) ** 2).sum(axis=1).max() < _LARGEST:
-        return (exact * exact).sum(axis=1).tolist()
+    if exact.dtype != object and (exact.astype(np.float64) ** 2).sum(axis=1).max() < _LARGEST:
+        return pa.array((exact * exact).sum(axis=1))
     totals = [sum(int(e) ** 2 for e in row) for row in exact]
-    return [t if t < 1 << 63 else None for t in totals]
+    return pa.array([t if t < 1 << 63 else None for t in totals], pa.int64())
 
 
 def whitened(df: DataFrame, p: Params = Params(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -247,11 +262,12 @@ def whitened(df: DataFrame, p: Params = Params(), id_col: str = "vec_id", vector
                 continue
             m = b.num_rows
             z, exact = centred(_column(b, 1, shift), model.n, model.sums)
+            each = pa.array(np.repeat(np.arange(m), k))
             columns = [
-                b.column(0).take(pa.array(np.repeat(np.arange(m), k))),
+                b.column(0).take(each),
                 pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), m)),
                 pa.array(np.full(m * k, model.n)),
-                pa.array([t for t in _deviations(exact) for _ in range(k)], pa.int64()),
+                _deviations(exact).take(each),
                 pa.array((z @ matrix).ravel(), from_pandas=True),
                 pa.array(np.tile(explained, m)),
                 pa.array(np.full(m * k, model.identity_error)),
