@@ -111,12 +111,25 @@ def split_key(id_col: str, seed: int = 42, of: int = 10007) -> Column:
     return F.pmod(F.pmod(F.col(id_col).cast("bigint"), F.lit(of)) * 7919 + seed * 104729, F.lit(of))
 
 
+def ordered(df: DataFrame, group: str, key: Column, id_col: str) -> DataFrame:
+    """df with place (from 0 on, by key and then id) and n, both within the group.
+
+    Rows are counted by group and key first, so a place is the count of the smaller keys and a rank among the rows of one
+    key: a group that has a third of all rows is spread over as many tasks as it has keys.
+    """
+    keyed = df.withColumn("__key", key)
+    sizes = keyed.groupBy(F.col(group).alias("__group"), F.col("__key").alias("__of")).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy("__group").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).withColumn("n", F.sum("__size").over(Window.partitionBy("__group")))
+    rank = F.row_number().over(Window.partitionBy(group, "__key").orderBy(id_col)) - 1
+    both = keyed.withColumn("__rank", rank).join(sizes, F.col(group).eqNullSafe(F.col("__group")) & F.col("__key").eqNullSafe(F.col("__of")))
+    return both.select(*df.columns, (F.col("__before") + F.col("__rank")).alias("place"), "n")
+
+
 def stratified_split(df: DataFrame, id_col: str = "query_id", stratum: str = "codex", share: float = 0.15, seed: int = 42) -> DataFrame:
     """df with is_test: round(share * n) rows of each stratum."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(split_key(id_col, seed), id_col))
-    n = F.count("*").over(w)
-    return df.withColumn("is_test", rank <= F.floor(n * share + 0.5))
+    placed = ordered(df, stratum, split_key(id_col, seed), id_col)
+    return placed.select(*df.columns, (F.col("place") < F.floor(F.col("n") * share + 0.5)).alias("is_test"))
 
 
 def negatives(pairs_: DataFrame, articles: DataFrame, per_positive: int = 4, seed: int = 42, how: str = "same_codex", ring: int = 1000) -> DataFrame:
@@ -134,8 +147,7 @@ def negatives(pairs_: DataFrame, articles: DataFrame, per_positive: int = 4, see
     else:
         rings = max(1, every.count() // ring)
         every = every.select("article_id", F.pmod(split_key("article_id", seed, 1000003), F.lit(rings)).alias("ring"))
-    w = Window.partitionBy("ring")
-    placed = every.select("article_id", "ring", (F.row_number().over(w.orderBy(split_key("article_id", seed), "article_id")) - 1).alias("place"), F.count("*").over(w).alias("n"))
+    placed = ordered(every, "ring", split_key("article_id", seed), "article_id")
     mine = pairs_.select("query_id", "article_id").join(placed, "article_id")
     wanted = mine.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(per_positive)))).where("step < n")
     wanted = wanted.select("query_id", "article_id", "ring", F.pmod(F.col("place") + F.col("step"), F.col("n")).alias("place"))
