@@ -114,9 +114,11 @@ class Collection:
         """How many points there are, as kept with the version."""
         return next(r["n"] for r in self._list() if r["part"] == _SCHEMAS)
 
-    def frequencies(self) -> DataFrame:
-        """(token, df) over all points, as kept with the versions."""
+    def frequencies(self, tokens: DataFrame | None = None) -> DataFrame:
+        """(token, df) over all points, as kept with the versions; tokens: of these (token) only."""
         changes = self._tagged("changes", self._of(self._list(), _CHANGES), _FREQUENCIES)
+        if tokens is not None:
+            changes = changes.join(tokens.select("token").distinct(), "token", "left_semi")
         return changes.groupBy("token").agg(F.sum("df").alias("df")).where("df > 0")
 
     def _listed(self) -> dict[int, int]:
@@ -161,6 +163,14 @@ class Collection:
         last = F.greatest(F.lit(-1), *(F.coalesce(f"__{key}", F.lit(-1)) for key in gone))
         return rows.withColumn("__taken", last).drop(*(f"__{key}" for key in gone))
 
+    def _touched(self, listed: list, gone: dict[str, DataFrame], deltas: list[int]) -> set[int]:
+        """The base's parts with points that are taken away, and those that some deltas' points belong to; reads ids alone."""
+        schema = self._schema(listed)
+        keys = [c for c in _GONE if c in schema.names]
+        taken = self._taken(gone, self._part(self._base(listed, "points").select(*keys))).where("__taken >= 0").select("part")
+        brought = self._part(self._tagged("delta_points", deltas, schema).select(*keys)).select("part")
+        return set(self._written(taken.unionByName(brought)))
+
     def _read(self, table: str, only: set[int] | None = None, listed: list | None = None) -> DataFrame:
         """The living rows of the base (of some parts only) and of the deltas."""
         listed = listed or self._list()
@@ -302,7 +312,8 @@ class Collection:
         for table in () if added else ("points", "terms", *(("texts",) if self._has_texts(listed) else ())):
             self._write(self.spark.createDataFrame([], self._schema(listed, table)), f"delta_{table}", n)
         mine = self._gone(listed, [n])
-        gone = saved(self._taken(mine, self._read("terms", listed=listed)).where("__taken >= 0").select("point_id", "terms"), "gone")
+        touched = self._touched(listed, mine, [])
+        gone = saved(self._taken(mine, self._read("terms", touched, listed)).where("__taken >= 0").select("point_id", "terms"), "gone")
         plus = self._tagged("delta_terms", added, _of_terms(schema)).select("point_id", F.inline("terms"))
         minus = gone.select("point_id", F.inline("terms"))
         changes = vocabulary(plus).unionByName(vocabulary(minus).withColumn("df", -F.col("df"))).groupBy("token").agg(F.sum("df").alias("df")).where("df <> 0")
@@ -323,10 +334,7 @@ class Collection:
         if not deltas:
             return
         n, schema = self._next(), self._schema(listed)
-        keys = [c for c in _GONE if c in schema.names]
-        taken = self._taken(self._gone(listed, deltas), self._part(self._base(listed, "points").select(*keys))).where("__taken >= 0").select("part")
-        new = self._part(self._tagged("delta_points", deltas, schema).select(*keys)).select("part")
-        touched = set(self._written(taken.unionByName(new)))
+        touched = self._touched(listed, self._gone(listed, deltas), deltas)
         rows = self._write_parts(self._read("points", touched, listed), schema, "points", n)
         self._write_parts(self._read("terms", touched, listed), _of_terms(schema), "terms", n)
         texts = self._schema(listed, "texts") if self._has_texts(listed) else None

@@ -16,7 +16,7 @@ from lexispark.operators.dense import hashing_encoder
 from lexispark.operators.index import Collection
 from lexispark.operators.ranking import dedup_by_article, dedup_by_parent
 from lexispark.operators.search import dense_search, hybrid_search, with_payload
-from lexispark.operators.sparse import stop_words
+from lexispark.operators.sparse import postings, stop_words
 
 #: The sample questions and their subjects.
 SAMPLE_QUERIES = (
@@ -77,7 +77,9 @@ class Engine:
         if where is not None:
             kept = points.where(where) if isinstance(where, Column) else c.points(where)
         if s.hybrid:
-            hits = hybrid_search(asked, points, s, limit, threshold, None, c.terms(None if isinstance(where, Column) else where), self._stops, self.config.sparse.min_token_length, c.count(), c.frequencies(), kept)
+            least = self.config.sparse.min_token_length
+            words = postings(asked, "query_id", "query_text", self._stops, least, unique=True).select("token")
+            hits = hybrid_search(asked, points, s, limit, threshold, None, c.terms(None if isinstance(where, Column) else where), self._stops, least, c.count(), c.frequencies(words), kept)
         else:
             hits = dense_search(asked, points if kept is None else kept, s, limit, threshold)
         return c.with_texts(with_payload(hits, points if kept is None else kept))
