@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators.ranking import best_rows, top_k
 from lexispark.package import ship
+from lexispark.storage import saved
 
 
 @dataclass(frozen=True)
@@ -161,7 +162,7 @@ def sparse_join(query_post: DataFrame, point_terms: DataFrame, frequencies: Data
     mine = point_terms if kept is None else point_terms.join(kept.select(point_col), point_col, "left_semi")
     points = mine.select(F.col(point_col).alias("p"), F.col("terms").cast("array<struct<token:string,tf:double>>").alias("terms")).where(F.size("terms") > 0)
     lists = lambda df, key: df.select(key, F.col("terms.token").alias("ts"), F.col("terms.tf").alias("ws"))
-    queries, points = lists(queries, "q"), lists(points, "p")
+    queries, points = saved(lists(queries, "q"), "grid-queries"), lists(points, "p")
     sized = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.size("ts")).alias("w")).first()
     of_q, of_p = sized(queries), sized(points)
     a = grid.blocks(1, 24 * (of_q["w"] or 0) + of_q["n"] * 2 * 32 * k, grid.query_bytes)
