@@ -1,5 +1,6 @@
 """What grows with the tables: rows that leave a task, cells for all cores, relevant items, batches of text."""
 
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -7,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators import dense, evaluate, grid, sparse
+from lexispark.operators import dense, evaluate, grid, prepare, sparse
+from lexispark.operators.search import with_payload
 from lexispark.operators.sparse import terms
+from lexispark.sources import files
+from lexispark.storage import saved
 
 
 def rows(df):
@@ -76,3 +80,35 @@ def test_stop_words_are_a_set(spark):
     got = d.select(T.tokens(F.col("t"), stops).alias("ts"))
     assert sorted(r["ts"] for r in got.collect()) == [[], [], ["cat", "hat", "a12"]]
     assert "INSET" in got._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_articles_are_made_once_and_then_chosen(spark):
+    d = spark.createDataFrame([(1, "x\nСтатья 1. Название\nтекст этой статьи, который достаточно длинный\nСтатья 2\nкоротко")], "doc_id bigint, text string")
+    got = prepare.split_articles(d)
+    assert [(r["pos"], r["article_num"]) for r in got.collect()] == [(0, "1")]
+    assert not re.search(r"Filter[^\n]*article_num|Filter[^\n]*instr|Filter[^\n]*regexp", got._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_a_filter_shuffles_what_matches_only(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} all") for i in range(50)], "point_id bigint, text string")
+    found = saved(terms(docs, "point_id", "text"), "terms")
+    asked = sparse.postings(spark.createDataFrame([(1, "w1 all")], "query_id bigint, text string"), "query_id", "text", unique=True)
+    got = sparse.sparse_leg(asked, found, 50, 4, docs.where("point_id % 2 = 1"), frequencies=sparse.vocabulary(found.select(F.inline("terms"))))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan[plan.index("Join LeftSemi") :]
+    assert [r["point_id"] for r in got.orderBy("rank").collect()] == [1, 31, 7, 11]  # w1 twice, then once
+
+
+def test_few_hits_go_to_the_points(spark):
+    points = saved(spark.range(1000).select(F.col("id").alias("point_id"), F.lit("text").alias("chunk_text")), "points")
+    hits = spark.createDataFrame([(1, 5, 0.5)], "query_id bigint, point_id bigint, score double").groupBy("query_id", "point_id").agg(F.max("score").alias("score"))
+    got = with_payload(hits.repartition(3), points)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().sparkPlan().toString() and "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got) == [(5, 1, 0.5, "text")]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.rtf").write_text("{\\rtf1 text}")
+    got = files.read_rtf(spark, f"file://{tmp_path}")
+    assert got.count() == 300 and got.rdd.getNumPartitions() <= 8
