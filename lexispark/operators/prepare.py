@@ -62,8 +62,10 @@ def split_articles(files: DataFrame, text_col: str = "text", min_body: int = 30)
     rows = rows.withColumn("title", F.when(F.col("at") > 0, F.expr("substring(raw, 1, at - 1)")).when(first_line, F.col("line")).when(F.col("sentence") != "", strip(F.substring_index("sentence", "\n", 1))).otherwise(""))
     body = F.when(F.col("at") > 0, F.expr("substring(raw, at)")).otherwise(F.expr("substring(raw, length(title) + 1)"))
     one_line = strip(F.regexp_replace("title", r"\n+", " "))
-    out = rows.select(*rest, "pos", "article_num", one_line.alias("article_title"), strip(F.regexp_replace(strip(body), r"(?U)\n\s*\n+", "\n")).alias("article_text"))
-    return out.where((F.length("article_text") > min_body) & ~F.col("article_text").rlike(_HEADING_LIKE))
+    made = F.struct("pos", "article_num", one_line.alias("article_title"), strip(F.regexp_replace(strip(body), r"(?U)\n\s*\n+", "\n")).alias("article_text"))
+    # as a generator: a filter would be moved below the steps, and each of them made again for every use
+    kept = F.filter(F.array(made), lambda x: (F.length(x["article_text"]) > min_body) & ~x["article_text"].rlike(_HEADING_LIKE))
+    return rows.select(*rest, F.inline(kept))
 
 
 def number_key(num: Column) -> Column:
