@@ -129,6 +129,37 @@ def test_an_update_writes_what_it_brings(spark, tmp_path):
     assert c.deltas() == [] and c.count() == 3000
 
 
+def test_a_compaction_shuffles_no_base_rows(spark, tmp_path, monkeypatch):
+    c = Collection(spark, f"file://{tmp_path}", "c", parts=4, max_deltas=9, max_share=10.0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written, write = [], Collection._write_parts
+
+    def noted(self, df, schema, table, n, *dealt):
+        written.append((table, dealt, df))
+        return write(self, df, schema, table, n, *dealt)
+
+    monkeypatch.setattr(Collection, "_write_parts", noted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        c.create(points_of(spark, [(p, p // 3, f"a{p} b") for p in range(60)]))
+        assert [(t, *d) for t, d, _ in written] == [("points",), ("terms", True)]
+        c.upsert(points_of(spark, [(100, 2, "new"), (0, 0, "other")]))
+        want = rows(c.points().select("point_id", "chunk_text"))
+        assert "SortMergeJoin" not in plan(c.points()) and "SortMergeJoin" not in plan(c.terms())
+        written.clear()
+        c.compact()
+        assert [(t, *d) for t, d, _ in written] == [("points", True), ("terms", True)]
+        assert all("SortMergeJoin" not in plan(df) for _, _, df in written)
+        assert rows(c.points().select("point_id", "chunk_text")) == want and c.count() == len(want) == 56
+        monkeypatch.setattr("lexispark.operators.index.ALONG", 1)  # long lists are joined by a shuffle
+        c.upsert(points_of(spark, [(7, 2, "again"), (8, 2, "again")]))
+        c.compact()
+        assert rows(c.points().where("article_id = 2").select("point_id", "chunk_text")) == [(7, "again"), (8, "again")] and c.count() == 57
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_blocks_are_skipped(spark):
     got = engine_queries.sparse_blocks_read(spark, SF).agg(F.sum("n_blocks"), F.sum("n_read")).first()
     assert 0 < got[1] < got[0] / 2
