@@ -160,6 +160,24 @@ def test_a_compaction_shuffles_no_base_rows(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
+def test_blocks_are_cut_from_one_saved_table_in_bounded_ranges(spark, tmp_path, monkeypatch):
+    """Texts are tokenised once, and a task cuts a bounded number of points, however many there are."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    found = spark.range(400).select(F.col("id").alias("point_id"), F.expr("array(struct('w' || id % 40 as token, double(1 + id % 3) as tf))").alias("terms"))
+    found = found.mapInArrow(once, found.schema)
+    monkeypatch.setattr("lexispark.operators.blockmax._PARTITION", 100)
+    index = BlockIndex(spark, f"file://{tmp_path}/b")
+    index.build(found)
+    assert seen.value == 400
+    assert index.postings().select("part").distinct().count() > 2
+
+
 def test_blocks_are_skipped(spark):
     got = engine_queries.sparse_blocks_read(spark, SF).agg(F.sum("n_blocks"), F.sum("n_read")).first()
     assert 0 < got[1] < got[0] / 2
