@@ -19,7 +19,8 @@ similarity is t = num / den or more; then their sets differ in at most (1 - t) /
    A document meets one leader first, and others only where it is not in their components then.
 3. Rest. Links give components. A key whose documents lie in one component is settled. The others are tried again
    with other leaders; what remains unsettled is compared by sketches across components within the key, in tasks of
-   one or two chunks of bounded size, and only pairs that may link are emitted and verified. No pair is left out.
+   one or two chunks of bounded size, and only pairs that may link are emitted and verified. No pair is left out;
+   of a component's equal documents one stands for all there.
 
 Equal documents of one task are sent once. Shingles of candidates come from a further pass over the texts, filtered
 by a bitmap of the candidates' ids whose size is bounded; its false hits cost work and no rows.
@@ -202,8 +203,8 @@ def _unplanes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view(kind)
 
 
-_PRINTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64()))])
-_PRINTS_DDL = "id bigint, n bigint, same bigint, sketch binary, bucket int, keys binary, ids binary, key bigint, group array<bigint>"
+_PRINTS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("digest", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64()))])
+_PRINTS_DDL = "id bigint, n bigint, same bigint, sketch binary, digest binary, bucket int, keys binary, ids binary, key bigint, group array<bigint>"
 
 
 def _sent(keys: np.ndarray, ids: np.ndarray, bucket_bits: int, hot: int) -> Iterator[dict]:
@@ -229,7 +230,7 @@ def _buckets(keys: np.ndarray, ids: np.ndarray, bucket_bits: int, hot: int | Non
 
 
 def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
-    """Rows of documents (id, n, sketch, or same: the id of an equal document sent instead), of buckets and of hot keys."""
+    """Rows of documents (id, n, sketch and digest, or same: the id of an equal document sent instead), of buckets and of hot keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, first = Shingler(p.words), {}
@@ -255,7 +256,7 @@ def _prints(docs: DataFrame, p: Params, bucket_bits: int) -> DataFrame:
                         row["same"] = first[digest]
                     else:
                         first[digest] = i
-                        row["sketch"] = sketch_of(s)
+                        row["sketch"], row["digest"] = sketch_of(s), digest
                         keys.append(keys_of(s, p))
                         ids.append(np.full(len(keys[-1]), i, np.int64))
                 rows.append(row)
@@ -299,8 +300,8 @@ def _dealt(bucket_bits: int):
     return run
 
 
-_MET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64())), ("hot", pa.bool_())])
-_MET_DDL = "id bigint, n bigint, same bigint, sketch binary, key bigint, group array<bigint>, hot boolean"
+_MET = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("same", pa.int64()), ("sketch", pa.binary()), ("digest", pa.binary()), ("key", pa.int64()), ("group", pa.list_(pa.int64())), ("hot", pa.bool_())])
+_MET_DDL = "id bigint, n bigint, same bigint, sketch binary, digest binary, key bigint, group array<bigint>, hot boolean"
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +360,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append((int(keys[begins[g]].view(np.int64)), own, False))
         for k in range(0, len(rows), 4096):
             key, group, is_hot = zip(*rows[k : k + 4096])
-            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            none = [pa.nulls(len(key), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(key, pa.int64()), pa.array(group, pa.list_(pa.int64())), pa.array(is_hot, pa.bool_())], schema=_MET)
         del some, each, keys, ids, warm, rows, holders
     yield from through()
@@ -370,25 +371,31 @@ def _compared(num: int, den: int, block: int = 64):
     """Pairs of one task, across components, whose sizes and sketches allow a link. Rows come sorted by task.
 
     A row's own chunk and whether the task holds two chunks say which pairs are the task's. Pairs leave by blocks of
-    rows, so the memory does not depend on how many there are.
+    rows, so the memory does not depend on how many there are. Documents of the largest component meet the others only.
     """
 
     def pairs(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         ids, comps, n, own = (np.array([r[i] for r in group], np.int64) for i in (1, 2, 3, 5))
+        values, counts = np.unique(comps, return_counts=True)
+        large = comps == values[counts.argmax()]
+        others = np.flatnonzero(~large)
+        if not len(others):
+            return
         bits = np.unpackbits(np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1), axis=1).astype(np.float32)
         ones = bits.sum(axis=1)
-        for k in range(0, len(group), block):
-            x = slice(k, k + block)
+        for k in range(0, len(others), block):
+            x = others[k : k + block]
             apart = (ones[x, None] + ones - 2 * (bits[x] @ bits.T)).astype(np.int64)
             total = n[x, None] + n
             may = den * (total - apart) >= num * (total + apart)
             may &= den * np.minimum(n[x, None], n) >= num * np.maximum(n[x, None], n)
-            may &= (comps[x, None] != comps) & (ids[x, None] > ids)
+            may &= (comps[x, None] != comps) & (large | (ids[x, None] > ids))
             if group[0][6]:
                 may &= own[x, None] != own
             a, b = np.nonzero(may)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x][a]), pa.array(ids[b])], names=["a", "b"])
+                one, two = ids[x][a], ids[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(one, two)), pa.array(np.minimum(one, two))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(7))))
@@ -474,10 +481,13 @@ class _Join:
         self.num, self.den = F.lit(p.num), F.lit(p.den)
         # a few hundred thousand keys to a bucket, at a hundred or so for each document
         bits = max(4, (docs.count() // BUCKET_DOCS).bit_length())
-        #: documents (id, n, and same or sketch), and groups (key, group, hot)
+        #: documents (id, n, and same or sketch and digest), and groups (key, group, hot)
         self.prints = self.met(_prints(docs, p, min(bits, LEVEL_BITS)), bits)
-        #: n and sketch of each document that was sent
-        self.info = self.prints.where("sketch is not null").select("id", "n", "sketch")
+        #: n, sketch and digest of each document that was sent
+        self.info = self.prints.where("sketch is not null").select("id", "n", "sketch", "digest")
+        if not unique:
+            # several tasks may have sent the rows of a key, which have one text; a pair would come as often as both sides' rows multiply to
+            self.info = saved(self.info.dropDuplicates(["id"]), "info")
         #: pairs that the coded sets left open
         self.unsure: list[DataFrame] = []
 
@@ -635,11 +645,16 @@ class _Join:
         return links, components(links)
 
     def unsettled(self, members: DataFrame, found: DataFrame) -> DataFrame | None:
-        """(key, id, component) of the keys whose documents lie in two components or more; None without any."""
+        """(key, id, component) of the keys whose documents lie in two components or more; None without any.
+
+        Of a component's equal documents in a key the smallest id stands for all, as they link with the same ones: what
+        is compared does not grow with the square of the copies.
+        """
         placed = members.distinct().join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         placed = saved(placed, "placed")
         keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        left = saved(placed.join(keys, "key"), "left")
+        left = placed.join(keys, "key").join(self.info.select("id", "digest"), "id").groupBy("key", "component", "digest").agg(F.min("id").alias("id"))
+        left = saved(left.select("key", "id", "component"), "left")
         forget(placed)
         return None if left.isEmpty() else left
 

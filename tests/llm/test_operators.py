@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -209,6 +210,84 @@ def test_jaccard_of_ids_with_several_texts(spark):
     assert got == sorted((str(i), n, str(m)) for (i, _), n, m in zip(rows, sizes, names))
 
 
+def _families(copies):
+    """Copies of 12 texts of one family, of which neighbours may link, and a few lone ones."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(300)]
+    texts = []
+    for k in range(12):
+        text = list(base)
+        for i in rng.sample(range(300), 5 + 3 * k):
+            text[i] = f"x{k}y{i}"
+        texts.append(" ".join(text))
+    return [t for _ in range(copies) for t in texts]
+
+
+def test_jaccard_copies_are_not_compared_with_one_another(spark, monkeypatch):
+    """What is left to compare is as much for 6 copies, of several tasks, as for one, and gives the same components."""
+    left, write = [], jaccard.saved
+
+    def counted(df, kind, *by):
+        out = write(df, kind, *by)
+        if kind == "left":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    sizes, found = [], []
+    for copies in (1, 6):
+        left.clear()
+        rows = list(enumerate(_families(copies)))
+        # a task for each copy, so that no task sees equal texts
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, copies), "doc_id bigint, text string")
+        found.append({r["doc_id"]: r["component_id"] for r in jaccard.join(df).collect()})
+        sizes.append(list(left))
+    assert sizes[0] and max(sizes[0]) > 0
+    assert max(sizes[1]) <= max(sizes[0])
+    assert found[1] == {i: found[0][i % 12] for i in range(72)}
+
+
+def test_jaccard_repeated_rows_are_met_once(spark, monkeypatch):
+    """Rows of one id in 6 tasks give as many pairs to verify as one row does."""
+    pairs, write = [], jaccard.saved
+
+    def counted(df, kind, *by):
+        out = write(df, kind, *by)
+        if kind == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", counted)
+    seen, found = [], []
+    for copies in (1, 6):
+        pairs.clear()
+        rows = [(2 * i + j, " ".join(f"{i}w{k}" for k in range(60)) + " z" * j) for i in range(4) for j in range(2)] * copies
+        df = spark.createDataFrame(spark.sparkContext.parallelize(rows, copies), "doc_id bigint, text string")
+        found.append(sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(df).collect()))
+        seen.append(max(pairs))
+    assert seen[0] > 0 and seen[1] <= seen[0]
+    assert found[1] == sorted(found[0] * 6)
+
+
+def test_compared_pairs_are_those_across_components():
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in rng.permutation(150).tolist():
+        s = np.unique(rng.integers(0, 90, 60).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        rows.append((1, i, 7 if i % 3 else i % 4, len(s), jaccard.sketch_of(s), i % 2, False))
+    names = ["task", "id", "component", "n", "sketch", "own", "two"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    got = [p for b in jaccard._compared(30, 100)(iter([batch])) for p in zip(*b.to_pydict().values())]
+    bits = {r[1]: np.frombuffer(r[4], np.uint8) for r in rows}
+    want = set()
+    for x in rows:
+        for y in rows:
+            apart, total = int(np.bitwise_count(bits[x[1]] ^ bits[y[1]]).sum()), x[3] + y[3]
+            if x[1] > y[1] and x[2] != y[2] and 100 * (total - apart) >= 30 * (total + apart) and 100 * min(x[3], y[3]) >= 30 * max(x[3], y[3]):
+                want.add((x[1], y[1]))
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
+
+
 def test_jaccard_of_nothing(empty):
     assert jaccard.join(empty).count() == 0
 
