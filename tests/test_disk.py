@@ -1,7 +1,11 @@
 """What large tables leave on disk: points are not shuffled, and no step keeps what it no longer needs."""
 
+from pyspark.sql import functions as F
+
+from lexispark.operators import grid
 from lexispark.operators.blockmax import BlockIndex
-from lexispark.operators.sparse import postings, sparse_leg, terms
+from lexispark.operators.sparse import postings, sparse_leg, terms, vocabulary
+from lexispark.storage import saved
 
 
 def rows(df):
@@ -25,3 +29,31 @@ def test_blocks_are_cut_and_scored_without_a_shuffle_of_points(spark, tmp_path,
     monkeypatch.setattr("lexispark.operators.blockmax.PASS_ROWS", 3)
     hits, read = index.leg(asked, 300, 6)
     assert rows(hits) == want and {r["query_id"]: r["n_blocks"] for r in read.collect()} == few
+
+
+def test_a_sparse_grid_shuffles_lists_of_k_points_only(spark, tmp_path):
+    """Points and queries of many blocks meet where the points lie."""
+    docs = spark.createDataFrame([(f"p{i:03}", " ".join(f"w{(i * k) % 31}" for k in range(i % 14)) + " all") for i in range(300)], "point_id string, text string").repartition(3)
+    asked = postings(spark.createDataFrame([(i, f"w{i % 30} w{i % 7} all none") for i in range(80)], "query_id bigint, text string"), "query_id", "text", unique=True)
+    found = saved(terms(docs, "point_id", "text"), "terms")
+    known = vocabulary(found.select(F.inline("terms")))
+    want = rows(sparse_leg(asked, found, 300, 6))
+    for g in (grid.Grid(query_bytes=4_000, point_bytes=20_000, held=200), grid.Grid(least_queries=9), grid.Grid()):
+        got = grid.sparse_join(asked, found, known, 300, 6, grid=g)
+        assert rows(got) == want and got.columns == ["query_id", "point_id", "score", "rank"]
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort" not in plan, plan  # the packed lists go to their blocks
+    one = grid.sparse_join(asked, found.where("point_id = 'none'"), known, 300, 6)
+    assert one.count() == 0
+
+
+def test_texts_are_not_joined_with_vectors(spark):
+    from lexispark.plans import queries
+
+    seen, was = [], queries.hybrid_search
+    queries.hybrid_search = lambda *a, **b: seen.append(b["found"]) or was(*a, **b)
+    try:
+        queries.queries()["hybrid_search"](spark, "/root/testdata/sf0.001")
+    finally:
+        queries.hybrid_search = was
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
