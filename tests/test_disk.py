@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexispark.operators import grid
 from lexispark.operators.blockmax import BlockIndex
+from lexispark.operators.index import Collection
 from lexispark.operators.sparse import postings, sparse_leg, terms, vocabulary
 from lexispark.storage import saved
 
@@ -57,3 +58,34 @@ def test_texts_are_not_joined_with_vectors(spark):
     finally:
         queries.hybrid_search = was
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_lists_of_what_is_taken_away_shuffle_keys_only(spark, tmp_path, monkeypatch):
+    """An update and a compaction whose lists are too long to go along leave the base's rows where they lie."""
+    points = lambda data: spark.createDataFrame(data, "point_id bigint, article_id bigint, chunk_text string")
+    chosen, write = [], Collection._write_parts
+
+    def noted(self, df, schema, table, n, dealt=False, *mode):
+        chosen.append((table, dealt, df._jdf.queryExecution().sparkPlan().toString()))
+        return write(self, df, schema, table, n, dealt, *mode)
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = []
+    try:
+        for along in (1 << 21, 40):
+            monkeypatch.setattr("lexispark.operators.index.ALONG", along)
+            c = Collection(spark, f"file://{tmp_path}", f"c{along}", parts=8, max_deltas=9, max_share=10.0)
+            c.create(points([(p, p // 3, f"a{p % 7} b") for p in range(300)]))
+            c.upsert(points([(1000 + p, p, "new") for p in range(0, 100, 2)] + [(0, 500, "moved")]))
+            c.delete(spark.range(1, 60, 4).withColumnRenamed("id", "article_id"))
+            monkeypatch.setattr(Collection, "_write_parts", noted)
+            chosen.clear()
+            c.compact()
+            monkeypatch.setattr(Collection, "_write_parts", write)
+            got.append((rows(c.points().select("point_id", "article_id", "chunk_text")), rows(c.terms().select("point_id", F.inline("terms"))), rows(c.frequencies()), c.count()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got[0] == got[1] and got[1][3] == len(got[1][0]) == len({r[0] for r in got[1][0]})
+    base = [plan[plan.index("LeftAnti") - 60 :] for _, _, plan in chosen]
+    assert len(base) > 4 and all("BroadcastHashJoin" in plan for plan in base)  # groups of parts
